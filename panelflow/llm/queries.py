@@ -7,13 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.llm import mixing, quality
+from panelflow.llm import langid, mixing, quality, topk, toxicity
+from panelflow.llm.common import learn_fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = langid.fit(documents.where(learn_fold(F.col("doc_id"))))
+    return langid.predict(documents, model).select("doc_id", (~learn_fold(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    fold = learn_fold(F.col("doc_id"))
+    model = toxicity.fit(documents.where(fold), _table(spark, sf_dir, "labels").where(fold))
+    scored = toxicity.predict(documents, model)
+    return scored.select("doc_id", (~fold).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & topk.usable(F.col("embedding")))
+    vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), topk.quantize(F.col("embedding")).alias("vector"))
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(_table(spark, sf_dir, "documents"))
 
@@ -24,11 +45,15 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op3_toxicity": op3_toxicity,
+    "op4_top_k": op4_top_k,
     "op6_quality_rules": op6_quality_rules,
     "op7_source_mix": op7_source_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_top_k": topk.ORACLE_SQL,
     "op6_quality_rules": quality.ORACLE_SQL,
     "op7_source_mix": mixing.ORACLE_SQL,
 }
