@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.llm import langid, mixing, quality, topk, toxicity
+from panelflow.llm import jaccard, langid, mixing, quality, topk, toxicity
 from panelflow.llm.common import learn_fold
 
 
@@ -21,6 +21,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(documents, model).select("doc_id", (~learn_fold(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     fold = learn_fold(F.col("doc_id"))
@@ -46,6 +50,7 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_toxicity": op3_toxicity,
     "op4_top_k": op4_top_k,
     "op6_quality_rules": op6_quality_rules,
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_jaccard_join": jaccard.ORACLE_SQL,
     "op4_top_k": topk.ORACLE_SQL,
     "op6_quality_rules": quality.ORACLE_SQL,
     "op7_source_mix": mixing.ORACLE_SQL,
