@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.llm import jaccard, langid, mixing, quality, suffix_dedup, topk, toxicity
+from panelflow.llm import html_extract, jaccard, langid, lm_score, mixing, packing, quality, suffix_dedup, topk, toxicity
 from panelflow.llm.common import learn_fold
 
 
@@ -39,6 +39,12 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    vocabulary = lm_score.count_words(documents)
+    return lm_score.score(documents, vocabulary, lm_score.train(documents, vocabulary))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(_table(spark, sf_dir, "documents"))
 
@@ -52,14 +58,25 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digest(_table(spark, sf_dir, "documents"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_toxicity": op3_toxicity,
     "op4_top_k": op4_top_k,
+    "op5_lm_score": op5_lm_score,
     "op6_quality_rules": op6_quality_rules,
     "op7_source_mix": op7_source_mix,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_html_extract": op9_html_extract,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
