@@ -52,17 +52,20 @@ def prefix_rows(documents: DataFrame, n: int, num: int, den: int, bits: int = SK
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = shared.value
         for pdf in batches:
-            size, one, two, prefix = [], [], [], []
+            size, one, two, prefix, last_count, last = [], [], [], [], [], []
             for text in pdf["text"]:
                 s = shingles(word_hashes(text), n)
                 size.append(len(s))
                 one.append(np.add.reduce(mix(s)).astype(np.int64) if len(s) else 0)
                 two.append(np.bitwise_xor.reduce(mix(s + np.uint64(0x632BE59BD9B4E019))).astype(np.int64) if len(s) else 0)
-                rare = np.lexsort((s, seen[(s >> np.uint64(64 - bits)).astype(np.int64)]))
-                prefix.append(s[rare[: len(s) - -(-num * len(s) // den) + 1]].astype(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": size, "fp1": one, "fp2": two, "prefix": prefix})
+                often = seen[(s >> np.uint64(64 - bits)).astype(np.int64)]
+                rare = np.lexsort((s.astype(np.int64), often))[: len(s) - -(-num * len(s) // den) + 1]
+                prefix.append(s[rare].astype(np.int64))
+                last_count.append(int(often[rare[-1]]) if len(s) else 0)
+                last.append(prefix[-1][-1] if len(s) else 0)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": size, "fp1": one, "fp2": two, "last_count": last_count, "last": last, "prefix": prefix})
 
-    return documents.mapInPandas(rows, "doc_id long, n_shingles long, fp1 long, fp2 long, prefix array<long>")
+    return documents.mapInPandas(rows, "doc_id long, n_shingles long, fp1 long, fp2 long, last_count long, last long, prefix array<long>")
 
 
 def _may_link(num: int, den: int, n: Column, pos: Column, m: Column, mpos: Column) -> Column:
@@ -71,6 +74,20 @@ def _may_link(num: int, den: int, n: Column, pos: Column, m: Column, mpos: Colum
     return (F.lit(den) * F.least(n, m) >= F.lit(num) * F.greatest(n, m)) & (F.least(n - pos, m - mpos) >= need)
 
 
+def _prefixes_allow(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose overlap can still be large enough, given how many prefix shingles they share.
+
+    Up to the earlier of the two prefixes' ends, in the common order, both prefixes are complete; so the overlap is at most
+    the shared prefix shingles and what follows the prefix that ends first.
+    """
+    side = lambda name, k: classes.select(F.col("rep").alias(name), F.struct("n_shingles", F.struct("last_count", "last").alias("end"), "prefix").alias(k))
+    joined = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    shared = F.size(F.array_intersect("x.prefix", "y.prefix"))
+    rest = F.when(F.col("x.end") <= F.col("y.end"), F.col("x.n_shingles") - F.size("x.prefix")).otherwise(F.col("y.n_shingles") - F.size("y.prefix"))
+    need = F.ceil((F.lit(num) * (F.col("x.n_shingles") + F.col("y.n_shingles"))) / F.lit(num + den))
+    return joined.where(shared + rest >= need).select("a", "b")
+
+
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
     """A lower bound of the number of elements that only one of two sorted sets holds, from how they fall apart at medians."""
     if not depth or not len(x) or not len(y):
@@ -80,8 +97,22 @@ def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
     return suffix_bound(x[:i], y[:j], depth - 1) + suffix_bound(x[i:], y[j:], depth - 1)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar; every pair is compared once."""
+def _verify(pairs: DataFrame, documents: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of documents whose shingle sets are similar; every pair is compared once.
+
+    Sets are built for the documents in pairs only.
+    """
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    chosen = membership_filter(ids)
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[pdf["doc_id"].notna()]
+            pdf = pdf[filter_has(chosen.value, pdf["doc_id"].to_numpy(np.int64))]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "items": [shingles(word_hashes(t), n).tobytes() for t in pdf["text"]]})
+
+    sets = documents.mapInPandas(build, "doc_id long, items binary").join(ids, "doc_id").groupBy("doc_id").agg(F.first("items").alias("items"))
+    sets = materialize(sets, "sets")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -105,7 +136,7 @@ def join_documents(documents: DataFrame, n: int = 5, num: int = 80, den: int = 1
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(prefix_rows(documents, n, num, den), "prefixes")
     key = ["fp1", "fp2", "n_shingles"]
-    classes = materialize(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "classes")
+    classes = materialize(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("last_count").alias("last_count"), F.first("last").alias("last"), F.first("prefix").alias("prefix")), "classes")
 
     # prefix shingles of two classes or more; the bitmap spares the shuffle of all others
     index = classes.select("rep", "n_shingles", F.posexplode("prefix").alias("pos", "gram"))
@@ -124,23 +155,12 @@ def join_documents(documents: DataFrame, n: int = 5, num: int = 80, den: int = 1
 
     index = materialize(classes.select("rep", "n_shingles", "prefix").mapInPandas(prune, "rep long, n long, pos long, gram long").join(common, "gram"), "index")
 
-    reps = materialize(index.select(F.col("rep").alias("doc_id")).distinct(), "reps")
-    chosen = membership_filter(reps)
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[pdf["doc_id"].notna()]
-            pdf = pdf[filter_has(chosen.value, pdf["doc_id"].to_numpy(np.int64))]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "items": [shingles(word_hashes(t), n).tobytes() for t in pdf["text"]]})
-
-    sets = documents.mapInPandas(build, "doc_id long, items binary").join(reps, "doc_id").dropDuplicates(["doc_id"])
-    sets = materialize(sets, "sets")
-
     # first round: the smallest set id met at a prefix shingle
     leaders = index.groupBy("gram").agg(F.min(F.struct("rep", "n", "pos")).alias("lead"))
     met = index.join(leaders, "gram").where((F.col("rep") > F.col("lead.rep")) & _may_link(num, den, F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
-    tried = materialize(met.groupBy(F.col("rep").alias("b")).agg(F.min("lead.rep").alias("a")).select("a", "b"), "tried")
-    links = _verify(tried, sets, num, den)
+    met = _prefixes_allow(met.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct(), classes, num, den)
+    tried = materialize(met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
+    links = _verify(tried, documents, n, num, den)
 
     # second round: all pairs across components
     found = components(links).withColumnRenamed("id", "rep")
@@ -150,7 +170,7 @@ def join_documents(documents: DataFrame, n: int = 5, num: int = 80, den: int = 1
     x, y = placed.alias("x"), placed.alias("y")
     across = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") < F.col("y.component")) & _may_link(num, den, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
     pairs = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verify(pairs, sets, num, den)
+    more = _verify(materialize(_prefixes_allow(pairs, classes, num, den), "pairs"), documents, n, num, den)
 
     final = components(links.union(more)).withColumnRenamed("id", "rep")
     named = classes.select(*key, "rep").join(final, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))

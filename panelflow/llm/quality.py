@@ -125,7 +125,10 @@ def cascade(documents: DataFrame, rules: list[Rule], columns: list[str]) -> Data
 
 def filter_documents(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that no rule rejects, with all their columns."""
-    return cascade(documents, order_rules(documents, rules), documents.columns).where("rejected_by IS NULL").drop("rejected_by")
+    judged = cascade(documents, order_rules(documents, rules), documents.columns)
+    # a filter pushed below the cascade would compute every feature inside its condition; the row number keeps it above
+    judged = judged.withColumn("_row", F.monotonically_increasing_id())
+    return judged.where("rejected_by IS NULL AND _row >= 0").select(*documents.columns)
 
 
 def score_documents(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

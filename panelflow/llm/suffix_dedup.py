@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from panelflow.llm.common import _BASE, _BYTE, _INVERSE, _MUL, _powers, filter_has, materialize, membership_filter, mix
 
@@ -154,7 +155,7 @@ def match_documents(texts: list[bytes], docs: np.ndarray, length: int = LENGTH)
 
 
 def mark_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, text, spans): every row, with the byte ranges [start, end) to remove, disjoint and ascending (binary of int64 pairs)."""
+    """Every row with all its columns and `spans`: the byte ranges [start, end) to remove, disjoint and ascending (binary of int64 pairs)."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND octet_length(text) >= " + str(length))
     rows = rows.withColumn("fp", F.xxhash64("text"))
 
@@ -221,8 +222,10 @@ def mark_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = held.groupBy("doc_id", "fp").agg(F.collect_list(F.struct((F.col("at") + F.col("first")).alias("a"), (F.col("at") + F.col("last") + length).alias("b"))).alias("found"))
     spans = spans.select(F.col("doc_id").alias("d"), F.col("fp").alias("f"), F.col("found.a").alias("a"), F.col("found.b").alias("b"))
 
-    every = documents.select("doc_id", "text")
-    joined = every.join(spans, (F.col("doc_id").cast("long") == F.col("d")) & (F.xxhash64("text") == F.col("f")), "left").select("doc_id", "text", "a", "b")
+    columns = [f"_{k}" for k in range(len(documents.columns))]  # so that no column of documents clashes
+    every = documents.toDF(*columns)
+    doc_id, text = (F.col(columns[documents.columns.index(c)]) for c in ("doc_id", "text"))
+    joined = every.join(spans, (doc_id.cast("long") == F.col("d")) & (F.xxhash64(text) == F.col("f")), "left").select(*columns, "a", "b")
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -235,10 +238,10 @@ def mark_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
                 a, b = np.asarray(a)[order], np.maximum.accumulate(np.asarray(b)[order])
                 new = np.flatnonzero(np.concatenate(([True], a[1:] > b[:-1])))
                 out.append(np.stack((a[new], b[np.append(new[1:], len(a)) - 1]), axis=1).astype(np.int64).tobytes())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": pdf["text"], "spans": out})
+            yield pdf[columns].assign(spans=out)
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return joined.mapInPandas(merge, f"doc_id {kind}, text string, spans binary")
+    schema = StructType([*every.schema.fields, StructField("spans", BinaryType())])
+    return joined.mapInPandas(merge, schema).toDF(*documents.columns, "spans")
 
 
 def kept_bytes(text: str | None, spans: bytes) -> bytes:
@@ -259,4 +262,15 @@ def removal_digest(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": total, "n_removed": total - np.array([len(k) for k in kept], np.int64), "n_spans": [len(s) // 16 for s in pdf["spans"]], "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return mark_repeats(documents, length).mapInPandas(digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return mark_repeats(documents.select("doc_id", "text"), length).mapInPandas(digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+    """documents with the marked bytes cut from text; of a character that a cut splits, nothing stays."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            text = [t if not s else kept_bytes(t, s).decode("utf-8", "ignore") for t, s in zip(pdf["text"], pdf["spans"], strict=True)]
+            yield pdf.assign(text=text).drop(columns="spans")
+
+    return mark_repeats(documents, length).mapInPandas(cut, documents.schema)
