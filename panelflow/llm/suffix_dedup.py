@@ -35,8 +35,8 @@ _K = 16
 _LONGEST = 64
 _PIECE = 1 << 19
 #: From so many documents on, a minimizer's windows are dealt one by one.
-HOT = 2000
-SHARD_SEGMENTS = 20_000
+HOT = 8000
+SHARD_SEGMENTS = 8000
 
 
 def utf8(text: str | None) -> bytes:
@@ -94,6 +94,45 @@ def _cut(data: bytes, length: int, common: np.ndarray, hot: np.ndarray) -> Itera
         yield key, np.concatenate((minimizer[~single], key[(~single).sum() :])), start + at, end + at
 
 
+def suffix_order(padded: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Suffixes in order up to the end of their text, equal ones by position.
+
+    padded: bytes, 0 at the end of each text, and 128 more zeros; left: bytes to the end of the text. Suffixes are sorted by
+    their first bytes, then only those still tied, by twice as many bytes in each turn. A key holds the rank so far, the rank
+    of what follows, and the position, so that sorting values is enough.
+    """
+    n = len(left)
+    bits = n.bit_length()
+    if 3 * bits > 63:
+        raise ValueError("a shard is too large for its sort keys")
+    depth = (63 - bits) // 8
+    key, alive = np.zeros(n, np.int64), np.ones(n, bool)
+    for d in range(depth):
+        byte = padded[d : d + n] * alive
+        alive = byte != 0
+        key = (key << 8) | byte
+    key = np.sort((key << bits) | np.arange(n))
+    order = key & ((1 << bits) - 1)
+    key >>= bits
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    slots = np.arange(n)
+    rank = np.empty(n, np.int64)
+    while True:
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(slots)))
+        rank[order[slots]] = np.repeat(slots[start], size)
+        slots = slots[np.repeat(size > 1, size)]
+        if not len(slots) or depth >= 128:
+            return order
+        at = order[slots]
+        after = np.where(left[at] > depth, rank[np.minimum(at + depth, n - 1)] + 1, 0)
+        key = np.sort((rank[at] << (2 * bits)) | (after << bits) | at)
+        order[slots] = key & ((1 << bits) - 1)
+        key >>= bits
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        depth *= 2
+
+
 def match_documents(texts: list[bytes], docs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """For each byte position of the concatenated texts, the smallest of docs whose text holds the `length` bytes that
     start there; and where each text starts. Positions with fewer bytes left give their own document.
@@ -108,23 +147,7 @@ def match_documents(texts: list[bytes], docs: np.ndarray, length: int = LENGTH)
     left = np.repeat(begin + size - 1, size) - np.arange(n)  # bytes up to the text's end
     padded = np.concatenate((body, np.zeros(128, np.uint8)))
 
-    # suffixes in order: eight bytes at first, then twice as many in each turn
-    key, alive = np.zeros(n, np.uint64), np.ones(n, bool)
-    for d in range(8):
-        byte = np.where(alive, padded[d : d + n], 0)
-        alive = byte != 0
-        key = (key << np.uint64(8)) | byte.astype(np.uint64)
-    depth = 8
-    while True:
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([1], (ranked[1:] != ranked[:-1]).astype(np.int64))))
-        if depth >= 128 or rank[order[-1]] == n:
-            break
-        after = np.where(left > depth, rank[np.minimum(np.arange(n) + depth, n - 1)], 0)
-        key = (rank.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)
-        depth *= 2
+    order = suffix_order(padded, left)
 
     # the transform, run-length encoded; a text's first byte always begins a run
     before = np.where(left[order] == np.repeat(size - 1, size)[order], 0, body[order - 1])
