@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelflow.session import materialize
+
 BITS = 14
 ORDERS = (1, 2, 3)
 ALPHA = 0.5
@@ -80,20 +82,21 @@ def fit(rows: DataFrame, bits: int = BITS, alpha: float = ALPHA) -> LanguageMode
             yield pd.DataFrame({"lang": lang, "bucket": np.append(used, -1).astype(np.int32), "n": np.append(total[used], seen[lang])})
 
     counts = rows.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL").mapInPandas(count, "lang string, bucket int, n long")
-    counts = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counts = counts.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("counts"))
-    found = counts.limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
+    counts = materialize(counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "grams")
+    # both results have a bounded number of rows: languages, and languages times buckets
+    docs_of = counts.where("bucket < 0").limit(MAX_LANGUAGES + 1).collect()
+    if len(docs_of) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    found.sort(key=lambda r: r["lang"])
-    table = np.zeros((1 << bits, len(found)))
-    docs = np.zeros(len(found))
-    for k, row in enumerate(found):
-        buckets, n = np.array(row["buckets"]), np.array(row["counts"], float)
-        docs[k] = n[buckets < 0].sum()
-        table[buckets[buckets >= 0], k] = n[buckets >= 0]
+    languages = sorted(r["lang"] for r in docs_of)
+    place = {lang: k for k, lang in enumerate(languages)}
+    docs = np.zeros(len(languages))
+    for r in docs_of:
+        docs[place[r["lang"]]] = r["n"]
+    table = np.zeros((1 << bits, len(languages)))
+    rows_of = counts.where("bucket >= 0").toPandas()
+    table[rows_of["bucket"], rows_of["lang"].map(place).astype(np.int64)] = rows_of["n"]
     table += alpha
-    return LanguageModel([r["lang"] for r in found], np.log(table / table.sum(axis=0)) if found else table, np.log(docs / docs.sum()) if found else docs, bits)
+    return LanguageModel(languages, np.log(table / table.sum(axis=0)), np.log(docs / docs.sum()) if languages else docs, bits)
 
 
 def predict(documents: DataFrame, model: LanguageModel) -> DataFrame:

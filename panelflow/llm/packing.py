@@ -81,3 +81,28 @@ def pack(documents: DataFrame, length: str | None = None, buckets: int = BUCKETS
     place = F.col("ahead") + F.row_number().over(Window.partitionBy("bucket", "part").orderBy("key", "length")) - 1
     fits = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("boundary"), F.lit(1))))
     return df.join(parts, ["bucket", "part"]).withColumn("batch", F.floor(place / fits)).select("doc_id", "length", "bucket", "boundary", "batch")
+
+
+def oracle_sql(buckets: int = BUCKETS, budget: int = BUDGET) -> str:
+    """The same in DuckDB SQL, for corpora of at least `buckets` different lengths."""
+    step = math.log(2) * 32 / (GRID - _EXACT)
+    best = "b1 AS (SELECT j, a * len AS c, CAST(0 AS BIGINT) AS i FROM r)"
+    for k in range(2, buckets + 1):
+        best += f""",
+x{k} AS (SELECT r.j, min(row(p.c + (r.a - q.a) * r.len, p.j)) AS s FROM r JOIN b{k - 1} p ON p.j < r.j JOIN r q ON q.j = p.j GROUP BY r.j), b{k} AS (SELECT j, s[1] AS c, s[2] AS i FROM x{k})"""
+    ends = f"e{buckets} AS (SELECT max(j) AS j FROM r)"
+    for k in range(buckets - 1, 0, -1):
+        ends += f", e{k} AS (SELECT b.i AS j FROM b{k + 1} b JOIN e{k + 1} e ON b.j = e.j)"
+    chosen = " UNION ALL ".join(f"SELECT {k - 1} AS bucket, len AS boundary FROM r JOIN e{k} USING (j)" for k in range(1, buckets + 1))
+    return rf"""
+WITH d AS (SELECT doc_id, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+  CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS length FROM documents),
+g AS (SELECT *, CASE WHEN length <= {_EXACT} THEN length ELSE CAST(ceil(exp(ceil(ln(length / {float(_EXACT)}) / {step!r} - 1e-9) * {step!r}) * {float(_EXACT)} - 1e-6) AS BIGINT) END AS grid FROM d),
+r AS (SELECT row_number() OVER (ORDER BY grid) AS j, grid AS len, CAST(sum(count(*)) OVER (ORDER BY grid) AS BIGINT) AS a FROM g GROUP BY grid),
+{best},
+{ends},
+ends AS ({chosen}),
+p AS (SELECT g.*, bucket, boundary FROM g JOIN ends ON grid <= boundary QUALIFY row_number() OVER (PARTITION BY doc_id, k, length ORDER BY boundary) = 1)
+SELECT doc_id, length, CAST(bucket AS INTEGER) AS bucket, boundary,
+  CAST(floor((row_number() OVER (PARTITION BY bucket ORDER BY k, length) - 1) / greatest(1, floor({budget} / greatest(boundary, 1)))) AS BIGINT) AS batch FROM p
+"""
