@@ -2,39 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelflow.session import materialize
+
 #: A word is a run of characters other than space and \t..\r; the same in Java's and Python's regular expressions.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, else a local one of our own (tests)."""
-    sc = spark.sparkContext
-    if folder := sc.getConf().get("spark.checkpoint.dir", None):
-        return folder
-    if not (folder := sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        folder = sc.getCheckpointDir()
-    return folder
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared scratch folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession).rstrip('/')}/panelflow-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """The words of a text; of null, none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
@@ -152,20 +134,23 @@ def membership_filter(keys: DataFrame, bits: int = 26) -> Broadcast:
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.zeros(1 << bits, bool)
         for pdf in batches:
-            table[filter_slots(pdf.iloc[:, 0].to_numpy(np.int64), bits)] = True
+            for slots in filter_slots(pdf.iloc[:, 0].to_numpy(np.int64), bits):
+                table[slots] = True
         yield split_blocks(np.packbits(table), blocks)
 
     parts = keys.mapInPandas(mark, "block int, data binary")
     return keys.sparkSession.sparkContext.broadcast(gather_blocks(parts, 1 << (bits - 3), "uint8", np.bitwise_or))
 
 
-def filter_slots(keys: np.ndarray, bits: int = 26) -> np.ndarray:
-    return (mix(keys.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+def filter_slots(keys: np.ndarray, bits: int = 26) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits for each key."""
+    h = mix(keys.astype(np.uint64))
+    return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def filter_has(bitmap: np.ndarray, keys: np.ndarray, bits: int = 26) -> np.ndarray:
-    slots = filter_slots(keys, bits)
-    return (bitmap[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 == 1
+    one, two = filter_slots(keys, bits)
+    return ((bitmap[one >> 3] >> (7 - (one & 7)).astype(np.uint8)) & (bitmap[two >> 3] >> (7 - (two & 7)).astype(np.uint8)) & 1) == 1
 
 
 # ---------------------------------------------------------------- connected components

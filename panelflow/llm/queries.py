@@ -84,4 +84,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_top_k": topk.ORACLE_SQL,
     "op6_quality_rules": quality.ORACLE_SQL,
     "op7_source_mix": mixing.ORACLE_SQL,
+    "op8_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    "op10_packing": packing.oracle_sql(),
 }

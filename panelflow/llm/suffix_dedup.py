@@ -33,6 +33,8 @@ from panelflow.llm.common import _BASE, _BYTE, _INVERSE, _MUL, _powers, filter_h
 LENGTH = 50
 _K = 16
 _LONGEST = 64
+#: Odd factors; one for each doubling of the hashed length.
+_STEP_MUL = list(np.array([1, 3, 7, 13], np.uint64) * _MUL)
 _PIECE = 1 << 19
 #: From so many documents on, a minimizer's windows are dealt one by one.
 HOT = 8000
@@ -48,8 +50,8 @@ def segments(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
     if len(raw) < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = _BYTE[raw]
-    for step in (1, 2, 4, 8):
-        h = h[:-step] * _MUL + (h[step:] ^ (h[step:] >> np.uint64(32)))
+    for step, by in zip((1, 2, 4, 8), _STEP_MUL, strict=True):
+        h = h[:-step] * by + h[step:]
     h = mix(h)
     width, reach = length - _K + 1, 1
     while 2 * reach <= width:
@@ -103,8 +105,6 @@ def suffix_order(padded: np.ndarray, left: np.ndarray) -> np.ndarray:
     """
     n = len(left)
     bits = n.bit_length()
-    if 3 * bits > 63:
-        raise ValueError("a shard is too large for its sort keys")
     depth = (63 - bits) // 8
     key, alive = np.zeros(n, np.int64), np.ones(n, bool)
     for d in range(depth):
@@ -126,9 +126,14 @@ def suffix_order(padded: np.ndarray, left: np.ndarray) -> np.ndarray:
             return order
         at = order[slots]
         after = np.where(left[at] > depth, rank[np.minimum(at + depth, n - 1)] + 1, 0)
-        key = np.sort((rank[at] << (2 * bits)) | (after << bits) | at)
-        order[slots] = key & ((1 << bits) - 1)
-        key >>= bits
+        if 3 * bits <= 63:
+            key = np.sort((rank[at] << (2 * bits)) | (after << bits) | at)
+            order[slots] = key & ((1 << bits) - 1)
+            key >>= bits
+        else:  # more than two million bytes
+            key = (rank[at] << bits) | after
+            turn = np.lexsort((at, key))
+            key, order[slots] = key[turn], at[turn]
         new = np.concatenate(([True], key[1:] != key[:-1]))
         depth *= 2
 
@@ -150,7 +155,8 @@ def match_documents(texts: list[bytes], docs: np.ndarray, length: int = LENGTH)
     order = suffix_order(padded, left)
 
     # the transform, run-length encoded; a text's first byte always begins a run
-    before = np.where(left[order] == np.repeat(size - 1, size)[order], 0, body[order - 1])
+    previous = np.concatenate((np.zeros(1, np.uint8), body[:-1]))  # 0 before each text's first byte
+    before = previous[order]
     heads = np.flatnonzero(np.concatenate(([True], (before[1:] != before[:-1]) | (before[1:] == 0))))
     sample, above = order[heads], order[np.maximum(heads - 1, 0)]  # this run's first suffix, and the last of the run before
     common = np.zeros(len(heads), np.int64)
@@ -177,8 +183,8 @@ def match_documents(texts: list[bytes], docs: np.ndarray, length: int = LENGTH)
     return out, begin
 
 
-def mark_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Every row with all its columns and `spans`: the byte ranges [start, end) to remove, disjoint and ascending (binary of int64 pairs)."""
+def mark_repeats(documents: DataFrame, length: int = LENGTH, name: str = "spans") -> DataFrame:
+    """Every row with all its columns and, named `name`, the byte ranges [start, end) to remove, disjoint and ascending (binary of int64 pairs)."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND octet_length(text) >= " + str(length))
     rows = rows.withColumn("fp", F.xxhash64("text"))
 
@@ -235,11 +241,18 @@ def mark_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for doc, fp, text in zip(pdf["doc_id"], pdf["fp"], pdf["text"], strict=True):
-                for key, _, start, _ in _cut(utf8(text), length, common.value, hot.value):
+            for at in range(0, len(pdf), 500):
+                part, keys, rows_of, starts = pdf.iloc[at : at + 500], [], [], []
+                for k, text in enumerate(part["text"]):
+                    for key, _, start, _ in _cut(utf8(text), length, common.value, hot.value):
+                        keys.append(key)
+                        rows_of.append(np.full(len(key), k))
+                        starts.append(start)
+                if keys:
+                    key = np.concatenate(keys)
                     keep = filter_has(marked.value, key)
-                    if keep.any():
-                        yield pd.DataFrame({"key": key[keep].astype(np.int64), "doc_id": doc, "fp": fp, "at": start[keep]})
+                    row = np.concatenate(rows_of)[keep]
+                    yield pd.DataFrame({"key": key[keep].astype(np.int64), "doc_id": part["doc_id"].to_numpy()[row], "fp": part["fp"].to_numpy()[row], "at": np.concatenate(starts)[keep]})
 
     held = rows.mapInPandas(occurrences, "key long, doc_id long, fp long, at long").join(marks, "key").where("least < doc_id")
     spans = held.groupBy("doc_id", "fp").agg(F.collect_list(F.struct((F.col("at") + F.col("first")).alias("a"), (F.col("at") + F.col("last") + length).alias("b"))).alias("found"))
@@ -264,7 +277,7 @@ def mark_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pdf[columns].assign(spans=out)
 
     schema = StructType([*every.schema.fields, StructField("spans", BinaryType())])
-    return joined.mapInPandas(merge, schema).toDF(*documents.columns, "spans")
+    return joined.mapInPandas(merge, schema).toDF(*documents.columns, name)
 
 
 def kept_bytes(text: str | None, spans: bytes) -> bytes:
@@ -291,9 +304,26 @@ def removal_digest(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """documents with the marked bytes cut from text; of a character that a cut splits, nothing stays."""
 
+    name = "_spans" + "_" * max(map(len, documents.columns), default=0)
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            text = [t if not s else kept_bytes(t, s).decode("utf-8", "ignore") for t, s in zip(pdf["text"], pdf["spans"], strict=True)]
-            yield pdf.assign(text=text).drop(columns="spans")
-
-    return mark_repeats(documents, length).mapInPandas(cut, documents.schema)
+            text = [t if not s else kept_bytes(t, s).decode("utf-8", "ignore") for t, s in zip(pdf["text"], pdf[name], strict=True)]
+            yield pdf.assign(text=text).drop(columns=name)
+
+    return mark_repeats(documents, length, name).mapInPandas(cut, documents.schema)
+
+
+#: Every window of LENGTH bytes, for small data.
+ORACLE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, doc_id, p, substr(h, 2 * p + 1, 100) AS g FROM (SELECT *, unnest(range(len(h) // 2 - 49)) AS p FROM d WHERE len(h) >= 100)),
+m AS (SELECT g, min(doc_id) AS lo FROM w GROUP BY g),
+r AS (SELECT rid, p, lag(p) OVER (PARTITION BY rid ORDER BY p) AS q FROM w JOIN m USING (g) WHERE lo < doc_id),
+i AS (SELECT rid, p, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY p) AS k FROM r),
+s AS (SELECT rid, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY rid, k),
+e AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS f FROM s),
+t AS (SELECT rid, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM e JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN t USING (rid)
+"""
