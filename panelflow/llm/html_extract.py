@@ -243,5 +243,6 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    joined = rows.join(templates, F.col("host") == F.col("h")).select("page_id", "url", "html", "slot", "texts")
-    return joined.mapInPandas(cut, f"page_id {kind}, url string, text string, n_chars long")
+    joined = rows.join(templates, F.col("host") == F.col("h")).select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "slot", "texts")
+    # ids travel as text: with a null among them, pandas would make them floats
+    return joined.mapInPandas(cut, "page_id string, url string, text string, n_chars long").withColumn("page_id", F.col("page_id").cast(kind))

@@ -65,7 +65,9 @@ def prefix_rows(documents: DataFrame, n: int, num: int, den: int, bits: int = SK
                 last.append(prefix[-1][-1] if len(s) else 0)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": size, "fp1": one, "fp2": two, "last_count": last_count, "last": last, "prefix": prefix})
 
-    return documents.mapInPandas(rows, "doc_id long, n_shingles long, fp1 long, fp2 long, last_count long, last long, prefix array<long>")
+    # ids travel as text: with a null among them, pandas would make them floats
+    out = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(rows, "doc_id string, n_shingles long, fp1 long, fp2 long, last_count long, last long, prefix array<long>")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _may_link(num: int, den: int, n: Column, pos: Column, m: Column, mpos: Column) -> Column:
@@ -107,11 +109,10 @@ def _verify(pairs: DataFrame, documents: DataFrame, n: int, num: int, den: int)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf[pdf["doc_id"].notna()]
             pdf = pdf[filter_has(chosen.value, pdf["doc_id"].to_numpy(np.int64))]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "items": [shingles(word_hashes(t), n).tobytes() for t in pdf["text"]]})
 
-    sets = documents.mapInPandas(build, "doc_id long, items binary").join(ids, "doc_id").groupBy("doc_id").agg(F.first("items").alias("items"))
+    sets = documents.where("doc_id IS NOT NULL").mapInPandas(build, "doc_id long, items binary").join(ids, "doc_id").groupBy("doc_id").agg(F.first("items").alias("items"))
     sets = materialize(sets, "sets")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

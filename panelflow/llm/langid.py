@@ -128,4 +128,6 @@ def predict(documents: DataFrame, model: LanguageModel) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": names, "score": best})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInPandas(score, f"doc_id {kind}, lang_pred string, score double")
+    # ids travel as text: with a null among them, pandas would make them floats
+    out = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(score, "doc_id string, lang_pred string, score double")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))

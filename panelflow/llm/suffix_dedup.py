@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -263,21 +264,22 @@ def mark_repeats(documents: DataFrame, length: int = LENGTH, name: str = "spans"
     doc_id, text = (F.col(columns[documents.columns.index(c)]) for c in ("doc_id", "text"))
     joined = every.join(spans, (doc_id.cast("long") == F.col("d")) & (F.xxhash64(text) == F.col("f")), "left").select(*columns, "a", "b")
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for a, b in zip(pdf["a"], pdf["b"], strict=True):
-                if a is None:
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                if not a.is_valid:
                     out.append(b"")
                     continue
+                a, b = a.values.to_numpy(zero_copy_only=False), b.values.to_numpy(zero_copy_only=False)
                 order = np.argsort(a, kind="stable")
-                a, b = np.asarray(a)[order], np.maximum.accumulate(np.asarray(b)[order])
+                a, b = a[order], np.maximum.accumulate(b[order])
                 new = np.flatnonzero(np.concatenate(([True], a[1:] > b[:-1])))
                 out.append(np.stack((a[new], b[np.append(new[1:], len(a)) - 1]), axis=1).astype(np.int64).tobytes())
-            yield pdf[columns].assign(spans=out)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.binary())], [*columns, "spans"])
 
     schema = StructType([*every.schema.fields, StructField("spans", BinaryType())])
-    return joined.mapInPandas(merge, schema).toDF(*documents.columns, name)
+    return joined.mapInArrow(merge, schema).toDF(*documents.columns, name)
 
 
 def kept_bytes(text: str | None, spans: bytes) -> bytes:
@@ -291,14 +293,17 @@ def kept_bytes(text: str | None, spans: bytes) -> bytes:
 def removal_digest(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            kept = [kept_bytes(t, s) for t, s in zip(pdf["text"], pdf["spans"], strict=True)]
-            total = np.array([len(utf8(t)) for t in pdf["text"]], np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": total, "n_removed": total - np.array([len(k) for k in kept], np.int64), "n_spans": [len(s) // 16 for s in pdf["spans"]], "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]})
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
+            kept = [kept_bytes(t, s) for t, s in zip(texts, spans, strict=True)]
+            total = np.array([len(utf8(t)) for t in texts], np.int64)
+            gone = total - np.array([len(k) for k in kept], np.int64)
+            values = [pa.array(total), pa.array(gone), pa.array([len(s) // 16 for s in spans], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *values], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return mark_repeats(documents.select("doc_id", "text"), length).mapInPandas(digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return mark_repeats(documents.select("doc_id", "text"), length).mapInArrow(digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -306,12 +311,14 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
     name = "_spans" + "_" * max(map(len, documents.columns), default=0)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            text = [t if not s else kept_bytes(t, s).decode("utf-8", "ignore") for t, s in zip(pdf["text"], pdf[name], strict=True)]
-            yield pdf.assign(text=text).drop(columns=name)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = batch.column("text").to_pylist(), batch.column(name).to_pylist()
+            text = pa.array([t if not s else kept_bytes(t, s).decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(c) for c in documents_columns], documents_columns)
 
-    return mark_repeats(documents, length, name).mapInPandas(cut, documents.schema)
+    documents_columns = list(documents.columns)
+    return mark_repeats(documents, length, name).mapInArrow(cut, documents.schema)
 
 
 #: Every window of LENGTH bytes, for small data.

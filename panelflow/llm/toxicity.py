@@ -133,4 +133,6 @@ def predict(documents: DataFrame, model: ToxicityModel) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": 1 / (1 + np.exp(-np.clip(z, -40, 40)))})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInPandas(score, f"doc_id {kind}, score double")
+    # ids travel as text: with a null among them, pandas would make them floats
+    out = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(score, "doc_id string, score double")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
