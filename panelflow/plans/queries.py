@@ -296,7 +296,8 @@ def perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _walk(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("naive", "heuristic"), **more) -> tuple[DataFrame, DataFrame]:
-    return walkforward.run(_split(spark, sf_dir, "train"), _split(spark, sf_dir, "test"), FOLD, STEP, MIN_TRAIN, names=names, **more)
+    df = materialize(panel.feature_table(spark, sf_dir), "features")  # windows, folds and rows all come from it
+    return walkforward.run(df.where("split = 'train'"), df.where("split = 'test'"), FOLD, STEP, MIN_TRAIN, names=names, **more)
 
 
 def walk_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
