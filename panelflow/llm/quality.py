@@ -37,8 +37,8 @@ RULES = (
     Rule("repeats", ("n_words", "n_repeat_words"), lambda: 100 * F.col("n_repeat_words") > 20 * F.col("n_words"), 0, 600),
     Rule("symbols", ("n_words", "n_symbols"), lambda: 10 * F.col("n_symbols") > F.col("n_words"), 10, 0),
     Rule("word_length", ("n_words", "word_chars"), lambda: ~F.col("word_chars").between(2 * F.col("n_words"), 15 * F.col("n_words")), 1, 10),
-    Rule("dup_lines", ("n_lines", "n_dup_lines"), lambda: (F.col("n_dup_lines") >= 2) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines")), 12, 0),
-    Rule("letters", ("word_chars", "n_other_chars"), lambda: 10 * F.col("n_other_chars") > 4 * F.col("word_chars"), 25, 0),
+    Rule("dup_lines", ("n_lines", "n_dup_lines"), lambda: (F.col("n_dup_lines") >= 2) & (2 * F.col("n_dup_lines") > F.col("n_lines")), 12, 0),
+    Rule("letters", ("word_chars", "n_other_chars"), lambda: 10 * F.col("n_other_chars") > 7 * F.col("word_chars"), 25, 0),
 )
 BASE = ("short", "repeats")
 
@@ -163,6 +163,6 @@ f AS (SELECT l.rid, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(rege
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > n_words OR word_chars NOT BETWEEN 2 * n_words AND 15 * n_words
-       OR (n_dup_lines >= 2 AND 100 * n_dup_lines > 30 * n_lines) OR 10 * n_other > 4 * word_chars) AS kept
+       OR (n_dup_lines >= 2 AND 2 * n_dup_lines > n_lines) OR 10 * n_other > 7 * word_chars) AS kept
 FROM b
 """

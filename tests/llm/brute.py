@@ -84,7 +84,7 @@ def kept(text):
     n, chars, symbols, dup, _, failed = quality(text)
     lines = sum(1 for x in (text or "").split("\n") if words(x))
     other = sum(1 for c in "".join(words(text)) if not c.isalpha())
-    return not (failed or 10 * symbols > n or not 2 * n <= chars <= 15 * n or (dup >= 2 and 100 * dup > 30 * lines) or 10 * other > 4 * chars)
+    return not (failed or 10 * symbols > n or not 2 * n <= chars <= 15 * n or (dup >= 2 and 2 * dup > lines) or 10 * other > 7 * chars)
 
 
 def targets(sizes, weights=(1, 2, 3), epochs=3):

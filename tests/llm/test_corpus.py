@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelflow.llm import html_extract, jaccard, langid, lm_score, mixing, packing, quality, queries, suffix_dedup, topk, toxicity
-from panelflow.llm.common import components, learn_fold, shingles, word_hashes
+from panelflow.llm.common import components, filter_has, learn_fold, membership_filter, shingles, word_hashes
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -87,6 +87,13 @@ def test_word_hashes_follow_words():
     assert len(shingles(word_hashes("a b"), 3)) == 1 and len(shingles(word_hashes("a b c d a b c d"), 3)) == 4
 
 
+def test_membership_filter(spark):
+    keys = np.random.default_rng(3).integers(-(2**62), 2**62, 5000)
+    held = membership_filter(spark.createDataFrame([(int(k),) for k in keys], "k long")).value
+    assert filter_has(held, keys).all() and filter_has(held, keys + 1).mean() < 0.1
+    assert not filter_has(membership_filter(spark.createDataFrame([], "k long")).value, keys).any()
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(k, k + 1) for k in range(1000, 1060)]
@@ -166,20 +173,20 @@ def test_suffix_dedup_frequent_passages(docs, corpus, monkeypatch):
     """With every shared minimizer dealt window by window, and tiny shards."""
     monkeypatch.setattr(suffix_dedup, "HOT", 2)
     monkeypatch.setattr(suffix_dedup, "SHARD_SEGMENTS", 50)
+    monkeypatch.setattr(suffix_dedup, "MOST_KEYS", 10)  # too many keys for a bitmap: the join
     want = _bag((i, n, gone, runs, brute.digest(kept)) for (i, *_), (kept, n, gone, runs) in zip(corpus, brute.removed([(i, t) for i, t, *_ in corpus]), strict=True))
     assert _bag(map(tuple, suffix_dedup.removal_digest(docs).collect())) == want
 
 
-def test_match_documents():
+def test_first_texts():
     rng = random.Random(2)
     texts = sorted({bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 120))) for _ in range(300)}, key=lambda _: rng.random())
-    docs = np.sort(np.array([rng.randrange(200) for _ in texts]))
     for length in (6, 20):
-        got, begin = suffix_dedup.match_documents(texts, docs, length)
+        got, begin = suffix_dedup.first_texts(texts, length)
         for k, t in enumerate(texts):
             for p in range(len(t) - length + 1):
                 w = t[p : p + length]
-                assert got[begin[k] + p] == min(d for d, x in zip(docs, texts, strict=True) if w in x)
+                assert got[begin[k] + p] == next(j for j, x in enumerate(texts) if w in x)
 
 
 def test_segments_cover_all_windows():
@@ -427,3 +434,23 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = queries.op1_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL").collect()
     assert got and sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.95
+
+
+def test_large_ids_stay_exact_beside_null(spark):
+    text = "the river runs by the old stone house and the garden wall near the quiet town today"
+    ids = [2**60 + 1, None, 2**60 + 3]
+    df = spark.createDataFrame([(i, text, "en", "s", None if i else 7) for i in ids], SCHEMA).coalesce(1)
+    vocabulary = lm_score.count_words(df)
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit("http://a.example/").alias("url"), F.col("text").alias("html"))
+    frames = [
+        langid.predict(df, langid.fit(df)),
+        toxicity.predict(df, toxicity.fit(df, df.select("doc_id", F.lit(0).alias("toxic")))),
+        lm_score.score(df, vocabulary, lm_score.train(df, vocabulary)),
+        jaccard.join_documents(df),
+        suffix_dedup.removal_digest(df),
+        suffix_dedup.remove_repeats(df),
+        html_extract.extract(pages).withColumnRenamed("page_id", "doc_id"),
+    ]
+    for frame in frames:
+        assert _bag(r["doc_id"] for r in frame.collect()) == _bag(ids)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.join_documents(df).collect()} == {2**60 + 1: 2**60 + 1, 2**60 + 3: 2**60 + 1, None: None}
