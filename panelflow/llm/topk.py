@@ -12,8 +12,6 @@ repeat an id are that same item). Fewer than k candidates give fewer rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
