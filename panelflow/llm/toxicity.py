@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-How many toxic and other texts hold each hashed n-gram is counted over all labelled learning rows. Of the buckets, those
-whose log-count ratio stands out most keep their ratio as scale; a logistic regression over the scaled presence of these is
-fitted on a sample of at most `max_rows` learning rows (chosen by a hash of the id), then weight times scale is broadcast.
+The classifier learns from at most about `max_rows` labelled rows, chosen by a hash of the id, so their ids can be broadcast
+and no text is shuffled. How many toxic and other texts among them hold each hashed n-gram is counted on the executors. Of
+the buckets, those whose log-count ratio stands out most keep their ratio as scale; a logistic regression over the scaled
+presence of these is fitted on at most about `fit_rows` of the rows, then weight times scale is broadcast. All texts are scored.
 
 Edge cases: null and empty texts have no n-grams and get the score of the intercept; learning rows with a null text, label
 or id teach nothing, several labels of a document count as toxic if one is; without both classes to learn from every
@@ -24,8 +25,9 @@ from panelflow.llm.langid import code_points
 BITS = 18
 ORDERS = (3, 4, 5, 6)
 FEATURES = 4096
-#: The classifier is fitted on so many labelled rows at most.
-MAX_ROWS = 12_000
+#: Log-count ratios come from so many labelled rows at most, the logistic regression from so many of them.
+MAX_ROWS = 30_000
+FIT_ROWS = 12_000
 _PIECE = 1 << 20
 
 
@@ -54,9 +56,13 @@ class ToxicityModel:
     bits: int = BITS
 
 
-def _labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    rows = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return documents.select("doc_id", "text").where("text IS NOT NULL").join(rows, "doc_id").select("doc_id", "toxic", "text")
+def _share(rows: DataFrame, part: float) -> DataFrame:
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, part) * 1_000_000))
+
+
+def _labelled(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """The texts of a bounded number of labelled rows (doc_id, toxic)."""
+    return documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(rows), "doc_id").select("doc_id", "toxic", "text")
 
 
 def _logistic(indices: list[np.ndarray], y: np.ndarray, scale: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, float]:
@@ -75,9 +81,11 @@ def _logistic(indices: list[np.ndarray], y: np.ndarray, scale: np.ndarray, l2: f
     return w, b
 
 
-def fit(documents: DataFrame, labels: DataFrame, bits: int = BITS, features: int = FEATURES, max_rows: int = MAX_ROWS, l2: float = 1e-4, steps: int = 250) -> ToxicityModel:
+def fit(documents: DataFrame, labels: DataFrame, bits: int = BITS, features: int = FEATURES, max_rows: int = MAX_ROWS, fit_rows: int = FIT_ROWS, l2: float = 1e-4, steps: int = 250) -> ToxicityModel:
     """Learn from the texts of documents that labels (doc_id, toxic 0/1) covers."""
-    labels = labels.select("doc_id", "toxic")
+    labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n_labels = labels.count()
+    labels = _share(labels, max_rows / max(1, n_labels))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flags, total, seen = np.zeros(1 << bits, bool), np.zeros((2, 1 << bits), np.int64), np.zeros(2, np.int64)
@@ -108,10 +116,8 @@ def fit(documents: DataFrame, labels: DataFrame, bits: int = BITS, features: int
             held = [at[gram_set(text, flags, bits)] for text in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": (pdf["toxic"] > 0).astype(np.int32), "held": [x[x >= 0].astype(np.int32).tobytes() for x in held]})
 
-    part = min(1.0, max_rows / (n_toxic + n_other))
-    sample = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = _labelled(documents, F.broadcast(sample)).mapInPandas(features_of, f"doc_id {kind}, toxic int, held binary").toPandas().sort_values("doc_id", kind="stable")
+    rows = _labelled(documents, _share(labels, min(1.0, max_rows / max(1, n_labels)) * fit_rows / (n_toxic + n_other))).mapInPandas(features_of, f"doc_id {kind}, toxic int, held binary").toPandas().sort_values("doc_id", kind="stable")
     y = rows["toxic"].to_numpy(float)
     if not 0 < y.sum() < len(y):
         return ToxicityModel(np.zeros(1 << bits), float(np.log(n_toxic / n_other)), bits)
