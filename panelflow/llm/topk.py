@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from panelflow.llm.common import materialize
 
-SHARD_ROWS = 2048
+#: A shard and a block of queries are of like size, so neither is copied much more than the other.
+SHARD_ROWS = 8192
 QUERY_ROWS = 8192
 LEAF_ROWS = 128
 
