@@ -133,7 +133,7 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[str, bool, str]]]:
         label = f"{given.get('class', '')} {given.get('id', '')}".lower().strip()
         hard = top.hard or name in LEFT_OUT or given.get("role", "").lower() in LEFT_OUT_ROLES
         article = top.article or name in ("article", "main")
-        own_words = name not in ("html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6", "p", "b", "i", "em", "strong", "a", "code") and not LEFT_OUT_WORDS.isdisjoint(_WORD.findall(label))
+        own_words = name not in ("html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6", "b", "i", "em", "strong", "a", "code") and not LEFT_OUT_WORDS.isdisjoint(_WORD.findall(label))
         left_out = hard or own_words or (top.left_out and (top.article or name not in ("article", "main")))
         path = top.path
         if name in CONTAINERS and not left_out:

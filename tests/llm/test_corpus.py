@@ -402,7 +402,7 @@ PAGE = "<html><head><title>t</title><style>p{{}}</style><script>var t='</p>';</s
 def test_html(spark):
     rows = []
     for k in range(12):
-        body = f"<article><h1>Title {k}</h1><p>Fish &amp; chips {k}\n  and <b>more</b><br>tea</p><p>same on every page</p><aside>see also</aside><ul><li>one<li>two {k}</ul></article>"
+        body = f"<article><h1>Title {k}</h1><p>Fish &amp; chips {k}\n  and <b>more</b><br>tea</p><p>same on every page</p><aside>see also</aside><p class='notice'>We use cookies</p><div id=share-bar>Share</div><ul><li>one<li>two {k}</ul></article>"
         rows.append((k, f"http://A.example/{k}", PAGE.format(menu=f"m{k}", main=body)))
     for k in range(12):
         main = f"<div id=content><p>About us</p><div class=text><p>Story number {k} is quite a bit longer than the rest {'x ' * 50}</p><p>second {k}</p></div></div>"
