@@ -124,33 +124,43 @@ def split_blocks(table: np.ndarray, blocks: int) -> pd.DataFrame:
     return pd.DataFrame({"block": used.astype(np.int32), "data": [zlib.compress(pieces[i].tobytes(), 1) for i in used]})
 
 
-def membership_filter(keys: DataFrame, bits: int = 26) -> Broadcast:
-    """A bitmap of 2**bits bits (8 MB by default) of the 64-bit keys in the only column of keys, broadcast.
+#: Bits of the largest bitmap: 128 MB. Up to about MOST_KEYS keys, one in six others passes at most.
+MOST_BITS = 30
+MOST_KEYS = 300_000_000
+
+
+def membership_filter(keys: DataFrame, n: int | None = None) -> Broadcast:
+    """A bitmap of the 64-bit keys in the only column of keys, broadcast: twelve bits for each of the n keys (counted if not
+    given), 2**MOST_BITS at most.
 
     It only spares work: what passes by chance is handled exactly later, so a full bitmap costs time, not results.
     """
-    blocks = 64
+    bits = min(MOST_BITS, max(20, (12 * (keys.count() if n is None else n)).bit_length()))
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros(1 << bits, bool)
+        table = np.zeros(1 << (bits - 3), np.uint8)
         for pdf in batches:
-            for slots in filter_slots(pdf.iloc[:, 0].to_numpy(np.int64), bits):
-                table[slots] = True
-        yield split_blocks(np.packbits(table), blocks)
+            for slots in _slots(pdf.iloc[:, 0].to_numpy(np.int64), bits):
+                np.bitwise_or.at(table, slots >> 3, _BIT[slots & 7])
+        yield split_blocks(table, 64)
 
     parts = keys.mapInPandas(mark, "block int, data binary")
     return keys.sparkSession.sparkContext.broadcast(gather_blocks(parts, 1 << (bits - 3), "uint8", np.bitwise_or))
 
 
-def filter_slots(keys: np.ndarray, bits: int = 26) -> tuple[np.ndarray, np.ndarray]:
+_BIT = np.array([128, 64, 32, 16, 8, 4, 2, 1], np.uint8)
+
+
+def _slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Two bits for each key."""
     h = mix(keys.astype(np.uint64))
     return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def filter_has(bitmap: np.ndarray, keys: np.ndarray, bits: int = 26) -> np.ndarray:
-    one, two = filter_slots(keys, bits)
-    return ((bitmap[one >> 3] >> (7 - (one & 7)).astype(np.uint8)) & (bitmap[two >> 3] >> (7 - (two & 7)).astype(np.uint8)) & 1) == 1
+def filter_has(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys are in the bitmap; all that were put in are."""
+    one, two = _slots(keys, len(bitmap).bit_length() + 2)
+    return (bitmap[one >> 3] & _BIT[one & 7] != 0) & (bitmap[two >> 3] & _BIT[two & 7] != 0)
 
 
 # ---------------------------------------------------------------- connected components

@@ -2,8 +2,8 @@
 
 Every window of `LENGTH` bytes that also starts in a document with a smaller id is marked. So that equal windows meet,
 runs of windows that have the same minimizer (the least hash among the 16-byte strings inside) are cut out as segments
-and dealt to shards by that minimizer. Minimizers that only one document has are left out beforehand; a bitmap of a fixed
-size says which (what passes by chance only costs work). Where very many documents share a minimizer, its windows are
+and dealt to shards by that minimizer. Minimizers that only one document has are left out beforehand; a bitmap of a
+bounded size says which (what passes by chance only costs work), and a join where it would be too full. Where very many documents share a minimizer, its windows are
 dealt one by one by their own hash instead, so that no shard grows with a frequent passage.
 
 In a shard the distinct segments, ordered by smallest document, are indexed: suffixes are sorted, their Burrows-Wheeler
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from panelflow.llm.common import _BASE, _BYTE, _INVERSE, _MUL, _powers, filter_has, materialize, membership_filter, mix
+from panelflow.llm.common import _BASE, _BYTE, _INVERSE, _MUL, MOST_KEYS, _powers, filter_has, materialize, membership_filter, mix
 
 LENGTH = 50
 _K = 16
@@ -80,8 +80,8 @@ def _hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * _powers(len(raw) + 1, _INVERSE, "down")[start] + (end - start).astype(np.uint64))
 
 
-def _cut(data: bytes, length: int, common: np.ndarray, hot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each piece of a text: key, shard hash, start and end in the text of the segments that others may share."""
+def _cut(data: bytes, length: int, common: np.ndarray, hot: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each piece of a text: key, minimizer, shard hash, start and end in the text of the segments that others may share."""
     for at, raw in _pieces(data, length):
         minimizer, first, windows = segments(raw, length)
         keep = filter_has(common, minimizer)
@@ -94,7 +94,9 @@ def _cut(data: bytes, length: int, common: np.ndarray, hot: np.ndarray) -> Itera
         start = np.concatenate((first[~single], alone))
         end = np.concatenate((first[~single] + windows[~single], alone + 1)) + length - 1
         key = _hashes(raw, start, end)
-        yield key, np.concatenate((minimizer[~single], key[(~single).sum() :])), start + at, end + at
+        minimizer = np.concatenate((minimizer[~single], np.repeat(minimizer[single], n)))
+        shard = np.concatenate((minimizer[: (~single).sum()], key[(~single).sum() :]))
+        yield key, minimizer, shard, start + at, end + at
 
 
 def suffix_order(padded: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -106,18 +108,21 @@ def suffix_order(padded: np.ndarray, left: np.ndarray) -> np.ndarray:
     """
     n = len(left)
     bits = n.bit_length()
+    low = (1 << bits) - 1
     depth = (63 - bits) // 8
     key, alive = np.zeros(n, np.int64), np.ones(n, bool)
     for d in range(depth):
         byte = padded[d : d + n] * alive
         alive = byte != 0
-        key = (key << 8) | byte
-    key = np.sort((key << bits) | np.arange(n))
-    order = key & ((1 << bits) - 1)
+        key <<= 8
+        key |= byte
+    key <<= bits
+    key |= np.arange(n)
+    key.sort()
+    order = (key & low).astype(np.int32)
     key >>= bits
     new = np.concatenate(([True], key[1:] != key[:-1]))
-    slots = np.arange(n)
-    rank = np.empty(n, np.int64)
+    slots, rank = np.arange(n, dtype=np.int32), np.empty(n, np.int32)
     while True:
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(slots)))
@@ -126,33 +131,38 @@ def suffix_order(padded: np.ndarray, left: np.ndarray) -> np.ndarray:
         if not len(slots) or depth >= 128:
             return order
         at = order[slots]
-        after = np.where(left[at] > depth, rank[np.minimum(at + depth, n - 1)] + 1, 0)
+        after = rank[np.minimum(at + np.int32(depth), n - 1)] + np.int32(1)
+        after[left[at] <= depth] = 0
+        key = rank[at].astype(np.int64)
+        key <<= bits
+        key |= after
         if 3 * bits <= 63:
-            key = np.sort((rank[at] << (2 * bits)) | (after << bits) | at)
-            order[slots] = key & ((1 << bits) - 1)
+            key <<= bits
+            key |= at
+            key.sort()
+            order[slots] = key & low
             key >>= bits
         else:  # more than two million bytes
-            key = (rank[at] << bits) | after
             turn = np.lexsort((at, key))
             key, order[slots] = key[turn], at[turn]
         new = np.concatenate(([True], key[1:] != key[:-1]))
         depth *= 2
 
 
-def match_documents(texts: list[bytes], docs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte position of the concatenated texts, the smallest of docs whose text holds the `length` bytes that
-    start there; and where each text starts. Positions with fewer bytes left give their own document.
+def first_texts(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte position of the joined texts, the first of them that holds the `length` bytes that start there; and where
+    each text starts. A text takes one position more than it has bytes; positions with fewer bytes left give their own text.
 
-    texts: each shorter than 128 bytes, ordered by docs.
+    texts: each shorter than 128 bytes, in the order in which one comes before another.
     """
     size = np.array([len(t) for t in texts], np.int64) + 1
     begin = np.cumsum(size) - size
     body = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8) + np.uint8(1)  # UTF-8 has no 255: it ends a text, as 0
     n = len(body)
-    owner = np.repeat(np.arange(len(texts)), size)
-    left = np.repeat(begin + size - 1, size) - np.arange(n)  # bytes up to the text's end
+    place = np.arange(n, dtype=np.int32)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+    left = (np.repeat((begin + size - 1).astype(np.int32), size) - place).astype(np.uint8)  # bytes up to the text's end
     padded = np.concatenate((body, np.zeros(128, np.uint8)))
-
     order = suffix_order(padded, left)
 
     # the transform, run-length encoded; a text's first byte always begins a run
@@ -160,26 +170,28 @@ def match_documents(texts: list[bytes], docs: np.ndarray, length: int = LENGTH)
     before = previous[order]
     heads = np.flatnonzero(np.concatenate(([True], (before[1:] != before[:-1]) | (before[1:] == 0))))
     sample, above = order[heads], order[np.maximum(heads - 1, 0)]  # this run's first suffix, and the last of the run before
-    common = np.zeros(len(heads), np.int64)
-    going = np.arange(1, len(heads))
+    common = np.zeros(len(heads), np.int16)
+    going = np.arange(1, len(heads), dtype=np.int32)
+    x, y = sample[1:], above[1:]
     d = 0
     while len(going):
-        byte = padded[sample[going] + d]
-        going = going[(byte == padded[above[going] + d]) & (byte != 0)]
+        byte = padded[x + np.int32(d)]
+        same = (byte == padded[y + np.int32(d)]) & (byte != 0)
+        going, x, y = going[same], x[same], y[same]
         d += 1
         common[going] = d
 
     # matching statistics over the text: from the last sampled position on, one byte less with each step
-    known = np.zeros(n, np.int64)
-    known[sample] = np.arange(n)[sample]
+    known = np.zeros(n, np.int32)
+    known[sample] = sample
     last = np.maximum.accumulate(known)
-    at_sample = np.zeros(n, np.int64)
+    at_sample = np.zeros(n, np.int16)
     at_sample[sample] = common
-    match = at_sample[last] - (np.arange(n) - last)
+    match = at_sample[last] - (place - last)
 
     start = np.flatnonzero(match[order] < length)  # the first suffix matches nothing above it, so it starts an interval
-    least = np.minimum.reduceat(docs[owner[order]], start)
-    out = np.empty(n, docs.dtype)
+    least = np.minimum.reduceat(owner[order], start)
+    out = np.empty(n, np.int32)
     out[order] = np.repeat(least, np.diff(np.append(start, n)))
     return out, begin
 
@@ -197,17 +209,19 @@ def mark_repeats(documents: DataFrame, length: int = LENGTH, name: str = "spans"
 
     counts = rows.select("text").mapInPandas(minimizers, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     counts = materialize(counts, "minimizers")
-    common, hot = membership_filter(counts.select("h")), membership_filter(counts.where(F.col("n") >= HOT).select("h"))
-    shards = max(1, -(-(counts.agg(F.sum("n")).first()[0] or 0) // SHARD_SEGMENTS))
+    total = counts.agg(F.count("*"), F.sum("n")).first()
+    common, hot = membership_filter(counts.select("h"), total[0]), membership_filter(counts.where(F.col("n") >= HOT).select("h"))
+    shards = max(1, -(-(total[1] or 0) // SHARD_SEGMENTS))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 500):
-                keys, by, docs, parts = [], [], [], []
+                keys, by, of, docs, parts = [], [], [], [], []
                 for doc, text in zip(pdf["doc_id"].iloc[at : at + 500], pdf["text"].iloc[at : at + 500], strict=True):
                     data = utf8(text)
-                    for key, shard, start, end in _cut(data, length, common.value, hot.value):
+                    for key, minimizer, shard, start, end in _cut(data, length, common.value, hot.value):
                         keys.append(key)
+                        of.append(minimizer)
                         by.append(shard)
                         docs.append(np.full(len(key), doc, np.int64))
                         parts += [data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
@@ -220,23 +234,26 @@ def mark_repeats(documents: DataFrame, length: int = LENGTH, name: str = "spans"
                 np.minimum.at(lo, inverse, doc)
                 np.maximum.at(hi, inverse, doc)
                 shard = np.concatenate(by)[first] % np.uint64(shards)
-                yield pd.DataFrame({"shard": shard.astype(np.int64), "key": key.astype(np.int64), "part": [parts[i] for i in first], "lo": lo, "hi": hi})
+                yield pd.DataFrame({"h": np.concatenate(of)[first].astype(np.int64), "shard": shard.astype(np.int64), "key": key.astype(np.int64), "part": [parts[i] for i in first], "lo": lo, "hi": hi})
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.groupby("key", sort=False).agg(part=("part", "first"), lo=("lo", "min"), hi=("hi", "max")).sort_values("lo", kind="stable")
         texts, lo, hi = own["part"].to_list(), own["lo"].to_numpy(), own["hi"].to_numpy()
-        least, begin = match_documents(texts, lo, length)
+        least, begin = first_texts(texts, length)
         windows = np.array([len(t) for t in texts]) - length + 1
         which = np.repeat(np.arange(len(texts)), windows)
         offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        doc = least[begin[which] + offset]
+        doc = lo[least[begin[which] + offset]]
         new = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (doc[1:] != doc[:-1]))))
         last = np.append(new[1:], len(doc)) - 1
         use = doc[new] < hi[which[new]]
         new, last = new[use], last[use]
         return pd.DataFrame({"key": own.index.to_numpy()[which[new]], "first": offset[new], "last": offset[last], "least": doc[new]})
 
-    marks = rows.select("doc_id", "text").mapInPandas(cut, "shard long, key long, part binary, lo long, hi long").groupBy("shard").applyInPandas(index, "key long, first long, last long, least long")
+    parts = rows.select("doc_id", "text").mapInPandas(cut, "h long, shard long, key long, part binary, lo long, hi long")
+    if total[0] > MOST_KEYS:  # the bitmap is too full to leave much out: a join does
+        parts = parts.join(counts.select("h"), "h", "left_semi")
+    marks = parts.select("shard", "key", "part", "lo", "hi").groupBy("shard").applyInPandas(index, "key long, first long, last long, least long")
     marks = materialize(marks, "marks")
     marked = membership_filter(marks.select("key"))
 
@@ -245,7 +262,7 @@ def mark_repeats(documents: DataFrame, length: int = LENGTH, name: str = "spans"
             for at in range(0, len(pdf), 500):
                 part, keys, rows_of, starts = pdf.iloc[at : at + 500], [], [], []
                 for k, text in enumerate(part["text"]):
-                    for key, _, start, _ in _cut(utf8(text), length, common.value, hot.value):
+                    for key, _, _, start, _ in _cut(utf8(text), length, common.value, hot.value):
                         keys.append(key)
                         rows_of.append(np.full(len(key), k))
                         starts.append(start)
