@@ -5,8 +5,9 @@ are classes of their own, the others share classes by hash. The network, trained
 from the classes of the two tokens on either side; a token's probability is its class's probability in context times its
 share of the class's count. A document's score is the sum of the log-probabilities of all its tokens.
 
-Training covers all documents: in each round every partition walks over its texts from the shared parameters, predicting
-every STRIDE-th token (another one in each round), and the partitions' parameters are averaged by tokens.
+Training covers all tokens: in each of `stride` rounds every partition walks over its texts from the shared parameters,
+predicting every stride-th token (another phase in each round, so each token is a target once), and the partitions'
+parameters are averaged by tokens.
 
 Edge cases: null and empty texts have no tokens and score 0; contexts beyond either end are a class of their own; words
 not counted (none when scoring what was counted) count once. Whole texts are scored, in pieces. Each row gets a result.
@@ -29,8 +30,7 @@ OWN = 96
 SHARED = 32
 HIDDEN = 24
 REACH = 2
-ROUNDS = 2
-STRIDE = 8
+STRIDE = 2
 _BATCH = 4096
 
 
@@ -82,6 +82,11 @@ def contexts(classes: np.ndarray, at: np.ndarray, edge: int, reach: int = REACH)
     return np.stack([padded[at + reach + d] for d in (*range(-reach, 0), *range(1, reach + 1))])
 
 
+def targets(n: int, turn: int, stride: int = STRIDE) -> np.ndarray:
+    """The positions of a text of n tokens that are predicted in a round; over all rounds, each of them once."""
+    return np.arange((n + turn) % stride, n, stride)
+
+
 def log_probabilities(net: Network, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hidden values, and log-probabilities of all classes, for each position."""
     h = np.tanh(sum(net.context[p][around[p]] for p in range(len(around))) + net.hidden_bias)
@@ -103,13 +108,13 @@ def _learn(net: Network, squares: list[np.ndarray], around: np.ndarray, target:
         value -= (rate * grad / np.sqrt(square + 1e-8)).astype(np.float32)
 
 
-def train(documents: DataFrame, vocabulary: Vocabulary, hidden: int = HIDDEN, reach: int = REACH, rounds: int = ROUNDS, stride: int = STRIDE, rate: float = 0.1) -> Network:
+def train(documents: DataFrame, vocabulary: Vocabulary, hidden: int = HIDDEN, reach: int = REACH, stride: int = STRIDE, rate: float = 0.1) -> Network:
     classes = len(vocabulary.log_prior)
     rng = np.random.Generator(np.random.PCG64(5))
     net = Network((rng.standard_normal((2 * reach, classes + 1, hidden)) * 0.1).astype(np.float32), np.zeros(hidden, np.float32), (rng.standard_normal((hidden, classes)) * 0.1).astype(np.float32), vocabulary.log_prior.copy())
     sc = documents.sparkSession.sparkContext
     words = sc.broadcast(vocabulary)
-    for turn in range(rounds):
+    for turn in range(stride):
         start = sc.broadcast(net.flat())
 
         def walk(batches: Iterator[pd.DataFrame], turn: int = turn, start=start) -> Iterator[pd.DataFrame]:  # noqa: ANN001
@@ -126,7 +131,7 @@ def train(documents: DataFrame, vocabulary: Vocabulary, hidden: int = HIDDEN, re
             for pdf in batches:
                 for text in pdf["text"]:
                     c = v.class_of[(word_hashes(text) >> np.uint64(64 - v.bits)).astype(np.int64)].astype(np.int64)
-                    for piece in np.array_split(np.arange((len(c) + turn * 3) % stride, len(c), stride), -(-len(c) // (_BATCH * stride)) or 1):
+                    for piece in np.array_split(targets(len(c), turn, stride), -(-len(c) // (_BATCH * stride)) or 1):
                         if len(piece):
                             around.append(contexts(c, piece, classes, reach))
                             target.append(c[piece])
@@ -147,7 +152,7 @@ def train(documents: DataFrame, vocabulary: Vocabulary, hidden: int = HIDDEN, re
 
         rows = documents.select("text").mapInPandas(walk, "seen long, data binary").repartition(8).mapInPandas(add, "seen long, data binary").collect()
         if not (seen := sum(r["seen"] for r in rows)):
-            break
+            continue  # no text has a token in this phase
         net = Network.of(sum(np.frombuffer(r["data"]) for r in rows) / seen, classes, hidden, reach)
     return net
 

@@ -396,6 +396,15 @@ def test_lm_learns_context(spark):
     assert got[0] / got[1] > plain / 2
 
 
+def test_lm_predicts_every_token_once(spark):
+    for n in range(12):
+        assert sorted(np.concatenate([lm_score.targets(n, turn) for turn in range(lm_score.STRIDE)])) == list(range(n))
+    df = spark.createDataFrame([(0, "lone")] * 40, "doc_id long, text string").coalesce(1)
+    v = lm_score.count_words(df)
+    lone = v.class_of[int(word_hashes("lone")[0] >> np.uint64(64 - v.bits))]
+    assert lm_score.train(df, v).out_bias[lone] != v.log_prior[lone]  # texts of one word teach, too
+
+
 PAGE = "<html><head><title>t</title><style>p{{}}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href=/x>{menu}</a></li></ul></nav><div class=\"ad\">buy</div>{main}<div class='comments'><p>nice one</p></div><form><p>mail</p></form><footer>&copy; all &middot; {menu}</footer></body></html>"
 
 
