@@ -1,9 +1,12 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every token from both sides.
 
-A token is a lower-cased word. Words are counted over the whole corpus in a table of a fixed size; the most frequent slots
-are classes of their own, the others share classes by hash. The network, trained in numpy, gives the class of a token
-from the classes of the two tokens on either side; a token's probability is its class's probability in context times its
-share of the class's count. A document's score is the sum of the log-probabilities of all its tokens.
+A token is a lower-cased word. Words are counted exactly over the whole corpus; table, classes and network grow with the
+number n of different words. Slots of the table are at least 2n (and 2**SLOT_BITS); words that share one share a count.
+Classes are about sqrt(n) (and OWN + SHARED at least): three in four belong to one of the most frequent slots each, the
+others share the rest by hash. The network, trained in numpy, gives the class of a token from the classes of the two
+tokens on either side, in two softmax steps that both look at the context: one of GROUPS groups of classes, then the
+class in its group. A token's probability is its class's probability in context times its share of the class's count,
+which doesn't depend on the context. A document's score is the sum of the log-probabilities of all its tokens.
 
 Training covers all tokens: in each of `stride` rounds every partition walks over its texts from the shared parameters,
 predicting every stride-th token (another phase in each round, so each token is a target once), and the partitions'
@@ -15,6 +18,8 @@ not counted (none when scoring what was counted) count once. Whole texts are sco
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,15 +28,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.llm.common import gather_blocks, split_blocks, word_hashes
+from panelflow.llm.common import gather_blocks, materialize, word_hashes
 
 SLOT_BITS = 20
 OWN = 96
 SHARED = 32
+GROUPS = OWN + SHARED
 HIDDEN = 24
 REACH = 2
 STRIDE = 2
 _BATCH = 4096
+_RANGES = 64
 
 
 @dataclass(frozen=True)
@@ -46,34 +53,86 @@ class Vocabulary:
 class Network:
     context: np.ndarray  # place x (classes and the edge) x hidden
     hidden_bias: np.ndarray
-    out: np.ndarray  # hidden x classes
+    out: np.ndarray  # hidden x groups
     out_bias: np.ndarray
+    fine: np.ndarray  # group x its classes x hidden; class c is number c // groups of group c % groups
+    fine_bias: np.ndarray
+
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.context, self.hidden_bias, self.out, self.out_bias, self.fine, self.fine_bias
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.context, self.hidden_bias, self.out, self.out_bias)])
+        return np.concatenate([x.ravel() for x in self.parts()])
+
+    def of(self, flat: np.ndarray) -> Network:
+        """A network of this one's shape."""
+        ends = np.cumsum([x.size for x in self.parts()])
+        return Network(*[flat[e - x.size : e].reshape(x.shape).astype(np.float32) for x, e in zip(self.parts(), ends, strict=True)])
 
-    @staticmethod
-    def of(flat: np.ndarray, classes: int, hidden: int, reach: int) -> Network:
-        shapes = [(2 * reach, classes + 1, hidden), (hidden,), (hidden, classes), (classes,)]
-        ends = np.cumsum([int(np.prod(s)) for s in shapes])
-        return Network(*[flat[e - int(np.prod(s)) : e].reshape(s).astype(np.float32) for s, e in zip(shapes, ends, strict=True)])
 
+def count_exactly(documents: DataFrame) -> DataFrame:
+    """(range, n, words, counts): the different words, by hash and in order, of each of _RANGES ranges of hashes."""
+    columns = "range int, n long, words binary, counts binary"
+
+    def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        words, at = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+        return words, np.bincount(at, np.concatenate([c for _, c in parts]), len(words)).astype(np.int64)
 
-def count_words(documents: DataFrame, bits: int = SLOT_BITS, own: int = OWN, shared: int = SHARED) -> Vocabulary:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros(1 << bits, np.int64)
+        have: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for pdf in batches:
+            have.append(np.unique(np.concatenate([np.zeros(0, np.uint64), *map(word_hashes, pdf["text"])]), return_counts=True))
+            if sum(len(w) for w, _ in have[1:]) > max(len(have[0][0]), 1 << 18):
+                have = [merge(have)]
+        words, counts = merge(have)
+        cuts = np.searchsorted(words, np.arange(1, _RANGES, dtype=np.uint64) << np.uint64(64 - _RANGES.bit_length() + 1))
+        for k, (w, c) in enumerate(zip(np.split(words, cuts), np.split(counts, cuts), strict=True)):
+            if len(w):
+                yield pd.DataFrame({"range": [k], "n": [len(w)], "words": [w.tobytes()], "counts": [c.tobytes()]})
+
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        have: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for pdf in batches:
-            for text in pdf["text"]:
-                np.add.at(table, (word_hashes(text) >> np.uint64(64 - bits)).astype(np.int64), 1)
-        yield split_blocks(table, 64)
+            for k, w, c in zip(pdf["range"], pdf["words"], pdf["counts"], strict=True):
+                mine = have.setdefault(k, [])
+                mine.append((np.frombuffer(w, np.uint64), np.frombuffer(c, np.int64)))
+                if sum(len(x) for x, _ in mine[1:]) > max(len(mine[0][0]), 1 << 18):
+                    have[k] = [merge(mine)]
+        for k, mine in have.items():
+            w, c = merge(mine)
+            yield pd.DataFrame({"range": [k], "n": [len(w)], "words": [w.tobytes()], "counts": [c.tobytes()]})
+
+    return materialize(documents.select("text").mapInPandas(count, columns).repartition(_RANGES, "range").mapInPandas(combine, columns), "words")
+
+
+def table_sizes(n: int) -> tuple[int, int]:
+    """Bits of the slot table, and classes in a group, for n different words."""
+    return max(SLOT_BITS, (2 * n - 1).bit_length() if n else 0), max(1, -(-math.isqrt(n) // GROUPS))
 
-    counts = gather_blocks(documents.select("text").mapInPandas(count, "block int, data binary"), 1 << bits, "int64", np.add)
-    top = np.argsort(-counts, kind="stable")[:own]
-    class_of = (own + np.arange(1 << bits) % shared).astype(np.uint8 if own + shared < 256 else np.int32)
+
+def count_words(documents: DataFrame) -> Vocabulary:
+    found = count_exactly(documents)
+    bits, fold = table_sizes(found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+
+    def to_slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, w, c in zip(pdf["range"], pdf["words"], pdf["counts"], strict=True):
+                size = (1 << bits) // _RANGES
+                slots = (np.frombuffer(w, np.uint64) >> np.uint64(64 - bits)).astype(np.int64) - k * size
+                table = np.bincount(slots, np.frombuffer(c, np.int64), size).astype(np.int64)
+                yield pd.DataFrame({"block": [k], "data": [zlib.compress(table.tobytes(), 1)]}).astype({"block": np.int32})
+
+    counts = gather_blocks(found.select("range", "words", "counts").mapInPandas(to_slots, "block int, data binary"), 1 << bits, "int64", np.add)
+    own, shared = OWN * fold, SHARED * fold
+    top = np.argpartition(-counts, own)[:own]
+    top = top[np.lexsort((top, -counts[top]))]
+    class_of = (own + np.arange(1 << bits) % shared).astype(np.uint16 if own + shared < 1 << 16 else np.int32)
     class_of[top] = np.arange(len(top))
-    counts = np.maximum(counts, 1)
+    np.maximum(counts, 1, out=counts)
     total = np.bincount(class_of, counts, own + shared)
-    return Vocabulary(class_of, np.log(counts / total[class_of]).astype(np.float32), np.log(total / total.sum()).astype(np.float32), bits)
+    log_share = np.log(counts, dtype=np.float32)
+    log_share -= np.log(total).astype(np.float32)[class_of]
+    return Vocabulary(class_of, log_share, np.log(total / total.sum()).astype(np.float32), bits)
 
 
 def contexts(classes: np.ndarray, at: np.ndarray, edge: int, reach: int = REACH) -> np.ndarray:
@@ -87,40 +146,103 @@ def targets(n: int, turn: int, stride: int = STRIDE) -> np.ndarray:
     return np.arange((n + turn) % stride, n, stride)
 
 
-def log_probabilities(net: Network, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden values, and log-probabilities of all classes, for each position."""
-    h = np.tanh(sum(net.context[p][around[p]] for p in range(len(around))) + net.hidden_bias)
-    z = h @ net.out + net.out_bias
+def _hidden(net: Network, around: np.ndarray) -> np.ndarray:
+    h = net.hidden_bias + net.context[0][around[0]]
+    for p in range(1, len(around)):
+        h += net.context[p][around[p]]
+    return np.tanh(h, out=h)
+
+
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z - its row's greatest value) in place of z, and the sums of its rows."""
     z -= z.max(axis=1, keepdims=True)
-    return h, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    np.exp(z, out=z)
+    return z, z.sum(axis=1, keepdims=True)
+
+
+def log_probabilities(net: Network, around: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log-probability of each position's class, target."""
+    h, at = _hidden(net, around), np.arange(len(target))
+    group, number = target % net.out.shape[1], target // net.out.shape[1]
+    e, total = _exp(h @ net.out + net.out_bias)
+    log_p = np.log(np.maximum(e[at, group], 1e-37)) - np.log(total[:, 0])
+    if net.fine.shape[1] > 1:
+        e, total = _exp(np.matmul(net.fine[group], h[:, :, None])[:, :, 0] + net.fine_bias[group])
+        log_p += np.log(np.maximum(e[at, number], 1e-37)) - np.log(total[:, 0])
+    return log_p
 
 
 def _learn(net: Network, squares: list[np.ndarray], around: np.ndarray, target: np.ndarray, rate: float) -> None:
-    """One Adagrad step on a batch, in place."""
-    h, log_p = log_probabilities(net, around)
-    dz = np.exp(log_p)
-    dz[np.arange(len(target)), target] -= 1
+    """One Adagrad step on a batch, in place; of context, only the rows that occur."""
+    h, at = _hidden(net, around), np.arange(len(target))
+    group, number = target % net.out.shape[1], target // net.out.shape[1]
+
+    def update(k: int, where, grad: np.ndarray) -> None:  # noqa: ANN001
+        square = squares[k][where] + grad * grad
+        squares[k][where] = square
+        net.parts()[k][where] -= (rate * grad / np.sqrt(square + 1e-8)).astype(np.float32)
+
+    def sums(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(key, kind="stable")
+        found = key[order]
+        starts = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+        return found[starts], np.add.reduceat(values[order], starts, axis=0)
+
+    dz, total = _exp(h @ net.out + net.out_bias)
+    dz /= total
+    dz[at, group] -= 1
     dz /= len(target)
-    dh = (dz @ net.out.T) * (1 - h * h)
-    grads = [np.stack([np.stack([np.bincount(row, dh[:, j], net.context.shape[1]) for j in range(dh.shape[1])], axis=1) for row in around]), dh.sum(axis=0), h.T @ dz, dz.sum(axis=0)]
-    for value, grad, square in zip((net.context, net.hidden_bias, net.out, net.out_bias), grads, squares, strict=True):
-        square += grad * grad
-        value -= (rate * grad / np.sqrt(square + 1e-8)).astype(np.float32)
+    dh = dz @ net.out.T
+    out_grad = h.T @ dz
+    if net.fine.shape[1] > 1:
+        order = np.argsort(group, kind="stable")
+        ends = np.cumsum(np.bincount(group, minlength=net.out.shape[1])).tolist()
+        members = [(g, order[a:b]) for g, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if a < b]
+        dy = np.empty((len(target), net.fine.shape[1]), np.float32)
+        for g, mine in members:
+            dy[mine] = h[mine] @ net.fine[g].T
+        dy, total = _exp(dy + net.fine_bias[group])
+        dy /= total
+        dy[at, number] -= 1
+        dy /= len(target)
+        grad, grad_bias = np.zeros_like(net.fine), np.zeros_like(net.fine_bias)
+        for g, mine in members:
+            d = dy[mine]
+            dh[mine] += d @ net.fine[g]
+            grad[g] = d.T @ h[mine]
+            grad_bias[g] = d.sum(axis=0)
+        update(4, ..., grad)
+        update(5, ..., grad_bias)
+    dh *= 1 - h * h
+    for p in range(len(around)):
+        rows, grad = sums(around[p], dh)
+        update(0, (p, rows), grad)
+    for k, grad in ((1, dh.sum(axis=0)), (2, out_grad), (3, dz.sum(axis=0))):
+        update(k, ..., grad)
 
 
 def train(documents: DataFrame, vocabulary: Vocabulary, hidden: int = HIDDEN, reach: int = REACH, stride: int = STRIDE, rate: float = 0.1) -> Network:
     classes = len(vocabulary.log_prior)
     rng = np.random.Generator(np.random.PCG64(5))
-    net = Network((rng.standard_normal((2 * reach, classes + 1, hidden)) * 0.1).astype(np.float32), np.zeros(hidden, np.float32), (rng.standard_normal((hidden, classes)) * 0.1).astype(np.float32), vocabulary.log_prior.copy())
+    prior = np.exp(vocabulary.log_prior.astype(np.float64)).reshape(-1, GROUPS).T
+    group = prior.sum(axis=1)
+    net = Network(
+        (rng.standard_normal((2 * reach, classes + 1, hidden)) * 0.1).astype(np.float32),
+        np.zeros(hidden, np.float32),
+        (rng.standard_normal((hidden, GROUPS)) * 0.1).astype(np.float32),
+        np.log(group).astype(np.float32),
+        (rng.standard_normal((*prior.shape, hidden)) * 0.1).astype(np.float32),
+        np.log(prior / group[:, None]).astype(np.float32),
+    )
     sc = documents.sparkSession.sparkContext
     words = sc.broadcast(vocabulary)
     for turn in range(stride):
-        start = sc.broadcast(net.flat())
+        start = sc.broadcast(net)
 
         def walk(batches: Iterator[pd.DataFrame], turn: int = turn, start=start) -> Iterator[pd.DataFrame]:  # noqa: ANN001
             v = words.value
-            own = Network.of(start.value, classes, hidden, reach)
-            squares = [np.zeros(x.shape) for x in (own.context, own.hidden_bias, own.out, own.out_bias)]
+            own = start.value.of(start.value.flat())
+            squares = [np.zeros(x.shape, np.float32) for x in own.parts()]
             seen, held, around, target = 0, 0, [], []
 
             def step() -> None:
@@ -136,14 +258,14 @@ def train(documents: DataFrame, vocabulary: Vocabulary, hidden: int = HIDDEN, re
                             around.append(contexts(c, piece, classes, reach))
                             target.append(c[piece])
                             held += len(piece)
-                        if held >= _BATCH // 4:
+                        if held >= _BATCH // 2:
                             step()
             if held:
                 step()
             yield pd.DataFrame({"seen": [seen], "data": [(own.flat().astype(np.float64) * seen).tobytes()]})
 
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seen, total = 0, np.zeros(len(start.value))
+            seen, total = 0, np.zeros(sum(x.size for x in start.value.parts()))
             for pdf in batches:
                 seen += int(pdf["seen"].sum())
                 for data in pdf["data"]:
@@ -153,7 +275,7 @@ def train(documents: DataFrame, vocabulary: Vocabulary, hidden: int = HIDDEN, re
         rows = documents.select("text").mapInPandas(walk, "seen long, data binary").repartition(8).mapInPandas(add, "seen long, data binary").collect()
         if not (seen := sum(r["seen"] for r in rows)):
             continue  # no text has a token in this phase
-        net = Network.of(sum(np.frombuffer(r["data"]) for r in rows) / seen, classes, hidden, reach)
+        net = net.of(sum(np.frombuffer(r["data"]) for r in rows) / seen)
     return net
 
 
@@ -172,9 +294,8 @@ def score(documents: DataFrame, vocabulary: Vocabulary, net: Network, reach: int
             def flush() -> None:
                 nonlocal held, around, target, row
                 if held:
-                    log_p = log_probabilities(m, np.concatenate(around, axis=1))[1]
-                    t = np.concatenate(target)
-                    np.add.at(total, np.concatenate(row), log_p[np.arange(len(t)), t])
+                    log_p = log_probabilities(m, np.concatenate(around, axis=1), np.concatenate(target))
+                    total[:] += np.bincount(np.concatenate(row), log_p, len(total))
                 held, around, target, row = 0, [], [], []
 
             for k, text in enumerate(pdf["text"]):

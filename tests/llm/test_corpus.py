@@ -405,6 +405,47 @@ def test_lm_predicts_every_token_once(spark):
     assert lm_score.train(df, v).out_bias[lone] != v.log_prior[lone]  # texts of one word teach, too
 
 
+def test_lm_grows_with_the_words(spark, docs, corpus):
+    from collections import Counter
+
+    want = Counter(int(h) for _, t, *_ in corpus for h in word_hashes(t))
+    got = {}
+    for r in lm_score.count_exactly(docs).collect():
+        got |= dict(zip(np.frombuffer(r["words"], np.uint64).tolist(), np.frombuffer(r["counts"], np.int64).tolist(), strict=True))
+    assert got == want
+    for n in (10**5, 10**6, 10**7, 10**8):
+        bits, fold = lm_score.table_sizes(n)
+        assert 2**bits >= 2 * n and fold * lm_score.GROUPS >= n**0.5 - 1
+    df = spark.createDataFrame([(k, " ".join(f"x{k * 300 + i}" for i in range(300))) for k in range(140)], "doc_id long, text string").coalesce(2)
+    v = lm_score.count_words(df)
+    assert len(v.log_prior) == 256 and np.exp(v.log_prior).sum() == pytest.approx(1, abs=1e-3)
+    rng = np.random.default_rng(1)
+    net = lm_score.train(df.limit(3), v)
+    around, every = np.repeat(rng.integers(0, 257, (4, 5)), 256, axis=1), np.tile(np.arange(256), 5)
+    p = np.exp(lm_score.log_probabilities(net, around, every)).reshape(5, 256)
+    assert p.sum(axis=1) == pytest.approx(np.ones(5), abs=1e-3)
+    inside = p[:, 7::128] / p[:, 7::128].sum(axis=1, keepdims=True)
+    assert np.ptp(inside[:, 0]) > 1e-4  # within its group, too, a class depends on the context
+
+
+def test_lm_step_follows_the_gradient():
+    rng = np.random.default_rng(2)
+    net = lm_score.Network(*[rng.standard_normal(s).astype(np.float32) * 0.3 for s in ((4, 13, 5), (5,), (5, 4), (4,), (4, 3, 5), (4, 3))])
+    around, target = rng.integers(0, 13, (4, 30)), rng.integers(0, 12, 30)
+    loss = lambda m: -lm_score.log_probabilities(m, around, target).mean()
+    stepped, squares = net.of(net.flat()), [np.zeros(x.shape) for x in net.parts()]
+    lm_score._learn(stepped, squares, around, target, 1e-3)
+    for k, part in enumerate(net.parts()):
+        for i in range(0, part.size, 7):
+            sides = []
+            for d in (0.01, -0.01):
+                moved = net.of(net.flat())
+                moved.parts()[k].flat[i] += d
+                sides.append(loss(moved))
+            assert np.sqrt(squares[k].flat[i]) == pytest.approx(abs(sides[0] - sides[1]) / 0.02, abs=2e-4)
+    assert loss(stepped) < loss(net)
+
+
 PAGE = "<html><head><title>t</title><style>p{{}}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href=/x>{menu}</a></li></ul></nav><div class=\"ad\">buy</div>{main}<div class='comments'><p>nice one</p></div><form><p>mail</p></form><footer>&copy; all &middot; {menu}</footer></body></html>"
 
 
