@@ -3,15 +3,15 @@
 A page's tokens are its containers (elements that hold blocks, named by their path) and its text blocks. Over the pages
 of a host, tokens with the same occurrence vector (how often they occur on each page) form an equivalence class; a vector
 is kept as the sum of hashes of (page, count), so Spark adds it up without gathering pages. Classes on at least half of the
-pages whose containers nest make the host's template; its main slot is the innermost template container that holds at
-least half of the text that isn't itself template. From each page the text in that slot is extracted.
+pages whose containers nest make the host's template; text blocks in its containers that are the same on half of the pages
+belong to it. What a page has besides the template is its text. Where article and main elements hold at least half of
+that, all of them together are the page's text, and what is outside them is left out; nothing else is.
 
 Left out everywhere: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, told
-by element, role, class or id. Text blocks that belong to the template (the same on half of the pages of a host with
-TEXT_PAGES pages or more) are left out too, but never inside an article or main element.
+by element, role, class or id. Text blocks that belong to the template (on a host with TEXT_PAGES pages or more) are left
+out too, but never inside an article or main element, and not from a page that has no other text.
 
-Edge cases: null html counts as empty and gives the empty text; pages without the template's main slot, and those of hosts
-with one page, use their own innermost container by the same rule; a null url belongs to the host ''. Unclosed elements end
+Edge cases: null html counts as empty and gives the empty text; a null url belongs to the host ''. Unclosed elements end
 where their parent ends, unknown ones are plain containers. Blocks keep page order and repeated blocks.
 """
 
@@ -170,21 +170,14 @@ def _text_hash(text: str) -> int:
     return int(np.bitwise_xor.reduce(mix(h * np.arange(1, 2 * len(h), 2, dtype=np.uint64))).astype(np.int64)) | 1
 
 
-def choose_slot(containers: list[tuple[str, int]], total: int) -> str:
-    """The innermost article or main, else the innermost container, among (path, characters) that holds half of all text."""
-    enough = [(path, chars) for path, chars in containers if 2 * chars >= total]
-    named = [x for x in enough if re.match(r"(article|main)(\.|$)", x[0].rpartition("/")[2])]
-    return max(named or enough or [("", total)], key=lambda x: (x[0].count("/"), x[1], x[0]))[0]
-
-
 def deduce(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A host's template from its tokens on half of its pages: the main slot, and the texts that belong to the template."""
+    """The texts of a host's template, from its tokens on half of its pages."""
     host, pages = pdf["host"].iloc[0], int(pdf["host_pages"].iloc[0])
     classes: dict[int, list] = defaultdict(list)
     for row in pdf.itertuples(index=False):
         classes[row.vector].append(row)
-    nodes = {row.path: row for rows in classes.values() for row in rows if row.text == 0}
-    template: list[tuple[str, int]] = []
+    nodes = {row.path for rows in classes.values() for row in rows if row.text == 0}
+    template = set()
     for rows in classes.values():
         if len(rows) < 2 and pages > 1 and rows[0].path:
             continue  # a class of one token says nothing about order
@@ -192,30 +185,16 @@ def deduce(pdf: pd.DataFrame) -> pd.DataFrame:
             # valid where it nests: all its ancestors occur wherever it does, and it occurs once on a page
             parts = row.path.split("/")
             if row.text == 0 and row.occurrences == row.pages and all("/".join(parts[:k]) in nodes for k in range(1, len(parts))):
-                template.append((row.path, int(row.chars)))
-    fixed = [row for row in pdf.itertuples(index=False) if row.text != 0 and pages >= TEXT_PAGES]
-    lost: dict[str, int] = defaultdict(int)
-    for row in fixed:
-        parts = row.path.split("/")
-        for k in range(len(parts)):
-            lost["/".join(parts[: k + 1])] += int(row.chars)
-    template = [(path, chars - lost[path]) for path, chars in template]
-    total = next((chars for path, chars in template if not path), 0)
-    return pd.DataFrame({"h": [host], "slot": [choose_slot(template, total)], "texts": [[int(r.text) for r in fixed]]})
+                template.add(row.path)
+    texts = [int(row.text) for row in pdf.itertuples(index=False) if row.text != 0 and row.path in template and pages >= TEXT_PAGES]
+    return pd.DataFrame({"h": [host], "texts": [texts]})
 
 
-def extract_page(page: str | None, slot: str, texts: frozenset[int]) -> str:
-    opened, blocks = parse(page)
-    if slot not in opened:
-        chars: dict[str, int] = defaultdict(int)
-        for path, _, text in blocks:
-            parts = path.split("/")
-            for k in range(len(parts)):
-                chars["/".join(parts[: k + 1])] += len(text)
-        once = [(p, chars[p]) for p in dict.fromkeys(opened) if opened.count(p) == 1]
-        slot = choose_slot([("", chars[""]), *once], chars[""])
-    inside = [(article, text) for path, article, text in blocks if not slot or path == slot or path.startswith(slot + "/")]
-    return "\n".join(text for article, text in inside if article or not texts or _text_hash(text) not in texts)
+def extract_page(page: str | None, texts: frozenset[int]) -> str:
+    blocks = parse(page)[1]
+    own = [(article, text) for _, article, text in blocks if article or not texts or _text_hash(text) not in texts] or [(article, text) for _, article, text in blocks]
+    named = [text for article, text in own if article]
+    return "\n".join(named if 2 * sum(map(len, named)) >= sum(len(text) for _, text in own) else [text for _, text in own])
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -235,14 +214,14 @@ def extract(pages: DataFrame) -> DataFrame:
     found = found.groupBy("host", "path", "text").agg(vector.cast("long").alias("vector"), F.count("*").alias("pages"), F.sum("n").alias("occurrences"), F.sum("chars").alias("chars"))
     size = found.where("path = '' AND text = 0").select(F.col("host").alias("h"), F.col("pages").alias("host_pages"))
     often = found.join(size, F.col("host") == F.col("h")).where("2 * pages >= host_pages").drop("h")
-    templates = often.groupBy("host").applyInPandas(deduce, "h string, slot string, texts array<long>")
+    templates = often.groupBy("host").applyInPandas(deduce, "h string, texts array<long>")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            text = [extract_page(page, slot, frozenset(fixed)) for page, slot, fixed in zip(pdf["html"], pdf["slot"], pdf["texts"], strict=True)]
+            text = [extract_page(page, frozenset(fixed)) for page, fixed in zip(pdf["html"], pdf["texts"], strict=True)]
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    joined = rows.join(templates, F.col("host") == F.col("h")).select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "slot", "texts")
+    joined = rows.join(templates, F.col("host") == F.col("h")).select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "texts")
     # ids travel as text: with a null among them, pandas would make them floats
     return joined.mapInPandas(cut, "page_id string, url string, text string, n_chars long").withColumn("page_id", F.col("page_id").cast(kind))

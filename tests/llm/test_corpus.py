@@ -467,6 +467,18 @@ def test_html(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_keeps_all_main_text(spark):
+    long, short = "long " * 60, "short " * 40
+    mains = {
+        "post": (f"<div class=post><h1>Head {{k}}</h1><p>lead {{k}}</p><div class=body><p>{long}{{k}}</p></div></div>", f"Head {{k}}\nlead {{k}}\n{long}{{k}}"),
+        "parts": (f"<div class=part1><p>{long}{{k}}</p></div><div class=part2><p>{short}{{k}}</p></div>", f"{long}{{k}}\n{short}{{k}}"),
+        "articles": (f"<main><article class=a><p>{long}{{k}}</p></article><article class=b><p>{short}{{k}}</p></article></main>", f"{long}{{k}}\n{short}{{k}}"),
+    }
+    rows = [(k, f"http://{host}.example/{k}", PAGE.format(menu="m", main=main.format(k=k))) for host, (main, _) in mains.items() for k in range(10)]
+    for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r["text"] == mains[r["url"][7:].split(".")[0]][1].format(k=r["page_id"])
+
+
 @needs_data
 def test_html_of_all_pages(spark):
     import html
