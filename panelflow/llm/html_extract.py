@@ -2,14 +2,15 @@
 
 A page's tokens are its containers (elements that hold blocks, named by their path) and its text blocks. Over the pages
 of a host, tokens with the same occurrence vector (how often they occur on each page) form an equivalence class; a vector
-is kept as the sum of hashes of (page, count), so Spark adds it up without gathering pages. Classes on at least half of the
-pages whose containers nest make the host's template; text blocks in its containers that are the same on half of the pages
-belong to it. What a page has besides the template is its text. Where article and main elements hold at least half of
+is kept as the sum of hashes of (page, count), so Spark adds it up without gathering pages. Pages of a host with the same
+containers and blocks count once. Classes on at least half of the pages whose containers nest make the host's template; text
+blocks in its containers that are the same on half of the pages, and on SUPPORT at least, belong to it, however many pages
+the host has. What a page has besides the template is its text. Where article and main elements hold at least half of
 that, all of them together are the page's text, and what is outside them is left out; nothing else is.
 
 Left out everywhere: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, told
-by element, role, class or id. Text blocks that belong to the template (on a host with TEXT_PAGES pages or more) are left
-out too, but never inside an article or main element, and not from a page that has no other text.
+by element, role, class or id. Text blocks that belong to the template are left out too, but never inside an article or main
+element, and not from a page that has no other text.
 
 Edge cases: null html counts as empty and gives the empty text; a null url belongs to the host ''. Unclosed elements end
 where their parent ends, unknown ones are plain containers. Blocks keep page order and repeated blocks.
@@ -21,6 +22,7 @@ import html as entities
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 
 from panelflow.llm.common import mix, word_hashes
 
-TEXT_PAGES = 8
+#: Different pages that a template's text stands on: on two, it may as well be the text of a page and its near copy.
+SUPPORT = 3
 
 # fixed values: names of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -146,22 +149,18 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[str, bool, str]]]:
     return opened, blocks
 
 
-def page_tokens(page: str | None) -> dict[tuple[str, int], list[int]]:
-    """(path, text hash or 0 for the container itself) -> [times it occurs, characters of text in it]."""
+def page_tokens(page: str | None) -> tuple[int, dict[tuple[str, int], int]]:
+    """A fingerprint of the page's containers and blocks; (path, text hash or 0 for the container itself) -> times it occurs."""
     opened, blocks = parse(page)
-    found: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
-    found["", 0][0] = 1
+    found: dict[tuple[str, int], int] = defaultdict(int)
+    found["", 0] = 1
     for path in opened:
-        found[path, 0][0] += 1
+        found[path, 0] += 1
     for path, article, text in blocks:
-        parts = path.split("/")
-        for k in range(len(parts)):
-            found["/".join(parts[: k + 1]), 0][1] += len(text)
         if not article:
-            token = found[path, _text_hash(text)]
-            token[0] += 1
-            token[1] += len(text)
-    return found
+            found[path, _text_hash(text)] += 1
+    content = repr((opened, blocks)).encode()
+    return int.from_bytes(blake2b(content, digest_size=8).digest(), "big", signed=True), found
 
 
 def _text_hash(text: str) -> int:
@@ -186,7 +185,7 @@ def deduce(pdf: pd.DataFrame) -> pd.DataFrame:
             parts = row.path.split("/")
             if row.text == 0 and row.occurrences == row.pages and all("/".join(parts[:k]) in nodes for k in range(1, len(parts))):
                 template.add(row.path)
-    texts = [int(row.text) for row in pdf.itertuples(index=False) if row.text != 0 and row.path in template and pages >= TEXT_PAGES]
+    texts = [int(row.text) for row in pdf.itertuples(index=False) if row.text != 0 and row.path in template and row.pages >= SUPPORT]
     return pd.DataFrame({"h": [host], "texts": [texts]})
 
 
@@ -206,12 +205,14 @@ def extract(pages: DataFrame) -> DataFrame:
         for pdf in batches:
             for at in range(0, len(pdf), 500):
                 part = pdf.iloc[at : at + 500]
-                out = [(h, k, path, text, n, chars) for k, h, page in zip(part["page"], part["host"], part["html"], strict=True) for (path, text), (n, chars) in page_tokens(page).items()]
-                yield pd.DataFrame(out, columns=["host", "page", "path", "text", "n", "chars"])
+                out = [(h, k, path, text, n) for h, page in zip(part["host"], part["html"], strict=True) for k, found in [page_tokens(page)] for (path, text), n in found.items()]
+                yield pd.DataFrame(out, columns=["host", "page", "path", "text", "n"])
 
-    found = rows.select(F.xxhash64("page_id", "url").alias("page"), "host", "html").mapInPandas(tokens, "host string, page long, path string, text long, n long, chars long")
+    found = rows.select("host", "html").mapInPandas(tokens, "host string, page long, path string, text long, n long")
+    # of pages with the same containers and blocks, one counts
+    found = found.groupBy("host", "path", "text", "page").agg(F.max("n").alias("n"))
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")) % F.lit(2**62)
-    found = found.groupBy("host", "path", "text").agg(vector.cast("long").alias("vector"), F.count("*").alias("pages"), F.sum("n").alias("occurrences"), F.sum("chars").alias("chars"))
+    found = found.groupBy("host", "path", "text").agg(vector.cast("long").alias("vector"), F.count("*").alias("pages"), F.sum("n").alias("occurrences"))
     size = found.where("path = '' AND text = 0").select(F.col("host").alias("h"), F.col("pages").alias("host_pages"))
     often = found.join(size, F.col("host") == F.col("h")).where("2 * pages >= host_pages").drop("h")
     templates = often.groupBy("host").applyInPandas(deduce, "h string, texts array<long>")

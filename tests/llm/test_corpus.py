@@ -479,6 +479,24 @@ def test_html_keeps_all_main_text(spark):
         assert r["text"] == mains[r["url"][7:].split(".")[0]][1].format(k=r["page_id"])
 
 
+def test_html_template_of_different_pages(spark):
+    rows = []
+
+    def add(host, k, body):
+        rows.append((len(rows), f"http://{host}.example/{len(rows)}", f"<body><script>at={len(rows)}</script><div class=site><p>Welcome to us</p></div><div class=text>{body}</div></body>"))
+        return f"{host} {k}"
+
+    want = []
+    for k in range(24):  # half of the pages are copies of one
+        want.append(add("copies", k if k % 2 else "hot", f"<p>copies {k if k % 2 else 'hot'}</p><p>more {k if k % 2 else 'hot'}</p>") + f"\nmore {k if k % 2 else 'hot'}")
+    for k in range(3):
+        want.append(add("small", k, f"<p>small {k}</p>"))
+    for _ in range(9):
+        want.append("Welcome to us\n" + add("same", 0, "<p>same 0</p>"))
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == dict(enumerate(want))
+
+
 @needs_data
 def test_html_of_all_pages(spark):
     import html
