@@ -149,6 +149,8 @@ ORACLE_SQL: dict[str, str] = {
     "sentiment_window": f"WITH {_sentiment()} SELECT ticker, date, {_SENT} FROM sent",
     "sentiment_join": f"WITH {_EVENT_PRICES}, {_sentiment('day(pub_date) % 4 = 1')} SELECT ep.ticker, ep.date, round(close, 8) AS close, {_SENT} FROM ep LEFT JOIN sent ON ep.ticker = sent.ticker AND ep.date = sent.date",
     "sentiment_asof": f"WITH {_EVENT_PRICES}, {_sentiment('day(pub_date) % 4 = 1')} SELECT ep.ticker, ep.date, round(close, 8) AS close, {_SENT} FROM ep LEFT JOIN sent ON ep.ticker = sent.ticker AND sent.date = (SELECT max(s.date) FROM sent s WHERE s.ticker = ep.ticker AND s.date <= ep.date AND s.date > ep.date - 3)",
+    "sentiment_join_all": f"WITH {_EVENT_PRICES}, {_sentiment()} SELECT ep.ticker, ep.date, round(close, 8) AS close, {_SENT} FROM ep LEFT JOIN sent ON ep.ticker = sent.ticker AND ep.date = sent.date",
+    "sentiment_asof_all": f"WITH {_EVENT_PRICES}, {_sentiment()} SELECT ep.ticker, ep.date, round(close, 8) AS close, {_SENT} FROM ep LEFT JOIN sent ON ep.ticker = sent.ticker AND sent.date = (SELECT max(s.date) FROM sent s WHERE s.ticker = ep.ticker AND s.date <= ep.date AND s.date > ep.date - 3)",
     "naive_mean": f"WITH {_FEATURES} SELECT ticker, date AS asof_date, date + 1 AS target_date, round(target_forward_return, 8) + 0.0 AS y_true, round((SELECT avg(target_forward_return) FROM features WHERE split = 'train'), 8) AS y_pred, 'naive' AS model_name, CAST(-1 AS INTEGER) AS fold_id FROM features WHERE split = 'test'",
     "baseline_predictions": f"WITH {_preds()} SELECT ticker, asof_date, target_date, round(y_true, 8) + 0.0 AS y_true, round(y_pred, 8) + 0.0 AS y_pred, model_name, fold_id FROM preds",
     "baseline_trading_days": f"WITH {_FEATURES} SELECT ticker, date AS asof_date, lead(date) OVER (PARTITION BY ticker ORDER BY date) AS target_date, round(target_forward_return, 8) + 0.0 AS y_true, round(coalesce(return_1d, 0), 8) + 0.0 AS y_pred, 'heuristic' AS model_name, CAST(-1 AS INTEGER) AS fold_id FROM features WHERE split = 'test'",

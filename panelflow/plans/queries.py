@@ -207,6 +207,18 @@ def sentiment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out.select("ticker", "date", "close", "sentiment_avg", "sentiment_count", "sentiment_momentum"))
 
 
+def sentiment_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sentiment_join over all news."""
+    out = sentiment.attach(panel.event_prices(spark, sf_dir), sentiment.sentiment_features(panel.news(spark, sf_dir)))
+    return _rounded(out.select("ticker", "date", "close", "sentiment_avg", "sentiment_count", "sentiment_momentum"))
+
+
+def sentiment_asof_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sentiment_asof over all news."""
+    out = sentiment.attach_asof(panel.event_prices(spark, sf_dir), sentiment.sentiment_features(panel.news(spark, sf_dir)), max_age_days=3)
+    return _rounded(out.select("ticker", "date", "close", "sentiment_avg", "sentiment_count", "sentiment_momentum"))
+
+
 def sentiment_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sentiment.attach_asof(panel.event_prices(spark, sf_dir), sentiment.sentiment_features(_sparse_news(spark, sf_dir)), max_age_days=3)
     return _rounded(out.select("ticker", "date", "close", "sentiment_avg", "sentiment_count", "sentiment_momentum"))

@@ -34,3 +34,13 @@ def test_query_equals_sql(spark, name):
     want = pd.DataFrame(cur.fetchall(), columns=[c[0] for c in cur.description])
     assert sorted(df.columns) == sorted(want.columns)
     assert _rows(pd.DataFrame(df.collect(), columns=df.columns)) == _rows(want)
+
+
+@pytest.mark.parametrize("name", ["sentiment_join_all", "sentiment_asof_all"])
+def test_sentiment_of_all_news_reaches_prices(spark, name):
+    test_query_equals_sql(spark, name)
+    news = registry.QUERIES["sentiment_window"](spark, SF)
+    got = registry.QUERIES[name](spark, SF)
+    # each day with news and a price has its whole window's articles
+    both = got.join(news.withColumnRenamed("sentiment_count", "want").select("ticker", "date", "want"), ["ticker", "date"])
+    assert both.count() > 0 and both.where("want <> sentiment_count").count() == 0
