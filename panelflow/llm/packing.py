@@ -4,9 +4,9 @@ The histogram of document lengths over the whole corpus goes to a dynamic progra
 least padding; inside each bucket, documents in a shuffled order fill batches of a token budget: as many documents as
 fit when each is padded to the bucket's boundary, one at least.
 
-A length is a document's number of words unless a column is named. Lengths beyond `grid` different values are rounded up to
-a geometric grid of that size before the programme (the boundaries then lie on the grid); the histogram that reaches the
-driver has a row for each grid point at most.
+A length is a document's number of words unless a column is named. Lengths above _EXACT are always rounded up to a geometric
+grid (steps of 2.2 %) before the programme, so boundaries above _EXACT lie on the grid and are optimal only up to a grid
+cell; the histogram that reaches the driver has a row for each grid point at most.
 
 Edge cases: null and empty texts have length 0 and share the first bucket, padded like all others; documents longer than
 the budget make a batch of one; an empty table gives an empty result; null ids count as the empty text in the shuffle,
