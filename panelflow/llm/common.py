@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _POWERS: dict[str, np.ndarray] = {}
+#: Bytes of a text that are hashed at once.
+_LONG = 1 << 21
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -66,8 +69,23 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(text: str | None, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash for each word of a text, A-Z lower-cased, in order. Equal words have equal hashes."""
+    """A 64-bit hash for each word of a text, A-Z lower-cased, in order. Equal words have equal hashes.
+
+    Long texts are hashed in pieces that end at a gap between words, so that memory follows the piece (or the longest word).
+    """
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    if len(raw) <= _LONG:
+        return _hash_words(raw, lower)
+    ends = np.append(np.flatnonzero(_SPACE[raw]), len(raw))
+    out, at = [], 0
+    while at < len(raw):
+        end = int(ends[np.searchsorted(ends, min(at + _LONG, len(raw)))])
+        out.append(_hash_words(raw[at:end], lower))
+        at = end + 1
+    return np.concatenate(out)
+
+
+def _hash_words(raw: np.ndarray, lower: bool) -> np.ndarray:
     start, end = word_spans(raw)
     if not len(start):
         return np.zeros(0, np.uint64)
@@ -88,14 +106,28 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.unique(h)
 
 
+# ---------------------------------------------------------------- texts as bytes
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of an Arrow column of texts as one array without copying, and each text's start and end in it; null is empty."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    at = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
+    at = at - at[0]
+    return raw, at[:-1], at[1:]
+
+
 # ---------------------------------------------------------------- tables of a fixed size, built on the executors
 
 
 def gather_blocks(parts: DataFrame, n: int, dtype: str, add) -> np.ndarray:
     """Combine rows (block int, data binary), each a compressed piece of an array of n values, into the whole array.
 
-    Rows of a block stream through one task that keeps a block's array only; what reaches the driver has the array's
-    fixed size, whatever the size of the corpus.
+    Pieces are added up as a tree: first those of a block in several turns, as many as the session's shuffle partitions give
+    room for, then the turns of each block. A task holds one array for each block it sees; what reaches the driver has the
+    array's fixed size, whatever the size of the corpus.
     """
     import zlib
 
@@ -107,9 +139,12 @@ def gather_blocks(parts: DataFrame, n: int, dtype: str, add) -> np.ndarray:
                 total[block] = add(total[block], piece) if block in total else piece.copy()
         yield pd.DataFrame({"block": list(total), "data": [zlib.compress(x.tobytes(), 1) for x in total.values()]})
 
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if (turns := tasks // 16) > 1:
+        turn = F.pmod(F.spark_partition_id(), F.lit(turns)).alias("turn")
+        parts = parts.select("block", "data", turn).repartition(tasks, "block", "turn").select("block", "data").mapInPandas(combine, "block int, data binary")
     out = np.zeros(n, dtype)
-    rows = parts.repartition(16, "block").mapInPandas(combine, "block int, data binary").collect()
-    for row in rows:
+    for row in parts.repartition(16, "block").mapInPandas(combine, "block int, data binary").collect():
         piece = np.frombuffer(zlib.decompress(row["data"]), dtype)
         out[row["block"] * len(piece) : (row["block"] + 1) * len(piece)] = piece
     return out

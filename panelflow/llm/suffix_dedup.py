@@ -1,20 +1,22 @@
-"""Suffix-array dedup on run-length compressed Burrows-Wheeler transforms.
+"""Suffix-array dedup with a run-length index: run-compressed Burrows-Wheeler transforms that texts are streamed against.
 
 Every window of `LENGTH` bytes that also starts in a document with a smaller id is marked. So that equal windows meet,
 runs of windows that have the same minimizer (the least hash among the 16-byte strings inside) are cut out as segments
 and dealt to shards by that minimizer. Minimizers that only one document has are left out beforehand; a bitmap of a
-bounded size says which (what passes by chance only costs work), and a join where it would be too full. Where very many documents share a minimizer, its windows are
-dealt one by one by their own hash instead, so that no shard grows with a frequent passage.
+bounded size says which (what passes by chance only costs work), and a join where it would be too full. Where very many
+segments share a minimizer, its windows are dealt one by one by their own hash instead; each task adds up its own
+occurrences of these before the shuffle, so that a frequent passage puts rows by task, not by document, into a shard.
 
-In a shard the distinct segments, ordered by smallest document, are indexed: suffixes are sorted, their Burrows-Wheeler
-transform is run-length encoded, and only at the ends of runs are suffixes sampled and common prefixes compared. The
-matching statistics of all other positions follow while streaming over the text: inside a run, a match gets shorter by
-one with each byte. Suffixes that match over LENGTH bytes or more make one interval; its smallest document decides.
+In a shard the distinct segments, ordered by smallest document, are indexed: suffixes are sorted, and of their order only
+the run-length encoded Burrows-Wheeler transform, the first and last suffix of each run and the match lengths there are
+kept. Then all texts of the shard are streamed against this index from their ends on: each step goes to the suffix that
+is one byte longer (the last-to-first mapping over runs) and adds one to its match length, or takes the sampled one where
+a run begins. Suffixes that match over LENGTH bytes or more are one interval of rows; its smallest document decides.
 
 Edge cases: null texts count as empty; texts shorter than LENGTH have no window; rows with a null id neither remove nor
 lose anything; rows that repeat an id don't remove each other's bytes, as their id isn't smaller; overlapping matches
 count; bytes are UTF-8, so a cut may fall inside a character. Texts of any length are read in pieces, whole. Segments and
-minimizers are told apart by 64-bit hashes.
+minimizers are told apart by 64-bit hashes, segments within their minimizer's shard only.
 """
 
 from __future__ import annotations
@@ -23,31 +25,42 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from panelflow.llm.common import _BASE, _BYTE, _INVERSE, _MUL, MOST_KEYS, _powers, filter_has, materialize, membership_filter, mix
+from panelflow.llm.common import _BASE, _BYTE, _INVERSE, _MUL, MOST_KEYS, _powers, filter_has, materialize, membership_filter, mix, text_bytes
 
 LENGTH = 50
 _K = 16
 _LONGEST = 64
 #: Odd factors; one for each doubling of the hashed length.
 _STEP_MUL = list(np.array([1, 3, 7, 13], np.uint64) * _MUL)
-_PIECE = 1 << 19
-#: From so many documents on, a minimizer's windows are dealt one by one.
+#: Bytes that are hashed at once, and bytes whose segments are put out at once.
+_PIECE = 1 << 17
+_FLUSH = 1 << 20
+#: From so many segments on, a minimizer's windows are dealt one by one.
 HOT = 8000
 SHARD_SEGMENTS = 8000
+#: Different windows of frequent minimizers that a task adds up before it puts them out.
+_HOT_ROWS = 1 << 16
 
 
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def segments(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimizer, first window and number of windows of each run of windows; a run has _LONGEST windows at most."""
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] values), start[1], ... and so on."""
+    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+
+
+def segments(raw: np.ndarray, length: int = LENGTH, valid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimizer, first window and number of windows of each run of windows; a run has _LONGEST windows at most.
+
+    valid: which windows count (all, if not given); a run ends where one doesn't.
+    """
     if len(raw) < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = _BYTE[raw]
@@ -61,17 +74,51 @@ def segments(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
     if width > reach:
         h = np.minimum(h[: len(h) - (width - reach)], h[width - reach :])
     new = np.concatenate(([True], h[1:] != h[:-1]))
+    if valid is not None:
+        new[1:] |= valid[1:] != valid[:-1]
     at = np.flatnonzero(new)
-    if np.diff(np.append(at, len(h))).max() > _LONGEST:
-        place = np.arange(len(h))
-        at = np.flatnonzero(new | ((place - np.maximum.accumulate(np.where(new, place, 0))) % _LONGEST == 0))
-    return h[at], at, np.diff(np.append(at, len(h)))
+    n = np.diff(np.append(at, len(h)))
+    if n.max() > _LONGEST:
+        parts = -(-n // _LONGEST)
+        turn = _ranges(np.zeros(len(n), np.int64), parts)
+        at = np.repeat(at, parts) + turn * _LONGEST
+        n = np.minimum(np.repeat(n, parts) - turn * _LONGEST, _LONGEST)
+    if valid is not None:
+        at, n = at[valid[at]], n[valid[at]]
+    return h[at], at, n
+
+
+def _stretches(start: np.ndarray, end: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """Texts k0..k1-1 and their bytes a..b, about _PIECE of them; of a longer text, b is a piece's last window's end."""
+    k = 0
+    while k < len(start):
+        size = int(end[k] - start[k])
+        if size > _PIECE:
+            for a in range(int(start[k]), int(end[k]) - length + 1, _PIECE):
+                yield k, k + 1, a, min(a + _PIECE + length - 1, int(end[k]))
+            k += 1
+            continue
+        to = max(k + 1, int(np.searchsorted(end, start[k] + _PIECE, "right")))
+        yield k, to, int(start[k]), int(end[to - 1])
+        k = to
 
 
-def _pieces(data: bytes, length: int) -> Iterator[tuple[int, np.ndarray]]:
-    raw = np.frombuffer(data, np.uint8)
-    for at in range(0, max(0, len(raw) - length + 1), _PIECE):
-        yield at, raw[at : at + _PIECE + length - 1]
+def cut_texts(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of stretches of the texts in a column: bytes, their place in the column's bytes, and each segment's text, minimizer, first window and windows."""
+    raw, start, end = text_bytes(column)
+    for k0, k1, a, b in _stretches(start, end, length):
+        part = raw[a:b]
+        if len(part) < length:
+            continue
+        valid = None
+        if k1 - k0 > 1:
+            valid = np.ones(len(part) - length + 1, bool)
+            short = np.minimum(end[k0:k1] - start[k0:k1], length - 1)
+            out = _ranges(end[k0:k1] - short - a, short)
+            valid[out[out < len(valid)]] = False
+        minimizer, first, windows = segments(part, length, valid)
+        owner = k0 + np.searchsorted(start[k0:k1], first + a, "right") - 1
+        yield part, a, owner, minimizer, first, windows
 
 
 def _hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -80,23 +127,24 @@ def _hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * _powers(len(raw) + 1, _INVERSE, "down")[start] + (end - start).astype(np.uint64))
 
 
-def _cut(data: bytes, length: int, common: np.ndarray, hot: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Of each piece of a text: key, minimizer, shard hash, start and end in the text of the segments that others may share."""
-    for at, raw in _pieces(data, length):
-        minimizer, first, windows = segments(raw, length)
+def shared_segments(column: pa.Array, length: int, common: np.ndarray, hot: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of stretches of the texts in a column: bytes, their place, and of the segments that others may share: text, key, minimizer,
+    whether it is one window of a frequent minimizer, start and end in the stretch."""
+    for part, a, owner, minimizer, first, windows in cut_texts(column, length):
         keep = filter_has(common, minimizer)
         if not keep.any():
             continue
-        minimizer, first, windows = minimizer[keep], first[keep], windows[keep]
+        owner, minimizer, first, windows = owner[keep], minimizer[keep], first[keep], windows[keep]
         single = filter_has(hot, minimizer)
-        n = windows[single]
-        alone = np.repeat(first[single], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = np.concatenate((first[~single], alone))
-        end = np.concatenate((first[~single] + windows[~single], alone + 1)) + length - 1
-        key = _hashes(raw, start, end)
-        minimizer = np.concatenate((minimizer[~single], np.repeat(minimizer[single], n)))
-        shard = np.concatenate((minimizer[: (~single).sum()], key[(~single).sum() :]))
-        yield key, minimizer, shard, start + at, end + at
+        if single.any():
+            n = np.where(single, windows, 1)
+            which = np.repeat(np.arange(len(n)), n)
+            start = _ranges(first, n)
+            owner, minimizer, single = owner[which], minimizer[which], single[which]
+            end = start + np.where(single, 1, windows[which]) + length - 1
+        else:
+            start, end = first, first + windows + length - 1
+        yield part, a, owner, _hashes(part, start, end), minimizer, single, start, end
 
 
 def suffix_order(padded: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -149,51 +197,98 @@ def suffix_order(padded: np.ndarray, left: np.ndarray) -> np.ndarray:
         depth *= 2
 
 
-def first_texts(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte position of the joined texts, the first of them that holds the `length` bytes that start there; and where
-    each text starts. A text takes one position more than it has bytes; positions with fewer bytes left give their own text.
+def _first_of_each(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by key, and where each different key starts in it."""
+    order = np.argsort(key, kind="stable")
+    found = key[order]
+    return order, np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+
+
+class RunIndex:
+    """The run-length index of some texts: transform runs, first-row samples, and the match length one step on from each run's start.
 
-    texts: each shorter than 128 bytes, in the order in which one comes before another.
+    body: bytes plus one, 0 at the end of each text; end: the place of each text's 0. Memory goes by bits for rows and by runs
+    for the rest; the order of suffixes is dropped.
     """
-    size = np.array([len(t) for t in texts], np.int64) + 1
-    begin = np.cumsum(size) - size
-    body = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8) + np.uint8(1)  # UTF-8 has no 255: it ends a text, as 0
-    n = len(body)
-    place = np.arange(n, dtype=np.int32)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), size)
-    left = (np.repeat((begin + size - 1).astype(np.int32), size) - place).astype(np.uint8)  # bytes up to the text's end
-    padded = np.concatenate((body, np.zeros(128, np.uint8)))
-    order = suffix_order(padded, left)
-
-    # the transform, run-length encoded; a text's first byte always begins a run
-    previous = np.concatenate((np.zeros(1, np.uint8), body[:-1]))  # 0 before each text's first byte
-    before = previous[order]
-    heads = np.flatnonzero(np.concatenate(([True], (before[1:] != before[:-1]) | (before[1:] == 0))))
-    sample, above = order[heads], order[np.maximum(heads - 1, 0)]  # this run's first suffix, and the last of the run before
-    common = np.zeros(len(heads), np.int16)
-    going = np.arange(1, len(heads), dtype=np.int32)
-    x, y = sample[1:], above[1:]
-    d = 0
-    while len(going):
-        byte = padded[x + np.int32(d)]
-        same = (byte == padded[y + np.int32(d)]) & (byte != 0)
-        going, x, y = going[same], x[same], y[same]
-        d += 1
-        common[going] = d
-
-    # matching statistics over the text: from the last sampled position on, one byte less with each step
-    known = np.zeros(n, np.int32)
-    known[sample] = sample
-    last = np.maximum.accumulate(known)
-    at_sample = np.zeros(n, np.int16)
-    at_sample[sample] = common
-    match = at_sample[last] - (place - last)
-
-    start = np.flatnonzero(match[order] < length)  # the first suffix matches nothing above it, so it starts an interval
-    least = np.minimum.reduceat(owner[order], start)
-    out = np.empty(n, np.int32)
-    out[order] = np.repeat(least, np.diff(np.append(start, n)))
-    return out, begin
+
+    def __init__(self, body: np.ndarray, end: np.ndarray) -> None:
+        n = len(body)
+        place = np.arange(n, dtype=np.int32)
+        size = np.diff(np.concatenate(([-1], end)))
+        left = (np.repeat(end.astype(np.int32), size) - place).astype(np.uint8)  # bytes up to the text's end
+        padded = np.concatenate((body, np.zeros(128, np.uint8)))
+        order = suffix_order(padded, left)
+        previous = np.concatenate((np.zeros(1, np.uint8), body[:-1]))  # 0 before each text's first byte
+        before = previous[order]
+        head = np.concatenate(([True], (before[1:] != before[:-1]) | (before[1:] == 0)))
+        self.start = np.flatnonzero(head).astype(np.int32)
+        last = np.append(self.start[1:], n).astype(np.int32) - 1
+        byte = before[self.start]
+        first, tail = order[self.start], order[last]  # the sampled ends of runs
+        # where a run's rows go when one byte is added in front: behind all lesser bytes and the same byte's runs before it
+        by = np.argsort(byte, kind="stable")
+        length = (last - self.start + 1)[by]
+        self.target = np.empty(len(by), np.int32)
+        self.target[by] = np.cumsum(length) - length
+        # a run's first suffix meets the last one of the same byte's run before it, there; both are one byte longer then
+        self.match = np.zeros(len(by), np.int16)
+        same = np.flatnonzero((byte[by[1:]] == byte[by[:-1]]) & (byte[by[1:]] != 0)) + 1
+        going, x, y, d = by[same], first[by[same]], tail[by[same - 1]], 0
+        while len(going):
+            self.match[going] = d + 1
+            c = padded[x + np.int32(d)]
+            on = (c == padded[y + np.int32(d)]) & (c != 0)
+            going, x, y, d = going[on], x[on], y[on], d + 1
+        # rank over the marks of runs' first rows: a count for each 64 rows, and bits
+        bits = np.packbits(np.concatenate((head, np.zeros(-n % 64, bool))), bitorder="little").view(np.uint64)
+        self.bits, ones = bits, np.bitwise_count(bits)
+        self.ahead = (np.cumsum(ones) - ones).astype(np.int32)
+        self.rows = n
+
+    def step(self, row: np.ndarray, match: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and match length (with the row above) of the suffixes that are one byte longer."""
+        word = row >> 6
+        upto = (np.uint64(2) << (row & 63).astype(np.uint64)) - np.uint64(1)
+        run = self.ahead[word] + np.bitwise_count(self.bits[word] & upto) - 1
+        into = row - self.start[run]
+        return self.target[run] + into, np.where(into == 0, self.match[run], match + np.int16(1))
+
+
+def first_texts(texts: pa.Array, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of `length` bytes of the texts, in order: its text, its offset there, and the first of the texts that holds it.
+
+    texts: binary values, each shorter than 128 bytes, in the order in which one comes before another.
+    """
+    raw, begin, end = text_bytes(texts)
+    size = end - begin
+    close = np.cumsum(size + 1) - 1
+    body = np.zeros(len(raw) + len(size), np.uint8)
+    held = np.ones(len(body), bool)
+    held[close] = False
+    body[held] = raw + np.uint8(1)  # UTF-8 has no 255, so none becomes 0, which ends a text
+    index = RunIndex(body, close)
+
+    # stream all texts side by side, the longest first so that those that end drop off
+    turn = np.argsort(-size, kind="stable")
+    longest = int(size.max(initial=0))
+    still = np.searchsorted(-size[turn], -np.arange(longest), "left")  # texts with more bytes than so many
+    windows = np.maximum(size - length + 1, 0)
+    ahead = (np.cumsum(windows) - windows)[turn]
+    row, match = turn.astype(np.int32), np.zeros(len(turn), np.int16)  # ends of texts are the first rows, in their order
+    opens = np.zeros(index.rows, bool)
+    opens[: len(turn)] = True
+    at = np.empty(int(windows.sum()), np.int32)
+    for done in range(longest):
+        k = int(still[done])
+        row, match = index.step(row[:k], match[:k])
+        opens[row[match < length]] = True  # matches nothing above it, so an interval begins
+        if done + 1 >= length:
+            at[ahead[:k] + size[turn[:k]] - done - 1] = row
+    which = np.repeat(np.arange(len(size)), windows)
+    interval = np.cumsum(opens, dtype=np.int32)[at]
+    least = np.empty(index.rows + 1, np.int32)
+    least[interval[::-1]] = which[::-1]  # of several texts the first one is put in last
+    return which, _ranges(np.zeros(len(size), np.int64), windows), least[interval]
 
 
 def mark_repeats(documents: DataFrame, length: int = LENGTH, name: str = "spans") -> DataFrame:
@@ -201,78 +296,98 @@ def mark_repeats(documents: DataFrame, length: int = LENGTH, name: str = "spans"
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND octet_length(text) >= " + str(length))
     rows = rows.withColumn("fp", F.xxhash64("text"))
 
-    def minimizers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                own = [np.unique(np.concatenate([segments(raw, length)[0] for _, raw in _pieces(utf8(t), length)])) for t in pdf["text"].iloc[at : at + 1000]]
-                yield pd.DataFrame({"h": np.concatenate(own).astype(np.int64)})
+    def minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, owner, h, _, _ in cut_texts(batch.column("text"), length):
+                order = np.lexsort((owner, h))
+                h, owner = h[order], owner[order]
+                at = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))))
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].astype(np.int64)), pa.array(np.diff(np.append(at, len(h))).astype(np.int32))], ["h", "m"])
 
-    counts = rows.select("text").mapInPandas(minimizers, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    counts = rows.select("text").mapInArrow(minimizers, "h long, m int").groupBy("h").agg(F.count("*").alias("n"), F.sum("m").alias("m")).where("n > 1")
     counts = materialize(counts, "minimizers")
-    total = counts.agg(F.count("*"), F.sum("n")).first()
-    common, hot = membership_filter(counts.select("h"), total[0]), membership_filter(counts.where(F.col("n") >= HOT).select("h"))
+    total = counts.agg(F.count("*"), F.sum("m")).first()
+    common, hot = membership_filter(counts.select("h"), total[0]), membership_filter(counts.where(F.col("m") >= HOT).select("h"))
     shards = max(1, -(-(total[1] or 0) // SHARD_SEGMENTS))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                keys, by, of, docs, parts = [], [], [], [], []
-                for doc, text in zip(pdf["doc_id"].iloc[at : at + 500], pdf["text"].iloc[at : at + 500], strict=True):
-                    data = utf8(text)
-                    for key, minimizer, shard, start, end in _cut(data, length, common.value, hot.value):
-                        keys.append(key)
-                        of.append(minimizer)
-                        by.append(shard)
-                        docs.append(np.full(len(key), doc, np.int64))
-                        parts += [data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-                if not keys:
-                    continue
-                # a segment once for each batch, with its least and greatest document
-                key, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-                doc = np.concatenate(docs)
-                lo, hi = np.full(len(key), np.iinfo(np.int64).max), np.full(len(key), np.iinfo(np.int64).min)
-                np.minimum.at(lo, inverse, doc)
-                np.maximum.at(hi, inverse, doc)
-                shard = np.concatenate(by)[first] % np.uint64(shards)
-                yield pd.DataFrame({"h": np.concatenate(of)[first].astype(np.int64), "shard": shard.astype(np.int64), "key": key.astype(np.int64), "part": [parts[i] for i in first], "lo": lo, "hi": hi})
-
-    def index(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.groupby("key", sort=False).agg(part=("part", "first"), lo=("lo", "min"), hi=("hi", "max")).sort_values("lo", kind="stable")
-        texts, lo, hi = own["part"].to_list(), own["lo"].to_numpy(), own["hi"].to_numpy()
-        least, begin = first_texts(texts, length)
-        windows = np.array([len(t) for t in texts]) - length + 1
-        which = np.repeat(np.arange(len(texts)), windows)
-        offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        doc = lo[least[begin[which] + offset]]
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def once(key, h, shard, lo, hi, parts):  # noqa: ANN001, ANN202
+            """Each segment once, with its least and greatest document."""
+            order, at = _first_of_each(key)
+            pick = order[at]
+            return key[pick], h[pick], shard[pick], np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at), [parts[i] for i in pick.tolist()]
+
+        def batch_of(key, h, shard, lo, hi, parts) -> pa.RecordBatch:  # noqa: ANN001
+            numbers = [pa.array(x.astype(np.int64)) for x in (h, shard, key, lo, hi)]
+            return pa.RecordBatch.from_arrays([*numbers[:3], pa.array(parts, pa.binary()), *numbers[3:]], ["h", "shard", "key", "part", "lo", "hi"])
+
+        def joined(found: list):  # noqa: ANN202
+            return [*(np.concatenate([f[i] for f in found]) for i in range(5)), [p for f in found for p in f[5]]]
+
+        frequent: list = []  # windows of frequent minimizers, added up over this task's batches
+        held: list = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal frequent
+            if held:
+                yield batch_of(*once(*joined(held)))
+                held.clear()
+            if sum(len(f[0]) for f in frequent) > 2 * _HOT_ROWS:
+                frequent = [once(*joined(frequent))]
+                if len(frequent[0][0]) > _HOT_ROWS:
+                    yield batch_of(*frequent.pop())
+
+        for batch in batches:
+            docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for part, _, owner, key, h, single, start, end in shared_segments(batch.column("text"), length, common.value, hot.value):
+                data, doc = part.tobytes(), docs[owner]
+                shard = np.where(single, key, h) % np.uint64(shards)
+                for some, put in ((~single, held), (single, frequent)):
+                    if some.any():
+                        put.append((key[some], h[some], shard[some], doc[some], doc[some], [data[a:b] for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)]))
+                size += len(part)
+                if size > _FLUSH:
+                    size = 0
+                    yield from flush()
+        yield from flush()
+        if frequent:
+            yield batch_of(*once(*joined(frequent)))
+
+    def index(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        key, lo, hi = (table.column(c).to_numpy() for c in ("key", "lo", "hi"))
+        order, at = _first_of_each(key)
+        pick, lo, hi = order[at], np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at)
+        turn = np.argsort(lo, kind="stable")
+        pick, lo, hi = pick[turn], lo[turn], hi[turn]
+        which, offset, least = first_texts(table.column("part").take(pa.array(pick)).combine_chunks(), length)
+        doc = lo[least]
         new = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (doc[1:] != doc[:-1]))))
         last = np.append(new[1:], len(doc)) - 1
         use = doc[new] < hi[which[new]]
         new, last = new[use], last[use]
-        return pd.DataFrame({"key": own.index.to_numpy()[which[new]], "first": offset[new], "last": offset[last], "least": doc[new]})
+        return pa.table({"key": key[pick][which[new]], "first": offset[new], "last": offset[last], "least": doc[new]})
 
-    parts = rows.select("doc_id", "text").mapInPandas(cut, "h long, shard long, key long, part binary, lo long, hi long")
+    parts = rows.select("doc_id", "text").mapInArrow(cut, "h long, shard long, key long, part binary, lo long, hi long")
     if total[0] > MOST_KEYS:  # the bitmap is too full to leave much out: a join does
         parts = parts.join(counts.select("h"), "h", "left_semi")
-    marks = parts.select("shard", "key", "part", "lo", "hi").groupBy("shard").applyInPandas(index, "key long, first long, last long, least long")
+    marks = parts.select("shard", "key", "part", "lo", "hi").groupBy("shard").applyInArrow(index, "key long, first long, last long, least long")
     marks = materialize(marks, "marks")
     marked = membership_filter(marks.select("key"))
 
-    def occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part, keys, rows_of, starts = pdf.iloc[at : at + 500], [], [], []
-                for k, text in enumerate(part["text"]):
-                    for key, _, _, start, _ in _cut(utf8(text), length, common.value, hot.value):
-                        keys.append(key)
-                        rows_of.append(np.full(len(key), k))
-                        starts.append(start)
-                if keys:
-                    key = np.concatenate(keys)
-                    keep = filter_has(marked.value, key)
-                    row = np.concatenate(rows_of)[keep]
-                    yield pd.DataFrame({"key": key[keep].astype(np.int64), "doc_id": part["doc_id"].to_numpy()[row], "fp": part["fp"].to_numpy()[row], "at": np.concatenate(starts)[keep]})
-
-    held = rows.mapInPandas(occurrences, "key long, doc_id long, fp long, at long").join(marks, "key").where("least < doc_id")
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, begin, _ = text_bytes(batch.column("text"))
+            doc, fp = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False)
+            for _, a, owner, key, _, _, start, _ in shared_segments(batch.column("text"), length, common.value, hot.value):
+                keep = filter_has(marked.value, key)
+                if keep.any():
+                    who = owner[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[keep].astype(np.int64), doc[who], fp[who], start[keep] + a - begin[who])], ["key", "doc_id", "fp", "at"])
+
+    # a key has a row for each stretch of its marks, so where it is frequent adaptive execution splits its occurrences
+    held = rows.mapInArrow(occurrences, "key long, doc_id long, fp long, at long").join(marks, "key").where("least < doc_id")
     spans = held.groupBy("doc_id", "fp").agg(F.collect_list(F.struct((F.col("at") + F.col("first")).alias("a"), (F.col("at") + F.col("last") + length).alias("b"))).alias("found"))
     spans = spans.select(F.col("doc_id").alias("d"), F.col("fp").alias("f"), F.col("found.a").alias("a"), F.col("found.b").alias("b"))
 

@@ -2,8 +2,10 @@
 
 import os
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +154,31 @@ def test_jaccard_group_of_near_copies(spark):
     assert got == brute.components(rows, 3, 90, 100)
 
 
+def test_jaccard_ids_with_several_texts(spark):
+    """Rows that repeat an id with other texts: no link is lost, whichever row comes first."""
+    word = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(5, word("a")), (5, word("b")), (6, word("a") + " x"), (7, word("b") + " x"), (8, ""), (8, word("c")), (3, word("c") + " y"), (9, None)]
+    for some in (rows, rows[::-1]):
+        got = Counter(tuple(r) for r in jaccard.join_documents(spark.createDataFrame(some, "doc_id long, text string"), 3, 90, 100).select("doc_id", "component_id").collect())
+        assert got == Counter([(5, 5), (5, 5), (6, 5), (7, 5), (8, 3), (8, 3), (3, 3), (9, 9)])
+
+
+def test_jaccard_large_group(spark, monkeypatch):
+    """2,000 near copies of one text, each with a word of its own, and as many just below the threshold; salted."""
+    monkeypatch.setattr(jaccard, "_SALT_ROWS", 150)
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for k in range(2000):
+        v = list(base)
+        for j in range(1 if k % 40 else 4):
+            v[10 + 20 * j] = f"x{rng.randrange(10**9)}"
+        rows.append((k, " ".join(v)))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join_documents(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    # copies with one changed word share 95 of 101 shingles; with four changed words, 86 of 110
+    assert got == {k: 1 if k % 40 else k for k in range(2000)}
+
+
 def test_suffix_bound_is_a_bound():
     rng = np.random.default_rng(5)
     for _ in range(200):
@@ -182,11 +209,27 @@ def test_first_texts():
     rng = random.Random(2)
     texts = sorted({bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 120))) for _ in range(300)}, key=lambda _: rng.random())
     for length in (6, 20):
-        got, begin = suffix_dedup.first_texts(texts, length)
-        for k, t in enumerate(texts):
-            for p in range(len(t) - length + 1):
-                w = t[p : p + length]
-                assert got[begin[k] + p] == next(j for j, x in enumerate(texts) if w in x)
+        which, offset, least = suffix_dedup.first_texts(pa.array(texts, pa.binary()), length)
+        want = [(k, p, next(j for j, x in enumerate(texts) if t[p : p + length] in x)) for k, t in enumerate(texts) for p in range(len(t) - length + 1)]
+        assert list(zip(which.tolist(), offset.tolist(), least.tolist(), strict=True)) == want
+
+
+def test_run_index_steps():
+    """Streaming a text backwards visits its suffixes' rows, with the length that each has in common with the row above."""
+    rng = random.Random(3)
+    texts = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 60))) for _ in range(40)]
+    body = np.frombuffer(b"".join(bytes(c + 1 for c in t) + b"\0" for t in texts), np.uint8)
+    index = suffix_dedup.RunIndex(body, np.cumsum([len(t) + 1 for t in texts]) - 1)
+    rows = sorted((t[p:], k, p) for k, t in enumerate(texts) for p in range(len(t) + 1))
+    place = {(k, p): i for i, (_, k, p) in enumerate(rows)}
+    common = lambda x, y: next((i for i, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+    assert len(index.start) < len(rows)
+    for k, t in enumerate(texts):
+        row, match = np.array([k], np.int32), np.zeros(1, np.int16)
+        for p in range(len(t) - 1, -1, -1):
+            row, match = index.step(row, match)
+            at = place[k, p]
+            assert row[0] == at and match[0] == common(rows[at][0], rows[at - 1][0])
 
 
 def test_segments_cover_all_windows():
