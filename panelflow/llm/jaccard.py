@@ -1,17 +1,20 @@
 """N-gram Jaccard join by rare-first prefix filtering, with length, positional and suffix filters.
 
-Documents with equal shingle sets form a class with one representative. Shingles are ordered rare first by counts over
-the whole corpus (a count sketch of fixed size decides the order; any order gives the same links). Two sets can only
-be similar if their prefixes share a shingle, so the join runs on prefix shingles.
+Rows with equal shingle sets form a class with a number of its own; pairs are found and verified between classes, and only
+the result goes back to doc_id. Shingles are ordered rare first by counts over the whole corpus (a count sketch of fixed
+size decides the order; any order gives the same links). Two sets can only be similar if their prefixes share a shingle,
+so the join runs on prefix shingles.
 
-Pairs are tried in two rounds, so that a group of n near copies doesn't make n * n pairs. First each set meets the
-smallest set id among those it shares a prefix shingle with. Links that hold make components. Then every pair that
+Pairs are tried in two rounds, so that a group of n near copies doesn't make n * n pairs. First each class meets the one
+with the least number among those it shares a prefix shingle with. Links that hold make components. Then every pair that
 shares a prefix shingle, passes the filters and isn't yet in one component is tried. So pairs inside a component are left
-out, which cannot change the components, and no others.
+out, which cannot change the components, and no others. A frequent shingle's rows are dealt to as many salts as its count
+asks for, on both rounds.
 
 Edge cases: null, empty and blank texts have no shingles and link with nothing; shorter texts than n words are one
-shingle; rows that repeat a document are one class; rows with a null id get null as component; an empty table gives an empty
-result. Only doc_id and text are read.
+shingle; rows that repeat a doc_id with other texts are one document as far as links go (what one of them reaches, all
+reach); rows with a null id get null as component; an empty table gives an empty result. Very long texts are hashed in pieces,
+whole; a text's shingle set is held in one task. Only doc_id and text are read. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from panelflow.llm.common import components, filter_has, gather_blocks, material
 #: Slots of the count sketch, 16 MB.
 SKETCH_BITS = 22
 _SOME = 512
+#: Rows of a prefix shingle that a salt takes.
+_SALT_ROWS = 1000
 
 
 def shingle_counts(documents: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -45,6 +50,16 @@ def shingle_counts(documents: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.
     return gather_blocks(documents.select("text").mapInPandas(count, "block int, data binary"), 1 << bits, "uint32", np.add)
 
 
+#: What tells two shingle sets apart: 128 bits of fingerprint and the size.
+KEY = ("fp1", "fp2", "n_shingles")
+
+
+def fingerprints(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    one = [int(np.add.reduce(mix(s)).astype(np.int64)) if len(s) else 0 for s in sets]
+    two = [int(np.bitwise_xor.reduce(mix(s + np.uint64(0x632BE59BD9B4E019))).astype(np.int64)) if len(s) else 0 for s in sets]
+    return one, two
+
+
 def prefix_rows(documents: DataFrame, n: int, num: int, den: int, bits: int = SKETCH_BITS) -> DataFrame:
     """(doc_id, n_shingles, fp1, fp2, prefix): a fingerprint of the set and its rarest shingles, rare first."""
     shared = documents.sparkSession.sparkContext.broadcast(shingle_counts(documents, n, bits))
@@ -56,8 +71,8 @@ def prefix_rows(documents: DataFrame, n: int, num: int, den: int, bits: int = SK
             for text in pdf["text"]:
                 s = shingles(word_hashes(text), n)
                 size.append(len(s))
-                one.append(np.add.reduce(mix(s)).astype(np.int64) if len(s) else 0)
-                two.append(np.bitwise_xor.reduce(mix(s + np.uint64(0x632BE59BD9B4E019))).astype(np.int64) if len(s) else 0)
+                for put, value in zip((one, two), fingerprints([s]), strict=True):
+                    put += value
                 often = seen[(s >> np.uint64(64 - bits)).astype(np.int64)]
                 rare = np.lexsort((s.astype(np.int64), often))[: len(s) - -(-num * len(s) // den) + 1]
                 prefix.append(s[rare].astype(np.int64))
@@ -82,7 +97,7 @@ def _prefixes_allow(pairs: DataFrame, classes: DataFrame, num: int, den: int) ->
     Up to the earlier of the two prefixes' ends, in the common order, both prefixes are complete; so the overlap is at most
     the shared prefix shingles and what follows the prefix that ends first.
     """
-    side = lambda name, k: classes.select(F.col("rep").alias(name), F.struct("n_shingles", F.struct("last_count", "last").alias("end"), "prefix").alias(k))
+    side = lambda name, k: classes.select(F.col("cid").alias(name), F.struct("n_shingles", F.struct("last_count", "last").alias("end"), "prefix").alias(k))
     joined = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     shared = F.size(F.array_intersect("x.prefix", "y.prefix"))
     rest = F.when(F.col("x.end") <= F.col("y.end"), F.col("x.n_shingles") - F.size("x.prefix")).otherwise(F.col("y.n_shingles") - F.size("y.prefix"))
@@ -99,20 +114,24 @@ def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
     return suffix_bound(x[:i], y[:j], depth - 1) + suffix_bound(x[i:], y[j:], depth - 1)
 
 
-def _verify(pairs: DataFrame, documents: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of documents whose shingle sets are similar; every pair is compared once.
+def _verify(pairs: DataFrame, documents: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of classes whose shingle sets are similar; every pair is compared once.
 
-    Sets are built for the documents in pairs only.
+    Sets are built for the classes in pairs only, from rows that have the class's doc_id and fingerprint.
     """
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    chosen = membership_filter(ids)
+    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    ids = materialize(classes.join(ids, "cid", "left_semi").select("cid", "doc_id", *KEY), "ids")
+    chosen = membership_filter(ids.select("doc_id"))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf = pdf[filter_has(chosen.value, pdf["doc_id"].to_numpy(np.int64))]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "items": [shingles(word_hashes(t), n).tobytes() for t in pdf["text"]]})
+            items = [shingles(word_hashes(t), n) for t in pdf["text"]]
+            one, two = fingerprints(items)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp1": one, "fp2": two, "n_shingles": list(map(len, items)), "items": [s.tobytes() for s in items]})
 
-    sets = documents.where("doc_id IS NOT NULL").mapInPandas(build, "doc_id long, items binary").join(ids, "doc_id").groupBy("doc_id").agg(F.first("items").alias("items"))
+    rows = documents.where("doc_id IS NOT NULL").mapInPandas(build, "doc_id long, fp1 long, fp2 long, n_shingles long, items binary")
+    sets = rows.join(ids, ["doc_id", *KEY]).groupBy("cid").agg(F.first("items").alias("items"))
     sets = materialize(sets, "sets")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,7 +146,7 @@ def _verify(pairs: DataFrame, documents: DataFrame, n: int, num: int, den: int)
                 keep[k] = den * both >= num * (len(x) + len(y) - both)
             yield pdf.loc[keep, ["a", "b"]]
 
-    joined = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("right")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("left")), "a")
+    joined = pairs.join(sets.select(F.col("cid").alias("b"), F.col("items").alias("right")), "b").join(sets.select(F.col("cid").alias("a"), F.col("items").alias("left")), "a")
     return materialize(joined.mapInPandas(check, "a long, b long"), "links")
 
 
@@ -136,13 +155,14 @@ def join_documents(documents: DataFrame, n: int = 5, num: int = 80, den: int = 1
     shingle sets; component_id is the smallest doc_id that links reach."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(prefix_rows(documents, n, num, den), "prefixes")
-    key = ["fp1", "fp2", "n_shingles"]
-    classes = materialize(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("last_count").alias("last_count"), F.first("last").alias("last"), F.first("prefix").alias("prefix")), "classes")
+    classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*KEY).agg(F.min("doc_id").alias("doc_id"), F.first("last_count").alias("last_count"), F.first("last").alias("last"), F.first("prefix").alias("prefix"))
+    # the number is drawn while the table is written, once; from then on it is read
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     # prefix shingles of two classes or more; the bitmap spares the shuffle of all others
-    index = classes.select("rep", "n_shingles", F.posexplode("prefix").alias("pos", "gram"))
-    common = materialize(index.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "common")
-    held = membership_filter(common)
+    index = classes.select("cid", F.explode("prefix").alias("gram"))
+    common = materialize(index.groupBy("gram").agg(F.count("*").alias("grams")).where("grams > 1"), "common")
+    held = membership_filter(common.select("gram"))
 
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -151,32 +171,49 @@ def join_documents(documents: DataFrame, n: int = 5, num: int = 80, den: int = 1
                 size = part["prefix"].str.len().to_numpy(np.int64)
                 gram = np.concatenate(part["prefix"].to_list()).astype(np.int64)
                 start = np.repeat(np.cumsum(size) - size, size)
-                out = pd.DataFrame({"rep": np.repeat(part["rep"].to_numpy(), size), "n": np.repeat(part["n_shingles"].to_numpy(), size), "pos": np.arange(len(gram)) - start, "gram": gram})
+                out = pd.DataFrame({"cid": np.repeat(part["cid"].to_numpy(), size), "n": np.repeat(part["n_shingles"].to_numpy(), size), "pos": np.arange(len(gram)) - start, "gram": gram})
                 yield out[filter_has(held.value, gram)]
 
-    index = materialize(classes.select("rep", "n_shingles", "prefix").mapInPandas(prune, "rep long, n long, pos long, gram long").join(common, "gram"), "index")
+    index = classes.select("cid", "n_shingles", "prefix").mapInPandas(prune, "cid long, n long, pos long, gram long").join(common, "gram")
+    salts = F.floor((F.col("grams") - 1) / _SALT_ROWS) + 1
+    index = materialize(index.select("gram", "cid", "n", "pos", salts.alias("salts"), F.pmod(F.xxhash64("cid"), salts).alias("salt")), "index")
+    every_salt = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))
 
-    # first round: the smallest set id met at a prefix shingle
-    leaders = index.groupBy("gram").agg(F.min(F.struct("rep", "n", "pos")).alias("lead"))
-    met = index.join(leaders, "gram").where((F.col("rep") > F.col("lead.rep")) & _may_link(num, den, F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
-    met = _prefixes_allow(met.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct(), classes, num, den)
+    # first round: the least class met at a prefix shingle
+    leaders = index.groupBy("gram", "salt").agg(F.min(F.struct("cid", "n", "pos", "salts")).alias("lead")).groupBy("gram").agg(F.min("lead").alias("lead"))
+    leaders = leaders.where("lead IS NOT NULL").select("gram", "lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lead.salts") - 1)).alias("salt"))
+    met = index.join(leaders, ["gram", "salt"]).where((F.col("cid") > F.col("lead.cid")) & _may_link(num, den, F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
+    met = _prefixes_allow(met.select(F.col("lead.cid").alias("a"), F.col("cid").alias("b")).distinct(), classes, num, den)
     tried = materialize(met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
-    links = _verify(tried, documents, n, num, den)
+    links = _verify(tried, documents, classes, n, num, den)
+
+    # classes of one document belong together
+    members = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id", *KEY).agg(F.lit(1))
+    shared = members.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    members = materialize(members.join(shared, "doc_id", "left_semi").join(classes.select("cid", *KEY), list(KEY)).select("doc_id", "cid"), "members")
+    same = members.join(members.groupBy("doc_id").agg(F.min("cid").alias("a")), "doc_id").where("a < cid").select("a", F.col("cid").alias("b"))
+    links = links.union(same)
 
     # second round: all pairs across components
-    found = components(links).withColumnRenamed("id", "rep")
-    placed = index.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    found = components(links).withColumnRenamed("id", "cid")
+    placed = index.join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
     placed = materialize(placed.join(mixed, "gram"), "placed")
-    x, y = placed.alias("x"), placed.alias("y")
-    across = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") < F.col("y.component")) & _may_link(num, den, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
-    pairs = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verify(materialize(_prefixes_allow(pairs, classes, num, den), "pairs"), documents, n, num, den)
-
-    final = components(links.union(more)).withColumnRenamed("id", "rep")
-    named = classes.select(*key, "rep").join(final, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", *key).join(named, key, "left")
-    alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    x, y = placed.alias("x"), placed.drop("salt").withColumn("salt", every_salt).alias("y")
+    across = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.component") < F.col("y.component")) & _may_link(num, den, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
+    pairs = across.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = _verify(materialize(_prefixes_allow(pairs, classes, num, den), "pairs"), documents, classes, n, num, den)
+
+    final = components(links.union(more)).withColumnRenamed("id", "cid")
+    named = materialize(classes.select(*KEY, "cid", "doc_id").join(final, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "named")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(least, "component").select(*KEY, "component_id")
+    out = rows.select("doc_id", *KEY).join(named, list(KEY), "left")
+    # a row without shingles belongs to what other rows with its doc_id link with
+    blank = rows.where("n_shingles = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    others = rows.where("n_shingles > 0").join(blank, "doc_id", "left_semi").join(named, list(KEY)).groupBy("doc_id").agg(F.min("component_id").alias("by_id"))
+    out = out.join(others, "doc_id", "left")
+    alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "by_id", "doc_id"))
     return out.select("doc_id", "n_shingles", alone.alias("component_id"))
 
 
