@@ -1,13 +1,18 @@
 """Exact top-k search by inner product: a ball tree in each shard, searched by branch and bound.
 
-Vectors are dealt to shards of a bounded size by a hash of their id, queries to blocks; each shard meets each block of
-queries. Leaves are taken in order of the bound `query . centre + |query| * radius`, and a query stops where the bound
-falls below its kth score. A first pass opens each query's best leaf in every shard; the kth of all these scores is shared
-with the second pass, which prunes by it from the start.
+Vectors are dealt to shards by the nearest of some pivots (and by a hash of the id where a pivot has many), so a shard is a
+ball of its own. Its tree is built once and kept as one row of a table. A query first goes down the tree of the shard with
+the greatest bound `query . centre + |query| * radius`; the kth score found there is shared, and then it visits only those
+other shards whose ball can still reach it. In a tree, queries go down together: each takes the child with the greater
+bound first, comes back for the other one, and leaves a node as soon as its bound is below the query's current kth score.
+
+Scores are exact whole numbers. Where components are so large that products leave 2**53, leaves are scored in Python's
+integers; a score beyond the range of long is given as the nearest long, but ranked (by its leading 106 bits) as it is.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part, nor do null ids; vectors of another
-length than the query's aren't its candidates; equal scores are ordered by id; a query's own id is no candidate (rows that
-repeat an id are that same item). Fewer than k candidates give fewer rows.
+length than the query's aren't its candidates; equal scores are ordered by id; a query's own id is no candidate. Rows that
+repeat an id and its vector count once; rows that repeat an id with other vectors are candidates each, and as a query
+the least of them stands for the id. Fewer than k candidates give fewer rows; an empty table gives none. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +24,13 @@ from pyspark.sql import functions as F
 
 from panelflow.llm.common import materialize
 
-#: A shard and a block of queries are of like size, so neither is copied much more than the other.
+#: Vectors in a shard, queries that visit it at once, rows in a leaf.
 SHARD_ROWS = 8192
 QUERY_ROWS = 8192
 LEAF_ROWS = 128
+#: Shards get larger rather than more than this, so that their balls can be broadcast.
+MOST_SHARDS = 16_384
+MOST_PIVOTS = 1024
 
 
 def usable(vector: Column) -> Column:
@@ -32,88 +40,207 @@ def usable(vector: Column) -> Column:
 
 
 def quantize(vector: Column, scale: int = 256) -> Column:
-    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-
-
-def build_tree(x: np.ndarray, leaf_rows: int = LEAF_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Row order, and of each leaf the centre, the radius and the range of rows in that order.
-
-    A ball is halved at the median along the line between two far points.
-    """
-    order, leaves, todo = np.arange(len(x)), [], [(0, len(x))]
+    """floor(scale * x) of each component: whole numbers, kept as doubles (from 2**52 on, every double is whole)."""
+    scaled = lambda x: F.lit(float(scale)) * x.cast("double")
+    return F.transform(vector, lambda x: F.when(F.abs(scaled(x)) < 2.0**52, F.floor(scaled(x)).cast("double")).otherwise(scaled(x)))
+
+
+class BallTree:
+    """Balls over rows of x: node 0 holds all; a node's rows are order[lo:hi], its children halve them along the line between two far rows."""
+
+    def __init__(self, x: np.ndarray, leaf_rows: int = LEAF_ROWS) -> None:
+        self.order = np.arange(len(x))
+        spans, children, todo = [(0, len(x))], [(-1, -1)], [0]
+        while todo:
+            node = todo.pop()
+            lo, hi = spans[node]
+            if hi - lo <= leaf_rows:
+                continue
+            rows = x[self.order[lo:hi]]
+            far = rows[((rows - rows[0]) ** 2).sum(axis=1).argmax()]
+            other = rows[((rows - far) ** 2).sum(axis=1).argmax()]
+            mid = (lo + hi) // 2
+            self.order[lo:hi] = self.order[lo:hi][np.argsort(rows @ (other - far), kind="stable")]
+            children[node] = (len(spans), len(spans) + 1)
+            todo += children[node]
+            spans += [(lo, mid), (mid, hi)]
+            children += [(-1, -1), (-1, -1)]
+        self.spans, self.children = np.array(spans), np.array(children)
+        self.centre = np.array([x[self.order[a:b]].mean(axis=0) for a, b in spans])
+        self.radius = np.array([np.sqrt(((x[self.order[a:b]] - c) ** 2).sum(axis=1).max(initial=0)) for (a, b), c in zip(spans, self.centre, strict=True)])
+
+
+def ball_bound(q: np.ndarray, centre: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """An upper bound of the inner products of each query with what lies in each ball, wide enough for rounding."""
+    size = np.sqrt((q * q).sum(axis=1))[:, None]
+    return q @ centre.T + size * radius[None, :] + 1e-9 * size * (radius + np.sqrt((centre * centre).sum(axis=1)))[None, :] + 1e-6
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    """The same whole numbers as Python integers."""
+    return np.array([[int(v) for v in row] for row in x.tolist()], dtype=object).reshape(x.shape)
+
+
+def _exact_scores(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products as the nearest double and what is left, from Python integers."""
+    product = _whole(q) @ _whole(x).T
+    high = product.astype(np.float64)
+    low = np.array([[float(p - int(h)) for p, h in zip(ps, hs, strict=True)] for ps, hs in zip(product.tolist(), high.tolist(), strict=True)]).reshape(high.shape)
+    return high, low
+
+
+def search(tree: BallTree, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (score, rest of the score, id) of each query among x; missing ones have score -inf. floor: scores known to be reached by k others."""
+    score, rest, found = np.full((len(q), k), -np.inf), np.zeros((len(q), k)), np.full((len(q), k), np.iinfo(np.int64).max)
+    mine = np.arange(len(q))
+    todo = [(0, mine, ball_bound(q, tree.centre[:1], tree.radius[:1])[:, 0])]
     while todo:
-        lo, hi = todo.pop()
-        if hi - lo <= leaf_rows:
-            leaves.append((lo, hi))
+        node, mine, bound = todo.pop()
+        mine = mine[bound >= np.maximum(score[mine, -1], floor[mine])]
+        if not len(mine):
+            continue
+        left, right = tree.children[node]
+        if left >= 0:
+            both = ball_bound(q[mine], tree.centre[[left, right]], tree.radius[[left, right]])
+            first = both[:, 0] >= both[:, 1]
+            for child, some in ((1, first), (0, ~first), (1, ~first), (0, first)):  # the last is done first
+                if some.any():
+                    todo.append(((left, right)[child], mine[some], both[some, child]))
             continue
-        rows = x[order[lo:hi]]
-        far = rows[((rows - rows[0]) ** 2).sum(axis=1).argmax()]
-        other = rows[((rows - far) ** 2).sum(axis=1).argmax()]
-        mid = (hi - lo) // 2
-        order[lo:hi] = order[lo:hi][np.argsort(rows @ (other - far), kind="stable")]
-        todo += [(lo, lo + mid), (lo + mid, hi)]
-    leaves.sort()
-    centre = np.array([x[order[a:b]].mean(axis=0) for a, b in leaves])
-    radius = np.array([np.sqrt(((x[order[a:b]] - c) ** 2).sum(axis=1).max()) for (a, b), c in zip(leaves, centre, strict=True)])
-    return order, centre, radius, leaves
-
-
-def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int, most_leaves: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (score, id) of each query among x; missing ones have score -inf. floor: scores known to be reached by k others."""
-    order, centre, radius, leaves = build_tree(x)
-    # a little wider than the bound, as its terms are rounded
-    bound = q @ centre.T + np.sqrt((q * q).sum(axis=1))[:, None] * radius[None, :] * (1 + 1e-9) + 1e-6
-    turn = np.argsort(-bound, axis=1, kind="stable")
-    score, found = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
-    open_queries = np.arange(len(q))
-    for step in range(len(leaves) if most_leaves is None else min(most_leaves, len(leaves))):
-        at = turn[open_queries, step]
-        kth = np.maximum(score[open_queries, -1], floor[open_queries])
-        keep = bound[open_queries, at] >= kth
-        open_queries, at = open_queries[keep], at[keep]
-        if not len(open_queries):
-            break
-        for leaf in np.unique(at):
-            a, b = leaves[leaf]
-            mine, rows = open_queries[at == leaf], order[a:b]
-            new = q[mine] @ x[rows].T
-            new[query_ids[mine][:, None] == ids[rows][None, :]] = -np.inf
-            scores = np.concatenate((score[mine], new), axis=1)
-            names = np.concatenate((found[mine], np.broadcast_to(ids[rows], new.shape)), axis=1)
-            first = np.lexsort((names, -scores), axis=1)[:, :k]
-            score[mine], found[mine] = np.take_along_axis(scores, first, 1), np.take_along_axis(names, first, 1)
-    return score, found
+        rows = tree.order[slice(*tree.spans[node])]
+        new, low = _exact_scores(q[mine], x[rows]) if exact else (q[mine] @ x[rows].T, None)
+        new[query_ids[mine][:, None] == ids[rows][None, :]] = -np.inf
+        better = new.max(axis=1) >= score[mine, -1]
+        mine, new = mine[better], new[better]
+        low = np.zeros(new.shape) if low is None else low[better]
+        scores, rests = np.concatenate((score[mine], new), axis=1), np.concatenate((rest[mine], low), axis=1)
+        names = np.concatenate((found[mine], np.broadcast_to(ids[rows], new.shape)), axis=1)
+        best = np.lexsort((names, -rests, -scores), axis=1)[:, :k]
+        score[mine], rest[mine], found[mine] = (np.take_along_axis(v, best, 1) for v in (scores, rests, names))
+    return score, rest, found
+
+
+_ONE = "shard long, dim int, big boolean, ids binary, x binary, order binary, spans binary, children binary, centre binary, radius binary"
+_FOUND = "query_id long, vec_id long, score double, rest double"
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1)
+
+
+def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """One row for each shard of vectors (vec_id, vector, dim): its rows and its tree."""
+    n = vectors.count()
+    shard_rows = max(shard_rows, -(-n // MOST_SHARDS))
+    # any rows serve as pivots: they only say what lies together
+    some = vectors.orderBy(F.xxhash64("vec_id", "vector")).limit(max(1, min(MOST_PIVOTS, -(-n // shard_rows)))).select("dim", "vector").collect()
+    pivots = {d: np.array([r["vector"] for r in some if r["dim"] == d], dtype=np.float64) for d in {r["dim"] for r in some}}
+
+    def assign(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            pivot = np.full(len(pdf), -1, np.int32)
+            big = np.zeros(len(pdf), bool)
+            for d in pdf["dim"].unique():
+                at = np.flatnonzero(pdf["dim"].to_numpy() == d)
+                x = _matrix(pdf["vector"].iloc[at])
+                big[at] = np.abs(x).max(axis=1, initial=0) >= _most(d)
+                if d and d in pivots:
+                    p = pivots[d]
+                    pivot[at] = ((p * p).sum(axis=1)[None, :] - 2 * x @ p.T).argmin(axis=1)
+            yield pdf.assign(pivot=pivot, big=big)
+
+    dealt = materialize(vectors.mapInPandas(assign, "vec_id long, vector array<double>, dim int, pivot int, big boolean"), "dealt")
+    parts = dealt.groupBy("dim", "big", "pivot").agg((F.floor((F.count("*") - 1) / shard_rows) + 1).alias("parts"))
+    dealt = dealt.join(parts, ["dim", "big", "pivot"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "vector"), F.col("parts")))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(pdf["vector"])
+        tree = BallTree(x, leaf_rows)
+        first = pdf.iloc[0]
+        shard = (int(first["pivot"]) + 1) << 32 | int(first["part"]) << 1 | int(first["big"])
+        kept = [pdf["vec_id"].to_numpy(np.int64), x, tree.order, tree.spans, tree.children, tree.centre, tree.radius]
+        return pd.DataFrame([[shard, int(first["dim"]), bool(first["big"]), *(np.ascontiguousarray(v).tobytes() for v in kept)]], columns=[c.split()[0] for c in _ONE.split(", ")])
+
+    return materialize(dealt.groupBy("dim", "big", "pivot", "part").applyInPandas(build, _ONE), "shards")
+
+
+def _most(dim: int) -> float:
+    """Products of vectors with lesser components than this add up to less than 2**53."""
+    return np.sqrt(2.0**53 / max(1, dim)) / 2
+
+
+def _load(row) -> tuple[BallTree, np.ndarray, np.ndarray]:  # noqa: ANN001
+    tree = BallTree.__new__(BallTree)
+    ids, order = np.frombuffer(row.ids, np.int64), np.frombuffer(row.order, np.int64)
+    tree.order, tree.spans, tree.children = order, np.frombuffer(row.spans, np.int64).reshape(-1, 2), np.frombuffer(row.children, np.int64).reshape(-1, 2)
+    tree.radius = np.frombuffer(row.radius)
+    tree.centre = np.frombuffer(row.centre).reshape(len(tree.radius), -1)
+    return tree, ids, np.frombuffer(row.x).reshape(len(ids), -1)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """vectors, queries: (vec_id long, vector array<long>). Returns (query_id, rank, vec_id, score)."""
-    vectors = materialize(vectors.select("vec_id", "vector", F.size("vector").alias("dim")), "vectors")
-    queries = materialize(queries.select("vec_id", "vector", F.size("vector").alias("dim")).dropDuplicates(["vec_id"]), "queries")
-    shards, blocks = max(1, -(-vectors.count() // shard_rows)), max(1, -(-queries.count() // query_rows))
-    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    data = vectors.withColumn("shard", own(shards)).withColumn("block", every(blocks)).groupBy("shard", "block", "dim")
-
-    def run(asked: DataFrame, most_leaves: int | None) -> DataFrame:
+    """vectors, queries: (vec_id long, vector array<double> of whole numbers). Returns (query_id, rank, vec_id, score)."""
+    whole = lambda df: df.where("vec_id IS NOT NULL AND vector IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim"))
+    vectors = materialize(whole(vectors).dropDuplicates(["vec_id", "vector"]), "vectors")
+    queries = materialize(whole(queries).groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector")), "queries")
+    index = build_index(vectors, shard_rows)
+    # balls of all shards: at most MOST_SHARDS and some for large components, so small enough to broadcast
+    balls: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    found = index.select("shard", "dim", "centre", "radius").mapInPandas(
+        lambda batches: (pd.DataFrame({"shard": b["shard"], "dim": b["dim"], "centre": [c[: 8 * d] for c, d in zip(b["centre"], b["dim"], strict=True)], "radius": [r[:8] for r in b["radius"]]}) for b in batches),
+        "shard long, dim int, centre binary, radius binary",
+    ).collect()
+    for d in {r["dim"] for r in found}:
+        of = [r for r in found if r["dim"] == d]
+        balls[d] = (np.array([r["shard"] for r in of]), np.array([np.frombuffer(r["centre"]) for r in of]).reshape(len(of), d), np.array([np.frombuffer(r["radius"])[0] for r in of]))
+    shared = vectors.sparkSession.sparkContext.broadcast(balls)
+    blocks = max(1, -(-queries.count() // query_rows))
+
+    def visits(batches):  # noqa: ANN001, ANN202
+        """Queries with each shard to visit: where `near` is null the best one, else all others that can reach `floor`."""
+        for pdf in batches:
+            for d, part in pdf.groupby("dim"):
+                if d not in shared.value:
+                    continue
+                shard, centre, radius = shared.value[d]
+                for at in range(0, len(part), 256):
+                    some = part.iloc[at : at + 256]
+                    bound, near = ball_bound(_matrix(some["vector"]), centre, radius), some["near"].to_numpy()
+                    keep = (bound >= some["floor"].to_numpy()[:, None]) & (near[:, None] >= 0) & (shard[None, :] != near[:, None])
+                    new = np.flatnonzero(near < 0)
+                    keep[new, bound[new].argmax(axis=1)] = True
+                    row, col = np.nonzero(keep)
+                    yield some.iloc[row].drop(columns="near").assign(shard=shard[col])
+
+    def run(asked: DataFrame) -> DataFrame:
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": np.int64, "vec_id": np.int64, "score": np.int64})
-            if left.empty or right.empty:
-                return none
-            x, q = (np.array(d["vector"].tolist(), dtype=np.float64).reshape(len(d), -1) for d in (left, right))
-            if q.size and x.size and np.abs(q).max() * np.abs(x).max() * x.shape[1] >= 2**53:
-                raise ValueError("inner products beyond 2**53 aren't exact")
-            score, found = search(left["vec_id"].to_numpy(), x, right["vec_id"].to_numpy(), q, right["floor"].to_numpy(float), k, most_leaves)
-            row, col = np.nonzero(np.isfinite(score))
-            return pd.DataFrame({"query_id": right["vec_id"].to_numpy()[row], "vec_id": found[row, col], "score": score[row, col].astype(np.int64)})
-
-        side = asked.withColumn("block", own(blocks)).withColumn("shard", every(shards)).groupBy("shard", "block", "dim")
-        return data.cogroup(side).applyInPandas(meet, "query_id long, vec_id long, score long")
-
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    first = run(queries.withColumn("floor", F.lit(float("-inf"))), 1).withColumn("rank", F.row_number().over(best))
-    shared = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
-    asked = materialize(queries.join(shared, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "floors")
-    return run(asked, None).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            out = []
+            for row in left.itertuples(index=False):
+                tree, ids, x = _load(row)
+                q = _matrix(right["vector"])
+                large = np.abs(q).max(axis=1, initial=0) >= _most(row.dim)
+                for exact in (False, True):
+                    at = np.flatnonzero((large | row.big) == exact)
+                    if len(at):
+                        score, rest, found = search(tree, ids, x, right["vec_id"].to_numpy()[at], q[at], right["floor"].to_numpy(float)[at], k, exact)
+                        i, j = np.nonzero(np.isfinite(score))
+                        out.append(pd.DataFrame({"query_id": right["vec_id"].to_numpy()[at[i]], "vec_id": found[i, j], "score": score[i, j], "rest": rest[i, j]}))
+            return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "rest": []}).astype({"query_id": np.int64, "vec_id": np.int64})
+
+        used = asked.select(*(F.col(c).alias(f"to_{c}") for c in ("shard", "dim", "block"))).distinct()
+        used = used.join(index, (F.col("shard") == F.col("to_shard")) & (F.col("dim") == F.col("to_dim")))
+        return used.groupBy("to_shard", "to_dim", "to_block").cogroup(asked.groupBy("shard", "dim", "block")).applyInPandas(meet, _FOUND)
+
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("rest").desc(), "vec_id")
+    to_shards = lambda df, name: materialize(df.mapInPandas(visits, "vec_id long, vector array<double>, dim int, floor double, shard long").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))), name)
+    first = to_shards(queries.withColumn("floor", F.lit(float("-inf"))).withColumn("near", F.lit(-1).cast("long")), "first")
+    near = materialize(run(first), "near")
+    reached = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("reached"))
+    asked = first.join(reached, "vec_id", "left").select("vec_id", "vector", "dim", F.coalesce("reached", "floor").alias("floor"), F.col("shard").alias("near"))
+    every = near.unionByName(run(to_shards(asked, "others"))).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    limit = F.lit(2.0**63)
+    as_long = F.when(F.col("score") >= limit, F.lit(2**63 - 1)).when(F.col("score") <= -limit, F.lit(-(2**63))).otherwise(F.col("score").cast("long") + F.col("rest").cast("long"))
+    return every.select("query_id", "rank", "vec_id", as_long.alias("score"))
 
 
 #: Brute force over all pairs, for small data.

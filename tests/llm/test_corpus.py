@@ -382,6 +382,20 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_large_components_and_repeated_ids(spark):
+    """Scores beyond 2**53 are ranked exactly and given as the nearest long."""
+    raw = [(0, [1e20, 1.0]), (1, [0.5, 0.25]), (2, [1e20, 2.0]), (3, [-1e20, 0.0]), (4, [2.0**45, 3.0]), (5, [2.0**45, 3.0 + 2**-8]), (50, [1.0, 1.0]), (6, None), (50, [1.0, 1.0])]
+    df = spark.createDataFrame(raw, "vec_id long, v array<double>").where(topk.usable(F.col("v"))).select("vec_id", topk.quantize(F.col("v")).alias("vector"))
+    whole = {i: [int(256 * x) for x in v] for i, v in raw if v}
+    want = []
+    for i in (0, 50):
+        scores = sorted((-sum(a * b for a, b in zip(whole[i], whole[j], strict=True)), j) for j in whole if j != i)[:5]
+        want += [(i, r + 1, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(scores)]
+    assert sorted(map(tuple, topk.top_k(df, df.where("vec_id % 50 = 0"), 5).collect())) == want
+    two = spark.createDataFrame([(1, [1.0]), (1, [9.0]), (2, [3.0]), (0, [2.0]), (0, [1.0])], "vec_id long, vector array<double>")
+    assert sorted(map(tuple, topk.top_k(two, two.where("vec_id = 0"), 2).collect())) == [(0, 1, 1, 9), (0, 2, 2, 3)]
+
+
 def test_usable_vectors(spark):
     nan, inf = float("nan"), float("inf")
     df = spark.createDataFrame([([1.0, 2.0],), (None,), ([1.0, None],), ([nan],), ([inf, 0.0],), ([-0.001, 0.999],)], "v array<float>")
@@ -392,11 +406,30 @@ def test_usable_vectors(spark):
 def test_tree_bounds_hold():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 8))
-    order, centre, radius, leaves = topk.build_tree(x, 20)
-    assert sorted(order) == list(range(500)) and leaves[0][0] == 0 and leaves[-1][1] == 500
-    q = rng.normal(size=8)
-    for (a, b), c, r in zip(leaves, centre, radius, strict=True):
-        assert (x[order[a:b]] @ q).max() <= q @ c + np.linalg.norm(q) * r + 1e-9
+    tree = topk.BallTree(x, 20)
+    assert sorted(tree.order) == list(range(500)) and tuple(tree.spans[0]) == (0, 500)
+    q = rng.normal(size=(3, 8))
+    bound = topk.ball_bound(q, tree.centre, tree.radius)
+    for node, (a, b) in enumerate(tree.spans):
+        assert ((x[tree.order[a:b]] @ q.T).max(axis=0) <= bound[:, node]).all()
+        if (kids := tree.children[node])[0] >= 0:
+            assert tree.spans[kids[0]][0] == a and tree.spans[kids[0]][1] == tree.spans[kids[1]][0] and tree.spans[kids[1]][1] == b
+        else:
+            assert b - a <= 20
+
+
+def test_search_leaves_out_balls():
+    """Vectors in far groups: most leaves are never opened, and results are those of all pairs."""
+    rng = np.random.default_rng(8)
+    x = np.round(np.concatenate([rng.normal(size=(400, 6)) + 40 * rng.normal(size=6) for _ in range(10)]))
+    tree, ids, q = topk.BallTree(x, 50), np.arange(len(x)), x[::200]
+    opened = []
+    tree.order = type("Order", (), {"__getitem__": lambda self, at, order=tree.order: opened.append(1) or order[at]})()
+    score, _, found = topk.search(tree, ids, x, ids[::200], q, np.full(len(q), -np.inf), 5)
+    for k, i in enumerate(ids[::200]):
+        want = sorted((-int(q[k] @ x[j]), j) for j in ids if j != i)[:5]
+        assert [(-int(s), int(j)) for s, j in zip(score[k], found[k], strict=True)] == want
+    assert len(opened) < 10 * len(q)
 
 
 def test_lm_scores(docs, corpus, spark):
