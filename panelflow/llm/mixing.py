@@ -1,26 +1,31 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame expressions.
 
-Documents of a source are shuffled by a hash of their id and laid end to end; each pass over a source is cut into blocks
-of equal token counts (the last may be shorter). Points of the golden-ratio sequence, mapped through the cumulative
-target shares, say which source fills each slot of the schedule; the r-th slot of a source takes block r of its passes.
-A source's last slot is cut at its target. Work for a source is split by ranges of the shuffle hash and of slots, so no
-task holds a source.
+Documents of a source are shuffled by a hash of their id and laid end to end, as often as the source may be repeated; this
+tape is cut into blocks of equal token counts, total / slots each (to the word). Points of the golden-ratio sequence, mapped
+through the cumulative target shares, say which source fills each slot of the schedule, and the r-th slot of a source
+takes block r of its tape. So the schedule alone decides what is taken, and when: a document's words count where a slot
+took their block, and its first slot is where training first meets it. With a Fibonacci number of slots the sequence puts
+into every share as many slots as its length asks for, to about one, so a source's words meet its target to about a block. Work
+for a source is split by ranges of the shuffle hash and of slots, so no task holds a source.
 
 Edge cases: null text has size 0 and is taken 0 times; the null source is a source of its own, last in order; a corpus
-without words has target 0 everywhere; repeated rows are laid out one after another; null ids count as the empty text.
+without words has target 0 everywhere; repeated rows are laid out one after another; null ids count as the empty text; very
+long texts may lie in many blocks. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelflow.llm.common import materialize, words
 
 GOLDEN = 0.6180339887498949
 MAX_EPOCHS = 3
-#: Slots of a schedule: a source's share is met to about one part in as many.
-SLOTS = 1 << 17
+#: Slots of a schedule, the 26th Fibonacci number: a source's share is met to about one part in as many.
+SLOTS = 121_393
 #: Ranges of the shuffle hash: 16**3.
 _RANGE_DIGITS = 3
 
@@ -55,68 +60,82 @@ def lay_out(documents: DataFrame) -> DataFrame:
     return df.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select("doc_id", "source", "size", (F.col("ahead") + F.col("inside")).alias("first"))
 
 
-def schedule(targets: DataFrame, block: int, total: int) -> DataFrame:
-    """(source, rank, slot): the slots of the golden-ratio schedule that each source fills, ranked within the source.
+def golden_point(slot: Column) -> Column:
+    """The place of a slot in [0, 1): fractional part of slot * golden ratio."""
+    return slot * F.lit(GOLDEN) - F.floor(slot * F.lit(GOLDEN))
 
-    A source gets exactly the ranks that its quota needs: slots beyond it are dropped, and ranks that the sequence
-    hasn't reached are put behind the last slot.
-    """
+
+def schedule(targets: DataFrame, slots: int = SLOTS, point: Callable[[Column], Column] = golden_point) -> DataFrame:
+    """(source, rank, slot): the slots that each source fills, ranked within the source from 0."""
     spark = targets.sparkSession
-    quota_passes = F.floor(F.col("target") / F.col("source_size"))
-    rest = F.round(F.col("target")).cast("long") - quota_passes * F.col("source_size")
-    quota = quota_passes * F.ceil(F.col("source_size") / block) + F.ceil(rest / block)
-    cumulative = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    shares = targets.where("source_size > 0").withColumn("quota", quota).withColumn("to", F.sum("target").over(cumulative) / F.lit(float(total))).withColumn("from", F.col("to") - F.col("target") / F.lit(float(total)))
-    shares = materialize(shares.withColumn("no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1), "shares")
-    n, chunk = max(1, -(-total // block)), 4096
+    by_code_point = Window.orderBy(F.col("source").asc_nulls_last())
+    to = F.sum("target").over(by_code_point.rowsBetween(Window.unboundedPreceding, 0))
+    shares = targets.where("target > 0").select("source", (F.row_number().over(by_code_point) - 1).alias("no"), to.alias("to"), (to - F.col("target")).alias("from"))
+    whole = F.max("to").over(Window.partitionBy())
+    shares = materialize(shares.select("source", "no", (F.col("from") / whole).alias("from"), (F.col("to") / whole).alias("to")), "shares")
     # a slot's cell of 1/4096 holds the few sources that it may fall to: an equi-join, never a range join
     cells = shares.withColumn("cell", F.explode(F.sequence(F.floor(F.col("from") * 4096), F.least(F.floor(F.col("to") * 4096), F.lit(4095)))))
-    slots = spark.range(n).select(F.col("id").alias("slot"), (F.col("id") * F.lit(GOLDEN) - F.floor(F.col("id") * F.lit(GOLDEN))).alias("u"))
-    hit = slots.withColumn("cell", F.floor(F.col("u") * 4096)).join(cells, "cell").where("u >= `from` AND u < `to`").select("no", "slot", F.floor(F.col("slot") / chunk).alias("chunk"))
+    points = spark.range(slots).select(F.col("id").alias("slot"), point(F.col("id")).alias("u"))
+    hit = points.withColumn("cell", F.floor(F.col("u") * 4096)).join(cells, "cell").where("u >= `from` AND u < `to`")
+    hit = hit.select("no", "slot", F.floor(F.col("slot") / 4096).alias("chunk"))
     counts = hit.groupBy("no", "chunk").agg(F.count("*").alias("n"))
-    counts = counts.withColumn("ahead", F.coalesce(F.sum("n").over(Window.partitionBy("no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = hit.withColumn("in_chunk", F.row_number().over(Window.partitionBy("no", "chunk").orderBy("slot")) - 1).join(counts.drop("n"), ["no", "chunk"]).select("no", (F.col("ahead") + F.col("in_chunk")).alias("rank"), "slot")
-    filled = counts.groupBy("no").agg(F.sum("n").alias("filled"))
-    tail = shares.join(filled, "no", "left").withColumn("filled", F.coalesce("filled", F.lit(0))).where("filled < quota")
-    tail = tail.select("no", F.explode(F.sequence(F.col("filled"), F.col("quota") - 1)).alias("rank")).withColumn("slot", F.lit(n) + F.col("rank"))
-    return ranked.unionByName(tail).join(shares.select("no", "source", "source_size", "target", "quota"), "no").where("rank < quota").select("source", "source_size", "target", "rank", "slot")
-
-
-def mix_sources(documents: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = MAX_EPOCHS, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): taken counts the words of a document that the mix takes."""
-    placed = materialize(lay_out(documents), "placed")
+    ahead = F.sum("n").over(Window.partitionBy("no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("no", "chunk", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    ranked = hit.withColumn("in_chunk", F.row_number().over(Window.partitionBy("no", "chunk").orderBy("slot")) - 1).join(counts, ["no", "chunk"])
+    return ranked.select("no", (F.col("ahead") + F.col("in_chunk")).alias("rank"), "slot").join(shares.select("no", "source"), "no").select("source", "rank", "slot")
+
+
+def mix_sources(
+    documents: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = MAX_EPOCHS, slots: int = SLOTS, point: Callable[[Column], Column] = golden_point
+) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, first_slot): taken counts the words of a document that the mix takes,
+    first_slot is the first slot that takes some of them (null if none does)."""
+    placed = materialize(lay_out(documents).withColumn("row", F.monotonically_increasing_id()), "placed")
     sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(target_sizes(sizes, weights, max_epochs), "targets")
     total = targets.agg(F.sum("source_size")).first()[0] or 0
-    block = max(1, total // slots)
-    taken = schedule(targets, block, total)
-    # the block that a rank takes, and how many of its words: the last of a pass is short, the last of all is cut
-    a_pass = F.ceil(F.col("source_size") / block)
-    taken = taken.withColumn("block", F.col("rank") % a_pass).withColumn("pass", F.floor(F.col("rank") / a_pass))
-    left = F.round(F.col("target")).cast("long") - F.col("pass") * F.col("source_size")
-    taken = taken.withColumn("upto", F.least(left, (F.col("block") + 1) * block, F.col("source_size")))
-    taken = taken.where(F.col("upto") > F.col("block") * block).groupBy(F.col("source").alias("s"), "block", "upto").agg(F.count("*").alias("times"))
-    held = placed.where("size > 0").select("doc_id", "source", "size", "first", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("size") - 1) / block))).alias("b"))
-    words_taken = F.greatest(F.lit(0), F.least("upto", F.col("first") + F.col("size")) - F.greatest(F.col("b") * block, F.col("first"))) * F.col("times")
-    got = held.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("block"))).groupBy(F.col("source").alias("s"), F.col("first").alias("f")).agg(F.sum(words_taken).alias("taken"))
-    out = placed.join(got, F.col("source").eqNullSafe(F.col("s")) & (F.col("first") == F.col("f")) & (F.col("size") > 0), "left")
-    by = F.broadcast(targets.select(F.col("source").alias("s2"), "source_size", "target")) if targets.count() < 10_000 else targets.select(F.col("source").alias("s2"), "source_size", "target")
-    return out.join(by, F.col("source").eqNullSafe(F.col("s2")), "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-
-
-#: The layout and targets in closed form: whole passes, and the rest from the front of the shuffled order.
-ORACLE_SQL = r"""
-WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+    by = targets.select(F.col("source").alias("s2"), "source_size", "target")
+    sized = placed.join(by, F.col("source").eqNullSafe(F.col("s2")), "left")
+    if total:
+        # block b of a tape holds the words from b * total / slots on, rounded down; long sums need decimals
+        kind = "BIGINT" if (max_epochs + 1) * total * slots < 2**62 else "DECIMAL(20,0)"
+        edge = lambda b: F.expr(f"(CAST({b} AS {kind}) * CAST({total} AS {kind})) div CAST({slots} AS {kind})")
+        block = lambda word: F.expr(f"(CAST({word} + 1 AS {kind}) * CAST({slots} AS {kind}) - 1) div CAST({total} AS {kind})")
+        turns = sized.where("size > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
+        turns = turns.select("row", "source", (F.col("turn") * F.col("source_size") + F.col("first")).alias("at"), "size")
+        held = turns.withColumn("b", F.explode(F.sequence(block("at"), block("at + size - 1"))))
+        held = held.select("row", "source", "b", (F.least(edge("b + 1"), F.col("at") + F.col("size")) - F.greatest(edge("b"), F.col("at"))).alias("words"))
+        filled = materialize(schedule(targets, slots, point).select(F.col("source").alias("s"), F.col("rank").alias("r"), "slot"), "schedule")
+        got = held.join(filled, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("r"))).groupBy("row").agg(F.sum("words").alias("words"), F.min("slot").alias("first_slot"))
+    else:
+        got = placed.select("row", F.lit(0).cast("long").alias("words"), F.lit(None).cast("long").alias("first_slot"))
+    got = got.withColumnRenamed("row", "taker")
+    out = sized.join(got, F.col("row") == F.col("taker"), "left")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), "first_slot")
+
+
+#: Slots by the sequence, ranked within sources; a source's slots take the front of its tape.
+ORACLE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
   CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
-p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM d),
+p AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM d),
 s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, 3 * source_size AS cap, CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM w),
 m AS (SELECT *, max(CASE WHEN lvl * weight <= cap THEN lvl END) OVER () AS level FROM l),
-t AS (SELECT source, source_size, CAST(least(cap, level * weight) AS DOUBLE) AS target FROM m),
-j AS (SELECT p.doc_id, p.size, t.source_size, t.target, p.first, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS passes
-  FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(target, 6) AS target,
-  CAST(passes * size + greatest(0, least(size, round(target) - passes * source_size - first)) AS BIGINT) AS taken FROM j
+t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, CAST(least(cap, level * weight) AS DOUBLE) AS target FROM m),
+a AS (SELECT source, target, sum(target) OVER (ORDER BY source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM t WHERE target > 0),
+b AS (SELECT source, (upto - target) / max(upto) OVER () AS lo, upto / max(upto) OVER () AS hi FROM a),
+u AS (SELECT slot, slot * CAST({GOLDEN!r} AS DOUBLE) - floor(slot * CAST({GOLDEN!r} AS DOUBLE)) AS u FROM (SELECT unnest(range({SLOTS})) AS slot)),
+r AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM u JOIN b ON u >= lo AND u < hi),
+c AS (SELECT source, count(*) AS filled FROM r GROUP BY source),
+z AS (SELECT CAST(sum(source_size) AS BIGINT) AS total FROM t),
+j AS (SELECT p.rid, p.doc_id, p.source, p.size, p.first, t.source_size, t.target, (coalesce(filled, 0) * total) // {SLOTS} AS tape,
+    CASE WHEN p.size > 0 THEN ((p.first + 1) * {SLOTS} - 1) // total END AS rank
+  FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN c ON p.source IS NOT DISTINCT FROM c.source CROSS JOIN z)
+SELECT doc_id, size, source_size, round(target, 6) AS target, slot AS first_slot,
+  CAST(coalesce(greatest(0, least(tape, first + size) - first) + greatest(0, least(tape, source_size + first + size) - source_size - first)
+    + greatest(0, least(tape, 2 * source_size + first + size) - 2 * source_size - first), 0) AS BIGINT) AS taken
+FROM j LEFT JOIN r ON j.source IS NOT DISTINCT FROM r.source AND j.rank = r.rank
 """

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -103,20 +104,32 @@ def targets(sizes, weights=(1, 2, 3), epochs=3):
         capped |= set(over)
 
 
-def taken(docs, weights=(1, 2, 3)):
-    """docs: (id, text, source). For each: (size, source size, target, words taken)."""
+GOLDEN = 0.6180339887498949
+
+
+def taken(docs, weights=(1, 2, 3), slots=121_393, point=lambda i: i * GOLDEN - math.floor(i * GOLDEN)):
+    """docs: (id, text, source). For each: (size, source size, target, words taken, first slot)."""
     rows = [(i, len(words(t)), s) for i, t, s in docs]
     sizes = defaultdict(int)
     for _, n, s in rows:
         sizes[s] += n
     goal = targets(sizes, weights)
-    first, at = {}, defaultdict(int)
+    total = sum(sizes.values())
+    tape = defaultdict(list)  # for each word, the row that it belongs to
     for k in sorted(range(len(rows)), key=lambda k: (hashlib.md5(str("" if rows[k][0] is None else rows[k][0]).encode()).hexdigest(), rows[k][1])):
-        first[k] = at[rows[k][2]]
-        at[rows[k][2]] += rows[k][1]
-    out = []
-    for k, (_, n, s) in enumerate(rows):
-        passes = int(goal[s] // sizes[s]) if sizes[s] else 0
-        rest = int(goal[s] + 0.5) - passes * sizes[s]
-        out.append((n, sizes[s], goal[s], passes * n + max(0, min(n, rest - first[k]))))
-    return out
+        tape[rows[k][2]] += [k] * rows[k][1]
+    ends, at = [], 0.0
+    for s in sorted((s for s in goal if goal[s] > 0), key=lambda s: (s is None, (s or "").encode())):
+        at += goal[s]
+        ends.append((at, at - goal[s], s))
+    rank, got, first = defaultdict(int), Counter(), {}
+    for slot in range(slots if total else 0):
+        u = point(slot)
+        s = next(s for to, lo, s in ends if lo / at <= u < to / at)
+        r = rank[s]
+        rank[s] += 1
+        for x in range(r * total // slots, min((r + 1) * total // slots, 3 * sizes[s])):
+            k = tape[s][x % sizes[s]]
+            got[k] += 1
+            first.setdefault(k, slot)
+    return [(n, sizes[s], goal[s], got[k], first.get(k)) for k, (_, n, s) in enumerate(rows)]

@@ -239,24 +239,40 @@ def test_segments_cover_all_windows():
         assert at[0] == 0 and (at[1:] == at[:-1] + n[:-1]).all() and at[-1] + n[-1] == len(raw) - 49 and n.max() <= 64
 
 
-def test_mixing(docs, corpus, odd, spark):
-    want = brute.taken([(i, t, s) for i, t, _, s, _ in corpus])
-    rows = _bag((i, n, size, round(goal, 4), took) for (i, *_), (n, size, goal, took) in zip(corpus, want, strict=True))
-    for df, slots in ((docs, 1 << 17), (odd, 50), (docs, 3)):
-        got = [(r["doc_id"], r["size"], r["source_size"], round(r["target"], 4), r["taken"]) for r in mixing.mix_sources(df, slots=slots).collect()]
-        assert _bag(got) == rows
-        assert all(t <= 3 * n for _, n, _, _, t in got)
-    assert mixing.mix_sources(_empty(spark)).count() == 0
-    assert mixing.mix_sources(docs.where("text IS NULL")).first()["taken"] == 0
+@pytest.mark.parametrize("slots", [121_393, 50, 3])
+def test_mixing(docs, corpus, odd, spark, slots):
+    want = brute.taken([(i, t, s) for i, t, _, s, _ in corpus], slots=slots)
+    rows = _bag((i, n, size, round(goal, 4), took, first) for (i, *_), (n, size, goal, took, first) in zip(corpus, want, strict=True))
+    got = [(r["doc_id"], r["size"], r["source_size"], round(r["target"], 4), r["taken"], r["first_slot"]) for r in mixing.mix_sources(odd if slots == 50 else docs, slots=slots).collect()]
+    assert _bag(got) == rows
+    assert all(t <= 3 * n for _, n, _, _, t, _ in got)
+    if slots > 1000:  # each source meets its target to a block, which is a word here
+        total, took, goal = sum(r[1] for r in want), Counter(), {}
+        for (*_, s, _), r in zip(corpus, want, strict=True):
+            took[s] += r[3]
+            goal[s] = r[2]
+        assert all(abs(took[s] - goal[s]) <= 1.5 * max(1, total / slots) for s in goal)
+    else:
+        assert mixing.mix_sources(_empty(spark), slots=slots).count() == 0
+        assert mixing.mix_sources(docs.where("text IS NULL"), slots=slots).first()["taken"] == 0
+
+
+def test_mixing_follows_its_schedule(docs, corpus):
+    """Another sequence takes other words, at other times."""
+    half = {"points": lambda i: (i * 0.5) % 1.0, "columns": lambda c: (c * F.lit(0.5)) % F.lit(1.0)}
+    got = _bag((r["doc_id"], r["taken"], r["first_slot"]) for r in mixing.mix_sources(docs, slots=40, point=half["columns"]).collect())
+    rows = [(i, t, s) for i, t, _, s, _ in corpus]
+    assert got == _bag((i, *r[3:]) for (i, *_), r in zip(corpus, brute.taken(rows, slots=40, point=half["points"]), strict=True))
+    assert got != _bag((i, *r[3:]) for (i, *_), r in zip(corpus, brute.taken(rows, slots=40), strict=True))
 
 
 def test_schedule_is_spread(spark):
-    targets = spark.createDataFrame([("a", 1000, 2000.0), ("b", 3000, 1000.0), (None, 1000, 2000.0)], "source string, source_size long, target double")
-    slots = [(r["slot"], r["source"], r["rank"]) for r in mixing.schedule(targets, 10, 5000).orderBy("slot").collect()]
-    assert len(slots) == 500 and len(set(slots)) == 500
+    targets = spark.createDataFrame([("a", 1000, 2000.0), ("b", 3000, 1000.0), (None, 1000, 2000.0), ("d", 0, 0.0)], "source string, source_size long, target double")
+    slots = [(r["slot"], r["source"], r["rank"]) for r in mixing.schedule(targets, 610).orderBy("slot").collect()]
+    assert [x for x, _, _ in slots] == list(range(610))
     for source, share in (("a", 0.4), ("b", 0.2), (None, 0.4)):
         ranks = [r for _, s, r in slots if s == source]
-        assert ranks == list(range(len(ranks)))
+        assert ranks == list(range(len(ranks))) and abs(len(ranks) - share * 610) <= 1.5
         for n in (50, 200, 400):
             assert abs(sum(1 for at, s, _ in slots if s == source and at < n) - share * n) <= 4
 
@@ -293,9 +309,17 @@ def test_packing_boundaries_are_optimal():
     assert packing.choose_boundaries(np.zeros(0, np.int64), np.zeros(0, np.int64)) == []
 
 
-def test_packing_grid(spark):
-    got = spark.createDataFrame([(n,) for n in (0, 1, 1024, 1025, 5000, 10**6, 10**9)], "n long").select("n", packing.on_grid(F.col("n")).alias("g")).collect()
-    assert all(r["g"] >= r["n"] for r in got) and [r["g"] for r in got[:3]] == [0, 1, 1024] and all(r["g"] <= 1.03 * r["n"] for r in got[3:])
+def test_packing_boundaries_of_many_lengths():
+    """Halving finds what the plain programme finds, long lengths too."""
+    rng = np.random.default_rng(11)
+    lengths = np.unique(rng.integers(0, 20_000, 700))
+    counts = rng.integers(1, 50, len(lengths))
+    ahead = np.concatenate(([0], np.cumsum(counts)))
+    best = np.concatenate(([0], np.full(len(lengths), 1 << 60)))
+    for _ in range(8):
+        best = np.array([0] + [(best[:j] + (ahead[j] - ahead[:j]) * lengths[j - 1]).min() for j in range(1, len(lengths) + 1)])
+    ends = np.array(packing.choose_boundaries(lengths, counts))
+    assert (ends[np.searchsorted(ends, lengths)] * counts).sum() == best[-1] and set(ends) <= set(lengths)
 
 
 def test_language_id(spark):

@@ -29,7 +29,7 @@ def test_stages_follow_plain_versions(spark):
             rows = [(*r, len(r[1])) for r in cut if brute.words(r[1])]
         elif name == "source_mix":
             mixed = brute.taken([(r[0], r[1], r[3]) for r in rows])
-            rows = [r for r, (n, _, _, took) in zip(rows, mixed, strict=True) for _ in range(int(took / n + 0.5))]
+            rows = [r for r, (n, _, _, took, _) in zip(rows, mixed, strict=True) for _ in range(int(took / n + 0.5))]
         docs = materialize(stage(spark, docs, SF), name)
         assert docs.columns == columns
         assert Counter(tuple(r) for r in docs.collect()) == Counter(rows), name
