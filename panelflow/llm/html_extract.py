@@ -5,15 +5,19 @@ of a host, tokens with the same occurrence vector (how often they occur on each
 is kept as the sum of hashes of (page, count), so Spark adds it up without gathering pages. Pages of a host with the same
 containers and blocks count once. Classes on at least half of the pages whose containers nest make the host's template; text
 blocks in its containers that are the same on half of the pages, and on SUPPORT at least, belong to it, however many pages
-the host has. What a page has besides the template is its text. Where article and main elements hold at least half of
-that, all of them together are the page's text, and what is outside them is left out; nothing else is.
+the host has. What a page has besides the template is its text, never an article's own repeated lines.
 
-Left out everywhere: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, told
-by element, role, class or id. Text blocks that belong to the template are left out too, but never inside an article or main
-element, and not from a page that has no other text.
+The standard's elements and roles say what is left out everywhere: menus, headers, footers, sidebars, forms, scripts,
+styles. Names only break ties among what the template leaves: containers whose class or id names a notice, an advert or
+reader comments are left out, but where nearly all that a page has is in a container that is named so (`share-prices`,
+`promotion`), it counts as text; and where article and main elements hold at least half of what remains, all of them
+together are the page's text, and what is outside them is left out.
 
 Edge cases: null html counts as empty and gives the empty text; a null url belongs to the host ''. Unclosed elements end
-where their parent ends, unknown ones are plain containers. Blocks keep page order and repeated blocks.
+where their parent ends, unknown ones are plain containers; of an unclosed element with raw text only the tag is ignored,
+but an unclosed script, style, textarea or title takes the rest of the page. Below MOST_DEPTH levels elements count as
+siblings. Blocks keep page order and repeated blocks; repeated rows give equal rows; page ids may repeat. Work is linear in
+a page's length, however broken it is: a tag whose quotes don't end ends at its first `>`. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,51 +28,99 @@ from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.llm.common import mix, word_hashes
+from panelflow.llm.common import materialize
 
 #: Different pages that a template's text stands on: on two, it may as well be the text of a page and its near copy.
 SUPPORT = 3
 
 # fixed values: names of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose content isn't markup; those of the second list take the rest of the page where they don't end.
 RAW = frozenset("script style noscript template textarea title iframe svg xmp noframes".split())
+TO_THE_END = frozenset("script style textarea title".split())
 LEFT_OUT = frozenset("nav header footer aside form script style noscript template textarea title iframe svg button select menu dialog head object canvas audio video".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 CONTAINERS = frozenset("html body main article section div table tbody tr td center".split())
 BLOCKS = CONTAINERS | LEFT_OUT | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote address figure figcaption hr thead tfoot th caption fieldset legend details summary".split())
 CLOSES_P = BLOCKS - {"tr", "td", "tbody", "thead", "tfoot", "th", "caption"}
-#: Words of a class or id that name what isn't the article.
-LEFT_OUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "menu nav navbar navigation breadcrumb breadcrumbs sidebar aside widget footer header masthead comment comments respond disqus share sharing social related "
-    "recommended newsletter subscribe subscription signup login search pagination pager toolbar".split()
+#: Words of a class or id that name what isn't the article; those of the first list do so even where a page has little else.
+NEVER_WORDS = frozenset("cookie cookies consent gdpr menu nav navbar navigation breadcrumb breadcrumbs sidebar comment comments respond disqus login signup pagination pager".split())
+LEFT_OUT_WORDS = NEVER_WORDS | frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner notice notices alert popup modal overlay "
+    "aside widget footer header masthead share sharing social related recommended newsletter subscribe subscription search toolbar".split()
 )
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+#: Levels of elements, as in browsers; and tags in a page whose quotes may fail to end before quotes no longer count.
+MOST_DEPTH = 512
+_MOST_OPEN_QUOTES = 16
+
+_SPECIAL = re.compile(r"!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 
 class _Element:
-    __slots__ = ("name", "path", "left_out", "article", "hard")
+    """path: a number for the container and all around it; soft: the outermost container named like a notice, below 0 if never text."""
+
+    __slots__ = ("name", "path", "hard", "soft", "article")
 
-    def __init__(self, name: str, path: str, left_out: bool, article: bool, hard: bool) -> None:
-        self.name, self.path, self.left_out, self.article, self.hard = name, path, left_out, article, hard
+    def __init__(self, name: str, path: int, hard: bool, soft: int, article: bool) -> None:
+        self.name, self.path, self.hard, self.soft, self.article = name, path, hard, soft, article
 
 
-def parse(page: str | None) -> tuple[list[str], list[tuple[str, bool, str]]]:
-    """Paths of the containers opened, in order, and the blocks (container path, inside an article, text) that aren't left out."""
-    page = page or ""
-    opened: list[str] = []
-    blocks: list[tuple[str, bool, str]] = []
-    stack = [_Element("", "", False, False, False)]
+def tags(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text before, slash, name, attributes) of each tag, in order; name is '' for comments and the like, and at the end."""
+    at = start = failed = 0
+    last = page.rfind(">")
+    endless: set[str] = set()  # raw elements that don't end from here on
+    while (start := page.find("<", start)) >= 0:
+        if page.startswith(("!", "?"), start + 1):
+            if not (m := _SPECIAL.match(page, start + 1)):
+                break
+            yield page[at:start], "", "", m[0][8:-3] if m[0].startswith("![CDATA[") else ""
+            at = start = m.end()
+            continue
+        if start > last or not (m := _NAME.match(page, start + 1)):
+            start += 1
+            continue
+        rest = _REST.match(page, m.end()) if failed < _MOST_OPEN_QUOTES else None
+        if rest:
+            end, given = rest.end(), rest[1]
+        else:  # quotes that don't end
+            failed += 1
+            end = page.find(">", m.end()) + 1
+            given = page[m.end() : end - 1]
+        name = m[2].lower()
+        yield page[at:start], m[1], name, given
+        at = end
+        if not m[1] and name in RAW and name not in endless and not given.endswith("/"):
+            if found := _RAW_END[name].search(page, at):
+                at = found.end()
+            elif name in TO_THE_END:
+                at = len(page)
+            else:
+                endless.add(name)
+        start = at
+    yield page[at:], "", "", ""
+
+
+def parse(page: str | None) -> tuple[list[tuple[int, int]], list[tuple[int, int, bool, str]]]:
+    """The containers opened, in order, as (path, path around it), and the blocks (path, soft, inside an article, text) that no
+    element or role leaves out. soft is 0 outside all containers named like notices."""
+    opened: list[tuple[int, int]] = []
+    blocks: list[tuple[int, int, bool, str]] = []
+    stack = [_Element("", 0, False, 0, False)]
+    depth: dict[str, int] = defaultdict(int)  # open elements of each name, so that stray end tags cost nothing
     pending: list[str] = []
+    soft_ones = 0
 
     def end_block() -> None:
         if pending:
@@ -76,33 +128,32 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[str, bool, str]]]:
             text = _SPACE.sub(" ", entities.unescape("".join(pending))).strip()
             pending.clear()
             if text:
-                blocks.append((top.path, top.article, text))
+                blocks.append((top.path, top.soft, top.article, text))
 
     def add(text: str) -> None:
-        if text and not stack[-1].left_out:
+        if text and not stack[-1].hard:
             pending.append(text)
 
     def pop_to(k: int) -> None:
         if any(e.name in BLOCKS for e in stack[k:]):
             end_block()
+        for e in stack[k:]:
+            depth[e.name] -= 1
         del stack[k:]
 
-    at = 0
-    while m := _TAG.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
+    for before, slash, name, given in tags(page or ""):
+        add(before)
         if not name:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:-3])
+            add(given)
             continue
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    pop_to(k)
-                    break
-                if stack[k].name in ("td", "article", "body") and name not in BLOCKS:
-                    break
+        if slash:
+            if depth[name]:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].name == name:
+                        pop_to(k)
+                        break
+                    if stack[k].name in ("td", "article", "body") and name not in BLOCKS:
+                        break
             continue
         if name in VOID:
             if name in ("br", "wbr"):
@@ -110,11 +161,9 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[str, bool, str]]]:
             elif name == "hr":
                 end_block()
             continue
-        if name in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+        if name in RAW:
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and depth["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == "p":
                     pop_to(k)
@@ -132,68 +181,108 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[str, bool, str]]]:
         if name in BLOCKS:
             end_block()
         top = stack[-1]
-        given = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(m[3])} if m[3] else {}
-        label = f"{given.get('class', '')} {given.get('id', '')}".lower().strip()
-        hard = top.hard or name in LEFT_OUT or given.get("role", "").lower() in LEFT_OUT_ROLES
+        attributes = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(given)} if given else {}
+        label = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().strip()
+        hard = top.hard or name in LEFT_OUT or attributes.get("role", "").lower() in LEFT_OUT_ROLES
         article = top.article or name in ("article", "main")
-        own_words = name not in ("html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6", "b", "i", "em", "strong", "a", "code") and not LEFT_OUT_WORDS.isdisjoint(_WORD.findall(label))
-        left_out = hard or own_words or (top.left_out and (top.article or name not in ("article", "main")))
+        soft = 0 if article and not top.article else top.soft
+        if not soft and label and name not in ("html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6", "b", "i", "em", "strong", "a", "code"):
+            words = _WORD.findall(label)
+            if not LEFT_OUT_WORDS.isdisjoint(words):
+                soft_ones += 1
+                soft = soft_ones if NEVER_WORDS.isdisjoint(words) else -soft_ones
         path = top.path
-        if name in CONTAINERS and not left_out:
-            path = f"{top.path}/{name}" + (f".{label.replace(' ', '.')}" if label else "")
-            opened.append(path)
-        if not m[3].endswith("/"):
-            stack.append(_Element(name, path, left_out, article, hard))
-    add(page[at:])
+        if name in CONTAINERS and not hard:
+            path = _number(f"{top.path} {name} {label}")
+            opened.append((path, top.path))
+        if not given.endswith("/"):
+            if len(stack) > MOST_DEPTH:
+                pop_to(MOST_DEPTH)
+            stack.append(_Element(name, path, hard, soft, article))
+            depth[name] += 1
     end_block()
     return opened, blocks
 
 
-def page_tokens(page: str | None) -> tuple[int, dict[tuple[str, int], int]]:
-    """A fingerprint of the page's containers and blocks; (path, text hash or 0 for the container itself) -> times it occurs."""
-    opened, blocks = parse(page)
-    found: dict[tuple[str, int], int] = defaultdict(int)
-    found["", 0] = 1
-    for path in opened:
-        found[path, 0] += 1
-    for path, article, text in blocks:
-        if not article:
-            found[path, _text_hash(text)] += 1
-    content = repr((opened, blocks)).encode()
-    return int.from_bytes(blake2b(content, digest_size=8).digest(), "big", signed=True), found
+def _number(text: str) -> int:
+    """A 64-bit hash, never 0: that stands for the page itself, and for a container's own token."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) | 1
 
 
-def _text_hash(text: str) -> int:
-    """Never 0, which stands for a container."""
-    h = word_hashes(text, lower=False)
-    return int(np.bitwise_xor.reduce(mix(h * np.arange(1, 2 * len(h), 2, dtype=np.uint64))).astype(np.int64)) | 1
+def page_tokens(page: str | None) -> tuple[int, dict[tuple[int, int, int], int]]:
+    """A fingerprint of the page's containers and blocks; (path, path around it, text hash or 0 for the container itself) -> times
+    it occurs. The page itself is container 0."""
+    opened, blocks = parse(page)
+    found: dict[tuple[int, int, int], int] = defaultdict(int)
+    found[0, 0, 0] = 1
+    for path, around in opened:
+        found[path, around, 0] += 1
+    for path, _, article, text in blocks:
+        if not article:
+            found[path, 0, _number(text)] += 1
+    return _number(repr((opened, blocks))), found
+
+
+def template_paths(tokens: list[tuple[int, int, int, int, int, int]]) -> set[int]:
+    """The containers of a host's template, from its tokens (path, path around, text, vector, pages, occurrences) on half of its pages.
+
+    A class is valid in so far as it nests: a container occurs once on each of its pages, and those around it are tokens of half of
+    the pages, too. A class of a single token says nothing about order, so it takes another one; the page itself always counts.
+    """
+    classes: dict[int, int] = defaultdict(int)
+    around = {}
+    for path, outer, text, vector, _, _ in tokens:
+        classes[vector] += 1
+        if text == 0:
+            around[path] = outer
+    rooted = {0}
+    for path in around:
+        trail, at = [], path
+        while at in around and at not in rooted:
+            trail.append(at)
+            at = around[at]
+        if at in rooted:
+            rooted.update(trail)
+    template = {0}
+    for path, _, text, vector, pages, occurrences in tokens:
+        if text == 0 and occurrences == pages and path in rooted and classes[vector] > 1:
+            template.add(path)
+    return template
 
 
 def deduce(pdf: pd.DataFrame) -> pd.DataFrame:
     """The texts of a host's template, from its tokens on half of its pages."""
-    host, pages = pdf["host"].iloc[0], int(pdf["host_pages"].iloc[0])
-    classes: dict[int, list] = defaultdict(list)
-    for row in pdf.itertuples(index=False):
-        classes[row.vector].append(row)
-    nodes = {row.path for rows in classes.values() for row in rows if row.text == 0}
-    template = set()
-    for rows in classes.values():
-        if len(rows) < 2 and pages > 1 and rows[0].path:
-            continue  # a class of one token says nothing about order
-        for row in rows:
-            # valid where it nests: all its ancestors occur wherever it does, and it occurs once on a page
-            parts = row.path.split("/")
-            if row.text == 0 and row.occurrences == row.pages and all("/".join(parts[:k]) in nodes for k in range(1, len(parts))):
-                template.add(row.path)
-    texts = [int(row.text) for row in pdf.itertuples(index=False) if row.text != 0 and row.path in template and row.pages >= SUPPORT]
-    return pd.DataFrame({"h": [host], "texts": [texts]})
+    tokens = list(zip(*(pdf[c].tolist() for c in ("path", "around", "text", "vector", "pages", "occurrences")), strict=True))
+    template = template_paths(tokens)
+    texts = sorted({text for path, _, text, _, pages, _ in tokens if text != 0 and path in template and pages >= SUPPORT})
+    return pd.DataFrame({"h": [pdf["host"].iloc[0]], "texts": [texts]})
 
 
 def extract_page(page: str | None, texts: frozenset[int]) -> str:
     blocks = parse(page)[1]
-    own = [(article, text) for _, article, text in blocks if article or not texts or _text_hash(text) not in texts] or [(article, text) for _, article, text in blocks]
-    named = [text for article, text in own if article]
-    return "\n".join(named if 2 * sum(map(len, named)) >= sum(len(text) for _, text in own) else [text for _, text in own])
+    own = [b for b in blocks if b[1] >= 0 and (b[2] or not texts or _number(b[3]) not in texts)]
+    chosen = _choose([b for b in own if not b[1]]) or _choose([b for b in blocks if not b[1]])
+    # nearly all text in a container that is named like a notice: then that is no notice
+    total = sum(len(text) for *_, text in own)
+    if 5 * sum(len(text) for *_, text in chosen) < total:
+        held: dict[int, int] = defaultdict(int)
+        for _, soft, _, text in own:
+            held[soft] += len(text)
+        named = any(b[2] for b in own)
+        most = max(held, key=held.__getitem__)
+        if most > 0 and 2 * held[most] >= total and (not named or any(b[2] for b in own if b[1] == most)):
+            chosen = _choose([b for b in own if b[1] in (0, most)])
+    return "\n".join(text for *_, text in chosen)
+
+
+def _choose(blocks: list[tuple[int, int, bool, str]]) -> list[tuple[int, int, bool, str]]:
+    """The blocks in article and main elements, where these hold at least half of the text; else all."""
+    named = [b for b in blocks if b[2]]
+    return named if 2 * sum(len(b[3]) for b in named) >= sum(len(b[3]) for b in blocks) else blocks
+
+
+#: Bytes of templates up to which they are broadcast rather than pages shuffled.
+MOST_BROADCAST = 64 << 20
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -205,24 +294,27 @@ def extract(pages: DataFrame) -> DataFrame:
         for pdf in batches:
             for at in range(0, len(pdf), 500):
                 part = pdf.iloc[at : at + 500]
-                out = [(h, k, path, text, n) for h, page in zip(part["host"], part["html"], strict=True) for k, found in [page_tokens(page)] for (path, text), n in found.items()]
-                yield pd.DataFrame(out, columns=["host", "page", "path", "text", "n"])
+                out = [(h, k, *token, n) for h, page in zip(part["host"], part["html"], strict=True) for k, found in [page_tokens(page)] for token, n in found.items()]
+                yield pd.DataFrame(out, columns=["host", "page", "path", "around", "text", "n"])
 
-    found = rows.select("host", "html").mapInPandas(tokens, "host string, page long, path string, text long, n long")
+    found = rows.select("host", "html").mapInPandas(tokens, "host string, page long, path long, around long, text long, n long")
     # of pages with the same containers and blocks, one counts
-    found = found.groupBy("host", "path", "text", "page").agg(F.max("n").alias("n"))
+    found = found.groupBy("host", "path", "around", "text", "page").agg(F.max("n").alias("n"))
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")) % F.lit(2**62)
-    found = found.groupBy("host", "path", "text").agg(vector.cast("long").alias("vector"), F.count("*").alias("pages"), F.sum("n").alias("occurrences"))
-    size = found.where("path = '' AND text = 0").select(F.col("host").alias("h"), F.col("pages").alias("host_pages"))
+    found = found.groupBy("host", "path", "around", "text").agg(vector.cast("long").alias("vector"), F.count("*").alias("pages"), F.sum("n").alias("occurrences"))
+    size = found.where("path = 0 AND text = 0").select(F.col("host").alias("h"), F.col("pages").alias("host_pages"))
+    # tokens on half of the pages are at most twice as many as a page has, so a host's are few
     often = found.join(size, F.col("host") == F.col("h")).where("2 * pages >= host_pages").drop("h")
-    templates = often.groupBy("host").applyInPandas(deduce, "h string, texts array<long>")
+    templates = materialize(often.groupBy("host").applyInPandas(deduce, "h string, texts array<long>").where("size(texts) > 0"), "templates")
+    held = templates.agg(F.sum(F.size("texts") * 8 + F.length("h") + 64)).first()[0] or 0
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            text = [extract_page(page, frozenset(fixed)) for page, fixed in zip(pdf["html"], pdf["texts"], strict=True)]
+            text = [extract_page(page, frozenset() if fixed is None else frozenset(fixed)) for page, fixed in zip(pdf["html"], pdf["texts"], strict=True)]
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    joined = rows.join(templates, F.col("host") == F.col("h")).select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "texts")
+    joined = rows.join(F.broadcast(templates) if held <= MOST_BROADCAST else templates, F.col("host") == F.col("h"), "left")
     # ids travel as text: with a null among them, pandas would make them floats
+    joined = joined.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "texts")
     return joined.mapInPandas(cut, "page_id string, url string, text string, n_chars long").withColumn("page_id", F.col("page_id").cast(kind))

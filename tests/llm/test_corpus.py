@@ -605,6 +605,65 @@ def test_html_template_of_different_pages(spark):
     assert {r["page_id"]: r["text"] for r in got} == dict(enumerate(want))
 
 
+def test_html_names_only_break_ties(spark):
+    """Pages without article or main, whose only text is in containers named like adverts; and real adverts beside an article."""
+    text = "The market closed higher today and analysts expect more of the same tomorrow"
+    rows, want = [], {}
+    for k, name in enumerate(("share-prices", "promotion", "alert", "banner", "search", "footer", "post")):
+        rows.append((k, f"http://n{k}.example/", f"<body><div class=ad>buy</div><div class='{name}'><h1>Head {k}</h1><p>{text} {k}</p></div><div class=comments><p>{text * 3}</p></div></body>"))
+        want[k] = f"Head {k}\n{text} {k}"
+    rows.append((50, "http://m.example/", f"<body><div class=promo><p>{text * 4}</p></div><article><p>short</p></article></body>"))
+    rows.append((51, "http://m.example/", f"<body><svg><div><p>{text}</p></div><noscript><iframe><p>more</p>"))
+    rows.append((52, "http://m.example/", "<body>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>out</p>"))
+    want |= {50: "short", 51: f"{text}\nmore", 52: "deep\nout"}
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("part", ['<a "x ', "<a 'x\">", "<div ", "<svg>", "<div class='a'>x", "</p><p>", "<li>", "a=", "<!", "<a b" + "c" * 100, "<td><p>", "<![CDATA["])
+def test_html_is_linear_in_broken_pages(part):
+    import time
+
+    page = "<body><p>start</p>" + part * (400_000 // len(part))
+    start = time.process_time()
+    html_extract.page_tokens(page)
+    html_extract.extract_page(page, frozenset())
+    assert time.process_time() - start < 5
+
+
+def test_html_template_against_plain_version(spark):
+    """Occurrence vectors page by page, instead of sums of hashes."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(40):
+        parts = [f"<div class=c{j}><p>{'same' if rng.random() < 0.8 else rng.random()} {j}</p><div class=d>{rng.randrange(3)}</div></div>" for j in range(6) if rng.random() < 0.8]
+        rows.append((k, f"http://h{k % 2}.example/{k}", "<body><p>top</p>" + "".join(parts) + "</body>"))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for host in ("h0", "h1"):
+        own = {k: html_extract.page_tokens(page) for k, url, page in rows if host in url}
+        pages = dict(own.values())
+        vectors = {t: tuple(found.get(t, 0) for found in pages.values()) for t in {t for found in pages.values() for t in found}}
+        often = {t: v for t, v in vectors.items() if 2 * sum(map(bool, v)) >= len(pages)}
+        classes = Counter(often.values())
+        outer = {path: around for path, around, text in often if text == 0}
+
+        def nested(path, outer=outer):
+            while path:
+                if path not in outer:
+                    return False
+                path = outer[path]
+            return True
+
+        template = {0} | {p for (p, _, text), v in often.items() if text == 0 and max(v) == 1 and nested(p) and classes[v] > 1}
+        texts = {text for (p, _, text), v in often.items() if text and p in template and sum(map(bool, v)) >= html_extract.SUPPORT}
+        assert texts
+        for k, url, page in rows:
+            if host in url:
+                blocks = html_extract.parse(page)[1]
+                left = [b[3] for b in blocks if html_extract._number(b[3]) not in texts] or [b[3] for b in blocks]
+                assert got[k] == "\n".join(left)
+
+
 @needs_data
 def test_html_of_all_pages(spark):
     import html
