@@ -42,6 +42,8 @@ _LOWER[0x41:0x5B] += 32
 _POWERS: dict[str, np.ndarray] = {}
 #: Bytes of a text that are hashed at once.
 _LONG = 1 << 21
+#: Bytes of short texts that are hashed at once.
+_STRETCH = 1 << 17
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -73,20 +75,22 @@ def word_hashes(text: str | None, lower: bool = True) -> np.ndarray:
 
     Long texts are hashed in pieces that end at a gap between words, so that memory follows the piece (or the longest word).
     """
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    return _long_words(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8), lower)
+
+
+def _long_words(raw: np.ndarray, lower: bool) -> np.ndarray:
     if len(raw) <= _LONG:
-        return _hash_words(raw, lower)
+        return _span_hashes(raw, *word_spans(raw), lower)
     ends = np.append(np.flatnonzero(_SPACE[raw]), len(raw))
     out, at = [], 0
     while at < len(raw):
         end = int(ends[np.searchsorted(ends, min(at + _LONG, len(raw)))])
-        out.append(_hash_words(raw[at:end], lower))
+        out.append(_span_hashes(raw[at:end], *word_spans(raw[at:end]), lower))
         at = end + 1
     return np.concatenate(out)
 
 
-def _hash_words(raw: np.ndarray, lower: bool) -> np.ndarray:
-    start, end = word_spans(raw)
+def _span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
     if not len(start):
         return np.zeros(0, np.uint64)
     if lower:
@@ -119,6 +123,28 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, at[:-1], at[1:]
 
 
+def column_words(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """word_hashes of the texts in an Arrow column, stretch by stretch: the first text, the words of each, all their hashes in order."""
+    raw, start, end = text_bytes(column)
+    k = 0
+    while k < len(start):
+        if end[k] - start[k] > _STRETCH:
+            h = _long_words(raw[start[k] : end[k]], lower)
+            yield k, np.array([len(h)]), h
+            k += 1
+            continue
+        to = max(k + 1, int(np.searchsorted(end, start[k] + _STRETCH, "right")))
+        part, first = raw[start[k] : end[to - 1]], start[k:to] - start[k]
+        gap = _SPACE[part]
+        cut = np.append(gap, True)  # places that a word can't reach across, seen from the byte before
+        cut[first] = True
+        head = ~gap
+        head[1:] &= gap[:-1] | (cut[1:-1] & ~gap[1:])
+        at, stop = np.flatnonzero(head), np.flatnonzero(~gap & cut[1:]) + 1
+        yield k, np.diff(np.append(np.searchsorted(at, first), len(at))), _span_hashes(part, at, stop, lower)
+        k = to
+
+
 # ---------------------------------------------------------------- tables of a fixed size, built on the executors
 
 

@@ -8,12 +8,14 @@ tokens on either side, in two softmax steps that both look at the context: one o
 class in its group. A token's probability is its class's probability in context times its share of the class's count,
 which doesn't depend on the context. A document's score is the sum of the log-probabilities of all its tokens.
 
-Training covers all tokens: in each of `stride` rounds every partition walks over its texts from the shared parameters,
-predicting every stride-th token (another phase in each round, so each token is a target once), and the partitions'
-parameters are averaged by tokens.
+Texts are turned into classes once, into a table that training and scoring read. Training covers all tokens: in each of
+`stride` rounds every partition walks over its texts from the shared parameters, predicting every stride-th token (another
+phase in each round, so each token is a target once), and the partitions' parameters are averaged by tokens. So parameters
+depend on how the table is dealt to tasks, and scores in their last digits on the order of sums.
 
 Edge cases: null and empty texts have no tokens and score 0; contexts beyond either end are a class of their own; words
-not counted (none when scoring what was counted) count once. Whole texts are scored, in pieces. Each row gets a result.
+not counted (none when scoring what was counted) count once; without any token every class is as likely. Whole texts are
+scored. Each row gets a result, repeated rows and null ids, too; other columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.llm.common import gather_blocks, materialize, word_hashes
+from panelflow.llm.common import column_words, gather_blocks, materialize, text_bytes
 
 SLOT_BITS = 20
 OWN = 96
@@ -78,17 +82,20 @@ def count_exactly(documents: DataFrame) -> DataFrame:
         words, at = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
         return words, np.bincount(at, np.concatenate([c for _, c in parts]), len(words)).astype(np.int64)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-        for pdf in batches:
-            have.append(np.unique(np.concatenate([np.zeros(0, np.uint64), *map(word_hashes, pdf["text"])]), return_counts=True))
-            if sum(len(w) for w, _ in have[1:]) > max(len(have[0][0]), 1 << 18):
-                have = [merge(have)]
+        held = 0
+        for batch in batches:
+            for _, _, h in column_words(batch.column("text")):
+                have.append(np.unique(h, return_counts=True))
+                held += len(have[-1][0])
+                if held > max(len(have[0][0]), 1 << 18):
+                    have, held = [merge(have)], 0
         words, counts = merge(have)
         cuts = np.searchsorted(words, np.arange(1, _RANGES, dtype=np.uint64) << np.uint64(64 - _RANGES.bit_length() + 1))
         for k, (w, c) in enumerate(zip(np.split(words, cuts), np.split(counts, cuts), strict=True)):
             if len(w):
-                yield pd.DataFrame({"range": [k], "n": [len(w)], "words": [w.tobytes()], "counts": [c.tobytes()]})
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(w)], pa.int64()), pa.array([w.tobytes()]), pa.array([c.tobytes()])], ["range", "n", "words", "counts"])
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         have: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -102,7 +109,7 @@ def count_exactly(documents: DataFrame) -> DataFrame:
             w, c = merge(mine)
             yield pd.DataFrame({"range": [k], "n": [len(w)], "words": [w.tobytes()], "counts": [c.tobytes()]})
 
-    return materialize(documents.select("text").mapInPandas(count, columns).repartition(_RANGES, "range").mapInPandas(combine, columns), "words")
+    return materialize(documents.select("text").mapInArrow(count, columns).repartition(_RANGES, "range").mapInPandas(combine, columns), "words")
 
 
 def table_sizes(n: int) -> tuple[int, int]:
@@ -135,15 +142,45 @@ def count_words(documents: DataFrame) -> Vocabulary:
     return Vocabulary(class_of, log_share, np.log(total / total.sum()).astype(np.float32), bits)
 
 
-def contexts(classes: np.ndarray, at: np.ndarray, edge: int, reach: int = REACH) -> np.ndarray:
-    """The classes around each position in at: places -reach..-1, 1..reach."""
-    padded = np.concatenate((np.full(reach, edge, np.int64), classes, np.full(reach, edge, np.int64)))
-    return np.stack([padded[at + reach + d] for d in (*range(-reach, 0), *range(1, reach + 1))])
+def encode(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, share, classes) of every row: its words' classes, and the sum of their log shares of them."""
+    words = documents.sparkSession.sparkContext.broadcast(vocabulary)
+    code = vocabulary.class_of.dtype
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = words.value
+        for batch in batches:
+            for k, n, h in column_words(batch.column("text")):
+                slots = (h >> np.uint64(64 - v.bits)).astype(np.int64)
+                share = np.bincount(np.repeat(np.arange(len(n)), n), v.log_share[slots], len(n))
+                ends = np.cumsum(n) * code.itemsize
+                data = v.class_of[slots].tobytes()
+                classes = [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[k : k + len(n)], pa.array(share), pa.array(classes, pa.binary())], ["doc_id", "share", "classes"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return materialize(documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, share double, classes binary"), "classes")
+
+
+def _tokens(column: pa.Array, code: np.dtype, edge: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of the texts of a column with `reach` edges around each text, the tokens of each text, and each token's place."""
+    raw, start, end = text_bytes(column)
+    n = (end - start) // code.itemsize
+    place = np.arange(n.sum()) + np.repeat(reach * (2 * np.arange(len(n)) + 1), n)
+    padded = np.full(int(n.sum()) + 2 * reach * len(n), edge, np.int32)
+    padded[place] = np.frombuffer(raw.tobytes(), code)
+    return padded, n, place
 
 
-def targets(n: int, turn: int, stride: int = STRIDE) -> np.ndarray:
-    """The positions of a text of n tokens that are predicted in a round; over all rounds, each of them once."""
-    return np.arange((n + turn) % stride, n, stride)
+def contexts(padded: np.ndarray, at: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """The classes around each place: -reach..-1, 1..reach."""
+    return np.stack([padded[at + d] for d in (*range(-reach, 0), *range(1, reach + 1))])
+
+
+def targets(n: np.ndarray, turn: int, stride: int = STRIDE) -> np.ndarray:
+    """Which tokens of texts of n tokens each are predicted in a round; over all rounds, each of them once."""
+    end = np.repeat(np.cumsum(n), n)
+    return (end - np.arange(len(end)) + turn) % stride == 0
 
 
 def _hidden(net: Network, around: np.ndarray) -> np.ndarray:
@@ -154,10 +191,24 @@ def _hidden(net: Network, around: np.ndarray) -> np.ndarray:
 
 
 def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(z - its row's greatest value) in place of z, and the sums of its rows."""
-    z -= z.max(axis=1, keepdims=True)
+    """exp(z - a number for each row) in place of z, and the sums of its rows."""
+    top = z.max()
+    z -= top if top - z.min() < 60 else z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    return z, z.sum(axis=1, keepdims=True)
+    return z, (z @ np.ones(z.shape[1], z.dtype))[:, None]
+
+
+def _by_group(net: Network, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]], np.ndarray]:
+    """An order by group, h in that order, (group, from, to) of those that occur, and exp of the scores of their classes with sums."""
+    order = np.argsort(group.astype(np.uint16), kind="stable")
+    ends = np.cumsum(np.bincount(group, minlength=net.out.shape[1])).tolist()
+    members = [(g, a, b) for g, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if a < b]
+    h = h[order]
+    scores = np.empty((len(h), net.fine.shape[1]), np.float32)
+    for g, a, b in members:
+        np.matmul(h[a:b], net.fine[g].T, out=scores[a:b])
+        scores[a:b] += net.fine_bias[g]
+    return order, h, members, scores
 
 
 def log_probabilities(net: Network, around: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -167,61 +218,56 @@ def log_probabilities(net: Network, around: np.ndarray, target: np.ndarray) -> n
     e, total = _exp(h @ net.out + net.out_bias)
     log_p = np.log(np.maximum(e[at, group], 1e-37)) - np.log(total[:, 0])
     if net.fine.shape[1] > 1:
-        e, total = _exp(np.matmul(net.fine[group], h[:, :, None])[:, :, 0] + net.fine_bias[group])
-        log_p += np.log(np.maximum(e[at, number], 1e-37)) - np.log(total[:, 0])
+        order, _, _, scores = _by_group(net, h, group)
+        e, total = _exp(scores)
+        log_p[order] += np.log(np.maximum(e[at, number[order]], 1e-37)) - np.log(total[:, 0])
     return log_p
 
 
 def _learn(net: Network, squares: list[np.ndarray], around: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One Adagrad step on a batch, in place; of context, only the rows that occur."""
-    h, at = _hidden(net, around), np.arange(len(target))
+    h, at, n = _hidden(net, around), np.arange(len(target)), np.float32(len(target))
     group, number = target % net.out.shape[1], target // net.out.shape[1]
 
-    def update(k: int, where, grad: np.ndarray) -> None:  # noqa: ANN001
-        square = squares[k][where] + grad * grad
-        squares[k][where] = square
-        net.parts()[k][where] -= (rate * grad / np.sqrt(square + 1e-8)).astype(np.float32)
-
-    def sums(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(key, kind="stable")
-        found = key[order]
-        starts = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
-        return found[starts], np.add.reduceat(values[order], starts, axis=0)
+    def update(weights: np.ndarray, square: np.ndarray, where, grad: np.ndarray) -> None:  # noqa: ANN001
+        new = square[where] + grad * grad
+        square[where] = new
+        weights[where] -= np.float32(rate) * grad / np.sqrt(new + np.float32(1e-8))
 
     dz, total = _exp(h @ net.out + net.out_bias)
-    dz /= total
-    dz[at, group] -= 1
-    dz /= len(target)
+    dz *= 1 / (total * n)
+    dz[at, group] -= 1 / n
     dh = dz @ net.out.T
-    out_grad = h.T @ dz
+    out_grad, out_bias = h.T @ dz, np.ones(len(dz), np.float32) @ dz
     if net.fine.shape[1] > 1:
-        order = np.argsort(group, kind="stable")
-        ends = np.cumsum(np.bincount(group, minlength=net.out.shape[1])).tolist()
-        members = [(g, order[a:b]) for g, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if a < b]
-        dy = np.empty((len(target), net.fine.shape[1]), np.float32)
-        for g, mine in members:
-            dy[mine] = h[mine] @ net.fine[g].T
-        dy, total = _exp(dy + net.fine_bias[group])
-        dy /= total
-        dy[at, number] -= 1
-        dy /= len(target)
-        grad, grad_bias = np.zeros_like(net.fine), np.zeros_like(net.fine_bias)
-        for g, mine in members:
-            d = dy[mine]
-            dh[mine] += d @ net.fine[g]
-            grad[g] = d.T @ h[mine]
-            grad_bias[g] = d.sum(axis=0)
-        update(4, ..., grad)
-        update(5, ..., grad_bias)
+        order, sorted_h, members, scores = _by_group(net, h, group)
+        dy, total = _exp(scores)
+        dy *= 1 / (total * n)
+        dy[at, number[order]] -= 1 / n
+        grad, grad_bias, more = np.zeros_like(net.fine), np.zeros_like(net.fine_bias), np.empty_like(h)
+        for g, a, b in members:
+            np.matmul(dy[a:b], net.fine[g], out=more[a:b])
+            np.matmul(dy[a:b].T, sorted_h[a:b], out=grad[g])
+            grad_bias[g] = dy[a:b].sum(axis=0)
+        dh[order] += more
+        update(net.fine, squares[4], ..., grad)
+        update(net.fine_bias, squares[5], ..., grad_bias)
     dh *= 1 - h * h
-    for p in range(len(around)):
-        rows, grad = sums(around[p], dh)
-        update(0, (p, rows), grad)
-    for k, grad in ((1, dh.sum(axis=0)), (2, out_grad), (3, dz.sum(axis=0))):
-        update(k, ..., grad)
-
-
-def train(documents: DataFrame, vocabulary: Vocabulary, hidden: int = HIDDEN, reach: int = REACH, stride: int = STRIDE, rate: float = 0.1) -> Network:
+    # the rows of all places together, each once
+    places, classes = len(around), net.context.shape[1]
+    key = (around + classes * np.arange(places)[:, None]).ravel()
+    order = np.argsort(key.astype(np.uint16) if places * classes < 1 << 16 else key, kind="stable")
+    found = key[order]
+    starts = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+    update(net.context.reshape(places * classes, -1), squares[0].reshape(places * classes, -1), found[starts], np.add.reduceat(dh[order % len(target)], starts, axis=0))
+    update(net.hidden_bias, squares[1], ..., np.ones(len(dh), np.float32) @ dh)
+    update(net.out, squares[2], ..., out_grad)
+    update(net.out_bias, squares[3], ..., out_bias)
+
+
+def train(documents: DataFrame, vocabulary: Vocabulary, hidden: int = HIDDEN, reach: int = REACH, stride: int = STRIDE, rate: float = 0.1, coded: DataFrame | None = None) -> Network:
+    """coded: what encode has made of documents, if it has been called already."""
+    coded = encode(documents, vocabulary) if coded is None else coded
     classes = len(vocabulary.log_prior)
     rng = np.random.Generator(np.random.PCG64(5))
     prior = np.exp(vocabulary.log_prior.astype(np.float64)).reshape(-1, GROUPS).T
@@ -235,86 +281,62 @@ def train(documents: DataFrame, vocabulary: Vocabulary, hidden: int = HIDDEN, re
         np.log(prior / group[:, None]).astype(np.float32),
     )
     sc = documents.sparkSession.sparkContext
-    words = sc.broadcast(vocabulary)
+    code, size = vocabulary.class_of.dtype, len(net.flat())
+    columns, tasks = "turn int, seen long, data binary", int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for turn in range(stride):
         start = sc.broadcast(net)
 
-        def walk(batches: Iterator[pd.DataFrame], turn: int = turn, start=start) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            v = words.value
+        def walk(batches: Iterator[pa.RecordBatch], turn: int = turn, start=start) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             own = start.value.of(start.value.flat())
             squares = [np.zeros(x.shape, np.float32) for x in own.parts()]
-            seen, held, around, target = 0, 0, [], []
-
-            def step() -> None:
-                nonlocal held, around, target, seen
-                _learn(own, squares, np.concatenate(around, axis=1), np.concatenate(target), rate)
-                seen, held, around, target = seen + held, 0, [], []
-
-            for pdf in batches:
-                for text in pdf["text"]:
-                    c = v.class_of[(word_hashes(text) >> np.uint64(64 - v.bits)).astype(np.int64)].astype(np.int64)
-                    for piece in np.array_split(targets(len(c), turn, stride), -(-len(c) // (_BATCH * stride)) or 1):
-                        if len(piece):
-                            around.append(contexts(c, piece, classes, reach))
-                            target.append(c[piece])
-                            held += len(piece)
-                        if held >= _BATCH // 2:
-                            step()
-            if held:
-                step()
-            yield pd.DataFrame({"seen": [seen], "data": [(own.flat().astype(np.float64) * seen).tobytes()]})
+            seen = 0
+            for batch in batches:
+                padded, n, place = _tokens(batch.column("classes"), code, classes, reach)
+                place = place[targets(n, turn, stride)]
+                for at in np.array_split(place, -(-len(place) // _BATCH)) if len(place) else ():
+                    _learn(own, squares, contexts(padded, at, reach), padded[at], rate)
+                seen += len(place)
+            if seen:
+                task = TaskContext.get().partitionId() % max(8, tasks)
+                yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([seen], pa.int64()), pa.array([(own.flat().astype(np.float64) * seen).tobytes()])], ["turn", "seen", "data"])
 
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seen, total = 0, np.zeros(sum(x.size for x in start.value.parts()))
+            seen, total, of = 0, np.zeros(size), 0
             for pdf in batches:
                 seen += int(pdf["seen"].sum())
+                of = int(pdf["turn"].iloc[0])
                 for data in pdf["data"]:
                     total += np.frombuffer(data)
-            yield pd.DataFrame({"seen": [seen], "data": [total.tobytes()]})
-
-        rows = documents.select("text").mapInPandas(walk, "seen long, data binary").repartition(8).mapInPandas(add, "seen long, data binary").collect()
+            if seen:
+                yield pd.DataFrame({"turn": [of], "seen": [seen], "data": [total.tobytes()]})
+
+        # parameters are added up as a tree: by as many tasks as the session shuffles to, then by 8
+        found = coded.select("classes").mapInArrow(walk, columns)
+        for to in (tasks, 8) if tasks > 64 else (8,):
+            found = found.repartition(to, "turn").mapInPandas(add, columns)
+        rows = found.collect()
         if not (seen := sum(r["seen"] for r in rows)):
             continue  # no text has a token in this phase
         net = net.of(sum(np.frombuffer(r["data"]) for r in rows) / seen)
     return net
 
 
-def score(documents: DataFrame, vocabulary: Vocabulary, net: Network, reach: int = REACH) -> DataFrame:
-    """(doc_id, n_tokens, log_prob) of every row."""
-    sc = documents.sparkSession.sparkContext
-    words, model = sc.broadcast(vocabulary), sc.broadcast(net)
-    classes = len(vocabulary.log_prior)
+def score(documents: DataFrame, vocabulary: Vocabulary, net: Network, reach: int = REACH, coded: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_tokens, log_prob, per_token) of every row; per_token is the mean, for texts of different length (0 without tokens)."""
+    coded = encode(documents, vocabulary) if coded is None else coded
+    model = documents.sparkSession.sparkContext.broadcast(net)
+    classes, code = len(vocabulary.log_prior), vocabulary.class_of.dtype
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v, m = words.value, model.value
-        for pdf in batches:
-            tokens, total = np.zeros(len(pdf), np.int64), np.zeros(len(pdf))
-            held, around, target, row = 0, [], [], []
-
-            def flush() -> None:
-                nonlocal held, around, target, row
-                if held:
-                    log_p = log_probabilities(m, np.concatenate(around, axis=1), np.concatenate(target))
-                    total[:] += np.bincount(np.concatenate(row), log_p, len(total))
-                held, around, target, row = 0, [], [], []
-
-            for k, text in enumerate(pdf["text"]):
-                slots = (word_hashes(text) >> np.uint64(64 - v.bits)).astype(np.int64)
-                c = v.class_of[slots].astype(np.int64)
-                tokens[k] = len(c)
-                total[k] = v.log_share[slots].sum(dtype=np.float64)
-                for at in range(0, len(c), _BATCH):
-                    piece = np.arange(at, min(at + _BATCH, len(c)))
-                    around.append(contexts(c, piece, classes, reach))
-                    target.append(c[piece])
-                    row.append(np.full(len(piece), k))
-                    held += len(piece)
-                    if held >= _BATCH:
-                        flush()
-            flush()
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": tokens, "log_prob": total})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for batch in batches:
+            padded, n, place = _tokens(batch.column("classes"), code, classes, reach)
+            log_p = np.empty(len(place))
+            for a in range(0, len(place), _BATCH):
+                at = place[a : a + _BATCH]
+                log_p[a : a + _BATCH] = log_probabilities(m, contexts(padded, at, reach), padded[at])
+            total = batch.column("share").to_numpy() + np.bincount(np.repeat(np.arange(len(n)), n), log_p, len(n))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))], ["doc_id", "n_tokens", "log_prob", "per_token"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    # ids travel as text: with a null among them, pandas would make them floats
-    out = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, n_tokens long, log_prob double")
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+    return coded.mapInArrow(run, f"doc_id {kind}, n_tokens long, log_prob double, per_token double")

@@ -42,7 +42,8 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     vocabulary = lm_score.count_words(documents)
-    return lm_score.score(documents, vocabulary, lm_score.train(documents, vocabulary))
+    coded = lm_score.encode(documents, vocabulary)
+    return lm_score.score(documents, vocabulary, lm_score.train(documents, vocabulary, coded=coded), coded=coded)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelflow.llm import html_extract, jaccard, langid, lm_score, mixing, packing, quality, queries, suffix_dedup, topk, toxicity
+from panelflow.llm import common, html_extract, jaccard, langid, lm_score, mixing, packing, quality, queries, suffix_dedup, topk, toxicity
 from panelflow.llm.common import components, filter_has, learn_fold, membership_filter, shingles, word_hashes
 from tests.llm import brute
 
@@ -89,6 +89,15 @@ def test_word_hashes_follow_words():
     assert len(shingles(word_hashes("a b"), 3)) == 1 and len(shingles(word_hashes("a b c d a b c d"), 3)) == 4
 
 
+def test_words_of_a_column_are_those_of_its_texts(monkeypatch):
+    texts = [None, "", "  a b\x0b\x0cc ", "A a", "x" * 5000 + " y", "é b\x1fc", "ab", "cd", " lead", "trail "] * 3
+    for stretch in (1, 8, 1 << 17):
+        monkeypatch.setattr(common, "_STRETCH", stretch)
+        column = pa.array(["skipped", *texts], pa.string())[1:]
+        got = [(k + i, h.tolist()) for k, n, every in common.column_words(column) for i, h in enumerate(np.split(every, np.cumsum(n)[:-1]))]
+        assert got == [(i, word_hashes(t).tolist()) for i, t in enumerate(texts)]
+
+
 def test_membership_filter(spark):
     keys = np.random.default_rng(3).integers(-(2**62), 2**62, 5000)
     held = membership_filter(spark.createDataFrame([(int(k),) for k in keys], "k long")).value
@@ -501,12 +510,13 @@ def test_lm_learns_context(spark):
     net = lm_score.train(df, v)
     got = lm_score.score(df, v, net).agg(F.sum("log_prob"), F.sum("n_tokens")).first()
     plain = np.mean([v.log_prior[v.class_of[int(h >> np.uint64(64 - v.bits))]] for _, t in rows[:20] for h in word_hashes(t)])
-    assert got[0] / got[1] > plain / 2
+    print("PER TOKEN", got[0] / got[1], plain)
+    assert got[0] / got[1] > plain / 20
 
 
 def test_lm_predicts_every_token_once(spark):
-    for n in range(12):
-        assert sorted(np.concatenate([lm_score.targets(n, turn) for turn in range(lm_score.STRIDE)])) == list(range(n))
+    for n in (np.arange(12), np.array([5]), np.zeros(0, np.int64)):
+        assert (sum(lm_score.targets(n, turn).astype(int) for turn in range(lm_score.STRIDE)) == np.ones(n.sum())).all()
     df = spark.createDataFrame([(0, "lone")] * 40, "doc_id long, text string").coalesce(1)
     v = lm_score.count_words(df)
     lone = v.class_of[int(word_hashes("lone")[0] >> np.uint64(64 - v.bits))]
