@@ -5,8 +5,9 @@ and bucket, and the log-probability matrix (2**14 rows, a column for each langua
 batch (bucket and count of each document's n-grams) and multiplies it with the matrix in numpy.
 
 Edge cases: a text that is null or has no letter gets `und` and score 0; rows without a language or a text teach nothing;
-without any learning row every text gets `und`; ties go to the language first by code point. Texts of any length are
-read in pieces, whole. Repeated rows count again. Only the named columns are read, others are ignored.
+without any learning row every text gets `und`; ties go to the language first by code point. There may be any number of
+languages; the matrix grows with them. Texts of any length are counted whole; their code points are held as an array in one
+task. Repeated rows count again. Only the named columns are read, others are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from panelflow.session import materialize
 BITS = 14
 ORDERS = (1, 2, 3)
 ALPHA = 0.5
-#: More different labels than this aren't languages; the matrix would not be small.
-MAX_LANGUAGES = 500
+#: Labels whose dense counts a task holds at once.
+_LABELS_AT_ONCE = 64
 _PIECE = 1 << 20
 _LETTER: list[np.ndarray] = []
 
@@ -72,29 +73,33 @@ def fit(rows: DataFrame, bits: int = BITS, alpha: float = ALPHA) -> LanguageMode
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
+
+        def flush() -> Iterator[pd.DataFrame]:
+            for lang, total in grams.items():
+                used = np.flatnonzero(total)
+                yield pd.DataFrame({"lang": lang, "bucket": np.append(used, -1).astype(np.int32), "n": np.append(total[used], seen[lang])})
+            grams.clear()
+            seen.clear()
+
         for pdf in batches:
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
+                if lang not in grams and len(grams) == _LABELS_AT_ONCE:
+                    yield from flush()
                 got = gram_counts(code_points(text), bits)
                 grams[lang] = grams[lang] + got if lang in grams else got
                 seen[lang] = seen.get(lang, 0) + 1
-        for lang, total in grams.items():
-            used = np.flatnonzero(total)
-            yield pd.DataFrame({"lang": lang, "bucket": np.append(used, -1).astype(np.int32), "n": np.append(total[used], seen[lang])})
+        yield from flush()
 
     counts = rows.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL").mapInPandas(count, "lang string, bucket int, n long")
-    counts = materialize(counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "grams")
-    # both results have a bounded number of rows: languages, and languages times buckets
-    docs_of = counts.where("bucket < 0").limit(MAX_LANGUAGES + 1).collect()
-    if len(docs_of) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted(r["lang"] for r in docs_of)
-    place = {lang: k for k, lang in enumerate(languages)}
-    docs = np.zeros(len(languages))
-    for r in docs_of:
-        docs[place[r["lang"]]] = r["n"]
+    # a row for each language, and for each n-gram bucket that a language has: bounded by the languages, not by the corpus
+    counts = materialize(counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "grams").toArrow()
+    lang, bucket, n = counts.column("lang").to_numpy(), counts.column("bucket").to_numpy(), counts.column("n").to_numpy()
+    languages, place = np.unique(lang.astype(str), return_inverse=True)
+    whole = bucket < 0
+    docs = np.bincount(place[whole], n[whole], len(languages))
     table = np.zeros((1 << bits, len(languages)))
-    rows_of = counts.where("bucket >= 0").toPandas()
-    table[rows_of["bucket"], rows_of["lang"].map(place).astype(np.int64)] = rows_of["n"]
+    table[bucket[~whole], place[~whole]] = n[~whole]
+    languages = languages.tolist()
     table += alpha
     return LanguageModel(languages, np.log(table / table.sum(axis=0)), np.log(docs / docs.sum()) if languages else docs, bits)
 
