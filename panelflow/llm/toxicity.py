@@ -2,12 +2,14 @@
 
 The classifier learns from at most about `max_rows` labelled rows, chosen by a hash of the id, so their ids can be broadcast
 and no text is shuffled. How many toxic and other texts among them hold each hashed n-gram is counted on the executors. Of
-the buckets, those whose log-count ratio stands out most keep their ratio as scale; a logistic regression over the scaled
-presence of these is fitted on at most about `fit_rows` of the rows, then weight times scale is broadcast. All texts are scored.
+the buckets, those whose shares differ between the classes by EVIDENCE standard errors keep their log-count ratio as scale
+(the `features` strongest of them at most, 64 of all at least); a logistic regression over the scaled presence of these is
+fitted on at most about `fit_rows` of the rows, then weight times scale is broadcast. All texts are scored.
 
 Edge cases: null and empty texts have no n-grams and get the score of the intercept; learning rows with a null text, label
 or id teach nothing, several labels of a document count as toxic if one is; without both classes to learn from every
-score is the share of toxic rows (0 without rows). Whole texts count, whatever their length; each row gets one result.
+score is the share of toxic rows (0 without rows). Whole texts count, whatever their length; each row gets one result, so
+repeated rows get equal ones. Columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from panelflow.llm.langid import code_points
 BITS = 18
 ORDERS = (3, 4, 5, 6)
 FEATURES = 4096
+EVIDENCE = 4.0
 #: Log-count ratios come from so many labelled rows at most, the logistic regression from so many of them.
 MAX_ROWS = 30_000
 FIT_ROWS = 12_000
@@ -104,7 +107,11 @@ def fit(documents: DataFrame, labels: DataFrame, bits: int = BITS, features: int
     got = got[got["bucket"] >= 0].sort_values("bucket")
     ratio = np.log((got["toxic"] + 1) / (n_toxic + 2)).to_numpy() - np.log((got["other"] + 1) / (n_other + 2)).to_numpy()
     strength = np.abs(got["toxic"] / n_toxic - got["other"] / n_other).to_numpy() * np.abs(ratio)
-    best = np.sort(np.argsort(-strength, kind="stable")[:features])
+    seen = (got["toxic"] + got["other"]).to_numpy()
+    share = seen / (n_toxic + n_other)
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_toxic + 1 / n_other))
+    weak = (seen < 3) | (np.abs(got["toxic"] / n_toxic - got["other"] / n_other).to_numpy() < EVIDENCE * error)
+    best = np.sort(np.lexsort((-strength, weak))[: min(features, max(64, int((~weak).sum())))])
     chosen, scale = got["bucket"].to_numpy()[best], ratio[best]
     place = np.full(1 << bits, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
