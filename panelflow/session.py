@@ -17,18 +17,29 @@ def build_session(app: str = "panelflow", **conf: str) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, else a local one of our own (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir of the session. Only a local session may do without: it gets one of its own."""
     sc = spark.sparkContext
-    if folder := sc.getConf().get("spark.checkpoint.dir", None):
+    if folder := sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
         return folder
-    if not (folder := sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        folder = sc.getCheckpointDir()
-    return folder
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark).rstrip('/')}/panelflow-{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark).rstrip('/')}/panelflow-{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables that this session has written, and return how many. Call it once results have been written:
+    a result that hasn't is still read from them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark).rstrip('/')}/panelflow-{spark.sparkContext.applicationId}-*")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(path) or []
+    for status in found:
+        files.delete(status.getPath(), True)
+    return len(found)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
