@@ -5,8 +5,8 @@ the result goes back to doc_id. Shingles are ordered rare first by counts over t
 size decides the order; any order gives the same links). Two sets can only be similar if their prefixes share a shingle,
 so the join runs on prefix shingles.
 
-Pairs are tried in two rounds, so that a group of n near copies doesn't make n * n pairs. First each class meets the one
-with the least number among those it shares a prefix shingle with. Links that hold make components. Then every pair that
+Pairs are tried in two rounds, so that a group of n near copies doesn't make n * n pairs. First each class meets the
+earliest (by its smallest doc_id) of those it shares a prefix shingle with. Links that hold make components. Then every pair that
 shares a prefix shingle, passes the filters and isn't yet in one component is tried. So pairs inside a component are left
 out, which cannot change the components, and no others. A frequent shingle's rows are dealt to as many salts as its count
 asks for, on both rounds.
@@ -102,7 +102,7 @@ def _prefixes_allow(pairs: DataFrame, classes: DataFrame, num: int, den: int) ->
     shared = F.size(F.array_intersect("x.prefix", "y.prefix"))
     rest = F.when(F.col("x.end") <= F.col("y.end"), F.col("x.n_shingles") - F.size("x.prefix")).otherwise(F.col("y.n_shingles") - F.size("y.prefix"))
     need = F.ceil((F.lit(num) * (F.col("x.n_shingles") + F.col("y.n_shingles"))) / F.lit(num + den))
-    return joined.where(shared + rest >= need).select("a", "b")
+    return joined.where(shared + rest >= need).select(*pairs.columns)
 
 
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
@@ -171,20 +171,22 @@ def join_documents(documents: DataFrame, n: int = 5, num: int = 80, den: int = 1
                 size = part["prefix"].str.len().to_numpy(np.int64)
                 gram = np.concatenate(part["prefix"].to_list()).astype(np.int64)
                 start = np.repeat(np.cumsum(size) - size, size)
-                out = pd.DataFrame({"cid": np.repeat(part["cid"].to_numpy(), size), "n": np.repeat(part["n_shingles"].to_numpy(), size), "pos": np.arange(len(gram)) - start, "gram": gram})
+                out = pd.DataFrame({"cid": np.repeat(part["cid"].to_numpy(), size), "first": np.repeat(part["doc_id"].to_numpy(), size), "n": np.repeat(part["n_shingles"].to_numpy(), size), "pos": np.arange(len(gram)) - start, "gram": gram})
                 yield out[filter_has(held.value, gram)]
 
-    index = classes.select("cid", "n_shingles", "prefix").mapInPandas(prune, "cid long, n long, pos long, gram long").join(common, "gram")
+    index = classes.select("cid", "doc_id", "n_shingles", "prefix").mapInPandas(prune, "cid long, first long, n long, pos long, gram long").join(common, "gram")
     salts = F.floor((F.col("grams") - 1) / _SALT_ROWS) + 1
-    index = materialize(index.select("gram", "cid", "n", "pos", salts.alias("salts"), F.pmod(F.xxhash64("cid"), salts).alias("salt")), "index")
+    index = materialize(index.select("gram", "cid", "first", "n", "pos", salts.alias("salts"), F.pmod(F.xxhash64("cid"), salts).alias("salt")), "index")
     every_salt = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))
 
-    # first round: the least class met at a prefix shingle
-    leaders = index.groupBy("gram", "salt").agg(F.min(F.struct("cid", "n", "pos", "salts")).alias("lead")).groupBy("gram").agg(F.min("lead").alias("lead"))
-    leaders = leaders.where("lead IS NOT NULL").select("gram", "lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lead.salts") - 1)).alias("salt"))
-    met = index.join(leaders, ["gram", "salt"]).where((F.col("cid") > F.col("lead.cid")) & _may_link(num, den, F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
-    met = _prefixes_allow(met.select(F.col("lead.cid").alias("a"), F.col("cid").alias("b")).distinct(), classes, num, den)
-    tried = materialize(met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
+    # first round: the earliest class met at a prefix shingle
+    leaders = index.groupBy("gram", "salt").agg(F.min(F.struct("first", "cid", "n", "pos", "salts")).alias("lead")).groupBy("gram").agg(F.min("lead").alias("lead"))
+    leaders = leaders.select("gram", "lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lead.salts") - 1)).alias("salt"))
+    later = F.struct("first", "cid") > F.struct(F.col("lead.first").alias("first"), F.col("lead.cid").alias("cid"))
+    met = index.join(leaders, ["gram", "salt"]).where(later & _may_link(num, den, F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
+    met = _prefixes_allow(met.select(F.col("lead.cid").alias("a"), F.col("lead.first").alias("order"), F.col("cid").alias("b")).distinct(), classes, num, den)
+    tried = met.groupBy("b").agg(F.min(F.struct("order", "a")).alias("to"))
+    tried = materialize(tried.select(F.least("b", "to.a").alias("a"), F.greatest("b", "to.a").alias("b")), "tried")
     links = _verify(tried, documents, classes, n, num, den)
 
     # classes of one document belong together
