@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,15 +31,24 @@ def round_digits(value: Column, digits: int) -> Column:
 def latest_as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, payload: list[str]) -> DataFrame:
     """Left as-of join: each left row with the payload of the last right row of its group at or before its time.
 
-    A union and one running `last`, so no range join; unmatched left rows keep null payloads. payload names must not be
-    columns of left.
+    A union and a running `last` inside each month of a group (times of other types than dates make one block), so no range join, and no task sorts a whole group; a small table
+    with a row a month carries the last payload of the months before. Unmatched left rows keep null payloads. payload names must
+    not be columns of left.
     """
     # every column of left travels in a struct, so names cannot clash
     l = left.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"))  # noqa: E741
     r = right.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*payload).alias("_payload")).where(F.col("_t").isNotNull())
     both = l.unionByName(r, allowMissingColumns=True)
-    order = Window.partitionBy(*[f"_by_{c}" for c in by]).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    timed = both.schema["_t"].dataType.typeName() in ("date", "timestamp", "timestamp_ntz")
+    both = both.withColumn("_month", F.trunc(F.to_date("_t"), "MM") if timed else F.lit(0))
+    group = [f"_by_{c}" for c in by]
+    months = both.groupBy(*group, "_month").agg(F.max_by("_payload", F.when(F.col("_side") == 0, F.col("_t"))).alias("_end"))
+    before = Window.partitionBy(*group).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
+    carried = months.select(*[F.col(c).alias(f"{c}_m") for c in (*group, "_month")], F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    order = Window.partitionBy(*group, "_month").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     last = both.withColumn("_last", F.last("_payload", ignorenulls=True).over(order)).where("_side = 1")
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_m")) for c in (*group, "_month")]
+    last = last.join(carried, reduce(and_, same), "left").withColumn("_last", F.coalesce("_last", "_carried"))
     return last.select("_row.*", *[F.col("_last")[c].alias(c) for c in payload])
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,18 @@ def permute(df: DataFrame, column: str, key: list[str], seed: int = 42) -> DataF
     return here.join(there, "_place").drop("_place", column).withColumnRenamed("_value", column).select(*df.columns)
 
 
+def model_importance(df: DataFrame, score: Callable[[DataFrame], DataFrame], features: list[str], key: list[str], n_repeats: int = 5, seed: int = 42, target: str = TARGET) -> DataFrame:
+    """(feature, importance, std) of any fitted model: score adds y_pred to a table. Each feature is permuted n_repeats times and
+    the whole table scored again; importance is the mean rise of the mean squared error, largest first."""
+    rows = df.where(F.col(target).isNotNull())
+    error = F.avg((F.col("y_pred") - F.col(target)) ** 2)
+    runs = [score(permute(rows, f, key, seed + r)).agg(error.alias("mse")).select(F.lit(f).alias("feature"), "mse") for f in features for r in range(n_repeats)]
+    base = score(rows).agg(error.alias("base"))  # one row
+    rise = reduce(DataFrame.unionByName, runs).crossJoin(F.broadcast(base)).withColumn("rise", F.col("mse") - F.col("base"))
+    out = rise.groupBy("feature").agg(F.avg("rise").alias("importance"), F.stddev_pop("rise").alias("std"))
+    return out.orderBy(F.col("importance").desc(), "feature")
+
+
 def permutation_importance(df: DataFrame, prediction: Column, effects: dict[str, Column], key: list[str], n_repeats: int = 5, seed: int = 42, target: str = TARGET) -> DataFrame:
     """(feature, importance, std) of a model whose prediction changes with a feature by effects[feature] of a value column `v`.
 

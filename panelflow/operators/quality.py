@@ -14,10 +14,14 @@ def check_columns(df: DataFrame, required: list[str]) -> list[str]:
     return [c for c in required if c not in df.columns]
 
 
+def bad_dates(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose value isn't a yyyy-MM-dd date; null counts as such."""
+    return df.where(F.try_to_date(F.col(column).cast("string"), "yyyy-MM-dd").isNull())
+
+
 def check_dates(df: DataFrame, column: str, examples: int = 5) -> list[str]:
     """Up to `examples` values that aren't yyyy-MM-dd dates; null counts as such."""
-    bad = df.where(F.try_to_date(F.col(column).cast("string"), "yyyy-MM-dd").isNull())
-    return [r[0] for r in bad.select(F.col(column).cast("string")).limit(examples).collect()]
+    return [r[0] for r in bad_dates(df, column).select(F.col(column).cast("string")).limit(examples).collect()]
 
 
 def duplicate_keys(df: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
@@ -39,6 +43,26 @@ def ordering_status(df: DataFrame, seq: Column, file: Column, date: str = "date"
     return rows.groupBy("file", "ticker").agg(F.count("*").alias("rows"), status.alias("status"))
 
 
+def file_ordering(df: DataFrame, seq: Column, file: Column, date: str = "date") -> DataFrame:
+    """(file, tickers, status): what all tickers of a file have in common: ascending, descending, or else mixed (unsorted if one is)."""
+    each = ordering_status(df, seq, file, date)
+    status = F.when(F.max((F.col("status") == "unsorted").cast("int")) == 1, "unsorted").when(F.min("status") == F.max("status"), F.min("status")).otherwise("mixed")
+    return each.groupBy("file").agg(F.count("*").alias("tickers"), status.alias("status"))
+
+
+def assert_ordered(df: DataFrame, seq: Column, file: Column, date: str = "date") -> DataFrame:
+    """df, if each of its files has one order: unsorted rows and files of mixed orders raise."""
+    assert_empty(file_ordering(df, seq, file, date).where("status IN ('unsorted', 'mixed')"), "files without one order")
+    return df
+
+
+def order_violations(df: DataFrame, seq: Column, key: tuple[str, ...] = KEY) -> DataFrame:
+    """Rows of a panel that aren't after the row before them (by seq) of the same entity, with that row's date."""
+    entity, date = key
+    before = F.lag(date).over(Window.partitionBy(entity).orderBy(seq))
+    return df.select(*key, before.alias("before")).where(F.col("before") >= F.col(date))
+
+
 def rewrite_sorted(df: DataFrame, path: str, key: tuple[str, ...] = KEY) -> None:
     """Write each entity's rows together and ascending."""
     df.repartition(key[0]).sortWithinPartitions(*key).write.mode("overwrite").parquet(path)
@@ -58,16 +82,26 @@ def validation_summary(df: DataFrame, file: Column, date: str = "date") -> DataF
 def dataset_manifest(df: DataFrame, by: Column, date: str = "date") -> DataFrame:
     """Of each part: rows, range of the dates that can be read, and sorted tickers. Raises if no date can be read."""
     parsed = F.try_to_date(F.col(date).cast("string"), "yyyy-MM-dd")
-    out = df.withColumn("part", by).withColumn("_date", parsed).groupBy("part").agg(F.count("*").alias("rows"), F.min("_date").alias("date_min"), F.max("_date").alias("date_max"), F.array_join(F.sort_array(F.collect_set("ticker")), ",").alias("tickers"))
-    return out
+    if df.where(parsed.isNotNull()).isEmpty():
+        raise ValueError(f"no date in {date} can be read")
+    rows = df.withColumn("part", by).withColumn("_date", parsed)
+    return rows.groupBy("part").agg(F.count("*").alias("rows"), F.min("_date").alias("date_min"), F.max("_date").alias("date_max"), F.array_join(F.sort_array(F.collect_set("ticker")), ",").alias("tickers"))
+
+
+def manifest_total(manifest: DataFrame) -> DataFrame:
+    """One row from dataset_manifest's: parts, rows, the whole range of dates, and all tickers, sorted."""
+    tickers = F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.split("tickers", ","))))), ",")
+    return manifest.agg(F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.min("date_min").alias("date_min"), F.max("date_max").alias("date_max"), tickers.alias("tickers"))
 
 
-def assert_panel(df: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """df, if it has the key columns and no key twice; an empty table passes."""
+def assert_panel(df: DataFrame, key: tuple[str, ...] = KEY, seq: Column | None = None) -> DataFrame:
+    """df, if it has the key columns and no key twice and, where seq says how rows lie, each entity's dates ascend; an empty table passes."""
     if missing := check_columns(df, list(key)):
         raise ValueError(f"missing columns: {missing}")
     if some := duplicate_keys(df, key).limit(3).collect():
         raise ValueError(f"duplicate keys: {[tuple(r)[: len(key)] for r in some]}")
+    if seq is not None:
+        assert_empty(order_violations(df, seq, key), "rows out of order")
     return df
 
 

@@ -51,7 +51,10 @@ def ols_per_fold(rows: DataFrame, folds: DataFrame, features: list[str] = PRICE_
     system for each fold.
     """
     spark = rows.sparkSession
-    ends = [(r["fold_id"], r["train_end"]) for r in folds.select("fold_id", "train_end").orderBy("train_end", "fold_id").limit(MAX_DATES).collect()]
+    # one more than there may be, so that too many raise and none is lost
+    ends = [(r["fold_id"], r["train_end"]) for r in folds.select("fold_id", "train_end").orderBy("train_end", "fold_id").limit(MAX_DATES + 1).collect()]
+    if len(ends) > MAX_DATES:
+        raise ValueError(f"more than {MAX_DATES} folds")
     first = F.array(*[F.lit(d) for _, d in ends])
     use = rows.where(F.col(TARGET).isNotNull())
     if not ends:

@@ -137,6 +137,15 @@ ORACLE_SQL: dict[str, str] = {
     "sentiment_violations": f"WITH {_sentiment()} SELECT ticker, date, DATE '2024-01-20' AS price_max FROM sent WHERE date > DATE '2024-01-20'",
     "flatten_prices": f"WITH {_EVENT_PRICES} SELECT ticker, date, {_OHLC}, volume FROM ({_PAYLOAD_ROWS})",
     "stream_prices": f"WITH {_EVENT_PRICES} SELECT ticker, date, {_OHLC}, volume FROM ({_PAYLOAD_ROWS})",
+    "listed_scan": f"WITH {_EVENT_PRICES} SELECT ticker, date, {_OHLC}, volume FROM (SELECT *, close AS open, close AS adjusted_close FROM ep) WHERE ticker <> 'view'",
+    "split_subset": f"WITH {_FEATURES} SELECT ticker, date, split FROM features WHERE split = 'val'",
+    "sentiment_clip": f"WITH {_sentiment()} SELECT ticker, date, {_SENT} FROM sent WHERE date BETWEEN DATE '2024-01-08' AND DATE '2024-01-19'",
+    "file_ordering": f"WITH {_FEATURES}, t AS (SELECT DISTINCT ticker, substr(ticker, 8, 1) AS file, ticker < 'Brand#3' AS down, count(*) OVER (PARTITION BY ticker) AS n FROM features) SELECT file, count(*) AS tickers, CASE WHEN bool_and(down) THEN 'descending' WHEN bool_or(down) THEN 'mixed' ELSE 'ascending' END AS status FROM t GROUP BY file",
+    "order_violations": """WITH o AS (SELECT o_orderpriority AS ticker, CAST(o_orderdate AS DATE) AS date, lag(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS before FROM orders)
+        SELECT ticker, count(*) AS rows, min(date) AS date_min, max(before) AS before_max FROM o WHERE before >= date GROUP BY ticker""",
+    "bad_dates": "SELECT event_id, CASE WHEN event_id % 50 = 0 THEN strftime(ts, '%Y-%m-%d') || 'Z' END AS day FROM events WHERE event_id % 50 = 0 OR event_id % 77 = 0",
+    "manifest_total": "SELECT count(DISTINCT user_id % 7) AS parts, count(*) AS rows, min(CAST(ts AS DATE)) AS date_min, max(CAST(ts AS DATE)) AS date_max, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS tickers FROM events",
+    "walk_fixed": f"WITH {_walk().replace(chr(39) + 'heuristic' + chr(39), chr(39) + 'half' + chr(39)).replace('coalesce(return_1d, 0)', '0.5 * coalesce(return_1d, 0)')} {_show(5, 'fold_id, model_name')}",
     "csv_scan": f"WITH {_EVENT_PRICES} SELECT ticker, date, {_OHLC}, volume FROM (SELECT *, close AS open, close AS adjusted_close FROM ep)",
     "flatten_news": """SELECT upper(event_type) AS ticker, event_id AS article_uuid, CASE WHEN event_id % 2 = 0 THEN 't' || event_id ELSE '' END AS headline,
         CASE WHEN event_id % 3 <> 2 AND event_id % 5 <> 0 THEN value END AS sentiment_score, CASE WHEN event_id % 3 <> 2 THEN 1.5::DOUBLE END AS match_score
@@ -147,8 +156,8 @@ ORACLE_SQL: dict[str, str] = {
     "props_json": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS k_sum, CAST(max(k) AS BIGINT) AS k_max FROM (SELECT event_type, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events) GROUP BY event_type",
     "news_dedupe": f"WITH {_sentiment()} SELECT ticker, pub_date, count(*) AS articles FROM first GROUP BY ALL",
     "sentiment_window": f"WITH {_sentiment()} SELECT ticker, date, {_SENT} FROM sent",
-    "sentiment_join": f"WITH {_EVENT_PRICES}, {_sentiment('day(pub_date) % 4 = 1')} SELECT ep.ticker, ep.date, round(close, 8) AS close, {_SENT} FROM ep LEFT JOIN sent ON ep.ticker = sent.ticker AND ep.date = sent.date",
-    "sentiment_asof": f"WITH {_EVENT_PRICES}, {_sentiment('day(pub_date) % 4 = 1')} SELECT ep.ticker, ep.date, round(close, 8) AS close, {_SENT} FROM ep LEFT JOIN sent ON ep.ticker = sent.ticker AND sent.date = (SELECT max(s.date) FROM sent s WHERE s.ticker = ep.ticker AND s.date <= ep.date AND s.date > ep.date - 3)",
+    "sentiment_join": f"WITH {_EVENT_PRICES}, {_sentiment()} SELECT ep.ticker, ep.date, round(close, 8) AS close, {_SENT} FROM ep LEFT JOIN sent ON ep.ticker = sent.ticker AND ep.date = sent.date",
+    "sentiment_asof": f"WITH {_EVENT_PRICES}, {_sentiment()} SELECT ep.ticker, ep.date, round(close, 8) AS close, {_SENT} FROM ep LEFT JOIN sent ON ep.ticker = sent.ticker AND sent.date = (SELECT max(s.date) FROM sent s WHERE s.ticker = ep.ticker AND s.date <= ep.date AND s.date > ep.date - 3)",
     "sentiment_join_all": f"WITH {_EVENT_PRICES}, {_sentiment()} SELECT ep.ticker, ep.date, round(close, 8) AS close, {_SENT} FROM ep LEFT JOIN sent ON ep.ticker = sent.ticker AND ep.date = sent.date",
     "sentiment_asof_all": f"WITH {_EVENT_PRICES}, {_sentiment()} SELECT ep.ticker, ep.date, round(close, 8) AS close, {_SENT} FROM ep LEFT JOIN sent ON ep.ticker = sent.ticker AND sent.date = (SELECT max(s.date) FROM sent s WHERE s.ticker = ep.ticker AND s.date <= ep.date AND s.date > ep.date - 3)",
     "naive_mean": f"WITH {_FEATURES} SELECT ticker, date AS asof_date, date + 1 AS target_date, round(target_forward_return, 8) + 0.0 AS y_true, round((SELECT avg(target_forward_return) FROM features WHERE split = 'train'), 8) AS y_pred, 'naive' AS model_name, CAST(-1 AS INTEGER) AS fold_id FROM features WHERE split = 'test'",

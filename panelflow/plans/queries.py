@@ -108,6 +108,29 @@ def ordering_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ordering_status(o, F.col("o_orderkey"), F.col("o_orderstatus"))
 
 
+def file_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all brands of a shipping mode have one order, by line items' place in the table of days."""
+    days = panel.prices(spark, sf_dir).select("ticker", "date", F.when(F.col("ticker") < "Brand#3", -F.unix_date("date")).otherwise(F.unix_date("date")).alias("seq"))
+    return quality.file_ordering(days, F.col("seq"), F.substring("ticker", 8, 1))
+
+
+def order_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a priority that aren't dated after the order before them."""
+    o = panel.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("ticker"), F.to_date("o_orderdate").alias("date"), "o_orderkey")
+    return quality.order_violations(o, F.col("o_orderkey")).groupBy("ticker").agg(F.count("*").alias("rows"), F.min("date").alias("date_min"), F.max("before").alias("before_max"))
+
+
+def bad_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of events as text, some of them broken."""
+    day = F.date_format("ts", "yyyy-MM-dd")
+    text = F.when(F.col("event_id") % 50 == 0, F.concat(day, F.lit("Z"))).when(F.col("event_id") % 77 != 0, day)
+    return quality.bad_dates(panel.table(spark, sf_dir, "events").select("event_id", text.alias("day")), "day")
+
+
+def manifest_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.manifest_total(dataset_manifest(spark, sf_dir))
+
+
 def numeric_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = panel.table(spark, sf_dir, "events").select(F.col("value"), F.get_json_object("props", "$.k").alias("k"), F.col("event_type"))
     return quality.numeric_nulls(e, ["value", "k", "event_type"])
@@ -198,29 +221,27 @@ def sentiment_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(sentiment.sentiment_features(panel.news(spark, sf_dir)))
 
 
-def _sparse_news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.news(spark, sf_dir).where("dayofmonth(pub_date) % 4 = 1")
-
-
 def sentiment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sentiment.attach(panel.event_prices(spark, sf_dir), sentiment.sentiment_features(_sparse_news(spark, sf_dir)))
+    out = sentiment.attach(panel.event_prices(spark, sf_dir), sentiment.sentiment_features(panel.news(spark, sf_dir)))
     return _rounded(out.select("ticker", "date", "close", "sentiment_avg", "sentiment_count", "sentiment_momentum"))
 
 
 def sentiment_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sentiment_join over all news."""
-    out = sentiment.attach(panel.event_prices(spark, sf_dir), sentiment.sentiment_features(panel.news(spark, sf_dir)))
-    return _rounded(out.select("ticker", "date", "close", "sentiment_avg", "sentiment_count", "sentiment_momentum"))
+    """The same as sentiment_join, by the name under which it was registered first."""
+    return sentiment_join(spark, sf_dir)
 
 
 def sentiment_asof_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sentiment_asof over all news."""
-    out = sentiment.attach_asof(panel.event_prices(spark, sf_dir), sentiment.sentiment_features(panel.news(spark, sf_dir)), max_age_days=3)
-    return _rounded(out.select("ticker", "date", "close", "sentiment_avg", "sentiment_count", "sentiment_momentum"))
+    """The same as sentiment_asof, by the name under which it was registered first."""
+    return sentiment_asof(spark, sf_dir)
+
+
+def sentiment_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(sentiment.sentiment_features(panel.news(spark, sf_dir), min_date="2024-01-08", max_date="2024-01-19"))
 
 
 def sentiment_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sentiment.attach_asof(panel.event_prices(spark, sf_dir), sentiment.sentiment_features(_sparse_news(spark, sf_dir)), max_age_days=3)
+    out = sentiment.attach_asof(panel.event_prices(spark, sf_dir), sentiment.sentiment_features(panel.news(spark, sf_dir)), max_age_days=3)
     return _rounded(out.select("ticker", "date", "close", "sentiment_avg", "sentiment_count", "sentiment_momentum"))
 
 
@@ -344,6 +365,31 @@ def walk_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(walkforward.fold_metrics(_walk(spark, sf_dir, ("simple_ml",))[1]), 6)
 
 
+def walk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that isn't refitted beside the zero baseline."""
+    fixed = {"half": 0.5 * F.coalesce("return_1d", F.lit(0.0))}
+    return _rounded(walkforward.fold_metrics(_walk(spark, sf_dir, ("naive",), fixed=fixed)[1]), 5)
+
+
+def _boosted(spark: SparkSession, sf_dir: str):  # noqa: ANN202
+    df = materialize(panel.feature_table(spark, sf_dir), "features")
+    return df, modeling.fit_regressor(df.where("split = 'train'"), df.where("split = 'val'"))
+
+
+def walk_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees, stopped early on val, through the windows of test as a model that isn't refitted."""
+    df, model = _boosted(spark, sf_dir)
+    test = materialize(modeling.score(model, df.where("split = 'test'")), "scored")
+    preds = walkforward.run(df.where("split = 'train'"), test, FOLD, STEP, MIN_TRAIN, names=("naive",), fixed={"regressor": F.col("y_pred")})[1]
+    return _rounded(walkforward.fold_metrics(preds), 5)
+
+
+def model_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Permutation importance of the boosted trees on val."""
+    df, model = _boosted(spark, sf_dir)
+    return importance.model_importance(importance.evaluation_split(df), lambda rows: modeling.score(model, rows), PRICE_FEATURES, ["ticker", "date"], n_repeats=1)
+
+
 def worst_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(walkforward.worst_windows(walkforward.fold_metrics(_walk(spark, sf_dir)[1])).select("fold_id", "model_name", "mse", "n_samples"), 6)
 
@@ -452,6 +498,21 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(tables.read_prices(spark, path, "csv"), 6)
 
 
+def listed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event prices from the files that a manifest lists: one folder for each type, and one that isn't listed."""
+    path = scratch_path(spark, "listed")
+    df = materialize(panel.event_prices(spark, sf_dir), "prices")
+    df.withColumn("part", F.col("ticker")).write.partitionBy("part").option("header", "true").csv(path)
+    listed = df.where("ticker <> 'view'").select(F.concat(F.lit(f"{path}/part="), "ticker").alias("path")).distinct()
+    return _rounded(tables.read_listed_prices(spark, listed), 6)
+
+
+def split_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "splits")
+    panel.feature_table(spark, sf_dir).select("ticker", "date", "split").write.parquet(path)
+    return tables.read_split(spark, path, "val")
+
+
 def stream_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed documents merged batch by batch by a stream."""
     landed, out, state = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "state"))

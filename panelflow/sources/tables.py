@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelflow.operators.quality import assert_panel
 from panelflow.schemas import PRICES
 
 
@@ -16,6 +17,17 @@ def read_prices(spark: SparkSession, paths: str | list[str], fmt: str = "parquet
     return spark.read.schema(PRICES).format(fmt).load(paths)
 
 
+def read_listed_prices(spark: SparkSession, manifest: DataFrame, fmt: str = "csv") -> DataFrame:
+    """Prices from the files that a manifest (path) lists, and no others; an empty list and keys that occur twice raise.
+
+    A manifest has a row for each file, so its paths go to the driver, which hands them to the scan.
+    """
+    paths = sorted({r["path"] for r in manifest.where("path IS NOT NULL").select("path").collect()})
+    if not paths:
+        raise ValueError("the manifest lists no file")
+    return assert_panel(read_prices(spark, paths, fmt))
+
+
 def read_news(news: DataFrame) -> DataFrame:
     """Normalized news with pub_ts and pub_date; rows whose timestamp can't be read are dropped."""
     ts = F.try_to_timestamp(F.col("publication_timestamp").cast("string"))
@@ -23,16 +35,18 @@ def read_news(news: DataFrame) -> DataFrame:
 
 
 def latest_version(spark: SparkSession, path: str, hint: str | None = None) -> str:
-    """The greatest version of a table partitioned by version, or the hinted one, which must exist. Reads partition names only."""
-    versions = spark.read.option("recursiveFileLookup", "false").parquet(path).select(F.col("version").cast("string").alias("version"))
+    """The greatest version of a table partitioned by version, or the hinted one, which must exist. Lists folders, opens no file."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+    versions = [spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(n[len("version=") :]) for n in names if n.startswith("version=")]
     if hint is not None:
-        if versions.where(F.col("version") == hint).isEmpty():
+        if hint not in versions:
             raise ValueError(f"no version {hint}")
         return hint
-    latest = versions.agg(F.max("version")).first()[0]
-    if latest is None:
+    if not versions:
         raise ValueError("no version")
-    return latest
+    return max(versions)
 
 
 def read_version(spark: SparkSession, path: str, hint: str | None = None) -> DataFrame:

@@ -336,3 +336,59 @@ def test_one_shuffle_for_all_price_windows(spark, trend):
     df = spark.createDataFrame(trend(40).collect(), trend(1).schema)
     plan = features.price_features(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [ticker") == 1
+
+
+def test_checks_that_raise(spark, trend, tmp_path):
+    from panelflow.operators import importance, modeling, quality
+    from panelflow.schemas import PRICE_FEATURES
+    from panelflow.sources import tables
+
+    df = trend(20)
+    no_dates = df.withColumn("date", F.lit("soon"))
+    with pytest.raises(ValueError, match="can be read"):
+        quality.dataset_manifest(no_dates, F.lit("all"))
+    total = quality.manifest_total(quality.dataset_manifest(df.union(trend(10, "ABC")), F.col("ticker"))).first()
+    assert (total["parts"], total["rows"], total["tickers"]) == (2, 30, "AAPL,ABC")
+
+    up, down = F.unix_date("date"), -F.unix_date("date")
+    assert quality.assert_ordered(df, up, F.lit("f")).count() == 20 and quality.assert_panel(df, seq=up).count() == 20
+    with pytest.raises(ValueError, match="out of order"):
+        quality.assert_panel(df, seq=down)
+    mixed = df.withColumn("seq", up).union(trend(20, "ABC").withColumn("seq", down))
+    assert [r["status"] for r in quality.file_ordering(mixed, F.col("seq"), F.lit("f")).collect()] == ["mixed"]
+    with pytest.raises(ValueError, match="one order"):
+        quality.assert_ordered(mixed, F.col("seq"), F.lit("f"))
+    assert quality.order_violations(df, down).count() == 19
+
+    for name in ("a", "b"):
+        df.write.option("header", "true").csv(str(tmp_path / name))
+    paths = lambda *names: spark.createDataFrame([(str(tmp_path / n),) for n in names], "path string")
+    assert tables.read_listed_prices(spark, paths("a", "a")).count() == 20
+    with pytest.raises(ValueError, match="duplicate"):
+        tables.read_listed_prices(spark, paths("a", "b"))
+    with pytest.raises(ValueError, match="no file"):
+        tables.read_listed_prices(spark, paths())
+    for version in ("v1", "v 2"):
+        tables.write_version(df, str(tmp_path / "t"), version)
+    assert tables.latest_version(spark, str(tmp_path / "t"), "v 2") == "v 2" and tables.latest_version(spark, str(tmp_path / "t")) == "v1"
+    for hint in ("v3", None):
+        with pytest.raises(ValueError, match="no version"):
+            tables.latest_version(spark, str(tmp_path / ("t" if hint else "none")), hint)
+
+    # an importance that follows a known model: only return_1d matters
+    rows = df.select("ticker", "date", *[F.rand(k).alias(c) for k, c in enumerate(PRICE_FEATURES)]).withColumn("target_forward_return", F.col("return_1d") * 2)
+    got = importance.model_importance(rows, lambda x: x.withColumn("y_pred", F.col("return_1d") * 2), PRICE_FEATURES, ["ticker", "date"], n_repeats=2).collect()
+    assert got[0]["feature"] == "return_1d" and got[0]["importance"] > 0.1 and all(r["importance"] == 0 for r in got[1:])
+    assert modeling.fit_regressor(rows, rows).stages[-1].getNumTrees <= 20
+
+
+def test_asof_over_months(spark):
+    """The last row of months before is carried, over empty months, ties and nulls."""
+    from panelflow.functions.columns import latest_as_of
+
+    day = dt.date
+    right = spark.createDataFrame([("a", day(2024, 1, 5), 1), ("a", day(2024, 1, 20), 2), ("a", day(2024, 6, 1), 3), ("b", day(2024, 3, 1), 4), (None, day(2024, 1, 1), 5), ("a", None, 9)], "k string, at date, v int")
+    asked = [("a", day(2024, 1, 4), None), ("a", day(2024, 1, 5), 1), ("a", day(2024, 1, 31), 2), ("a", day(2024, 5, 31), 2), ("a", day(2024, 6, 1), 3), ("a", day(2030, 1, 1), 3), ("b", day(2024, 2, 29), None), (None, day(2025, 1, 1), 5), ("c", day(2025, 1, 1), None), ("a", None, None)]
+    left = spark.createDataFrame(asked, "k string, d date, want int")
+    got = latest_as_of(left, right, ["k"], "d", "at", ["v"]).collect()
+    assert len(got) == len(asked) and all(r["v"] == r["want"] for r in got)
