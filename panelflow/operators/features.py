@@ -72,22 +72,32 @@ def _blocks(df: DataFrame, rows: int, before: int, after: int) -> DataFrame:
     return df.withColumn("_own", F.floor((F.col("_pos") - 1) / rows) == F.col("_block"))
 
 
+def _padded_by_year(df: DataFrame) -> DataFrame:
+    """df with _price, adjusted_close padded forward, by years of an entity: a row a year carries the last value on."""
+    df = df.withColumn("_year", F.year("date"))
+    p = F.col("adjusted_close")
+    ends = df.groupBy("ticker", "_year").agg(F.max_by(p, F.when(p.isNotNull(), F.col("date"))).alias("_end"))
+    earlier = Window.partitionBy("ticker").orderBy("_year").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("ticker", "_year", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    inside = Window.partitionBy("ticker", "_year").orderBy("date")
+    return df.join(ends, ["ticker", "_year"]).withColumn("_price", F.coalesce(pad_forward(p, inside), "_carried")).drop("_year", "_carried")
+
+
 def price_features(df: DataFrame, lookback: int = 21, horizon: int = 1, date_range: tuple[str | None, str | None] | None = None, pad: bool = False, halo_rows: int | None = None) -> DataFrame:
     """(ticker, date, features, target); the first `lookback` rows of an entity and rows without target are dropped.
 
     pad: take returns over prices padded forward. halo_rows: cut long series into blocks of so many rows (at least
-    `lookback` and `horizon`) for parallelism beyond the number of entities; results are the same, except that pad
-    looks back one block only.
+    `lookback` and `horizon`) for parallelism beyond the number of entities; results are the same.
     """
     if halo_rows is not None:
         if halo_rows < max(lookback, horizon):
             raise ValueError("blocks must hold a window")
+        df = _padded_by_year(df) if pad else df.withColumn("_price", F.col("adjusted_close"))
         df, w = _blocks(df, halo_rows, 2 * lookback, horizon), by_entity("_block")
     else:
         w = by_entity()
-        df = df.withColumn("_pos", F.row_number().over(w)).withColumn("_own", F.lit(True))
-    price = pad_forward(F.col("adjusted_close"), w) if pad else F.col("adjusted_close")
-    df = df.withColumn("_price", price)
+        price = pad_forward(F.col("adjusted_close"), w) if pad else F.col("adjusted_close")
+        df = df.withColumn("_price", price).withColumn("_pos", F.row_number().over(w)).withColumn("_own", F.lit(True))
     p = F.col("_price")
     df = df.select(
         "ticker", "date", "_pos", "_own", *(["_block"] if halo_rows is not None else []),

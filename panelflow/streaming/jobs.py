@@ -12,34 +12,25 @@ from panelflow.schemas import PRICES
 
 
 def history(spark: SparkSession, out_dir: str) -> DataFrame:
-    """The newest snapshot that stream_prices has written; empty before the first."""
+    """The merged history of what stream_prices has written, a key's row from the last batch that has it; empty before the first."""
     try:
         batches = spark.read.parquet(out_dir)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         return spark.createDataFrame([], PRICES)
-    newest = batches.agg(F.max("batch")).first()[0]
-    return batches.where(F.col("batch") == newest).select(*PRICES.fieldNames())
+    return merge_history(spark.createDataFrame([], PRICES), batches, seq=F.col("batch"))
 
 
 def stream_prices(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, files_per_batch: int = 1) -> StreamingQuery:
     """Merge landed (ticker, payload) JSON lines into the history, as merge_history does batch by batch.
 
-    Each batch writes a snapshot under its own number, from the snapshot before it; a batch that runs again overwrites its
-    own. Files are taken in the order they landed.
+    Each batch writes its own rows under its own number, so its work doesn't grow with the history; a batch that runs again
+    overwrites its own, and `history` merges what is there. Files are taken in the order they landed.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        try:
-            before = spark.read.parquet(out_dir).where(F.col("batch") < number)
-            last = before.agg(F.max("batch")).first()[0]
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            last = None
-        existing = spark.createDataFrame([], PRICES) if last is None else before.where(F.col("batch") == last).select(*PRICES.fieldNames())
-        merge_history(existing, flatten_daily_prices(batch)).write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
+        merge_history(spark.createDataFrame([], PRICES), flatten_daily_prices(batch)).write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
 
     raw = spark.readStream.schema("ticker string, payload string").option("maxFilesPerTrigger", files_per_batch).json(in_dir)
     return raw.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -53,8 +44,15 @@ def stream_scoring(spark: SparkSession, requests_dir: str, features: DataFrame,
     """
 
     def score(batch: DataFrame, number: int) -> None:
-        score_requests(batch, features, columns, prediction).write.mode("overwrite").parquet(f"{out_dir}/scores/batch={number}")
-        unknown_tickers(batch, features).write.mode("overwrite").parquet(f"{out_dir}/rejects/batch={number}")
+        batch = batch.persist()  # read three times
+        try:
+            # of the feature table, rows that the batch can meet: its tickers, up to its last day
+            asked = batch.groupBy(F.upper(F.trim("ticker")).alias("_asked")).agg(F.max("as_of").alias("_last"))
+            near = (F.upper(F.trim(features["ticker"])) == F.col("_asked")) & (features["date"] <= F.col("_last"))
+            score_requests(batch, features.join(asked, near, "left_semi"), columns, prediction).write.mode("overwrite").parquet(f"{out_dir}/scores/batch={number}")
+            unknown_tickers(batch, features).write.mode("overwrite").parquet(f"{out_dir}/rejects/batch={number}")
+        finally:
+            batch.unpersist()
 
     raw = spark.readStream.schema("request_id string, ticker string, as_of date, ts timestamp").json(requests_dir)
     once = raw.withWatermark("ts", late).dropDuplicatesWithinWatermark(["request_id"])

@@ -37,6 +37,17 @@ def test_blocks_give_the_same_features(spark, trend):
         features.price_features(df, halo_rows=3)
 
 
+def test_blocks_pad_over_gaps_of_any_length(spark, trend):
+    df = trend(500).withColumn("adjusted_close", F.when(~F.dayofyear("date").between(20, 110) & (F.dayofyear("date") < 330), F.col("close") + F.sin(F.col("close"))))
+    df = df.unionByName(trend(40, "MSFT").withColumn("adjusted_close", F.lit(None).cast("double")))
+    whole, blocks = (sorted(map(tuple, features.price_features(df, lookback=5, pad=True, halo_rows=h).collect()), key=str) for h in (None, 10))
+    assert whole == blocks and len(whole) > 200
+    # the first price after a gap of two months, which spans blocks and years, against the last one before it
+    got = {(r["ticker"], r["date"]): r["return_1d"] for r in features.price_features(df, lookback=5, pad=True, halo_rows=10).collect()}
+    now, was = (100 + i / 2 + math.sin(100 + i / 2) for i in (366, 328))
+    assert got["AAPL", D(2025, 1, 1)] == pytest.approx(now / was - 1, abs=1e-9)
+
+
 def test_future_prices_do_not_change_past_features(trend):
     df = trend(40)
     changed = df.withColumn("adjusted_close", F.when(F.col("date") > D(2024, 2, 5), F.col("adjusted_close") * 3).otherwise(F.col("adjusted_close")))
@@ -308,6 +319,8 @@ def test_stream_replays_merges(spark, tmp_path):
         jobs.stream_prices(spark, landed, out, state).awaitTermination()
     got = {r["date"].day: r["close"] for r in jobs.history(spark, out).collect()}
     assert got == {1: 10.0, 2: 11.0, 3: 11.0}
+    # a batch holds its own rows only
+    assert {r["batch"]: r["count"] for r in spark.read.parquet(out).groupBy("batch").count().collect()} == {0: 2, 1: 2}
 
 
 def test_stream_scoring(spark, tmp_path):
