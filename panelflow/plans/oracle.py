@@ -71,6 +71,21 @@ preds AS (SELECT ticker, y_true, y_pred, model_name, fold_id FROM (
     )
 
 
+def _least_squares(rows: str) -> str:
+    """Least squares of `rows` (with a fold_id), one fit a fold: sums of products, then one elimination step a recursion. The last table is `coefficients`."""
+    width = len(_COLUMNS)  # the intercept and the features; one more for the target
+    values = ", ".join(f"coalesce({c}, 0)" for c in _COLUMNS[:-1])
+    return f""",
+x AS (SELECT fold_id, [1.0, {values}, {_COLUMNS[-1]}] AS v FROM {rows} WHERE {_COLUMNS[-1]} IS NOT NULL),
+sums AS (SELECT fold_id, i, j, sum(v[i] * v[j]) AS s FROM x, range(1, {width + 1}) t(i), range(1, {width + 2}) u(j) GROUP BY ALL),
+matrix AS (SELECT fold_id, list(r ORDER BY i) AS m FROM (SELECT fold_id, i, list(s ORDER BY j) AS r FROM sums GROUP BY fold_id, i) GROUP BY fold_id),
+steps AS (SELECT fold_id, 1 AS k, m FROM matrix UNION ALL
+  SELECT fold_id, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda a: a / r[k]) ELSE list_transform(r, lambda a, j: a - r[k] * m[k][j] / m[k][k]) END) FROM steps WHERE k <= {width}),
+coefficients AS (SELECT fold_id, list_transform(m, lambda r: r[{width + 1}]) AS c FROM steps WHERE k = {width + 1})"""
+
+
+_LINEAR = "list_dot_product(c, [1.0, " + ", ".join(f"coalesce({c}, 0)" for c in _COLUMNS[:-1]) + "])"
+
 _ONE_PER_DATE = "(SELECT * FROM features WHERE split = 'test' QUALIFY row_number() OVER (PARTITION BY date ORDER BY ticker) = 1)"
 _LONG = "SELECT {ids}, unnest(['mse', 'rmse', 'mae', 'r2', 'directional_accuracy', 'ic']) AS metric, unnest([mse, rmse, mae, r2, directional_accuracy, ic]) AS value FROM metrics"
 _AGGREGATE = (
@@ -198,3 +213,9 @@ ORACLE_SQL: dict[str, str] = {
     "prediction_sink": f"WITH {_preds()} SELECT model_name, count(*) AS rows FROM preds GROUP BY model_name",
 }
 ORACLE_SQL["walk_pooled"] = f"WITH {_walk().replace('metrics AS (', 'fold_metrics AS (')}, {_metrics('model_name')} {_show(5, 'model_name')}"
+ORACLE_SQL["ols_full"] = f"""WITH RECURSIVE {_FEATURES}{_least_squares("(SELECT *, -1 AS fold_id FROM features WHERE split = 'train')")}
+SELECT ticker, date AS asof_date, date + 1 AS target_date, round(target_forward_return, 8) + 0.0 AS y_true, round({_LINEAR}, 8) + 0.0 AS y_pred, 'simple_ml' AS model_name, CAST(-1 AS INTEGER) AS fold_id
+FROM features, coefficients WHERE split = 'test'"""
+ORACLE_SQL["walk_ols"] = f"""WITH RECURSIVE {_walk().replace("preds AS (", "plain AS (").replace("FROM preds", "FROM fitted").replace("metrics AS (", _least_squares("(SELECT features.*, fold_id FROM features JOIN folds ON date <= train_end WHERE split IN ('train', 'test'))").lstrip(", ") + """,
+fitted AS (SELECT fold_id, 'simple_ml' AS model_name, target_forward_return AS y_true, """ + _LINEAR + """ AS y_pred FROM test JOIN windows USING (date) JOIN coefficients USING (fold_id)),
+metrics AS (""")} {_show(6, "fold_id, model_name")}"""
