@@ -219,3 +219,10 @@ FROM features, coefficients WHERE split = 'test'"""
 ORACLE_SQL["walk_ols"] = f"""WITH RECURSIVE {_walk().replace("preds AS (", "plain AS (").replace("FROM preds", "FROM fitted").replace("metrics AS (", _least_squares("(SELECT features.*, fold_id FROM features JOIN folds ON date <= train_end WHERE split IN ('train', 'test'))").lstrip(", ") + """,
 fitted AS (SELECT fold_id, 'simple_ml' AS model_name, target_forward_return AS y_true, """ + _LINEAR + """ AS y_pred FROM test JOIN windows USING (date) JOIN coefficients USING (fold_id)),
 metrics AS (""")} {_show(6, "fold_id, model_name")}"""
+# one-hot tickers and an intercept leave what deviations from each ticker's means leave
+_SHIFTED = ", ".join(f"coalesce(f.{c}, 0) - t.{c} AS {c}" for c in _COLUMNS[:-1])
+ORACLE_SQL["regressor_metrics"] = f"""WITH RECURSIVE {_FEATURES},
+means AS (SELECT ticker, {", ".join(f"avg(coalesce({c}, 0)) AS {c}" for c in _COLUMNS)} FROM features WHERE split = 'train' GROUP BY ticker),
+shifted AS (SELECT -1 AS fold_id, split, f.ticker, t.{_COLUMNS[-1]} AS level, f.{_COLUMNS[-1]} AS y_true, {_SHIFTED}, f.{_COLUMNS[-1]} - t.{_COLUMNS[-1]} AS {_COLUMNS[-1]} FROM features f JOIN means t USING (ticker)){_least_squares("(SELECT * FROM shifted WHERE split = 'train')")},
+preds AS (SELECT 'regressor' AS model_name, y_true, level + {_LINEAR} AS y_pred FROM shifted, coefficients WHERE split = 'val'),{_metrics("model_name")}
+{_show(6, "model_name")}"""

@@ -36,6 +36,19 @@ def test_query_equals_sql(spark, name):
     assert _rows(pd.DataFrame(df.collect(), columns=df.columns)) == _rows(want)
 
 
+def test_linear_regressor_is_near_its_sql(spark):
+    """Collinear columns leave the solver's eighth digit open on tables as small as these."""
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    cur = con.execute(registry.ORACLE_SQL["regressor_metrics"])
+    want = dict(zip([c[0] for c in cur.description], cur.fetchone(), strict=True))
+    (got,) = registry.QUERIES["regressor_metrics"](spark, SF).collect()
+    assert got["n_samples"] == want["n_samples"]
+    for k in ("mse", "rmse", "mae", "r2", "directional_accuracy", "ic"):
+        assert got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-6)
+
+
 @pytest.mark.parametrize("name", ["sentiment_join_all", "sentiment_asof_all"])
 def test_sentiment_of_all_news_reaches_prices(spark, name):
     test_query_equals_sql(spark, name)
