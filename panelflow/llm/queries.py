@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.llm import html_extract, jaccard, langid, lm_score, mixing, packing, quality, suffix_dedup, topk, toxicity
+from panelflow.llm import centroids, html_extract, jaccard, langid, lm_score, mixing, packing, quality, ranked_search, suffix_dedup, token_counts, topk, toxicity
 from panelflow.llm.common import learn_fold
 
 
@@ -67,6 +67,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), token_counts.public_vocabulary("byte_bpe_50k.json"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_jaccard_join": op2_jaccard_join,
@@ -78,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_html_extract": op9_html_extract,
     "op10_packing": op10_packing,
+    "op11_centroids": op11_centroids,
+    "op12_token_counts": op12_token_counts,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -87,4 +103,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_source_mix": mixing.ORACLE_SQL,
     "op8_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op10_packing": packing.oracle_sql(),
+    "op11_centroids": centroids.oracle_sql(),
+    "op13_ranked_search": ranked_search.ORACLE_SQL,
 }
