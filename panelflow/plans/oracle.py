@@ -226,3 +226,15 @@ means AS (SELECT ticker, {", ".join(f"avg(coalesce({c}, 0)) AS {c}" for c in _CO
 shifted AS (SELECT -1 AS fold_id, split, f.ticker, t.{_COLUMNS[-1]} AS level, f.{_COLUMNS[-1]} AS y_true, {_SHIFTED}, f.{_COLUMNS[-1]} - t.{_COLUMNS[-1]} AS {_COLUMNS[-1]} FROM features f JOIN means t USING (ticker)){_least_squares("(SELECT * FROM shifted WHERE split = 'train')")},
 preds AS (SELECT 'regressor' AS model_name, y_true, level + {_LINEAR} AS y_pred FROM shifted, coefficients WHERE split = 'val'),{_metrics("model_name")}
 {_show(6, "model_name")}"""
+ORACLE_SQL["stream_rejects"] = f"""WITH {_FEATURES},
+r AS (SELECT CAST(o_orderkey AS VARCHAR) AS request_id, 'brand#' || CAST(o_custkey % 28 AS VARCHAR) AS ticker, CAST(o_orderdate AS DATE) AS as_of, CAST(o_orderdate AS TIMESTAMP) AS ts,
+  CASE WHEN o_orderkey % 10 = 0 THEN 2 WHEN CAST(o_orderdate AS DATE) < DATE '1996-01-01' THEN 0 ELSE 1 END AS part FROM orders),
+once AS (SELECT DISTINCT * FROM r),
+marks AS (SELECT k AS part, (SELECT max(ts) FROM r WHERE part < k) - INTERVAL 200 DAY AS mark FROM range(3) t(k)),
+known AS (SELECT 0 AS part, lower(ticker) AS ticker, date, return_1d, volatility_5d FROM features WHERE date < DATE '1996-01-01' OR day(date) <> 15
+  UNION ALL SELECT k, lower(ticker), date, CASE WHEN day(date) = 15 THEN 2 * return_1d ELSE return_1d END, volatility_5d FROM features, range(1, 3) t(k)),
+judged AS (SELECT once.*, CASE WHEN ts < mark THEN 'late' WHEN ticker NOT IN (SELECT ticker FROM known) THEN 'unknown' END AS bad FROM once JOIN marks USING (part)),
+scored AS (SELECT j.request_id, j.bad, f.date AS feature_date, 0.5 * return_1d - 0.1 * volatility_5d AS p FROM judged j ASOF LEFT JOIN known f ON j.part = f.part AND j.ticker = f.ticker AND j.as_of >= f.date)
+SELECT request_id, CASE WHEN bad IS NULL THEN 'scores' ELSE 'rejects' END AS sink, coalesce(bad, CASE WHEN feature_date IS NULL THEN 'no_features' ELSE 'ok' END) AS status,
+  CASE WHEN bad IS NULL THEN feature_date END AS feature_date, CASE WHEN bad IS NULL THEN round(round(p, 6), 5) END AS prediction,
+  CASE WHEN bad IS NULL THEN round(round(0.5 + 0.5 * (1 - least(1, abs(p))), 4), 3) END AS confidence FROM scored"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from panelflow.plans import panel
 from panelflow.schemas import PRICE_FEATURES, TARGET
 from panelflow.session import materialize, scratch_path
 from panelflow.sources import tables
-from panelflow.streaming import jobs
+from panelflow.streaming import jobs, scoring
 
 FOLD, STEP, MIN_TRAIN = 63, 63, 60
 _FLOATS = 8
@@ -533,3 +535,18 @@ def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/scores").select("request_id", "feature_date", round_digits(F.col("prediction"), 5).alias("prediction"), round_digits(F.col("confidence"), 3).alias("confidence"), "status")
 
 
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests in three deliveries, each sent twice, the last one mostly late; features arrive in part and are revised by the stream."""
+    landed, updates, out, state = (scratch_path(spark, f"answers-{x}") for x in ("in", "updates", "out", "state"))
+    first, columns = F.lit("1996-01-01").cast("date"), ["return_1d", "volatility_5d"]
+    r = panel.requests(spark, sf_dir)
+    part = F.when(F.col("request_id").cast("long") % 10 == 0, 2).when(F.col("as_of") < first, 0).otherwise(1)
+    r = materialize(r.unionByName(r).withColumn("part", part), "requests")
+    df = materialize(panel.feature_table(spark, sf_dir).select("ticker", "date", *columns), "features")
+    revised = df.where("dayofmonth(date) = 15").withColumn("return_1d", 2 * F.col("return_1d"))
+    for k in range(3):  # a delivery is a file, so that a batch takes one of each
+        r.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").json(landed)
+    for rows in (df.where((F.col("date") >= first) & (F.dayofmonth("date") != 15)), revised):
+        rows.coalesce(1).write.mode("append").json(updates)
+    scoring.score_stream(spark, landed, updates, df.where(F.col("date") < first), columns, 0.5 * F.col("return_1d") - 0.1 * F.col("volatility_5d"), out, state, late=dt.timedelta(days=200)).awaitTermination()
+    return scoring.scores(spark, out).select("request_id", "sink", "status", "feature_date", round_digits(F.col("prediction"), 5).alias("prediction"), round_digits(F.col("confidence"), 3).alias("confidence"))
