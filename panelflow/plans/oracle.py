@@ -238,3 +238,14 @@ scored AS (SELECT j.request_id, j.bad, f.date AS feature_date, 0.5 * return_1d -
 SELECT request_id, CASE WHEN bad IS NULL THEN 'scores' ELSE 'rejects' END AS sink, coalesce(bad, CASE WHEN feature_date IS NULL THEN 'no_features' ELSE 'ok' END) AS status,
   CASE WHEN bad IS NULL THEN feature_date END AS feature_date, CASE WHEN bad IS NULL THEN round(round(p, 6), 5) END AS prediction,
   CASE WHEN bad IS NULL THEN round(round(0.5 + 0.5 * (1 - least(1, abs(p))), 4), 3) END AS confidence FROM scored"""
+_PARTS = _PRICES + ", parts AS (SELECT *, CASE WHEN length(ticker) < 8 THEN '0' ELSE substr(ticker, 8, 1) END AS part FROM prices)"
+_SPAN = "CAST(count(*) AS BIGINT) AS rows, min(date) AS date_min, max(date) AS date_max"
+ORACLE_SQL["file_status"] = f"""WITH {_PARTS} SELECT part AS file, count(DISTINCT ticker) AS tickers, {_SPAN},
+  CASE WHEN part IN ('1', '2') THEN 'descending' WHEN part = '5' THEN 'unsorted' WHEN part = '4' AND bool_or(ticker < 'Brand#2') AND bool_or(ticker >= 'Brand#2') THEN 'mixed'
+    WHEN part = '4' AND bool_or(ticker < 'Brand#2') THEN 'descending' ELSE 'ascending' END AS status FROM parts GROUP BY part"""
+ORACLE_SQL["file_manifest"] = f"WITH {_PARTS} SELECT part, {_SPAN}, string_agg(DISTINCT ticker, ',' ORDER BY ticker) AS tickers FROM parts GROUP BY part"
+ORACLE_SQL["repaired_files"] = f"""WITH {_PARTS} SELECT part AS file, {_SPAN}, bool_or(part IN ('1', '2')) AS corrected,
+  CASE WHEN part IS NOT NULL THEN count(*) END AS rows_after, CASE WHEN part IS NOT NULL THEN 'ascending' END AS order_after FROM parts GROUP BY ROLLUP (part)"""
+ORACLE_SQL["rejected_rows"] = f"""WITH {_EVENT_PRICES}, b AS (SELECT *, day(date) AS d, CASE WHEN day(date) % 11 = 0 THEN 'a day' ELSE CAST(date AS VARCHAR) END AS t FROM ep),
+j AS (SELECT *, CASE WHEN d % 7 = 0 THEN 'fields' ELSE concat_ws(',', CASE WHEN d % 11 = 0 THEN 'date' END, CASE WHEN d % 9 = 0 THEN 'volume' END) END AS reasons FROM b)
+SELECT CASE reasons WHEN '' THEN 'row' ELSE 'reject' END AS kind, ticker, t AS date, CASE reasons WHEN '' THEN round(close, 6) END AS close, CASE WHEN reasons = '' AND d % 5 <> 0 THEN volume END AS volume, reasons FROM j"""

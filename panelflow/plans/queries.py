@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelflow.functions.columns import number, round_digits
-from panelflow.operators import baselines, encoders, features, importance, ingest, metrics, modeling, quality, reporting, sentiment, serving, splits, walkforward
+from panelflow.operators import baselines, encoders, features, files, importance, ingest, metrics, modeling, quality, reporting, sentiment, serving, splits, walkforward
 from panelflow.plans import panel
 from panelflow.schemas import PRICE_FEATURES, TARGET
 from panelflow.session import materialize, scratch_path
@@ -509,6 +510,64 @@ def listed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(tables.read_listed_prices(spark, listed), 6)
 
 
+def _part(file: Column) -> Column:
+    return F.regexp_extract(file, "part=([^/]*)", 1)
+
+
+def _price_files(spark: SparkSession, sf_dir: str, straight: bool) -> str:
+    """Brand prices as CSV files, one for each second digit of a brand: 1 and 2 descend, others ascend; unless straight, 4 is mixed and 5 in no order."""
+    path = scratch_path(spark, "price-files")
+    day, part = F.unix_date("date"), F.when(F.length("ticker") < 8, "0").otherwise(F.substring("ticker", 8, 1))
+    seq = F.when(part.isin("1", "2"), -day)
+    if not straight:
+        seq = seq.when((part == "4") & (F.col("ticker") < "Brand#2"), -day).when(part == "5", F.xxhash64("date"))
+    rows = panel.prices(spark, sf_dir).withColumn("part", part).withColumn("seq", seq.otherwise(day))
+    rows.repartition("part").sortWithinPartitions("part", "ticker", "seq").drop("seq").write.partitionBy("part").option("header", "true").csv(path)
+    return path
+
+
+def file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In which order real files lie, from summaries of their splits."""
+    orders = files.file_orders(files.file_summaries(tables.scan_prices(spark, _price_files(spark, sf_dir, straight=False))[0]))
+    return orders.withColumn("file", _part(F.col("file")))
+
+
+def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files.files_manifest(files.file_summaries(tables.scan_prices(spark, _price_files(spark, sf_dir, straight=False))[0]))
+    return rows.withColumn("part", _part(F.col("part")))
+
+
+def repaired_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files checked, and descending ones written anew: the summary, and the order of what has been written."""
+    out = scratch_path(spark, "repaired")
+    summary = files.validate_files(spark, _price_files(spark, sf_dir, straight=True), out, name=_part)
+    written = files.file_orders(files.file_summaries(tables.scan_prices(spark, out, "parquet")[0]))
+    after = written.groupBy(F.regexp_extract("file", "name=([^/]*)", 1).alias("of")).agg(F.sum("rows").alias("rows_after"), F.array_join(F.collect_set("status"), ",").alias("order_after"))
+    return summary.join(after, F.col("file") == F.col("of"), "left").drop("of")
+
+
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event prices from CSV files with broken rows: what can be read, and what can't with the reasons."""
+    path = scratch_path(spark, "broken")
+    day = F.dayofmonth("date")
+    rows = panel.event_prices(spark, sf_dir).select("ticker", F.when(day % 11 == 0, "a day").otherwise(F.col("date").cast("string")).alias("date"), *[F.col(c).cast("string").alias(c) for c in ("open", "high", "low", "close", "adjusted_close")], F.when(day % 9 == 0, "n/a").when(day % 5 != 0, F.col("volume").cast("string")).alias("volume"), day.alias("day"))
+    rows = materialize(rows, "broken-rows")
+    rows.where("day % 7 <> 0").drop("day").write.option("header", "true").csv(path)
+    names = ",".join(rows.columns[:-1])
+    short = rows.where("day % 7 = 0").select(F.concat_ws(",", "ticker", "date", "open").alias("line"))
+
+    def with_header(batches):  # noqa: ANN001, ANN202
+        for k, pdf in enumerate(batches):
+            yield pd.concat([pd.DataFrame({"line": [names]}), pdf]) if k == 0 else pdf
+
+    short.mapInPandas(with_header, "line string").write.mode("append").text(path)
+    good, bad = tables.scan_prices(spark, path)
+    read = good.select(F.lit("row").alias("kind"), "ticker", F.col("date").cast("string").alias("date"), "close", "volume", F.lit("").alias("reasons"))
+    field = F.split("record", ",")
+    rest = bad.select(F.lit("reject").alias("kind"), field[0].alias("ticker"), field[1].alias("date"), F.lit(None).cast("double").alias("close"), F.lit(None).cast("long").alias("volume"), F.array_join("reasons", ",").alias("reasons"))
+    return _rounded(read.unionByName(rest), 6)
+
+
 def split_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "splits")
     panel.feature_table(spark, sf_dir).select("ticker", "date", "split").write.parquet(path)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelflow.operators.quality import assert_panel
-from panelflow.schemas import PRICES
+from panelflow.schemas import KEY, PRICES
+
+_BAD = "_corrupt_record"
 
 
 def read_prices(spark: SparkSession, paths: str | list[str], fmt: str = "parquet") -> DataFrame:
@@ -17,6 +20,32 @@ def read_prices(spark: SparkSession, paths: str | list[str], fmt: str = "parquet
     return spark.read.schema(PRICES).format(fmt).load(paths)
 
 
+def scan_prices(spark: SparkSession, paths: str | list[str], fmt: str = "csv") -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of price files: no row is lost. rows have the panel's schema and `_metadata`; rejects are (file, place, record, reasons).
+
+    A row is rejected if its number of fields isn't the header's (reason `fields`), if ticker or date is missing, or if a
+    field that is there is no value of its column's kind (reasons name the columns). place is where the row's split begins in the
+    file. A header that lacks a column, or another format than csv, has null there or no bad fields.
+    """
+    if fmt == "csv":
+        names = spark.read.option("header", "true").csv(paths).columns
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(_BAD, T.StringType())])
+        raw = spark.read.schema(schema).option("header", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).csv(paths)
+        text = {f.name: F.nullif(F.trim(F.col(f.name)), F.lit("")) if f.name in names else F.lit(None).cast("string") for f in PRICES.fields}
+        kept = F.coalesce(F.col(_BAD), F.concat_ws(",", *[F.coalesce(F.col(n), F.lit("")) for n in names]))
+    else:
+        raw = spark.read.format(fmt).load(paths)
+        text = {f.name: F.col(f.name).cast("string") if f.name in raw.columns else F.lit(None).cast("string") for f in PRICES.fields}
+        raw = raw.withColumn(_BAD, F.lit(None).cast("string"))
+        kept = F.to_json(F.struct(*raw.columns))
+    value = {f.name: F.try_to_date(text[f.name], "yyyy-MM-dd") if f.name == "date" else text[f.name].try_cast(f.dataType) for f in PRICES.fields}
+    wrong = [F.when(F.col(_BAD).isNotNull(), F.lit("fields"))]
+    wrong += [F.when(F.col(_BAD).isNull() & (value[n].isNull() & (text[n].isNotNull() if n not in KEY else F.lit(True))), F.lit(n)) for n in PRICES.names]
+    both = raw.select("_metadata", kept.alias("record"), F.array_compact(F.array(*wrong)).alias("reasons"), *[value[n].alias(n) for n in PRICES.names])
+    rejects = both.where("size(reasons) > 0").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("place"), "record", "reasons")
+    return both.where("size(reasons) = 0").select(*PRICES.names, "_metadata"), rejects
+
+
 def read_listed_prices(spark: SparkSession, manifest: DataFrame, fmt: str = "csv") -> DataFrame:
     """Prices from the files that a manifest (path) lists, and no others; an empty list and keys that occur twice raise.
 
