@@ -8,10 +8,11 @@ blocks in its containers that are the same on half of the pages, and on SUPPORT
 the host has. What a page has besides the template is its text, never an article's own repeated lines.
 
 The standard's elements and roles say what is left out everywhere: menus, headers, footers, sidebars, forms, scripts,
-styles. Names only break ties among what the template leaves: containers whose class or id names a notice, an advert or
-reader comments are left out, but where nearly all that a page has is in a container that is named so (`share-prices`,
-`promotion`), it counts as text; and where article and main elements hold at least half of what remains, all of them
-together are the page's text, and what is outside them is left out.
+styles. Besides the template, names of classes and ids decide: containers that name a notice, an advert or reader comments are
+left out, but where nearly all that a page has is in a container that is named so (`share-prices`, `promotion`), it counts as
+text, and no name leaves a page without text that it has elsewhere than in its comments (`has-sidebar`, `nav-open`). Where article
+and main elements hold at least half of what remains, all of them together are the page's text, and what is outside them
+is left out.
 
 Edge cases: null html counts as empty and gives the empty text; a null url belongs to the host ''. Unclosed elements end
 where their parent ends, unknown ones are plain containers; of an unclosed element with raw text only the tag is ignored,
@@ -47,7 +48,7 @@ LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search f
 CONTAINERS = frozenset("html body main article section div table tbody tr td center".split())
 BLOCKS = CONTAINERS | LEFT_OUT | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote address figure figcaption hr thead tfoot th caption fieldset legend details summary".split())
 CLOSES_P = BLOCKS - {"tr", "td", "tbody", "thead", "tfoot", "th", "caption"}
-#: Words of a class or id that name what isn't the article; those of the first list do so even where a page has little else.
+#: Words of a class or id that name what isn't the article; those of the first list do so even where a page has little else, unless it has nothing else.
 NEVER_WORDS = frozenset("cookie cookies consent gdpr menu nav navbar navigation breadcrumb breadcrumbs sidebar comment comments respond disqus login signup pagination pager".split())
 LEFT_OUT_WORDS = NEVER_WORDS | frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner notice notices alert popup modal overlay "
@@ -272,6 +273,12 @@ def extract_page(page: str | None, texts: frozenset[int]) -> str:
         most = max(held, key=held.__getitem__)
         if most > 0 and 2 * held[most] >= total and (not named or any(b[2] for b in own if b[1] == most)):
             chosen = _choose([b for b in own if b[1] in (0, most)])
+    if not chosen and blocks:  # all of the page is in containers named like menus or comments: the largest is no such thing
+        size: dict[int, int] = defaultdict(int)
+        for _, soft, _, text in blocks:
+            size[soft] += len(text)
+        most = max(size, key=size.__getitem__)
+        chosen = _choose([b for b in blocks if b[1] == most])
     return "\n".join(text for *_, text in chosen)
 
 

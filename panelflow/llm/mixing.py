@@ -1,12 +1,13 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame expressions.
 
-Documents of a source are shuffled by a hash of their id and laid end to end, as often as the source may be repeated; this
-tape is cut into blocks of equal token counts, total / slots each (to the word). Points of the golden-ratio sequence, mapped
-through the cumulative target shares, say which source fills each slot of the schedule, and the r-th slot of a source
-takes block r of its tape. So the schedule alone decides what is taken, and when: a document's words count where a slot
-took their block, and its first slot is where training first meets it. With a Fibonacci number of slots the sequence puts
-into every share as many slots as its length asks for, to about one, so a source's words meet its target to about a block. Work
-for a source is split by ranges of the shuffle hash and of slots, so no task holds a source.
+Points of the golden-ratio sequence, mapped through the cumulative target shares, say which source fills each slot of the
+schedule. With a Fibonacci number of slots, the sequence puts into every share as many slots as its length asks for, to
+about one; a source too small for any point gets the one slot at its share's place. Documents of a source are shuffled by
+a hash of their id and laid end to end, as often as the source may be repeated, up to the source's target in whole words;
+this tape is cut into as many blocks of equal token counts (to the word) as the source has slots, and its r-th slot takes block
+r. So what is taken of a source is its target to less than one word, however small the source is, blocks of all sources
+are of about the same size, and a document's first slot is where training first meets it. Work for a source is split by
+ranges of the shuffle hash and of slots, so no task holds a source.
 
 Edge cases: null text has size 0 and is taken 0 times; the null source is a source of its own, last in order; a corpus
 without words has target 0 everywhere; repeated rows are laid out one after another; null ids count as the empty text; very
@@ -24,7 +25,7 @@ from panelflow.llm.common import materialize, words
 
 GOLDEN = 0.6180339887498949
 MAX_EPOCHS = 3
-#: Slots of a schedule, the 26th Fibonacci number: a source's share is met to about one part in as many.
+#: Slots of a schedule, the 26th Fibonacci number; sources smaller than a slot get one each besides.
 SLOTS = 121_393
 #: Ranges of the shuffle hash: 16**3.
 _RANGE_DIGITS = 3
@@ -66,7 +67,7 @@ def golden_point(slot: Column) -> Column:
 
 
 def schedule(targets: DataFrame, slots: int = SLOTS, point: Callable[[Column], Column] = golden_point) -> DataFrame:
-    """(source, rank, slot): the slots that each source fills, ranked within the source from 0."""
+    """(source, rank, slot): the slots that each source fills, ranked within the source from 0; every source with a target has one."""
     spark = targets.sparkSession
     by_code_point = Window.orderBy(F.col("source").asc_nulls_last())
     to = F.sum("target").over(by_code_point.rowsBetween(Window.unboundedPreceding, 0))
@@ -82,7 +83,10 @@ def schedule(targets: DataFrame, slots: int = SLOTS, point: Callable[[Column], C
     ahead = F.sum("n").over(Window.partitionBy("no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("no", "chunk", F.coalesce(ahead, F.lit(0)).alias("ahead"))
     ranked = hit.withColumn("in_chunk", F.row_number().over(Window.partitionBy("no", "chunk").orderBy("slot")) - 1).join(counts, ["no", "chunk"])
-    return ranked.select("no", (F.col("ahead") + F.col("in_chunk")).alias("rank"), "slot").join(shares.select("no", "source"), "no").select("source", "rank", "slot")
+    filled = ranked.select("no", (F.col("ahead") + F.col("in_chunk")).alias("rank"), "slot").join(shares.select("no", "source"), "no").select("source", "rank", "slot")
+    missed = shares.join(hit.select("no").distinct(), "no", "left_anti")
+    place = F.floor((F.col("from") + F.col("to")) / 2 * slots).cast("long")
+    return filled.unionByName(missed.select("source", F.lit(0).cast("long").alias("rank"), place.alias("slot")))
 
 
 def mix_sources(
@@ -93,28 +97,27 @@ def mix_sources(
     placed = materialize(lay_out(documents).withColumn("row", F.monotonically_increasing_id()), "placed")
     sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(target_sizes(sizes, weights, max_epochs), "targets")
-    total = targets.agg(F.sum("source_size")).first()[0] or 0
-    by = targets.select(F.col("source").alias("s2"), "source_size", "target")
-    sized = placed.join(by, F.col("source").eqNullSafe(F.col("s2")), "left")
-    if total:
-        # block b of a tape holds the words from b * total / slots on, rounded down; long sums need decimals
-        kind = "BIGINT" if (max_epochs + 1) * total * slots < 2**62 else "DECIMAL(20,0)"
-        edge = lambda b: F.expr(f"(CAST({b} AS {kind}) * CAST({total} AS {kind})) div CAST({slots} AS {kind})")
-        block = lambda word: F.expr(f"(CAST({word} + 1 AS {kind}) * CAST({slots} AS {kind}) - 1) div CAST({total} AS {kind})")
-        turns = sized.where("size > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
-        turns = turns.select("row", "source", (F.col("turn") * F.col("source_size") + F.col("first")).alias("at"), "size")
-        held = turns.withColumn("b", F.explode(F.sequence(block("at"), block("at + size - 1"))))
-        held = held.select("row", "source", "b", (F.least(edge("b + 1"), F.col("at") + F.col("size")) - F.greatest(edge("b"), F.col("at"))).alias("words"))
-        filled = materialize(schedule(targets, slots, point).select(F.col("source").alias("s"), F.col("rank").alias("r"), "slot"), "schedule")
-        got = held.join(filled, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("r"))).groupBy("row").agg(F.sum("words").alias("words"), F.min("slot").alias("first_slot"))
-    else:
-        got = placed.select("row", F.lit(0).cast("long").alias("words"), F.lit(None).cast("long").alias("first_slot"))
+    filled = materialize(schedule(targets, slots, point), "schedule")
+    counts = filled.groupBy("source").agg(F.count("*").alias("blocks")).select(F.col("source").alias("s1"), "blocks")
+    by = targets.join(counts, F.col("source").eqNullSafe(F.col("s1")), "left").select(F.col("source").alias("s2"), "source_size", "target", F.coalesce("blocks", F.lit(0)).alias("blocks"))
+    sized = placed.join(by, F.col("source").eqNullSafe(F.col("s2")), "left").withColumn("words_to_take", F.floor(F.col("target") + 0.5))
+    # block b of a source holds the words from b * words_to_take / blocks on, rounded down; long products need decimals
+    most = targets.agg(F.max("target")).first()[0] or 0
+    kind = "BIGINT" if (most + 2) * (slots + 1) < 2**62 else "DECIMAL(20,0)"
+    edge = lambda b: F.expr(f"(CAST({b} AS {kind}) * CAST(words_to_take AS {kind})) div CAST(blocks AS {kind})")
+    block = lambda word: F.expr(f"(CAST({word} + 1 AS {kind}) * CAST(blocks AS {kind}) - 1) div CAST(words_to_take AS {kind})")
+    turns = sized.where("size > 0 AND words_to_take > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
+    turns = turns.select("row", "source", (F.col("turn") * F.col("source_size") + F.col("first")).alias("at"), "size", "words_to_take", "blocks").where("at < words_to_take")
+    held = turns.withColumn("b", F.explode(F.sequence(block("at"), block("least(at + size, words_to_take) - 1"))))
+    held = held.select("row", "source", "b", (F.least(edge("b + 1"), F.col("at") + F.col("size")) - F.greatest(edge("b"), F.col("at"))).alias("words"))
+    taken = filled.select(F.col("source").alias("s"), F.col("rank").alias("r"), "slot")
+    got = held.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("r"))).groupBy("row").agg(F.sum("words").alias("words"), F.min("slot").alias("first_slot"))
     got = got.withColumnRenamed("row", "taker")
     out = sized.join(got, F.col("row") == F.col("taker"), "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
-#: Slots by the sequence, ranked within sources; a source's slots take the front of its tape.
+#: Slots by the sequence, ranked within sources; a source's slots take its tape up to its target.
 ORACLE_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
   CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
@@ -128,12 +131,12 @@ t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, CAST(least(cap,
 a AS (SELECT source, target, sum(target) OVER (ORDER BY source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM t WHERE target > 0),
 b AS (SELECT source, (upto - target) / max(upto) OVER () AS lo, upto / max(upto) OVER () AS hi FROM a),
 u AS (SELECT slot, slot * CAST({GOLDEN!r} AS DOUBLE) - floor(slot * CAST({GOLDEN!r} AS DOUBLE)) AS u FROM (SELECT unnest(range({SLOTS})) AS slot)),
-r AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM u JOIN b ON u >= lo AND u < hi),
+h AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM u JOIN b ON u >= lo AND u < hi),
+r AS (SELECT source, slot, rank FROM h UNION ALL SELECT source, CAST(floor((lo + hi) / 2 * {SLOTS}) AS BIGINT), 0 FROM b WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.source IS NOT DISTINCT FROM b.source)),
 c AS (SELECT source, count(*) AS filled FROM r GROUP BY source),
-z AS (SELECT CAST(sum(source_size) AS BIGINT) AS total FROM t),
-j AS (SELECT p.rid, p.doc_id, p.source, p.size, p.first, t.source_size, t.target, (coalesce(filled, 0) * total) // {SLOTS} AS tape,
-    CASE WHEN p.size > 0 THEN ((p.first + 1) * {SLOTS} - 1) // total END AS rank
-  FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN c ON p.source IS NOT DISTINCT FROM c.source CROSS JOIN z)
+j AS (SELECT p.rid, p.doc_id, p.source, p.size, p.first, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS tape,
+    CASE WHEN p.size > 0 AND p.first < floor(t.target + 0.5) THEN ((p.first + 1) * filled - 1) // CAST(floor(t.target + 0.5) AS BIGINT) END AS rank
+  FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN c ON p.source IS NOT DISTINCT FROM c.source)
 SELECT doc_id, size, source_size, round(target, 6) AS target, slot AS first_slot,
   CAST(coalesce(greatest(0, least(tape, first + size) - first) + greatest(0, least(tape, source_size + first + size) - source_size - first)
     + greatest(0, least(tape, 2 * source_size + first + size) - 2 * source_size - first), 0) AS BIGINT) AS taken

@@ -1,24 +1,24 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-Each rule rejects documents by a condition on one feature. On a sample, the share that each rule rejects and the time that
-its features take are measured; rules then run by rejection per cost, and a document that a rule has rejected skips the
-features of all later rules.
+Each rule rejects documents by a condition on one feature. On a sample, the share that each rule rejects and the work that
+its features take are measured, in one job: a feature's work is what it goes through (characters, words, windows) times
+what one of these takes, so an order is the same in each run on the same sample. Rules then run by rejection per cost, and
+a document that a rule has rejected skips the features of all later rules.
 
 Edge cases: a null text counts as empty (no words: rejected as short); repeated rows each get their own row; columns
-other than doc_id and text are ignored here, whatever their names; ties in the order of rules go by name; an empty table
+other than doc_id and text are ignored or carried as they are, whatever their names; ties in the order of rules go by name; an empty table
 gives an empty result; a very long text's words are held as an array, and its five-word windows are sorted, in one task.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.llm.common import SYMBOLS, materialize, words
+from panelflow.llm.common import SYMBOLS, words
 
 WINDOW = 5
 
@@ -86,8 +86,14 @@ FEATURES: dict[str, Callable[[DataFrame, Column | None], DataFrame]] = {
 }
 
 
-def _start(df: DataFrame) -> DataFrame:
-    return _words(df.withColumn("_text", F.coalesce(F.col("text"), F.lit(""))), None)
+def _costs() -> dict[str, Column]:
+    """What adding a feature costs a document, as nanoseconds: measured once on plain prose, by what it goes through."""
+    chars, n = F.length("_text"), F.size("_words")
+    return {"n_words": F.lit(1), "word_chars": 20 * n, "n_symbols": 12 * chars, "n_repeat_words": 160 * n, "n_lines": 8 * chars, "n_dup_lines": F.lit(1), "n_other_chars": 30 * chars}
+
+
+def _start(df: DataFrame, text: str = "text") -> DataFrame:
+    return _words(df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))), None)
 
 
 def _add(df: DataFrame, names: tuple[str, ...], alive: Column | None) -> DataFrame:
@@ -97,54 +103,51 @@ def _add(df: DataFrame, names: tuple[str, ...], alive: Column | None) -> DataFra
     return df
 
 
-def measure_rules(sample: DataFrame, rules: tuple[Rule, ...], runs: int = 2) -> dict[str, tuple[float, float]]:
-    """Of each rule: the share of sample (a table with text) that it rejects, and the seconds that its features take beyond splitting words."""
-
-    def run(rule: Rule | None) -> tuple[float, float]:
-        df = _start(sample) if rule is None else _add(_start(sample), rule.features, None)
-        value = F.avg(F.size("_words")) if rule is None else F.avg(rule.reject().cast("double"))
-        took, share = float("inf"), 0.0
-        for _ in range(runs):
-            start = time.perf_counter()
-            share = df.agg(value).first()[0]
-            took = min(took, time.perf_counter() - start)
-        return share or 0.0, took
-
-    run(None)
-    base = run(None)[1]
-    return {rule.name: (share, max(took - base, 1e-3)) for rule in rules for share, took in [run(rule)]}
+def measure_rules(sample: DataFrame, rules: tuple[Rule, ...]) -> dict[str, tuple[float, float]]:
+    """Of each rule: the share of sample (a table with text) that it rejects, and what its features cost a document, as nanoseconds."""
+    df = _add(_start(sample.select("text")), tuple(dict.fromkeys(f for r in rules for f in r.features)), None)
+    costs = _costs()
+    values = [F.avg(r.reject().cast("double")) for r in rules] + [F.avg(sum((costs[f] for f in r.features), F.lit(1)).cast("double")) for r in rules]
+    got = df.agg(*[v.alias(f"v{i}") for i, v in enumerate(values)]).first()
+    return {r.name: (got[i] or 0.0, got[len(rules) + i] or 1.0) for i, r in enumerate(rules)}
 
 
 def order_rules(documents: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 4000, seed: int = 11) -> list[Rule]:
-    """rules by the share they reject per second, both measured on a sample of about sample_rows documents.
+    """rules by the share they reject per cost, both measured on a sample of about sample_rows documents.
 
     The order changes the work only, never a verdict, as a document is kept if no rule rejects it.
     """
     fraction = min(1.0, sample_rows / max(1, documents.count()))
-    sample = materialize(documents.select("text").sample(fraction=fraction, seed=seed), "sample")
-    got = measure_rules(sample, rules)
+    got = measure_rules(documents.select("text").sample(fraction=fraction, seed=seed), rules)
     return sorted(rules, key=lambda r: (-(got[r.name][0] + 1e-4) / got[r.name][1], r.name))
 
 
-def cascade(documents: DataFrame, rules: list[Rule], columns: list[str]) -> DataFrame:
-    """columns of documents that pass, with `rejected_by`: the first rule in the given order that rejects, or null.
+def _judge(documents: DataFrame, rules: list[Rule]) -> tuple[DataFrame, list[str]]:
+    """documents under the names c0, c1, ..., with `rejected_by`; and these names. No column of documents can clash with a feature.
 
     A feature is computed once it is needed, for documents alive at that point.
     """
-    df = _start(documents.select(*columns)).withColumn("rejected_by", F.lit(None).cast("string"))
+    names = [f"c{i}" for i in range(len(documents.columns))]
+    df = _start(documents.toDF(*names), names[documents.columns.index("text")]).withColumn("rejected_by", F.lit(None).cast("string"))
     for rule in rules:
         alive = F.col("rejected_by").isNull()
         df = _add(df, rule.features, alive)
         df = df.withColumn("rejected_by", F.when(alive & rule.reject(), F.lit(rule.name)).otherwise(F.col("rejected_by")))
-    return df.select(*columns, "rejected_by")
+    return df, names
+
+
+def cascade(documents: DataFrame, rules: list[Rule], columns: list[str], name: str = "rejected_by") -> DataFrame:
+    """columns of documents, and under `name` the first rule in the given order that rejects a document, or null."""
+    df, names = _judge(documents, rules)
+    return df.select(*[names[documents.columns.index(c)] for c in columns], "rejected_by").toDF(*columns, name)
 
 
 def filter_documents(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that no rule rejects, with all their columns."""
-    judged = cascade(documents, order_rules(documents, rules), documents.columns)
+    judged, names = _judge(documents, order_rules(documents, rules))
     # a filter pushed below the cascade would compute every feature inside its condition; the row number keeps it above
-    judged = judged.withColumn("_row", F.monotonically_increasing_id())
-    return judged.where("rejected_by IS NULL AND _row >= 0").select(*documents.columns)
+    judged = judged.withColumn("row", F.monotonically_increasing_id())
+    return judged.where("rejected_by IS NULL AND row >= 0").select(*names).toDF(*documents.columns)
 
 
 def score_documents(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
