@@ -13,7 +13,7 @@ from panelflow.llm.common import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects."""
+    """Documents that no rule rejects. A null text counts as empty and goes; repeated rows, null ids and further columns stay as they are."""
     return quality.filter_documents(docs)
 
 
@@ -34,15 +34,20 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: the words taken, in whole documents, to the nearest."""
-    mixed = mixing.mix_sources(docs).where("size > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    mixed = mixed.where("_times > 0").withColumnRenamed("doc_id", "_id")
-    out = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """Each document as often as the mix takes some of it: a source's words exceed its target by less than a document, and none is lost.
+
+    Documents without a word go; of rows that repeat an id, each counts as often as the most taken of them; the null source is a
+    source like others, and so is the null id an id; an empty table stays empty.
+    """
+    mixed = mixing.mix_sources(docs.select("doc_id", "text", "source")).where("size > 0")
+    mixed = mixed.groupBy(F.col("doc_id").alias("id")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("times")).where("times > 0")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column of docs clashes
+    out = docs.toDF(*names).join(mixed, F.col(names[docs.columns.index("doc_id")]).eqNullSafe(F.col("id")))
+    return out.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*names).toDF(*docs.columns)
 
 
 def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length bucket and batch of each document."""
+    """Length bucket and batch of each document; null and empty texts, repeated rows and null ids are packed each, an empty table gives none."""
     return packing.pack(docs)
 
 

@@ -249,3 +249,29 @@ ORACLE_SQL["repaired_files"] = f"""WITH {_PARTS} SELECT part AS file, {_SPAN}, b
 ORACLE_SQL["rejected_rows"] = f"""WITH {_EVENT_PRICES}, b AS (SELECT *, day(date) AS d, CASE WHEN day(date) % 11 = 0 THEN 'a day' ELSE CAST(date AS VARCHAR) END AS t FROM ep),
 j AS (SELECT *, CASE WHEN d % 7 = 0 THEN 'fields' ELSE concat_ws(',', CASE WHEN d % 11 = 0 THEN 'date' END, CASE WHEN d % 9 = 0 THEN 'volume' END) END AS reasons FROM b)
 SELECT CASE reasons WHEN '' THEN 'row' ELSE 'reject' END AS kind, ticker, t AS date, CASE reasons WHEN '' THEN round(close, 6) END AS close, CASE WHEN reasons = '' AND d % 5 <> 0 THEN volume END AS volume, reasons FROM j"""
+
+
+def _bijection(source: str, seed: int = 42) -> str:
+    """One step of the keyed bijection on a grid of a times b cells: (run, i, x, n, a, b) with a new x."""
+    word = 1 << 32
+    q = f"(SELECT run, i, n, a, b, x // b AS l, x % b AS r FROM {source})"
+    for k in range(4):
+        own, other, side = ("l", "r", "a") if k % 2 == 0 else ("r", "l", "b")
+        key = f"(run * {0x7FEB352D} + {(seed * 0x1000193 + k * 0x27D4EB2F) % word}) % {word}"
+        q = f"(SELECT *, ({other} * {0x9E3779B1} + {key}) % {word} AS y{k} FROM {q})"
+        q = f"(SELECT *, xor(y{k}, y{k} >> 15) * {0x05EBCA77} % {word} AS z{k} FROM {q})"
+        q = f"(SELECT * REPLACE (({own} + xor(z{k}, z{k} >> 13)) % {side} AS {own}) FROM {q})"
+    return f"(SELECT run, i, l * b + r AS x, n, a, b FROM {q})"
+
+
+_WEIGHTED = " + ".join(f"CASE WHEN run // 5 = {k} THEN c[{k + 2}] * (coalesce(g.{c}, 0) - coalesce(e.{c}, 0)) ELSE 0 END" for k, c in enumerate(_COLUMNS[:-1]))
+_NAMES = "[" + ", ".join(f"'{c}'" for c in _COLUMNS[:-1]) + "]"
+ORACLE_SQL["perm_importance"] = f"""WITH RECURSIVE {_FEATURES}{_least_squares("(SELECT *, -1 AS fold_id FROM features WHERE split = 'train')")},
+ev AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY md5(ticker || '|' || CAST(date AS VARCHAR))) - 1 AS num, count(*) OVER () AS n FROM features WHERE split = 'val'),
+sides AS (SELECT DISTINCT n, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS a, CAST(ceil(n / (floor(sqrt(n - 1)) + 1)) AS BIGINT) AS b FROM ev),
+begin AS (SELECT run, i, i AS x, n, a, b FROM sides, range(35) t(run), range((SELECT n FROM sides)) u(i)),
+walk AS (SELECT * FROM {_bijection("begin")} UNION ALL SELECT * FROM {_bijection("(SELECT * FROM walk WHERE x >= n)")}),
+base AS (SELECT *, {_LINEAR} AS p FROM ev, coefficients),
+runs AS (SELECT run, avg((e.p + {_WEIGHTED} - e.target_forward_return) ** 2) - avg((e.p - e.target_forward_return) ** 2) AS rise
+  FROM walk JOIN base e ON e.num = walk.x JOIN ev g ON g.num = walk.i WHERE walk.x < walk.n GROUP BY run)
+SELECT {_NAMES}[run // 5 + 1] AS feature, round(avg(rise), 8) + 0.0 AS importance, round(stddev_pop(rise), 8) + 0.0 AS std FROM runs GROUP BY 1"""

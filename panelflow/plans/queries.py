@@ -324,8 +324,7 @@ def baseline_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = materialize(panel.feature_table(spark, sf_dir), "features")
     c = baselines.fit_ols(df.where("split = 'train'"))
-    effects = {f: F.lit(w) * F.col("v") for f, w in zip(PRICE_FEATURES, c[1:], strict=True)}
-    return importance.permutation_importance(importance.evaluation_split(df), baselines.linear(c), effects, ["ticker", "date"])
+    return _rounded(importance.permutation_importance(importance.evaluation_split(df), baselines.linear(c), PRICE_FEATURES, ["ticker", "date"]))
 
 
 # ------------------------------------------------------------ walk-forward
@@ -390,7 +389,7 @@ def walk_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Permutation importance of the boosted trees on val."""
     df, model = _boosted(spark, sf_dir)
-    return importance.model_importance(importance.evaluation_split(df), lambda rows: modeling.score(model, rows), PRICE_FEATURES, ["ticker", "date"], n_repeats=1)
+    return importance.model_importance(importance.evaluation_split(df), lambda rows: modeling.score(model, rows), PRICE_FEATURES, ["ticker", "date"])
 
 
 def worst_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,7 +202,7 @@ def test_permutation(spark):
     assert sorted(values(dealt)) == sorted(values(df)) and values(dealt) != values(df)
     assert values(dealt) == values(importance.permute(df.repartition(7), "return_1d", ["ticker", "date"], seed=1))
     df = df.withColumn(TARGET, 3 * F.col("return_1d"))
-    got = importance.permutation_importance(df, 3 * F.col("return_1d"), {"return_1d": 3 * F.col("v"), "return_5d": 0 * F.col("v")}, ["ticker", "date"]).collect()
+    got = importance.permutation_importance(df, 3 * F.col("return_1d"), ["return_1d", "return_5d"], ["ticker", "date"]).collect()
     assert got[0]["feature"] == "return_1d" and got[0]["importance"] > 1 and got[1]["importance"] == pytest.approx(0)
     assert importance.evaluation_split(df).count() == 100
 
