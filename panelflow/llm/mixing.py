@@ -27,6 +27,8 @@ GOLDEN = 0.6180339887498949
 MAX_EPOCHS = 3
 #: Slots of a schedule, the 26th Fibonacci number; sources smaller than a slot get one each besides.
 SLOTS = 121_393
+#: Sources up to which their table is broadcast; beyond, adaptive execution splits large sources' join.
+MOST_SOURCES = 100_000
 #: Ranges of the shuffle hash: 16**3.
 _RANGE_DIGITS = 3
 
@@ -100,6 +102,8 @@ def mix_sources(
     filled = materialize(schedule(targets, slots, point), "schedule")
     counts = filled.groupBy("source").agg(F.count("*").alias("blocks")).select(F.col("source").alias("s1"), "blocks")
     by = targets.join(counts, F.col("source").eqNullSafe(F.col("s1")), "left").select(F.col("source").alias("s2"), "source_size", "target", F.coalesce("blocks", F.lit(0)).alias("blocks"))
+    if targets.count() <= MOST_SOURCES:  # so that no source's documents meet in one task
+        by = F.broadcast(by)
     sized = placed.join(by, F.col("source").eqNullSafe(F.col("s2")), "left").withColumn("words_to_take", F.floor(F.col("target") + 0.5))
     # block b of a source holds the words from b * words_to_take / blocks on, rounded down; long products need decimals
     most = targets.agg(F.max("target")).first()[0] or 0

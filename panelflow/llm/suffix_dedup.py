@@ -15,8 +15,9 @@ a run begins. Suffixes that match over LENGTH bytes or more are one interval of
 
 Edge cases: null texts count as empty; texts shorter than LENGTH have no window; rows with a null id neither remove nor
 lose anything; rows that repeat an id don't remove each other's bytes, as their id isn't smaller; overlapping matches
-count; bytes are UTF-8, so a cut may fall inside a character. Texts of any length are read in pieces, whole. Segments and
-minimizers are told apart by 64-bit hashes, segments within their minimizer's shard only.
+count; bytes are UTF-8, so a cut may fall inside a character. Texts of any length are read in pieces, whole. Segments are
+told apart by 128 bits, two hashes of their bytes from different tables, wherever they meet; minimizers by 64, but two that
+agree only share a shard, in which their segments are told apart all the same.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from panelflow.llm.common import _BASE, _BYTE, _INVERSE, _MUL, MOST_KEYS, _power
 LENGTH = 50
 _K = 16
 _LONGEST = 64
+#: The bytes' numbers in the second hash of a segment.
+_CHECK = np.random.Generator(np.random.PCG64(8)).integers(1, 1 << 63, 256, dtype=np.uint64)
 #: Odd factors; one for each doubling of the hashed length.
 _STEP_MUL = list(np.array([1, 3, 7, 13], np.uint64) * _MUL)
 #: Bytes that are hashed at once, and bytes whose segments are put out at once.
@@ -121,15 +124,15 @@ def cut_texts(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, int,
         yield part, a, owner, minimizer, first, windows
 
 
-def _hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
     """64-bit hashes of byte ranges."""
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * _powers(len(raw), _BASE, "up"), dtype=np.uint64)))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[raw] * _powers(len(raw), _BASE, "up"), dtype=np.uint64)))
     return mix((sums[end] - sums[start]) * _powers(len(raw) + 1, _INVERSE, "down")[start] + (end - start).astype(np.uint64))
 
 
-def shared_segments(column: pa.Array, length: int, common: np.ndarray, hot: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Of stretches of the texts in a column: bytes, their place, and of the segments that others may share: text, key, minimizer,
-    whether it is one window of a frequent minimizer, start and end in the stretch."""
+def shared_segments(column: pa.Array, length: int, common: np.ndarray, hot: np.ndarray, key_bits: int = 64) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of stretches of the texts in a column: bytes, their place, and of the segments that others may share: text, key and check (two
+    hashes, the first one cut to key_bits), minimizer, whether it is one window of a frequent minimizer, start and end in the stretch."""
     for part, a, owner, minimizer, first, windows in cut_texts(column, length):
         keep = filter_has(common, minimizer)
         if not keep.any():
@@ -144,7 +147,7 @@ def shared_segments(column: pa.Array, length: int, common: np.ndarray, hot: np.n
             end = start + np.where(single, 1, windows[which]) + length - 1
         else:
             start, end = first, first + windows + length - 1
-        yield part, a, owner, _hashes(part, start, end), minimizer, single, start, end
+        yield part, a, owner, _hashes(part, start, end) >> np.uint64(64 - key_bits), _hashes(part, start, end, _CHECK), minimizer, single, start, end
 
 
 def suffix_order(padded: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -197,11 +200,11 @@ def suffix_order(padded: np.ndarray, left: np.ndarray) -> np.ndarray:
         depth *= 2
 
 
-def _first_of_each(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by key, and where each different key starts in it."""
-    order = np.argsort(key, kind="stable")
-    found = key[order]
-    return order, np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+def _first_of_each(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by key and check, and where each different pair starts in it."""
+    order = np.lexsort((check, key))
+    k, c = key[order], check[order]
+    return order, np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]))))
 
 
 class RunIndex:
@@ -291,8 +294,11 @@ def first_texts(texts: pa.Array, length: int = LENGTH) -> tuple[np.ndarray, np.n
     return which, _ranges(np.zeros(len(size), np.int64), windows), least[interval]
 
 
-def mark_repeats(documents: DataFrame, length: int = LENGTH, name: str = "spans") -> DataFrame:
-    """Every row with all its columns and, named `name`, the byte ranges [start, end) to remove, disjoint and ascending (binary of int64 pairs)."""
+def mark_repeats(documents: DataFrame, length: int = LENGTH, name: str = "spans", key_bits: int = 64) -> DataFrame:
+    """Every row with all its columns and, named `name`, the byte ranges [start, end) to remove, disjoint and ascending (binary of int64 pairs).
+
+    key_bits: bits of a segment's first hash; results don't depend on it, as the second one has 64.
+    """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND octet_length(text) >= " + str(length))
     rows = rows.withColumn("fp", F.xxhash64("text"))
 
@@ -311,18 +317,18 @@ def mark_repeats(documents: DataFrame, length: int = LENGTH, name: str = "spans"
     shards = max(1, -(-(total[1] or 0) // SHARD_SEGMENTS))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def once(key, h, shard, lo, hi, parts):  # noqa: ANN001, ANN202
+        def once(key, check, h, shard, lo, hi, parts):  # noqa: ANN001, ANN202
             """Each segment once, with its least and greatest document."""
-            order, at = _first_of_each(key)
+            order, at = _first_of_each(key, check)
             pick = order[at]
-            return key[pick], h[pick], shard[pick], np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at), [parts[i] for i in pick.tolist()]
+            return key[pick], check[pick], h[pick], shard[pick], np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at), [parts[i] for i in pick.tolist()]
 
-        def batch_of(key, h, shard, lo, hi, parts) -> pa.RecordBatch:  # noqa: ANN001
-            numbers = [pa.array(x.astype(np.int64)) for x in (h, shard, key, lo, hi)]
-            return pa.RecordBatch.from_arrays([*numbers[:3], pa.array(parts, pa.binary()), *numbers[3:]], ["h", "shard", "key", "part", "lo", "hi"])
+        def batch_of(key, check, h, shard, lo, hi, parts) -> pa.RecordBatch:  # noqa: ANN001
+            numbers = [pa.array(x.astype(np.int64)) for x in (h, shard, key, check, lo, hi)]
+            return pa.RecordBatch.from_arrays([*numbers[:4], pa.array(parts, pa.binary()), *numbers[4:]], ["h", "shard", "key", "check", "part", "lo", "hi"])
 
         def joined(found: list):  # noqa: ANN202
-            return [*(np.concatenate([f[i] for f in found]) for i in range(5)), [p for f in found for p in f[5]]]
+            return [*(np.concatenate([f[i] for f in found]) for i in range(6)), [p for f in found for p in f[6]]]
 
         frequent: list = []  # windows of frequent minimizers, added up over this task's batches
         held: list = []
@@ -340,12 +346,12 @@ def mark_repeats(documents: DataFrame, length: int = LENGTH, name: str = "spans"
 
         for batch in batches:
             docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for part, _, owner, key, h, single, start, end in shared_segments(batch.column("text"), length, common.value, hot.value):
+            for part, _, owner, key, check, h, single, start, end in shared_segments(batch.column("text"), length, common.value, hot.value, key_bits):
                 data, doc = part.tobytes(), docs[owner]
                 shard = np.where(single, key, h) % np.uint64(shards)
                 for some, put in ((~single, held), (single, frequent)):
                     if some.any():
-                        put.append((key[some], h[some], shard[some], doc[some], doc[some], [data[a:b] for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)]))
+                        put.append((key[some], check[some], h[some], shard[some], doc[some], doc[some], [data[a:b] for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)]))
                 size += len(part)
                 if size > _FLUSH:
                     size = 0
@@ -356,8 +362,8 @@ def mark_repeats(documents: DataFrame, length: int = LENGTH, name: str = "spans"
 
     def index(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        key, lo, hi = (table.column(c).to_numpy() for c in ("key", "lo", "hi"))
-        order, at = _first_of_each(key)
+        key, check, lo, hi = (table.column(c).to_numpy() for c in ("key", "check", "lo", "hi"))
+        order, at = _first_of_each(key, check)
         pick, lo, hi = order[at], np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at)
         turn = np.argsort(lo, kind="stable")
         pick, lo, hi = pick[turn], lo[turn], hi[turn]
@@ -367,12 +373,12 @@ def mark_repeats(documents: DataFrame, length: int = LENGTH, name: str = "spans"
         last = np.append(new[1:], len(doc)) - 1
         use = doc[new] < hi[which[new]]
         new, last = new[use], last[use]
-        return pa.table({"key": key[pick][which[new]], "first": offset[new], "last": offset[last], "least": doc[new]})
+        return pa.table({"key": key[pick][which[new]], "check": check[pick][which[new]], "first": offset[new], "last": offset[last], "least": doc[new]})
 
-    parts = rows.select("doc_id", "text").mapInArrow(cut, "h long, shard long, key long, part binary, lo long, hi long")
+    parts = rows.select("doc_id", "text").mapInArrow(cut, "h long, shard long, key long, check long, part binary, lo long, hi long")
     if total[0] > MOST_KEYS:  # the bitmap is too full to leave much out: a join does
         parts = parts.join(counts.select("h"), "h", "left_semi")
-    marks = parts.select("shard", "key", "part", "lo", "hi").groupBy("shard").applyInArrow(index, "key long, first long, last long, least long")
+    marks = parts.select("shard", "key", "check", "part", "lo", "hi").groupBy("shard").applyInArrow(index, "key long, check long, first long, last long, least long")
     marks = materialize(marks, "marks")
     marked = membership_filter(marks.select("key"))
 
@@ -380,14 +386,14 @@ def mark_repeats(documents: DataFrame, length: int = LENGTH, name: str = "spans"
         for batch in batches:
             _, begin, _ = text_bytes(batch.column("text"))
             doc, fp = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False)
-            for _, a, owner, key, _, _, start, _ in shared_segments(batch.column("text"), length, common.value, hot.value):
+            for _, a, owner, key, check, _, _, start, _ in shared_segments(batch.column("text"), length, common.value, hot.value, key_bits):
                 keep = filter_has(marked.value, key)
                 if keep.any():
                     who = owner[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[keep].astype(np.int64), doc[who], fp[who], start[keep] + a - begin[who])], ["key", "doc_id", "fp", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[keep].astype(np.int64), check[keep].astype(np.int64), doc[who], fp[who], start[keep] + a - begin[who])], ["key", "check", "doc_id", "fp", "at"])
 
     # a key has a row for each stretch of its marks, so where it is frequent adaptive execution splits its occurrences
-    held = rows.mapInArrow(occurrences, "key long, doc_id long, fp long, at long").join(marks, "key").where("least < doc_id")
+    held = rows.mapInArrow(occurrences, "key long, check long, doc_id long, fp long, at long").join(marks, ["key", "check"]).where("least < doc_id")
     spans = held.groupBy("doc_id", "fp").agg(F.collect_list(F.struct((F.col("at") + F.col("first")).alias("a"), (F.col("at") + F.col("last") + length).alias("b"))).alias("found"))
     spans = spans.select(F.col("doc_id").alias("d"), F.col("fp").alias("f"), F.col("found.a").alias("a"), F.col("found.b").alias("b"))
 
@@ -422,7 +428,7 @@ def kept_bytes(text: str | None, spans: bytes) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def removal_digest(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+def removal_digest(documents: DataFrame, length: int = LENGTH, key_bits: int = 64) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,7 +441,7 @@ def removal_digest(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *values], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return mark_repeats(documents.select("doc_id", "text"), length).mapInArrow(digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return mark_repeats(documents.select("doc_id", "text"), length, key_bits=key_bits).mapInArrow(digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:

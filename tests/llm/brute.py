@@ -122,14 +122,61 @@ def taken(docs, weights=(1, 2, 3), slots=121_393, point=lambda i: i * GOLDEN - m
     for s in sorted((s for s in goal if goal[s] > 0), key=lambda s: (s is None, (s or "").encode())):
         at += goal[s]
         ends.append((at, at - goal[s], s))
-    rank, got, first = defaultdict(int), Counter(), {}
+    filled = defaultdict(list)
     for slot in range(slots if total else 0):
         u = point(slot)
-        s = next(s for to, lo, s in ends if lo / at <= u < to / at)
-        r = rank[s]
-        rank[s] += 1
-        for x in range(r * total // slots, min((r + 1) * total // slots, 3 * sizes[s])):
-            k = tape[s][x % sizes[s]]
-            got[k] += 1
-            first.setdefault(k, slot)
+        filled[next(s for to, lo, s in ends if lo / at <= u < to / at)].append(slot)
+    got, first = Counter(), {}
+    for to, lo, s in ends:
+        have = filled[s] or [math.floor((lo / at + to / at) / 2 * slots)]
+        words_to_take = math.floor(goal[s] + 0.5)
+        for r, slot in enumerate(have):
+            for x in range(r * words_to_take // len(have), (r + 1) * words_to_take // len(have)):
+                k = tape[s][x % sizes[s]]
+                got[k] += 1
+                first[k] = min(first.get(k, slot), slot)
     return [(n, sizes[s], goal[s], got[k], first.get(k)) for k, (_, n, s) in enumerate(rows)]
+
+
+def clusters(rows, k=40, rounds=5, seed=2, dim=64):
+    """rows: (id, vector). For each kept row: (id, cluster, distance, inertia of the cluster, of all, centroid hash)."""
+    kept = [(i, tuple(math.floor(256 * float(x)) for x in v)) for i, v in rows if v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v)]
+    start = sorted((hashlib.sha256(f"{seed}:{i}".encode()).hexdigest(), v) for i, v in kept if i is not None)
+    centroids = [v for _, v in start[:k]]
+
+    def assign():
+        return [min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), j) for j, c in enumerate(centroids)) for _, v in kept]
+
+    for _ in range(rounds):
+        of = assign()
+        for j in range(len(centroids)):
+            mine = [v for (_, v), (_, c) in zip(kept, of, strict=True) if c == j]
+            if mine:
+                centroids[j] = tuple(sum(col) // len(mine) for col in zip(*mine, strict=True))
+    of, inertia = assign(), Counter()
+    for d, c in of:
+        inertia[c] += d
+    name = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    return [(i, c, d, inertia[c], sum(inertia.values()), name[c]) for (i, _), (d, c) in zip(kept, of, strict=True)]
+
+
+TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def ranked(docs, items, k=10):
+    """docs: (id, text), items: (id, text). (item, rank, document, score) of each item's k best."""
+    held = [(i, Counter(TERM.findall(lower(t)))) for i, t in docs]
+    held = [(i, c) for i, c in held if c]
+    n_docs, n_terms = len(held), sum(sum(c.values()) for _, c in held)
+    df = Counter(t for _, c in held for t in c)
+    out = []
+    for item, text in items:
+        found = []
+        asked = set(TERM.findall(lower(text)))
+        for i, c in held:
+            m = 10 + 90 * sum(c.values()) * n_docs // n_terms
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t in asked if c[t])
+            if score > 0:
+                found.append((-score, i is None, i or 0, i))
+        out += [(item, r + 1, i, -s) for r, (s, _, _, i) in enumerate(sorted(found, key=lambda x: x[:3])[:k])]
+    return out

@@ -29,7 +29,7 @@ def test_stages_follow_plain_versions(spark):
             rows = [(*r, len(r[1])) for r in cut if brute.words(r[1])]
         elif name == "source_mix":
             mixed = brute.taken([(r[0], r[1], r[3]) for r in rows])
-            rows = [r for r, (n, _, _, took, _) in zip(rows, mixed, strict=True) for _ in range(int(took / n + 0.5))]
+            rows = [r for r, (n, _, _, took, _) in zip(rows, mixed, strict=True) for _ in range(-(-took // n))]
         docs = materialize(stage(spark, docs, SF), name)
         assert docs.columns == columns
         assert Counter(tuple(r) for r in docs.collect()) == Counter(rows), name
@@ -37,6 +37,17 @@ def test_stages_follow_plain_versions(spark):
     assert Counter(r["doc_id"] for r in packed.collect()) == Counter(r[0] for r in rows)
 
 
+def test_stages_keep_clashing_columns(spark):
+    """Extra columns with the names that stages use themselves: the same documents, and the columns as they were."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(80)
+    extra = {c: F.lit("x") for c in ("n_words", "_text", "rejected_by", "_id", "_times", "_turn", "id", "times", "turn", "c0", "component_id", "spans", "target", "taken", "size")}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, odd = stage(spark, docs, SF), stage(spark, docs.withColumns(extra), SF)
+        assert odd.columns == [*docs.columns, *extra]
+        assert Counter(map(tuple, odd.collect())) == Counter((*r, *["x"] * len(extra)) for r in map(tuple, plain.collect())), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.withColumns(extra), SF).count() == docs.count()
+
+
 def test_run_and_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() > 0
     text = "the quick brown fox jumps over the lazy dog near the river bank today"
