@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,3 +129,69 @@ def dataset_fingerprint(df: DataFrame) -> DataFrame:
     """(rows, hash_sum, hash_xor): equal for equal rows in any order and partitioning."""
     row = F.xxhash64(*[F.col(c) for c in df.columns])
     return df.select(row.alias("h")).agg(F.count("*").alias("rows"), F.sum(F.col("h").cast("decimal(38,0)")).alias("hash_sum"), F.bit_xor("h").alias("hash_xor"))
+
+
+def row_text(df: DataFrame, digits: int = 8) -> Column:
+    """All values of a row as one text, columns in order of their names: floating numbers at a fixed number of digits (none that is
+    too large for a decimal), nulls told apart from empty texts."""
+    parts = []
+    for name, kind in sorted(df.dtypes):
+        c = F.col(name)
+        text = F.coalesce(c.try_cast(f"decimal(28,{digits})").cast("string"), c.cast("string")) if kind in ("double", "float") else c.cast("string")
+        parts.append(F.coalesce(F.concat(F.lit("="), text), F.lit("-")))
+    return F.concat_ws("|", *parts)
+
+
+def _key_text(key: tuple[str, ...]) -> Column:
+    return F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("-")) for k in key])
+
+
+def _number(md5: Column) -> Column:
+    """15 hex digits of a hash as a number: such add up in a decimal."""
+    return F.conv(F.substring(md5, 1, 15), 16, 10).cast("decimal(38,0)")
+
+
+def hash_tree(df: DataFrame, key: tuple[str, ...] = KEY, depth: int = 4) -> DataFrame:
+    """(level, node, rows, hash): a tree over ranges of the key's md5. A node of level l is the range of its first l hex digits; its hash is the
+    sum of its rows' hashes, so nodes are equal where their rows are, in any order and partitioning. Level 0 is the whole table.
+
+    One pass: leaves are added up by task, upper levels from leaves; there are at most 16**depth leaves.
+    """
+    leaf = df.select(F.substring(F.md5(_key_text(key)), 1, depth).alias("node"), _number(F.md5(row_text(df))).alias("h")).groupBy("node").agg(F.count("*").alias("rows"), F.sum("h").alias("hash"))
+    each = leaf.select(F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"), "node", "rows", "hash")
+    each = each.withColumn("node", F.substring("node", F.lit(1), F.col("level")))
+    return each.groupBy("level", "node").agg(F.sum("rows").alias("rows"), F.sum("hash").alias("hash"))
+
+
+def unequal_leaves(one: DataFrame, other: DataFrame) -> list[str]:
+    """The leaves in which two trees differ, found from the root down: of each level, only children of unequal nodes are read.
+
+    A tree has few nodes; write it as a table (`session.materialize`) if it is to be compared more often.
+    """
+    depth = max(one.agg(F.max("level")).first()[0] or 0, other.agg(F.max("level")).first()[0] or 0)
+    nodes = [""]
+    for level in range(depth + 1):
+        under = lambda t: t.where((F.col("level") == level) & (F.substring("node", 1, max(0, level - 1)).isin(nodes) if level else F.lit(True)))  # noqa: B023, E731
+        a, b = under(one).select("node", "rows", "hash"), under(other).select("node", F.col("rows").alias("r"), F.col("hash").alias("h"))
+        same = F.col("rows").eqNullSafe(F.col("r")) & F.col("hash").eqNullSafe(F.col("h"))
+        nodes = sorted(r["node"] for r in a.join(b, "node", "full").where(~same).select("node").collect())
+        if not nodes:
+            break
+    return nodes
+
+
+def table_differences(one: DataFrame, other: DataFrame, key: tuple[str, ...] = KEY, depth: int = 4) -> DataFrame:
+    """(key columns, n_one, n_other): keys whose rows differ between two tables of the same columns, and how many rows each has there.
+
+    Only rows in ranges where the trees differ are compared.
+    """
+    from panelflow.session import materialize
+
+    leaves = unequal_leaves(materialize(hash_tree(one, key, depth), "tree"), materialize(hash_tree(other, key, depth), "tree"))
+    near = lambda df: df.where(F.substring(F.md5(_key_text(key)), 1, depth).isin(leaves)) if leaves else df.limit(0)
+    summed = lambda df, n, h: near(df).select(*key, _number(F.md5(row_text(df))).alias("_h")).groupBy(*key).agg(F.count("*").alias(n), F.sum("_h").alias(h))
+    a, b = summed(one, "n_one", "_ha"), summed(other, "n_other", "_hb").toDF(*[f"_{k}" for k in key], "n_other", "_hb")
+    met = a.join(b, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]), "full")
+    differ = met.where(~(F.col("n_one").eqNullSafe(F.col("n_other")) & F.col("_ha").eqNullSafe(F.col("_hb"))))
+    here = F.col("n_one").isNotNull()
+    return differ.select(*[F.when(here, F.col(k)).otherwise(F.col(f"_{k}")).alias(k) for k in key], F.coalesce("n_one", F.lit(0)).alias("n_one"), F.coalesce("n_other", F.lit(0)).alias("n_other"))

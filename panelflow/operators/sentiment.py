@@ -11,9 +11,16 @@ from panelflow.schemas import SENTIMENT_FEATURES
 
 
 def dedupe_articles(news: DataFrame) -> DataFrame:
-    """Of each ticker's rows with one article_uuid the first by time; rows without one count as one article."""
-    first = Window.partitionBy("ticker", "article_uuid").orderBy("pub_date", "pub_ts", F.col("sentiment_score").asc_nulls_last())
-    return news.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
+    """Of each ticker's rows with one article_uuid the first by time; rows without one count as one article.
+
+    Equal times go by score, nulls last, then by the other columns' hash. Each task keeps one row for each article it meets before rows
+    are dealt, so a ticker's rows without id, however many, are one row of each task.
+    """
+    columns = [c for c in news.columns if c not in ("ticker", "article_uuid")]
+    order = F.struct(F.coalesce(F.unix_date("pub_date"), F.lit(-(2**31))), F.coalesce(F.unix_micros("pub_ts"), F.lit(-(2**63))), F.isnull("sentiment_score"), F.col("sentiment_score"), F.xxhash64(*columns))
+    # the set of a constant keeps the aggregation hashed: rows of structs would be sorted otherwise
+    first = news.groupBy("ticker", "article_uuid").agg(F.min_by(F.struct(*columns), order).alias("_row"), F.collect_set(F.lit(True)).alias("_hashed"))
+    return first.where(F.size("_hashed") > 0).select("ticker", "article_uuid", "_row.*").select(*news.columns)
 
 
 def coerce_score(score: Column) -> Column:

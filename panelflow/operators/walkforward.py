@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelflow.operators import baselines
+from panelflow.functions.columns import broadcast_if_small
+from panelflow.operators import baselines, least_squares
 from panelflow.operators.metrics import aggregate_folds, compute_metrics, pooled_metrics
 from panelflow.schemas import PRICE_FEATURES, TARGET
-
-#: Distinct dates of a calendar; more aren't days, and fold tables would no longer be small.
-MAX_DATES = 1_000_000
+from panelflow.session import materialize
 
 
 def fold_map(test: DataFrame, fold_size: int, step: int) -> DataFrame:
@@ -45,31 +44,8 @@ def fold_table(train: DataFrame, test: DataFrame, folds: DataFrame, min_train: i
 
 
 def ols_per_fold(rows: DataFrame, folds: DataFrame, features: list[str] = PRICE_FEATURES) -> DataFrame:
-    """(fold_id, coefficients): least squares on all rows up to each fold's train_end.
-
-    One scan: moments are summed by the first fold that may use a date, then added up over folds; the driver solves one small
-    system for each fold.
-    """
-    spark = rows.sparkSession
-    # one more than there may be, so that too many raise and none is lost
-    ends = [(r["fold_id"], r["train_end"]) for r in folds.select("fold_id", "train_end").orderBy("train_end", "fold_id").limit(MAX_DATES + 1).collect()]
-    if len(ends) > MAX_DATES:
-        raise ValueError(f"more than {MAX_DATES} folds")
-    first = F.array(*[F.lit(d) for _, d in ends])
-    use = rows.where(F.col(TARGET).isNotNull())
-    if not ends:
-        return spark.createDataFrame([], "fold_id int, coefficients array<double>")
-    # how many train ends lie before the date: the first fold that sees it
-    use = use.withColumn("_seg", F.size(F.filter(first, lambda d: d < F.col("date"))))
-    sums = {r["_seg"]: r.asDict() for r in use.groupBy("_seg").agg(*baselines.moments(features)).collect()}  # a row a fold
-    total: dict[str, float] = {}
-    out = []
-    for k, (fold, _) in enumerate(ends):
-        for name, value in sums.get(k, {}).items():
-            if name != "_seg":
-                total[name] = total.get(name, 0) + (value or 0)
-        out.append((fold, [float(c) for c in baselines.solve(total, len(features))]))
-    return spark.createDataFrame(out, "fold_id int, coefficients array<double>")
+    """(fold_id, coefficients): least squares on all rows up to each fold's train_end, from one scan (see least_squares)."""
+    return least_squares.expanding_fits(rows, folds, "date", features)
 
 
 def run(train: DataFrame, test: DataFrame, fold_size: int, step: int, min_train: int = 0, panel: str = "full", embargo: int = 0, horizon: int = 1, names: tuple[str, ...] = ("naive", "heuristic", "simple_ml"), fixed: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -78,7 +54,7 @@ def run(train: DataFrame, test: DataFrame, fold_size: int, step: int, min_train:
         test = one_per_date(test)
     windows = fold_map(test, fold_size, step)
     folds = fold_table(train, test, windows, min_train, embargo)
-    placed = test.join(F.broadcast(windows.join(folds.select("fold_id"), "fold_id", "left_semi")), "date")  # bounded by the calendar
+    placed = test.join(broadcast_if_small(windows.join(folds.select("fold_id"), "fold_id", "left_semi")), "date")
     models: dict[str, Column] = {}
     for name in names:
         if name == "naive":
@@ -86,7 +62,8 @@ def run(train: DataFrame, test: DataFrame, fold_size: int, step: int, min_train:
         elif name == "heuristic":
             models[name] = F.coalesce(F.col("return_1d").cast("double"), F.lit(0.0))
         elif name == "simple_ml":
-            placed = placed.join(F.broadcast(ols_per_fold(train.unionByName(test, allowMissingColumns=True), folds)), "fold_id")
+            fits = materialize(ols_per_fold(train.unionByName(test, allowMissingColumns=True), folds), "fits")
+            placed = placed.join(broadcast_if_small(fits), "fold_id")
             x = F.array(F.lit(1.0), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in PRICE_FEATURES])
             models[name] = F.aggregate(F.zip_with("coefficients", x, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
         else:

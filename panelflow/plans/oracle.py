@@ -275,3 +275,35 @@ base AS (SELECT *, {_LINEAR} AS p FROM ev, coefficients),
 runs AS (SELECT run, avg((e.p + {_WEIGHTED} - e.target_forward_return) ** 2) - avg((e.p - e.target_forward_return) ** 2) AS rise
   FROM walk JOIN base e ON e.num = walk.x JOIN ev g ON g.num = walk.i WHERE walk.x < walk.n GROUP BY run)
 SELECT {_NAMES}[run // 5 + 1] AS feature, round(avg(rise), 8) + 0.0 AS importance, round(stddev_pop(rise), 8) + 0.0 AS std FROM runs GROUP BY 1"""
+
+
+def _row_text(columns: dict[str, str]) -> str:
+    """Values in order of column names, as row_text writes them; columns: name -> kind."""
+    text = {"double": "CAST(CAST({} AS DECIMAL(28, 8)) AS VARCHAR)"}
+    return "concat_ws('|', " + ", ".join("coalesce('=' || " + text.get(k, "CAST({} AS VARCHAR)").format(c) + ", '-')" for c, k in sorted(columns.items())) + ")"
+
+
+_ITEM = {"l_orderkey": "", "l_partkey": "", "l_suppkey": "", "l_linenumber": "", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "", "l_linestatus": "", "l_shipdate": ""}
+ORACLE_SQL["fingerprint_tree"] = f"""WITH leaf AS (SELECT substr(md5(concat_ws('|', '=' || l_orderkey, '=' || l_linenumber)), 1, 2) AS node, CAST('0x' || substr(md5({_row_text(_ITEM)}), 1, 15) AS BIGINT) AS h FROM lineitem)
+SELECT CAST(level AS INTEGER) AS level, substr(node, 1, level) AS node, count(*) AS rows, CAST(sum(h) AS VARCHAR) AS hash FROM leaf, range(3) t(level) GROUP BY ALL"""
+ORACLE_SQL["changed_rows"] = """WITH b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 700 = 2 THEN o_totalprice + 1 ELSE o_totalprice END AS p FROM orders WHERE o_orderkey % 500 <> 1
+  UNION ALL SELECT -o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 900 = 3 UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 1100 = 4),
+one AS (SELECT o_orderkey AS k, count(*) AS n, list_sort(list(o_totalprice)) AS p FROM orders GROUP BY k), two AS (SELECT k, count(*) AS n, list_sort(list(p)) AS p FROM b GROUP BY k)
+SELECT coalesce(one.k, two.k) AS o_orderkey, coalesce(one.n, 0) AS n_one, coalesce(two.n, 0) AS n_other FROM one FULL JOIN two ON one.k = two.k WHERE one.p IS DISTINCT FROM two.p"""
+
+_N = len(_COLUMNS) - 1
+_X = "[" + ", ".join(f"coalesce({c}, 0)" for c in _COLUMNS[:-1]) + "]"
+_UP_TO = "range(1, " + str(_N + 1) + ")"
+ORACLE_SQL["boosting_curve"] = f"""WITH RECURSIVE {_FEATURES},
+t AS (SELECT {_X} AS x, target_forward_return AS y FROM features WHERE split = 'train'),
+size AS (SELECT list(r ORDER BY i) AS s FROM (SELECT i, list(v ORDER BY j) AS r FROM (SELECT i, j, covar_pop(x[i], x[j]) AS v FROM t, {_UP_TO} a(i), {_UP_TO} b(j) GROUP BY ALL) GROUP BY i)),
+first AS (SELECT list(v ORDER BY i) AS c, list(m ORDER BY i) AS mean, any_value(y) AS y FROM (SELECT i, covar_pop(x[i], t.y) AS v, avg(x[i]) AS m, avg(t.y) AS y FROM t, {_UP_TO} a(i) GROUP BY i)),
+steps AS (SELECT 0 AS k, c, list_transform(c, lambda v: 0.0::DOUBLE) AS b FROM first UNION ALL
+  SELECT k + 1, list_transform(c, lambda v, i: v - 0.3 * c[j] / s[j][j] * s[i][j]), list_transform(b, lambda v, i: CASE WHEN i = j THEN v + 0.3 * c[j] / s[j][j] ELSE v END)
+  FROM (SELECT k, c, b, s, list_position(g, list_max(g)) AS j FROM (SELECT k, c, b, s, list_transform(c, lambda v, i: v * v / s[i][i]) AS g FROM steps, size WHERE k < 40))),
+path AS (SELECT k, b, y - list_dot_product(b, mean) AS a FROM steps, first WHERE k > 0),
+curve AS (SELECT CAST(k AS INTEGER) AS iteration, avg((a + list_dot_product(b, {_X}) - target_forward_return) ** 2) AS mse, avg(abs(a + list_dot_product(b, {_X}) - target_forward_return)) AS mae, count(*) AS n
+  FROM path, (SELECT * FROM features WHERE split = 'val') GROUP BY k),
+best AS (SELECT *, (SELECT min(iteration) FROM curve d WHERE d.mse = (SELECT min(e.mse) FROM curve e WHERE e.iteration <= c.iteration)) AS so_far FROM curve c),
+stop AS (SELECT coalesce(min(iteration) FILTER (iteration - so_far >= 3), 40) AS last FROM best)
+SELECT iteration, round(mse, 5) AS mse, round(mae, 5) AS mae, n, iteration = (SELECT so_far FROM best, stop WHERE iteration = last) AS best, iteration <= (SELECT last FROM stop) AS trained FROM curve"""

@@ -165,6 +165,20 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.dataset_fingerprint(panel.table(spark, sf_dir, "lineitem"))
 
 
+def fingerprint_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash tree of line items, three levels deep."""
+    return quality.hash_tree(panel.table(spark, sf_dir, "lineitem"), ("l_orderkey", "l_linenumber"), depth=2).withColumn("hash", F.col("hash").cast("string"))
+
+
+def changed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders against a copy in which some are changed, missing, new or there twice, by descending into unequal ranges."""
+    o = panel.table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    changed = o.where(key % 500 != 1).withColumn("o_totalprice", F.when(key % 700 == 2, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    more = o.where(key % 900 == 3).withColumn("o_orderkey", -key).unionByName(o.where(key % 1100 == 4))
+    return quality.table_differences(o, changed.unionByName(more), ("o_orderkey",), depth=3)
+
+
 # ------------------------------------------------------------ ingest
 
 
@@ -315,6 +329,19 @@ def regressor_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.compute_metrics(scored, ["model_name"]), 6)
 
 
+def boosting_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses on val of a boosted linear model, iteration by iteration, and where training ends."""
+    return _rounded(modeling.fit_boosted_linear(_split(spark, sf_dir, "train"), _split(spark, sf_dir, "val"))[1], 5)
+
+
+def staged_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses on val of boosted trees after each tree, and metrics of the model that is kept."""
+    df = materialize(panel.feature_table(spark, sf_dir), "features")
+    model, curve = modeling.fit_staged(df.where("split = 'train'"), df.where("split = 'val'"))
+    kept = modeling.score(model, df.where("split = 'val'")).agg(F.avg((F.col("y_pred") - F.col(TARGET)) ** 2).alias("kept_mse"))
+    return _rounded(curve.crossJoin(F.broadcast(kept)), 5)
+
+
 def baseline_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one-day-return heuristic against the zero baseline on val."""
     preds = baselines.predict(_split(spark, sf_dir, "train"), _split(spark, sf_dir, "val"), ("naive", "heuristic"))

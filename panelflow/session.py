@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def build_session(app: str = "panelflow", **conf: str) -> SparkSession:
     """A session with the settings the operators expect: UTC, and adaptive execution with skew handling (on by default)."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    # first rows of groups are kept in hash tables: let them grow before they are sorted
+    builder = builder.config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
