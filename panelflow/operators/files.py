@@ -22,9 +22,11 @@ _SUMMARY = "file string, place long, ticker string, rows long, dated long, first
 
 def summarize_runs(file: np.ndarray, place: np.ndarray, ticker: np.ndarray, day: np.ndarray, null: np.ndarray, held: dict) -> None:
     """Add rows, in order, to the summaries held under (file, place, ticker): numbers that stand for names; null: rows without a date."""
+    if not len(day):
+        return
     order = np.lexsort((np.arange(len(day)), ticker, place, file))
     f, p, t, d, z = (x[order] for x in (file, place, ticker, day, null))
-    new = np.flatnonzero(np.concatenate(([True], (f[1:] != f[:-1]) | (p[1:] != p[:-1]) | (t[1:] != t[:-1])))) if len(f) else np.zeros(0, int)
+    new = np.flatnonzero(np.concatenate(([True], (f[1:] != f[:-1]) | (p[1:] != p[:-1]) | (t[1:] != t[:-1]))))
     for a, b in zip(new.tolist(), [*new[1:].tolist(), len(f)], strict=True):
         x = d[a:b][~z[a:b]]
         step = np.diff(x)

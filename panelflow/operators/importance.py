@@ -56,7 +56,7 @@ def _scatter(value: Column, key: Column) -> Column:
 
 def round_key(run: Column, seed: int, i: int) -> Column:
     """The key of half round i of a run."""
-    return (run * F.lit(0x7FEB352D) + F.lit((seed * 0x1000193 + i * 0x27D4EB2F) % _WORD)) % F.lit(_WORD).cast("long")
+    return (run.cast("long") * F.lit(0x7FEB352D) + F.lit((seed * 0x1000193 + i * 0x27D4EB2F) % _WORD)) % F.lit(_WORD).cast("long")
 
 
 def grid(n: int) -> tuple[int, int]:
