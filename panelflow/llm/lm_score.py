@@ -8,6 +8,11 @@ tokens on either side, in two softmax steps that both look at the context: one o
 class in its group. A token's probability is its class's probability in context times its share of the class's count,
 which doesn't depend on the context. A document's score is the sum of the log-probabilities of all its tokens.
 
+Up to 2**TABLE_BITS slots, classes and shares of all slots are broadcast as one table (50 MB). Beyond, only the own classes'
+slots, the classes' totals (both about sqrt(n)) and the shares of the HEAD most frequent slots are; what shared class a slot is in follows
+from its number, and shares of the rest come by a join of documents' rare slots with the table of counts, added up by document. Scores
+are the same either way.
+
 Texts are turned into classes once, into a table that training and scoring read. Training covers all tokens: in each of
 `stride` rounds every partition walks over its texts from the shared parameters, predicting every stride-th token (another
 phase in each round, so each token is a target once), and the partitions' parameters are averaged by tokens. So parameters
@@ -23,7 +28,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -43,14 +48,50 @@ REACH = 2
 STRIDE = 2
 _BATCH = 4096
 _RANGES = 64
+#: Slots of a table that is broadcast whole, and frequent slots that are broadcast where there are more.
+TABLE_BITS = 23
+HEAD = 1 << 21
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    class_of: np.ndarray  # of each slot
-    log_share: np.ndarray  # of each slot: log of its part of its class's count
+    """class_of, log_share: of each slot, and the class's log of its part of its class's count; None where there are too many slots. Then
+    own: the own classes' slots, ascending, and their classes; head: frequent slots, ascending, and logs of their counts; counts: the
+    table (slot, n) of all that occur."""
+
     log_prior: np.ndarray  # of each class
     bits: int
+    class_of: np.ndarray | None = None
+    log_share: np.ndarray | None = None
+    own: tuple[np.ndarray, np.ndarray] | None = None
+    head: tuple[np.ndarray, np.ndarray] | None = None
+    log_total: np.ndarray | None = None  # of each class
+    counts: DataFrame | None = None
+
+    @property
+    def code(self) -> np.dtype:
+        return np.dtype(np.uint16 if len(self.log_prior) < 1 << 16 else np.int32)
+
+    def look_up(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes, log shares, and which of the slots are rare: their shares still lack the log of their counts."""
+        if self.class_of is not None:
+            return self.class_of[slots], self.log_share[slots], np.zeros(0, np.int64)
+        own, shared = len(self.own[0]), len(self.log_prior) - len(self.own[0])
+        classes = own + slots % shared
+        hit, at = _find(self.own[0], slots)
+        classes[hit] = self.own[1][at]
+        share = -self.log_total[classes]
+        hit, at = _find(self.head[0], slots)
+        share[hit] += self.head[1][at]
+        return classes.astype(self.code), share, np.flatnonzero(~hit)
+
+
+def _find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of wanted are among the ascending known ones, and where."""
+    at = np.searchsorted(known, wanted)
+    hit = at < len(known)
+    hit[hit] = known[at[hit]] == wanted[hit]
+    return hit, at[hit]
 
 
 @dataclass
@@ -120,6 +161,9 @@ def table_sizes(n: int) -> tuple[int, int]:
 def count_words(documents: DataFrame) -> Vocabulary:
     found = count_exactly(documents)
     bits, fold = table_sizes(found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    own, shared = OWN * fold, SHARED * fold
+    if bits > TABLE_BITS:
+        return _count_many(found, bits, own, shared)
 
     def to_slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -130,8 +174,9 @@ def count_words(documents: DataFrame) -> Vocabulary:
                 yield pd.DataFrame({"block": [k], "data": [zlib.compress(table.tobytes(), 1)]}).astype({"block": np.int32})
 
     counts = gather_blocks(found.select("range", "words", "counts").mapInPandas(to_slots, "block int, data binary"), 1 << bits, "int64", np.add)
-    own, shared = OWN * fold, SHARED * fold
-    top = np.argpartition(-counts, own)[:own]
+    # the most frequent slots, of equals the first ones
+    least = np.partition(counts, -own)[-own]
+    top = np.concatenate((np.flatnonzero(counts > least), np.flatnonzero(counts == least)))[:own]
     top = top[np.lexsort((top, -counts[top]))]
     class_of = (own + np.arange(1 << bits) % shared).astype(np.uint16 if own + shared < 1 << 16 else np.int32)
     class_of[top] = np.arange(len(top))
@@ -139,27 +184,86 @@ def count_words(documents: DataFrame) -> Vocabulary:
     total = np.bincount(class_of, counts, own + shared)
     log_share = np.log(counts, dtype=np.float32)
     log_share -= np.log(total).astype(np.float32)[class_of]
-    return Vocabulary(class_of, log_share, np.log(total / total.sum()).astype(np.float32), bits)
+    return Vocabulary(np.log(total / total.sum()).astype(np.float32), bits, class_of, log_share)
+
+
+def _count_many(found: DataFrame, bits: int, own: int, shared: int) -> Vocabulary:
+    """The same of a table with too many slots for one array: it stays in Spark, and what reaches the driver has about sqrt(n) rows, or HEAD."""
+
+    def to_slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for w, c in zip(pdf["words"], pdf["counts"], strict=True):
+                slots = (np.frombuffer(w, np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+                new = np.flatnonzero(np.concatenate((np.ones(min(1, len(slots)), bool), slots[1:] != slots[:-1])))
+                yield pd.DataFrame({"slot": slots[new], "n": np.add.reduceat(np.frombuffer(c, np.int64), new) if len(new) else []}).astype({"slot": np.int64, "n": np.int64})
+
+    counts = materialize(found.select("words", "counts").mapInPandas(to_slots, "slot long, n long"), "slots")
+    top = counts.orderBy(F.col("n").desc(), "slot").limit(own).collect()
+    slots, sizes = np.array([r["slot"] for r in top], np.int64), np.array([r["n"] for r in top], np.int64)
+    # shared classes: what occurs in each, and a count of one for each slot that doesn't
+    sums = counts.groupBy((F.col("slot") % shared).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("used")).collect()
+    residue = lambda n: n // shared + (np.arange(shared) < n % shared)
+    total = residue(1 << bits).astype(np.float64)
+    for r in sums:
+        total[r["c"]] += r["n"] - r["used"]
+    np.subtract.at(total, slots % shared, sizes)
+    total = np.concatenate((sizes, total))
+    # frequent slots: from the least count on that HEAD of them have at most
+    steps = counts.groupBy("n").agg(F.count("*").alias("slots")).orderBy(F.col("n").desc()).limit(HEAD)
+    upto = 0
+    least = 2**62
+    for r in steps.toLocalIterator():
+        upto += r["slots"]
+        if upto > HEAD:
+            break
+        least = r["n"]
+    often = counts.where(F.col("n") >= least).toPandas().sort_values("slot")
+    order = np.argsort(slots)
+    head = often["slot"].to_numpy(np.int64), np.log(often["n"].to_numpy(np.int64), dtype=np.float32)
+    return Vocabulary(np.log(total / total.sum()).astype(np.float32), bits, own=(slots[order], order), head=head, log_total=np.log(total).astype(np.float32), counts=counts)
 
 
 def encode(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, share, classes) of every row: its words' classes, and the sum of their log shares of them."""
-    words = documents.sparkSession.sparkContext.broadcast(vocabulary)
-    code = vocabulary.class_of.dtype
+    """(row, doc_id, share, classes, rare) of every row: its words' classes, the sum of their log shares of them, and the slots whose
+    counts are still to be looked up."""
+    words = documents.sparkSession.sparkContext.broadcast(replace(vocabulary, counts=None))
+    code = vocabulary.code
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = words.value
         for batch in batches:
             for k, n, h in column_words(batch.column("text")):
-                slots = (h >> np.uint64(64 - v.bits)).astype(np.int64)
-                share = np.bincount(np.repeat(np.arange(len(n)), n), v.log_share[slots], len(n))
+                classes_, shares, rare = v.look_up((h >> np.uint64(64 - v.bits)).astype(np.int64))
+                of = np.repeat(np.arange(len(n)), n)
+                share = np.bincount(of, shares, len(n))
                 ends = np.cumsum(n) * code.itemsize
-                data = v.class_of[slots].tobytes()
+                data = classes_.tobytes()
                 classes = [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[k : k + len(n)], pa.array(share), pa.array(classes, pa.binary())], ["doc_id", "share", "classes"])
+                left = [b""] * len(n)
+                if len(rare):
+                    slots = (h[rare] >> np.uint64(64 - v.bits)).astype(np.int64).tobytes()
+                    cuts = (np.searchsorted(of[rare], np.arange(len(n) + 1)) * 8).tolist()
+                    left = [slots[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column("row")[k : k + len(n)], batch.column("doc_id")[k : k + len(n)], pa.array(share), pa.array(classes, pa.binary()), pa.array(left, pa.binary())], ["row", "doc_id", "share", "classes", "rare"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return materialize(documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, share double, classes binary"), "classes")
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return materialize(rows.mapInArrow(run, f"row long, doc_id {kind}, share double, classes binary, rare binary"), "classes")
+
+
+def rare_shares(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(row, more): the sum of the logs of the counts of each row's rare slots, by a join with the table of counts."""
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.array([len(x) // 8 for x in batch.column("rare").to_pylist()], np.int64)
+            slots = np.frombuffer(b"".join(batch.column("rare").to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("row").to_numpy(), sizes)), pa.array(slots)], ["r", "s"])
+
+    rare = coded.where(F.length("rare") > 0).select("row", "rare").mapInArrow(flat, "r long, s long")
+    # no rare slot is frequent, so no key of this join is
+    met = rare.join(vocabulary.counts, F.col("s") == F.col("slot"), "left")
+    return met.groupBy("r").agg(F.sum(F.log(F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)).cast("double"))).alias("more"))
 
 
 def _tokens(column: pa.Array, code: np.dtype, edge: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -281,7 +385,7 @@ def train(documents: DataFrame, vocabulary: Vocabulary, hidden: int = HIDDEN, re
         np.log(prior / group[:, None]).astype(np.float32),
     )
     sc = documents.sparkSession.sparkContext
-    code, size = vocabulary.class_of.dtype, len(net.flat())
+    code, size = vocabulary.code, len(net.flat())
     columns, tasks = "turn int, seen long, data binary", int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for turn in range(stride):
         start = sc.broadcast(net)
@@ -325,7 +429,7 @@ def score(documents: DataFrame, vocabulary: Vocabulary, net: Network, reach: int
     """(doc_id, n_tokens, log_prob, per_token) of every row; per_token is the mean, for texts of different length (0 without tokens)."""
     coded = encode(documents, vocabulary) if coded is None else coded
     model = documents.sparkSession.sparkContext.broadcast(net)
-    classes, code = len(vocabulary.log_prior), vocabulary.class_of.dtype
+    classes, code = len(vocabulary.log_prior), vocabulary.code
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -336,7 +440,10 @@ def score(documents: DataFrame, vocabulary: Vocabulary, net: Network, reach: int
                 at = place[a : a + _BATCH]
                 log_p[a : a + _BATCH] = log_probabilities(m, contexts(padded, at, reach), padded[at])
             total = batch.column("share").to_numpy() + np.bincount(np.repeat(np.arange(len(n)), n), log_p, len(n))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))], ["doc_id", "n_tokens", "log_prob", "per_token"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n), pa.array(total)], ["row", "doc_id", "n_tokens", "log_prob"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return coded.mapInArrow(run, f"doc_id {kind}, n_tokens long, log_prob double, per_token double")
+    out = coded.select("row", "doc_id", "share", "classes").mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, log_prob double")
+    if vocabulary.counts is not None:
+        out = out.join(rare_shares(coded, vocabulary), F.col("row") == F.col("r"), "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", "log_prob", (F.col("log_prob") / F.greatest("n_tokens", F.lit(1))).alias("per_token"))

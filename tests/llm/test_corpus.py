@@ -523,6 +523,23 @@ def test_lm_scores(docs, corpus, spark):
     assert lm_score.score(docs.limit(0), vocabulary, net).count() == 0 and lm_score.train(docs.limit(0), vocabulary).out.shape == net.out.shape
 
 
+def test_lm_of_more_words_than_a_table_holds(docs, spark, monkeypatch):
+    """With a head of frequent slots and a join for the rest, classes and scores are those of the whole table."""
+    whole = lm_score.count_words(docs)
+    net = lm_score.train(docs, whole)
+    want = {(r["doc_id"], r["n_tokens"]): r for r in lm_score.score(docs, whole, net).collect()}
+    monkeypatch.setattr(lm_score, "TABLE_BITS", 10)
+    for head in (0, 300):
+        monkeypatch.setattr(lm_score, "HEAD", head)
+        parts = lm_score.count_words(docs)
+        assert parts.class_of is None and len(parts.head[0]) <= head and parts.log_prior == pytest.approx(whole.log_prior, abs=1e-5)
+        slots = np.arange(0, 1 << whole.bits, 977)
+        assert (parts.look_up(slots)[0] == whole.look_up(slots)[0]).all()
+        got = lm_score.score(docs, parts, net).collect()
+        assert len(got) == docs.count()
+        assert all(r["log_prob"] == pytest.approx(want[r["doc_id"], r["n_tokens"]]["log_prob"], rel=1e-5, abs=1e-3) for r in got)
+
+
 def test_lm_learns_context(spark):
     rng = random.Random(5)
     rows = []
