@@ -194,7 +194,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
         of = [r for r in found if r["dim"] == d]
         balls[d] = (np.array([r["shard"] for r in of]), np.array([np.frombuffer(r["centre"]) for r in of]).reshape(len(of), d), np.array([np.frombuffer(r["radius"])[0] for r in of]))
     shared = vectors.sparkSession.sparkContext.broadcast(balls)
-    blocks = max(1, -(-queries.count() // query_rows))
 
     def visits(batches):  # noqa: ANN001, ANN202
         """Queries with each shard to visit: where `near` is null the best one, else all others that can reach `floor`."""
@@ -232,7 +231,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
         return used.groupBy("to_shard", "to_dim", "to_block").cogroup(asked.groupBy("shard", "dim", "block")).applyInPandas(meet, _FOUND)
 
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("rest").desc(), "vec_id")
-    to_shards = lambda df, name: materialize(df.mapInPandas(visits, "vec_id long, vector array<double>, dim int, floor double, shard long").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))), name)
+
+    def to_shards(df: DataFrame, name: str) -> DataFrame:
+        """Queries with their shards, and in blocks of query_rows: a shard's rows go out once for each block of those that visit it."""
+        out = materialize(df.mapInPandas(visits, "vec_id long, vector array<double>, dim int, floor double, shard long"), name)
+        parts = out.groupBy("shard", "dim").agg((F.floor((F.count("*") - 1) / query_rows) + 1).alias("parts"))
+        parts = parts.select(F.col("shard").alias("to"), F.col("dim").alias("of"), "parts")
+        # a row a shard: at most MOST_SHARDS and some
+        met = out.join(F.broadcast(parts), (F.col("shard") == F.col("to")) & (F.col("dim") == F.col("of")))
+        return met.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).drop("to", "of", "parts")
+
     first = to_shards(queries.withColumn("floor", F.lit(float("-inf"))).withColumn("near", F.lit(-1).cast("long")), "first")
     near = materialize(run(first), "near")
     reached = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("reached"))

@@ -124,7 +124,9 @@ def fit(documents: DataFrame, labels: DataFrame, bits: int = BITS, features: int
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": (pdf["toxic"] > 0).astype(np.int32), "held": [x[x >= 0].astype(np.int32).tobytes() for x in held]})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = _labelled(documents, _share(labels, min(1.0, max_rows / max(1, n_labels)) * fit_rows / (n_toxic + n_other))).mapInPandas(features_of, f"doc_id {kind}, toxic int, held binary").toPandas().sort_values("doc_id", kind="stable")
+    rows = _labelled(documents, _share(labels, min(1.0, max_rows / max(1, n_labels)) * fit_rows / (n_toxic + n_other))).mapInPandas(features_of, f"doc_id {kind}, toxic int, held binary")
+    # as many rows as asked for, about; where many rows repeat an id, twice as many at most
+    rows = rows.orderBy(F.xxhash64("doc_id", "held"), "doc_id").limit(2 * fit_rows).toPandas().sort_values("doc_id", kind="stable")
     y = rows["toxic"].to_numpy(float)
     if not 0 < y.sum() < len(y):
         return ToxicityModel(np.zeros(1 << bits), float(np.log(n_toxic / n_other)), bits)

@@ -422,6 +422,46 @@ def test_toxicity(spark):
     assert toxicity.predict(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_against_plain_version(spark):
+    """Features, ratios and scores from sets of hashed n-grams in plain Python; the weights make the regression's gradient vanish."""
+    import math
+
+    rng = random.Random(12)
+    rows = [(k, " ".join(rng.choice(("vile", "rotten", "scum") if k % 3 == 0 and rng.random() < 0.3 else ("lamp", "river", "stone", "walks", "under", "bright")) for _ in range(12))) for k in range(240)]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels, steps=4000)
+
+    def grams(text):
+        points = [32, *(ord(c) if c.isalpha() else 32 for c in text.lower()), 32]
+        out = set()
+        for n in (3, 4, 5, 6):
+            for i in range(len(points) - n + 1):
+                h = n
+                for x in points[i : i + n]:
+                    h = (h ^ x) * 0x9E3779B1 % 2**32
+                    h ^= h >> 15
+                out.add(h >> 14)
+        return out
+
+    held = {k: grams(t) for k, t in rows}
+    count = [Counter(g for k, gs in held.items() if (k % 3 == 0) == toxic for g in gs) for toxic in (False, True)]
+    n = [160, 80]
+    strong = {}
+    for g in set(count[0]) | set(count[1]):
+        both, gap = count[0][g] + count[1][g], abs(count[1][g] / n[1] - count[0][g] / n[0])
+        share = both / 240
+        if both >= 3 and gap >= 4 * math.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1])):
+            strong[g] = math.log((count[1][g] + 1) / (n[1] + 2)) - math.log((count[0][g] + 1) / (n[0] + 2))
+    assert len(strong) >= 64 and set(np.flatnonzero(model.weight).tolist()) <= set(strong)
+    p = {k: 1 / (1 + math.exp(-(sum(model.weight[g] for g in gs) + model.intercept))) for k, gs in held.items()}
+    got = {r["doc_id"]: r["score"] for r in toxicity.predict(df, model).collect()}
+    assert all(got[k] == pytest.approx(p[k], abs=1e-9) for k in p)
+    for g, ratio in strong.items():
+        slope = sum(ratio * (p[k] - (k % 3 == 0)) for k, gs in held.items() if g in gs) / 240 + 1e-4 * model.weight[g] / ratio
+        assert abs(slope) < 2e-3
+    assert abs(sum(p[k] - (k % 3 == 0) for k in p)) / 240 < 2e-3
+
+
 def test_toxicity_weights_lower_the_loss():
     rng = np.random.default_rng(0)
     indices = [np.flatnonzero(rng.random(6) < 0.5) for _ in range(300)]
