@@ -307,3 +307,10 @@ curve AS (SELECT CAST(k AS INTEGER) AS iteration, avg((a + list_dot_product(b, {
 best AS (SELECT *, (SELECT min(iteration) FROM curve d WHERE d.mse = (SELECT min(e.mse) FROM curve e WHERE e.iteration <= c.iteration)) AS so_far FROM curve c),
 stop AS (SELECT coalesce(min(iteration) FILTER (iteration - so_far >= 3), 40) AS last FROM best)
 SELECT iteration, round(mse, 5) AS mse, round(mae, 5) AS mae, n, iteration = (SELECT so_far FROM best, stop WHERE iteration = last) AS best, iteration <= (SELECT last FROM stop) AS trained FROM curve"""
+ORACLE_SQL["split_shares"] = f"""WITH {_FEATURES}, d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM features)),
+p AS (SELECT date, CASE WHEN i < CAST(floor(n * 0.6::DOUBLE) AS BIGINT) THEN 'train' WHEN i < CAST(floor(n * (0.6::DOUBLE + 0.2::DOUBLE)) AS BIGINT) THEN 'val' ELSE 'test' END AS split FROM d)
+SELECT p.split, count(*) AS rows, min(date) AS date_min, max(date) AS date_max FROM features JOIN p USING (date) GROUP BY p.split"""
+ORACLE_SQL["eval_split"] = f"""WITH {_FEATURES} SELECT 'whole' AS "table", split, ticker, count(*) AS rows FROM features WHERE split = 'val' GROUP BY ALL
+  UNION ALL SELECT 'without val', split, ticker, count(*) FROM features WHERE split = 'test' GROUP BY ALL"""
+ORACLE_SQL["missing_columns"] = """SELECT 'lineitem' AS name, unnest(['ticker', 'date', 'close']) AS missing, count(*) AS rows FROM lineitem UNION ALL SELECT 'orders', unnest(['ticker', 'date', 'close']), count(*) FROM orders"""
+ORACLE_SQL["lenient_schema"] = """SELECT event_type, CASE WHEN event_id % 4 >= 2 THEN 'a' ELSE '' END AS missing, CASE WHEN event_id % 4 >= 2 THEN 'z' ELSE '' END AS extra, event_id % 4 < 2 AS ok, count(*) AS requests FROM events GROUP BY ALL"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panelflow.functions.columns import number, round_digits
 from panelflow.operators import baselines, encoders, features, files, importance, ingest, metrics, modeling, quality, reporting, sentiment, serving, splits, walkforward
 from panelflow.plans import panel
-from panelflow.schemas import PRICE_FEATURES, TARGET
+from panelflow.schemas import KEY, PRICE_FEATURES, TARGET
 from panelflow.session import materialize, scratch_path
 from panelflow.sources import tables
 from panelflow.streaming import jobs, scoring
@@ -93,6 +93,29 @@ def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_counts(panel.feature_table(spark, sf_dir))
 
 
+def split_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries at shares of the calendar, checked, and the rows that each part gets."""
+    df = features.price_features(panel.prices(spark, sf_dir))
+    out = splits.assign_split(df, splits.boundaries_by_share(df, 0.6, 0.2))
+    return out.groupBy("split").agg(F.count("*").alias("rows"), F.min("date").alias("date_min"), F.max("date").alias("date_max"))
+
+
+def eval_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that importance is measured on: of val, and where a table has none (brands of the second kind), of test."""
+    df = materialize(panel.feature_table(spark, sf_dir), "features")
+    late = df.where("split <> 'val'")
+    parts = [importance.evaluation_split(x).withColumn("table", F.lit(name)) for name, x in (("whole", df), ("without val", late))]
+    return parts[0].unionByName(parts[1]).groupBy("table", "split", "ticker").agg(F.count("*").alias("rows"))
+
+
+def missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Required columns that the driver's tables lack, when each is read as a price table under its own names."""
+    tables_ = {n: panel.table(spark, sf_dir, n) for n in ("events", "lineitem", "orders")}
+    tables_["events"] = tables_["events"].withColumnsRenamed({"event_type": "ticker", "value": "close"}).withColumn("date", F.to_date("ts"))
+    rows = [(n, c, df.agg(F.count("*")).first()[0]) for n, df in tables_.items() for c in quality.check_columns(df, [*KEY, "close"])]
+    return spark.createDataFrame(rows, "name string, missing string, rows long")
+
+
 def provenance_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.provenance(panel.feature_table(spark, sf_dir))
 
@@ -450,6 +473,15 @@ def check_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("event_type", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"), "ok").agg(F.count("*").alias("requests"), F.round(F.sum(serving.linear_score(vector, 0.0, [0.0, 2.0])), 3).alias("score"))
 
 
+def lenient_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as feature maps, where one name may be missing and others may be there."""
+    e = panel.table(spark, sf_dir, "events")
+    given = F.when(F.col("event_id") % 4 == 0, F.array(F.lit("a"))).when(F.col("event_id") % 4 == 1, F.array(F.lit("a"), F.lit("b"))).when(F.col("event_id") % 4 == 2, F.array(F.lit("b"), F.lit("z"))).otherwise(F.array(F.lit("z")))
+    fields = F.map_from_entries(F.transform(given, lambda n: F.struct(n, F.col("value"))))
+    out = serving.check_schema(e.select("event_type", fields.alias("features")), ["a", "b"], strict=False, optional=["b"])
+    return out.groupBy("event_type", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"), "ok").agg(F.count("*").alias("requests"))
+
+
 def prediction_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = serving.prediction_options(panel.feature_table(spark, sf_dir))
     return out.select("ticker", F.size("dates").cast("long").alias("n_dates"), F.element_at("dates", 1).alias("first_date"), F.element_at("dates", -1).alias("last_date"))
