@@ -85,6 +85,22 @@ def latest_as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: st
     return found.select("_row.*", *[F.col("_last")[c].alias(c) for c in payload])
 
 
+def with_previous(df: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
+    """df with the value of the row before each row of its group, by the column order; null for a group's first row.
+
+    Rows are cut into blocks by sampled ranges of (group, order), and a row for each group and block carries its last value on, so no
+    task sorts a whole group. Of rows with equal order, any may come first.
+    """
+    blocks = materialize(df.repartitionByRange(*by, order).withColumn("_block", F.spark_partition_id()), "ordered")
+    ends = blocks.groupBy(*by, "_block").agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("_end"))
+    carried = ends.select(*[F.col(c).alias(f"{c}_") for c in by], F.col("_block").alias("_b"), F.lag("_end").over(Window.partitionBy(*by).orderBy("_block")).alias("_carried"))
+    inside = Window.partitionBy(*by, "_block").orderBy(order)
+    rows = blocks.withColumns({"_n": F.row_number().over(inside), "_before": F.lag(value).over(inside)})
+    same = reduce(and_, [rows[c].eqNullSafe(carried[f"{c}_"]) for c in by]) & (rows["_block"] == carried["_b"])
+    out = rows.join(carried, same, "left")
+    return out.select(*df.columns, F.when(F.col("_n") == 1, F.col("_carried")["v"]).otherwise(F.col("_before")).alias(name))
+
+
 def hashed_rank(df: DataFrame, by: list[str], key: Column, name: str) -> DataFrame:
     """A 0-based rank of each row inside its `by` group, in the order of a 64-bit hash of key; ties are broken by chance.
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.functions.columns import number
+from panelflow.functions.columns import number, with_previous
 from panelflow.schemas import KEY
 
 
@@ -39,8 +39,8 @@ def duplicate_rows(df: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
 
 def ordering_status(df: DataFrame, seq: Column, file: Column, date: str = "date") -> DataFrame:
     """(file, ticker, rows, status): ascending, descending or unsorted by date in the order of seq; equal neighbours are unsorted."""
-    rows = df.select(file.alias("file"), "ticker", F.col(date).alias("_d"), seq.alias("_seq"))
-    before = F.lag("_d").over(Window.partitionBy("file", "ticker").orderBy("_seq"))
+    rows = with_previous(df.select(file.alias("file"), "ticker", F.col(date).alias("_d"), seq.alias("_seq")), ["file", "ticker"], "_seq", "_d", "_p")
+    before = F.col("_p")
     rows = rows.withColumn("_up", F.when(before.isNotNull(), (F.col("_d") > before).cast("int"))).withColumn("_down", F.when(before.isNotNull(), (F.col("_d") < before).cast("int")))
     status = F.when(F.coalesce(F.min("_up"), F.lit(1)) == 1, "ascending").when(F.min("_down") == 1, "descending").otherwise("unsorted")
     return rows.groupBy("file", "ticker").agg(F.count("*").alias("rows"), status.alias("status"))
@@ -62,13 +62,13 @@ def assert_ordered(df: DataFrame, seq: Column, file: Column, date: str = "date")
 def order_violations(df: DataFrame, seq: Column, key: tuple[str, ...] = KEY) -> DataFrame:
     """Rows of a panel that aren't after the row before them (by seq) of the same entity, with that row's date."""
     entity, date = key
-    before = F.lag(date).over(Window.partitionBy(entity).orderBy(seq))
-    return df.select(*key, before.alias("before")).where(F.col("before") >= F.col(date))
+    rows = with_previous(df.select(*key, seq.alias("_seq")), [entity], "_seq", date, "before")
+    return rows.select(*key, "before").where(F.col("before") >= F.col(date))
 
 
 def rewrite_sorted(df: DataFrame, path: str, key: tuple[str, ...] = KEY) -> None:
-    """Write each entity's rows together and ascending."""
-    df.repartition(key[0]).sortWithinPartitions(*key).write.mode("overwrite").parquet(path)
+    """Write rows ascending by entity and date, by sampled ranges of both, so no entity is one task."""
+    df.repartitionByRange(*key).sortWithinPartitions(*key).write.mode("overwrite").parquet(path)
 
 
 def numeric_nulls(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -93,8 +93,9 @@ def dataset_manifest(df: DataFrame, by: Column, date: str = "date") -> DataFrame
 
 def manifest_total(manifest: DataFrame) -> DataFrame:
     """One row from dataset_manifest's: parts, rows, the whole range of dates, and all tickers, sorted."""
-    tickers = F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.split("tickers", ","))))), ",")
-    return manifest.agg(F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.min("date_min").alias("date_min"), F.max("date_max").alias("date_max"), tickers.alias("tickers"))
+    known = manifest.select(F.explode(F.split("tickers", ",")).alias("t")).distinct().agg(F.array_join(F.sort_array(F.collect_list("t")), ",").alias("tickers"))
+    total = manifest.agg(F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.min("date_min").alias("date_min"), F.max("date_max").alias("date_max"))
+    return total.crossJoin(F.broadcast(known))  # one row each
 
 
 def assert_panel(df: DataFrame, key: tuple[str, ...] = KEY, seq: Column | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelflow.functions.columns import broadcast_if_small
 from panelflow.operators import baselines, least_squares
-from panelflow.operators.metrics import aggregate_folds, compute_metrics, pooled_metrics
+from panelflow.operators.metrics import compute_metrics
 from panelflow.schemas import PRICE_FEATURES, TARGET
 from panelflow.session import materialize
 
@@ -79,5 +79,3 @@ def worst_windows(metrics: DataFrame, k: int = 5) -> DataFrame:
     """The k (fold, model) with the largest mse."""
     return metrics.where("NOT isnan(mse)").orderBy(F.col("mse").desc(), "fold_id", "model_name").limit(k)
 
-
-__all__ = ["aggregate_folds", "fold_map", "fold_metrics", "fold_table", "ols_per_fold", "one_per_date", "pooled_metrics", "run", "worst_windows"]

@@ -1,4 +1,4 @@
-"""Schemas of the panel's tables."""
+"""Schemas of the panel's tables. Names of columns, features and metrics, and of fields in landed documents."""
 
 from pyspark.sql import types as T
 

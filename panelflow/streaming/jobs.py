@@ -69,7 +69,8 @@ def stream_prices(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: st
 
 
 def stream_scoring(spark: SparkSession, requests_dir: str, features: DataFrame, columns: list[str], prediction: Column, out_dir: str, checkpoint: str, late: str = "1 day") -> StreamingQuery:
-    """Score (request_id, ticker, as_of, ts) JSON requests against a static feature table.
+    """Score (request_id, ticker, as_of, ts) JSON requests against a static feature table. Late requests are dropped: scoring.score_stream
+    names them, and takes features by stream.
 
     A request id counts once inside the watermark. Scores go to out_dir/scores, unknown tickers to out_dir/rejects, each
     batch under its number.

@@ -11,7 +11,7 @@ from panelflow.plans import registry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-CHECKED = ["panel_ohlc", "price_features", "price_features_blocks", "merge_history", "sentiment_window", "metrics_single", "walk_metrics", "asof_lookup", "flatten_news", "stream_prices", "stream_scoring", "ordering_status", "one_hot", "ols_full", "walk_ols"]
+CHECKED = ["panel_ohlc", "price_features", "price_features_blocks", "merge_history", "sentiment_window", "metrics_single", "walk_metrics", "asof_lookup", "flatten_news", "stream_prices", "stream_scoring", "ordering_status", "one_hot", "ols_full", "walk_ols", "file_status", "repaired_files", "rejected_rows", "perm_importance", "changed_rows", "fingerprint_tree", "boosting_curve", "split_shares", "stream_rejects"]
 
 
 def _rows(frame):

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelflow.functions.columns import latest_as_of
+from panelflow.functions.columns import latest_as_of, with_previous
 from panelflow.operators import files, importance, ingest, least_squares, modeling, quality, sentiment
 from panelflow.schemas import PRICE_FEATURES, PRICES, TARGET
 from panelflow.session import materialize
@@ -230,6 +230,25 @@ def test_as_of_join_of_one_hot_day(spark):
     assert sum(sizes) == n and len(sizes) > 4 and max(sizes) <= 3 * np.median(sizes)
 
 
+def test_previous_row_over_blocks(spark):
+    """One group with most rows, in many blocks; null groups and null values."""
+    rng = random.Random(3)
+    rows = [("hot" if k % 10 else rng.choice(["a", None]), k, None if k % 13 == 0 else rng.randrange(9)) for k in rng.sample(range(20_000), 6000)]
+    df = spark.createDataFrame(rows, "g string, seq long, v long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = with_previous(df, ["g"], "seq", "v", "before")
+        got = {(r["g"], r["seq"]): r["before"] for r in out.collect()}
+        assert materialize(df.repartitionByRange("g", "seq"), "blocks").where("g = 'hot'").select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    last, want = {}, {}
+    for g, q, v in sorted(rows, key=lambda r: r[1]):
+        want[g, q] = last.get(g)
+        last[g] = v
+    assert got == want and out.columns == ["g", "seq", "v", "before"]
+
+
 # ------------------------------------------------------------ fits, permutations, early stops
 
 
