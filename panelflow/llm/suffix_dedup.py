@@ -131,8 +131,8 @@ def _hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarr
 
 
 def shared_segments(column: pa.Array, length: int, common: np.ndarray, hot: np.ndarray, key_bits: int = 64) -> Iterator[tuple[np.ndarray, ...]]:
-    """Of stretches of the texts in a column: bytes, their place, and of the segments that others may share: text, key and check (two
-    hashes, the first one cut to key_bits), minimizer, whether it is one window of a frequent minimizer, start and end in the stretch."""
+    """Of stretches of the texts in a column: bytes, their place, and of the segments that others may share: text, key (a hash,
+    cut to key_bits), minimizer, whether it is one window of a frequent minimizer, start and end in the stretch."""
     for part, a, owner, minimizer, first, windows in cut_texts(column, length):
         keep = filter_has(common, minimizer)
         if not keep.any():
@@ -147,7 +147,7 @@ def shared_segments(column: pa.Array, length: int, common: np.ndarray, hot: np.n
             end = start + np.where(single, 1, windows[which]) + length - 1
         else:
             start, end = first, first + windows + length - 1
-        yield part, a, owner, _hashes(part, start, end) >> np.uint64(64 - key_bits), _hashes(part, start, end, _CHECK), minimizer, single, start, end
+        yield part, a, owner, _hashes(part, start, end) >> np.uint64(64 - key_bits), minimizer, single, start, end
 
 
 def suffix_order(padded: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -202,8 +202,11 @@ def suffix_order(padded: np.ndarray, left: np.ndarray) -> np.ndarray:
 
 def _first_of_each(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order by key and check, and where each different pair starts in it."""
-    order = np.lexsort((check, key))
+    order = np.argsort(key, kind="stable")
     k, c = key[order], check[order]
+    if ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any():  # keys that agree by chance
+        order = np.lexsort((check, key))
+        k, c = key[order], check[order]
     return order, np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]))))
 
 
@@ -346,8 +349,8 @@ def mark_repeats(documents: DataFrame, length: int = LENGTH, name: str = "spans"
 
         for batch in batches:
             docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for part, _, owner, key, check, h, single, start, end in shared_segments(batch.column("text"), length, common.value, hot.value, key_bits):
-                data, doc = part.tobytes(), docs[owner]
+            for part, _, owner, key, h, single, start, end in shared_segments(batch.column("text"), length, common.value, hot.value, key_bits):
+                data, doc, check = part.tobytes(), docs[owner], _hashes(part, start, end, _CHECK)
                 shard = np.where(single, key, h) % np.uint64(shards)
                 for some, put in ((~single, held), (single, frequent)):
                     if some.any():
@@ -386,11 +389,11 @@ def mark_repeats(documents: DataFrame, length: int = LENGTH, name: str = "spans"
         for batch in batches:
             _, begin, _ = text_bytes(batch.column("text"))
             doc, fp = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False)
-            for _, a, owner, key, check, _, _, start, _ in shared_segments(batch.column("text"), length, common.value, hot.value, key_bits):
+            for part, a, owner, key, _, _, start, end in shared_segments(batch.column("text"), length, common.value, hot.value, key_bits):
                 keep = filter_has(marked.value, key)
                 if keep.any():
-                    who = owner[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[keep].astype(np.int64), check[keep].astype(np.int64), doc[who], fp[who], start[keep] + a - begin[who])], ["key", "check", "doc_id", "fp", "at"])
+                    who, check = owner[keep], _hashes(part, start[keep], end[keep], _CHECK)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[keep].astype(np.int64), check.astype(np.int64), doc[who], fp[who], start[keep] + a - begin[who])], ["key", "check", "doc_id", "fp", "at"])
 
     # a key has a row for each stretch of its marks, so where it is frequent adaptive execution splits its occurrences
     held = rows.mapInArrow(occurrences, "key long, check long, doc_id long, fp long, at long").join(marks, ["key", "check"]).where("least < doc_id")
