@@ -319,8 +319,8 @@ def test_stream_replays_merges(spark, tmp_path):
         jobs.stream_prices(spark, landed, out, state).awaitTermination()
     got = {r["date"].day: r["close"] for r in jobs.history(spark, out).collect()}
     assert got == {1: 10.0, 2: 11.0, 3: 11.0}
-    # a batch holds its own rows only
-    assert {r["batch"]: r["count"] for r in spark.read.parquet(out).groupBy("batch").count().collect()} == {0: 2, 1: 2}
+    # a batch holds the months that it touches, merged
+    assert {r["batch"]: r["count"] for r in spark.read.parquet(f"{out}/rows").groupBy("batch").count().collect()} == {0: 2, 1: 3}
 
 
 def test_stream_scoring(spark, tmp_path):
