@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open = threading.local()
+
 
 def build_session(app: str = "panelflow", **conf: str) -> SparkSession:
     """A session with the settings the operators expect: UTC, and adaptive execution with skew handling (on by default)."""
@@ -30,7 +35,23 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark).rstrip('/')}/panelflow-{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark).rstrip('/')}/panelflow-{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
+    if scopes := getattr(_open, "scopes", None):
+        scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the scratch tables that are made inside, by this thread, at its end: for a stream's batches, whose results are written by then."""
+    scopes = _open.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for made in scopes.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(made)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_scratch(spark: SparkSession) -> int:

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from panelflow.operators.ingest import flatten_daily_prices, merge_history
 from panelflow.operators.serving import score_requests, unknown_tickers
 from panelflow.schemas import PRICES
-from panelflow.session import materialize
+from panelflow.session import materialize, scratch_scope
 
 
 def _versions(spark: SparkSession, out_dir: str, before: int | None = None) -> dict[str, int]:
@@ -62,7 +62,8 @@ def stream_prices(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: st
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        merge_batch(spark, flatten_daily_prices(batch), out_dir, number)
+        with scratch_scope(spark):
+            merge_batch(spark, flatten_daily_prices(batch), out_dir, number)
 
     raw = spark.readStream.schema("ticker string, payload string").option("maxFilesPerTrigger", files_per_batch).json(in_dir)
     return raw.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -82,7 +83,8 @@ def stream_scoring(spark: SparkSession, requests_dir: str, features: DataFrame,
             # of the feature table, rows that the batch can meet: its tickers, up to its last day
             asked = batch.groupBy(F.upper(F.trim("ticker")).alias("_asked")).agg(F.max("as_of").alias("_last"))
             near = (F.upper(F.trim(features["ticker"])) == F.col("_asked")) & (features["date"] <= F.col("_last"))
-            score_requests(batch, features.join(asked, near, "left_semi"), columns, prediction).write.mode("overwrite").parquet(f"{out_dir}/scores/batch={number}")
+            with scratch_scope(spark):
+                score_requests(batch, features.join(asked, near, "left_semi"), columns, prediction).write.mode("overwrite").parquet(f"{out_dir}/scores/batch={number}")
             unknown_tickers(batch, features).write.mode("overwrite").parquet(f"{out_dir}/rejects/batch={number}")
         finally:
             batch.unpersist()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from panelflow.functions.columns import latest_as_of, with_previous
 from panelflow.operators import files, importance, ingest, least_squares, modeling, quality, sentiment
 from panelflow.schemas import PRICE_FEATURES, PRICES, TARGET
-from panelflow.session import materialize
+from panelflow.session import materialize, scratch_scope
 from panelflow.sources import tables
 from panelflow.streaming import jobs, scoring
 
@@ -183,6 +183,16 @@ def test_history_reads_and_writes_touched_months_only(spark, tmp_path):
     assert rows(jobs.history(spark, out)) == rows(want)
 
 
+def test_scratch_of_a_batch_goes(spark):
+    df = spark.range(5)
+    with scratch_scope(spark):
+        with scratch_scope(spark):
+            inner = materialize(df, "inner").inputFiles()[0].removeprefix("file://")
+        outer = materialize(df, "outer").inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(outer) and not os.path.exists(inner)
+    assert not os.path.exists(outer) and os.path.exists(materialize(df, "kept").inputFiles()[0].removeprefix("file://"))
+
+
 # ------------------------------------------------------------ as-of joins
 
 
