@@ -63,10 +63,11 @@ def segment_factors(rows: DataFrame, segment: str, features: list[str] = PRICE_F
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"segment": [pdf["segment"].iloc[0]], "factor": [_merged(pdf["factor"], width).tobytes()]})
 
-    # a segment has a factor from each task: those of some tasks meet first
-    parts = use.mapInPandas(factor, "segment long, factor binary").withColumn("turn", F.pmod(F.spark_partition_id(), F.lit(32)))
-    some = parts.groupBy("segment", "turn").applyInPandas(add, "segment long, factor binary")
-    return some.groupBy("segment").applyInPandas(add, "segment long, factor binary")
+    parts = use.mapInPandas(factor, "segment long, factor binary")
+    # a segment has a factor from each task: where there are many tasks, those of some of them meet first
+    if int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) > 64:
+        parts = parts.withColumn("turn", F.pmod(F.spark_partition_id(), F.lit(32))).groupBy("segment", "turn").applyInPandas(add, "segment long, factor binary")
+    return parts.groupBy("segment").applyInPandas(add, "segment long, factor binary")
 
 
 def _merged(factors: pd.Series, width: int) -> np.ndarray:
