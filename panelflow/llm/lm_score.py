@@ -294,14 +294,20 @@ def _hidden(net: Network, around: np.ndarray) -> np.ndarray:
     return np.tanh(h, out=h)
 
 
-def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(z - a number for each row) in place of z, and the sums of its rows."""
-    top = z.max()
-    z -= top if top - z.min() < 60 else z.max(axis=1, keepdims=True)
+def _exp(z: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z - a number for each row) in place of z, and the sums of its rows. reach: no |z| is above it; where it is small, nothing is taken off."""
+    if reach > 60:
+        top = z.max()
+        z -= top if top - z.min() < 60 else z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     return z, (z @ np.ones(z.shape[1], z.dtype))[:, None]
 
 
+def _reach(weights: np.ndarray, bias: np.ndarray, axis: int) -> float:
+    """A bound of scores of hidden values, which lie between -1 and 1."""
+    return float(np.abs(weights).sum(axis=axis).max() + np.abs(bias).max())
+
+
 def _by_group(net: Network, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]], np.ndarray]:
     """An order by group, h in that order, (group, from, to) of those that occur, and exp of the scores of their classes with sums."""
     order = np.argsort(group.astype(np.uint16), kind="stable")
@@ -319,11 +325,13 @@ def log_probabilities(net: Network, around: np.ndarray, target: np.ndarray) -> n
     """The log-probability of each position's class, target."""
     h, at = _hidden(net, around), np.arange(len(target))
     group, number = target % net.out.shape[1], target // net.out.shape[1]
-    e, total = _exp(h @ net.out + net.out_bias)
+    z = h @ net.out
+    z += net.out_bias
+    e, total = _exp(z, _reach(net.out, net.out_bias, 0))
     log_p = np.log(np.maximum(e[at, group], 1e-37)) - np.log(total[:, 0])
     if net.fine.shape[1] > 1:
         order, _, _, scores = _by_group(net, h, group)
-        e, total = _exp(scores)
+        e, total = _exp(scores, _reach(net.fine, net.fine_bias, 2))
         log_p[order] += np.log(np.maximum(e[at, number[order]], 1e-37)) - np.log(total[:, 0])
     return log_p
 
@@ -338,14 +346,16 @@ def _learn(net: Network, squares: list[np.ndarray], around: np.ndarray, target:
         square[where] = new
         weights[where] -= np.float32(rate) * grad / np.sqrt(new + np.float32(1e-8))
 
-    dz, total = _exp(h @ net.out + net.out_bias)
+    z = h @ net.out
+    z += net.out_bias
+    dz, total = _exp(z, _reach(net.out, net.out_bias, 0))
     dz *= 1 / (total * n)
     dz[at, group] -= 1 / n
     dh = dz @ net.out.T
     out_grad, out_bias = h.T @ dz, np.ones(len(dz), np.float32) @ dz
     if net.fine.shape[1] > 1:
         order, sorted_h, members, scores = _by_group(net, h, group)
-        dy, total = _exp(scores)
+        dy, total = _exp(scores, _reach(net.fine, net.fine_bias, 2))
         dy *= 1 / (total * n)
         dy[at, number[order]] -= 1 / n
         grad, grad_bias, more = np.zeros_like(net.fine), np.zeros_like(net.fine_bias), np.empty_like(h)
