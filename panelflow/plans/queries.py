@@ -658,12 +658,14 @@ def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, columns = F.lit("1996-01-01").cast("date"), ["return_1d", "volatility_5d"]
     r = panel.requests(spark, sf_dir)
     part = F.when(F.col("request_id").cast("long") % 10 == 0, 2).when(F.col("as_of") < first, 0).otherwise(1)
-    r = materialize(r.unionByName(r).withColumn("part", part), "requests")
+    r = r.unionByName(r).withColumn("part", part)
     df = materialize(panel.feature_table(spark, sf_dir).select("ticker", "date", *columns), "features")
     revised = df.where("dayofmonth(date) = 15").withColumn("return_1d", 2 * F.col("return_1d"))
-    for k in range(3):  # a delivery is a file, so that a batch takes one of each
-        r.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").json(landed)
-    for rows in (df.where((F.col("date") >= first) & (F.dayofmonth("date") != 15)), revised):
-        rows.coalesce(1).write.mode("append").json(updates)
-    scoring.score_stream(spark, landed, updates, df.where(F.col("date") < first), columns, 0.5 * F.col("return_1d") - 0.1 * F.col("volatility_5d"), out, state, late=dt.timedelta(days=200)).awaitTermination()
+    prediction = 0.5 * F.col("return_1d") - 0.1 * F.col("volatility_5d")
+    news = [df.where((F.col("date") >= first) & (F.dayofmonth("date") != 15)), revised]
+    for k in range(3):  # a delivery lands whole, then the stream goes on from its checkpoint and takes it as a batch
+        r.where(F.col("part") == k).drop("part").write.mode("append").json(landed)
+        if k < len(news):
+            news[k].write.mode("append").json(updates)
+        scoring.score_stream(spark, landed, updates, df.where(F.col("date") < first), columns, prediction, out, state, late=dt.timedelta(days=200), files_per_batch=None).awaitTermination()
     return scoring.scores(spark, out).select("request_id", "sink", "status", "feature_date", round_digits(F.col("prediction"), 5).alias("prediction"), round_digits(F.col("confidence"), 3).alias("confidence"))

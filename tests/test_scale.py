@@ -158,6 +158,25 @@ def test_every_request_is_answered_once(spark, tmp_path):
     assert scoring.scores(spark, out).count() == 10
 
 
+def test_a_replay_of_days_keeps_few_states(spark, tmp_path):
+    """A delivery of several files is one batch, dealt to shards; its states don't go with its days, ids count by day, nulls aren't NaN."""
+    req, upd, out, state = (str(tmp_path / x) for x in ("req", "upd", "out", "state"))
+    os.makedirs(upd)
+    days = [D(2023, 1, 1) + dt.timedelta(days=i) for i in range(400)]
+    value = lambda i: None if i % 50 == 7 else float("nan") if i % 50 == 9 else float(i)
+    start = spark.createDataFrame([("AA", d, value(i)) for i, d in enumerate(days)], "ticker string, date date, x double")
+    rows = [(f"r{i}", "aa", f"{d}T10:00:00Z") for i, d in enumerate(days)]
+    for k in range(2):
+        _requests(req, k, rows[k::2] + rows[:5] + [("twice", "aa", f"{days[k]}T11:00:00Z")])
+    q = scoring.score_stream(spark, req, upd, start, ["x"], F.col("x") * 0.1, out, state, files_per_batch=None, shards=2)
+    q.awaitTermination()
+    got = sorted((r["request_id"], str(r["as_of"]), str(r["prediction"])) for r in scoring.scores(spark, out).where("status = 'ok'").collect())
+    predicted = lambda i: str(None if value(i) is None else round(value(i) * 0.1, 6))
+    assert got == sorted([(f"r{i}", str(d), predicted(i)) for i, d in enumerate(days)] + [("twice", str(days[k]), predicted(k)) for k in range(2)])
+    progress = [p["stateOperators"][0] for p in map(lambda p: json.loads(p.json), q.recentProgress)]
+    assert sum(p["numRowsUpdated"] for p in progress) < 40  # with a state for each day, 800
+
+
 def test_history_reads_and_writes_touched_months_only(spark, tmp_path):
     out = str(tmp_path / "history")
     assert jobs.history(spark, out).count() == 0
